@@ -44,7 +44,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
           when 6 then concat('How do you feel ', s, '?') when 7 then concat('what caused ', s, '?')
           when 8 then 'So?' when 9 then concat('Q. And is ', s, '? Yes? Can ', s, '?')
           when 10 then concat('  What   date ', s, '?') else s end as question, answer
-        from (select conv_id, turn, substr(question, 1, 60) as s, answer from v_qa) x"""),
+        from (select conv_id, turn, question as s, answer from v_qa) x"""),
     "v_replies": ([], """
         select doc_id, case doc_id % 12 when 0 then 'Explicit' when 1 then ' clear non reply ' when 2 then 'I think: Dodging.'
           when 3 then '' when 4 then '<step1>a</step1><step2> b </step2><label> General </label>'

@@ -77,7 +77,7 @@ def qa(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    """v_questions: one of twelve question openings per QA pair."""
+    """v_questions: one of twelve question openings around the whole user turn."""
     s = F.col("s")
     k = (F.col("conv_id") + F.col("turn")) % 12
     q = (F.when(k == 0, F.concat(F.lit("Will you "), s, F.lit("?")))
@@ -92,7 +92,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
          .when(k == 9, F.concat(F.lit("Q. And is "), s, F.lit("? Yes? Can "), s, F.lit("?")))
          .when(k == 10, F.concat(F.lit("  What   date "), s, F.lit("?")))
          .otherwise(s))
-    return (qa(spark, sf).select("conv_id", "turn", F.substring("question", 1, 60).alias("s"), "answer")
+    return (qa(spark, sf).select("conv_id", "turn", F.col("question").alias("s"), "answer")
             .select("conv_id", "turn", q.alias("question"), "answer"))
 
 
