@@ -72,42 +72,50 @@ def _rfind(text: Column, needle: str) -> Column:
     return F.when(pos > 0, F.char_length(text) - pos - F.lit(len(needle) - 1)).otherwise(F.lit(-1))
 
 
-def clean_sub_question(c: Column) -> Column:
-    """One Q5 candidate: strip, drop ``Q.`` and a leading ``And``, cut to the
-    first interrogative starter after the last sentence break (else the first
-    starter), capitalise. Returns null when fewer than 3 words remain."""
-    t = py_strip(c.cast("string"))
-    t = py_strip(F.regexp_replace(t, r"(?i)^Q\.\s*", ""))
-    t = py_strip(F.regexp_replace(t, r"^(And|and)\s+", ""))
-    lb = F.greatest(_rfind(t, ". "), _rfind(t, "? "))
-    tail_pos = F.regexp_instr(F.substring(t, lb + 2, 1 << 30), F.lit(STARTER_RE))
-    first_pos = F.regexp_instr(t, F.lit(STARTER_RE))
-    start = F.when(tail_pos > 0, lb + tail_pos).when(first_pos > 0, first_pos - 1)  # 0-based
-    cut = F.when(start.isNotNull(), py_strip(F.substring(t, start + 1, 1 << 30))).otherwise(t)
-    cap = F.when(F.substring(cut, 1, 1).rlike(r"^\p{Ll}"),
-                 F.concat(F.upper(F.substring(cut, 1, 1)), F.substring(cut, 2, 1 << 30))).otherwise(cut)
-    return F.when(F.size(words(cap)) >= 3, cap)
+def _clean_stages(cands: Column) -> Column:
+    """Q5 cleaning of every candidate as a chain of array transforms, so each
+    intermediate value is computed once per element."""
+    s1 = F.transform(cands, lambda c: py_strip(F.regexp_replace(
+        py_strip(F.regexp_replace(py_strip(c.cast("string")), r"(?i)^Q\.\s*", "")), r"^(And|and)\s+", "")))
+    s2 = F.transform(s1, lambda t: F.struct(t.alias("t"), F.greatest(_rfind(t, ". "), _rfind(t, "? ")).alias("lb")))
+    s3 = F.transform(s2, lambda x: F.struct(
+        x["t"].alias("t"), x["lb"].alias("lb"),
+        F.regexp_instr(F.substring(x["t"], x["lb"] + 2, F.lit(1 << 30)), F.lit(STARTER_RE)).alias("tail_pos"),
+        F.regexp_instr(x["t"], F.lit(STARTER_RE)).alias("first_pos")))
+    s4 = F.transform(s3, lambda x: F.when(x["tail_pos"] > 0, py_strip(F.substring(x["t"], x["lb"] + x["tail_pos"] + 1, F.lit(1 << 30))))
+                     .when(x["first_pos"] > 0, py_strip(F.substring(x["t"], x["first_pos"], F.lit(1 << 30))))
+                     .otherwise(x["t"]))
+    s5 = F.transform(s4, lambda c: F.when(F.substring(c, 1, 1).rlike(r"^\p{Ll}"),
+                                          F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))).otherwise(c))
+    return F.filter(s5, lambda c: F.size(words(c)) >= 3)
 
 
 def clean_sub_questions(candidates: ColumnOrName, original: ColumnOrName, limit: int = 3) -> Column:
-    """Q5: cleaned candidates, distinct in order, first ``limit``; none left ->
-    the original question."""
-    cleaned = F.filter(F.transform(_c(candidates), clean_sub_question), lambda x: x.isNotNull())
-    kept = F.slice(F.array_distinct(cleaned), 1, limit)
+    """Q5: per candidate strip, drop ``Q.`` and a leading ``And``, cut to the
+    first interrogative starter after the last sentence break (else the first
+    starter), capitalise, drop under 3 words; distinct in order, first
+    ``limit``; none left -> the original question."""
+    kept = F.slice(F.array_distinct(_clean_stages(_c(candidates))), 1, limit)
     return F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, kept).otherwise(F.array(_c(original).cast("string")))
 
 
+def split_candidates(q: ColumnOrName) -> Column:
+    """Q6 first step: struct(kind, cands) with kind 'q' (two or more ``?``),
+    'and' (connector split gave pieces) or 'none'."""
+    text = F.array_join(words(F.coalesce(_c(q).cast("string"), F.lit("None"))), " ")
+    n_q = F.char_length(text) - F.char_length(F.replace(text, F.lit("?"), F.lit("")))
+    by_and = F.split(text, CONNECTOR_RE)
+    return (F.when(n_q >= 2, F.struct(F.lit("q").alias("kind"), F.regexp_extract_all(text, F.lit(r"[^?]+\?"), 0).alias("cands")))
+            .when(F.size(by_and) > 1, F.struct(F.lit("and").alias("kind"), by_and.alias("cands")))
+            .otherwise(F.struct(F.lit("none").alias("kind"), F.array().cast("array<string>").alias("cands"))))
+
+
 def rule_split(q: ColumnOrName) -> Column:
     """Q6: two or more ``?`` -> the pieces ending in ``?``; else split before
     ``and`` + starter; cleaned by Q5; else the question unchanged."""
     orig = _c(q).cast("string")
-    text = F.array_join(words(F.coalesce(orig, F.lit("None"))), " ")
-    n_q = F.char_length(text) - F.char_length(F.replace(text, F.lit("?"), F.lit("")))
-    by_q = F.regexp_extract_all(text, F.lit(r"[^?]+\?"), 0)
-    by_and = F.split(text, CONNECTOR_RE)
-    return (F.when(n_q >= 2, clean_sub_questions(by_q, orig))
-            .when(F.size(by_and) > 1, clean_sub_questions(by_and, orig))
-            .otherwise(F.array(orig)))
+    sc = split_candidates(orig)
+    return F.when(sc["kind"] == "none", F.array(orig)).otherwise(clean_sub_questions(sc["cands"], orig))
 
 
 def reply_sub_questions(raw: ColumnOrName) -> Column:
@@ -120,6 +128,22 @@ def reply_sub_questions(raw: ColumnOrName) -> Column:
     return F.try_variant_get(v, "$.sub_questions", "array<string>")
 
 
+def with_route_split(df, q: str, raw: str, out: str = "split"):
+    """Q7 on a DataFrame, staged in projections so that the rule split and the
+    reply parse are each computed once per row. Adds struct column ``out``."""
+    staged = (df.withColumn("_rule", rule_split(q))
+              .withColumn("_subs", reply_sub_questions(raw))
+              .withColumn("_wc", word_count(q)))
+    orig = F.col(q).cast("string")
+    mk = lambda arr, r, s: F.struct(arr.alias("sub_questions"), r.alias("raw_splitter_output"),
+                                    F.lit(s).alias("splitter_source"))
+    route = (F.when(F.size("_rule") > 1, mk(F.col("_rule"), F.lit(RULE_SPLIT_MARK), "rule_based"))
+             .when(F.col("_wc") < 8, mk(F.array(orig), F.lit(SHORT_SPLIT_MARK), "short_question"))
+             .when(F.col("_subs").isNotNull(), mk(clean_sub_questions("_subs", orig), F.col(raw), "llm_base"))
+             .otherwise(mk(F.array(orig), F.col(raw), "parser_fallback")))
+    return staged.withColumn(out, route).drop("_rule", "_subs", "_wc")
+
+
 def route_split(q: ColumnOrName, raw: ColumnOrName) -> Column:
     """Q7: struct(sub_questions, raw_splitter_output, splitter_source)."""
     orig = _c(q).cast("string")

@@ -386,8 +386,8 @@ from (select conv_id, turn,
   from (select conv_id, turn, question, raw, {rule_split_sql('question')} as rs, {_reply_subs_sql('raw')} as ls
         from (select *, {_splitter_reply_sql()} as raw from v_questions) a) b) c""", "v_questions"))
 def q_q7(spark, sf):
-    qs = views.questions(spark, sf).withColumn("raw", _splitter_reply())
-    r = QF.route_split("question", "raw")
+    qs = QF.with_route_split(views.questions(spark, sf).withColumn("raw", _splitter_reply()), "question", "raw")
+    r = F.col("split")
     return qs.select("conv_id", "turn", F.array_join(r["sub_questions"], " || ").alias("sub_questions"),
                      r["raw_splitter_output"].alias("raw_splitter_output"), r["splitter_source"].alias("splitter_source"))
 
