@@ -58,8 +58,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                then 'validation' else 'train' end as split
         from documents"""),
     "v_text_labels": ([], "select d.*, l.quality, l.toxic from documents d join labels l using (doc_id)"),
-    "v_vectors_q": ([], "select * from embeddings where vec_id < 20"),
-    "v_vectors_c": ([], "select * from embeddings where vec_id >= 20"),
+    "v_vectors_q": ([], "select * from embeddings where ('0x' || substr(md5(cast(vec_id as varchar) || '|42'), 1, 8))::bigint / 4294967296.0 < 0.2"),
+    "v_vectors_c": ([], "select * from embeddings where ('0x' || substr(md5(cast(vec_id as varchar) || '|42'), 1, 8))::bigint / 4294967296.0 >= 0.2"),
     "v_logits": ([], """
         select doc_id, cast(case when doc_id % 13 = 0 then -100 else doc_id % 4 end as integer) as label_id,
           [((doc_id*1) % 17)/4.0, ((doc_id*2) % 17)/4.0, ((doc_id*3) % 17)/4.0, ((doc_id*4) % 17)/4.0]::double[] as logits

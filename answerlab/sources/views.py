@@ -134,11 +134,26 @@ def text_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vectors_q(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").where(F.col("vec_id") < 20)
+    """v_vectors_q: embeddings in the validation part of the hash split (queries)."""
+    return table(spark, sf, "embeddings").where(split_hash(F.col("vec_id")) < 0.2)
 
 
 def vectors_c(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").where(F.col("vec_id") >= 20)
+    """v_vectors_c: embeddings in the train part of the hash split (corpus)."""
+    return table(spark, sf, "embeddings").where(split_hash(F.col("vec_id")) >= 0.2)
+
+
+def examples(spark: SparkSession, sf: str) -> DataFrame:
+    """v_examples: documents as labelled QA rows: question from the source tag,
+    answer = text, gold fine label (vote consolidation) and official coarse
+    label, plus the hash split."""
+    from answerlab.operators.votes import consolidate_votes
+    gold = consolidate_votes(votes(spark, sf)).select("doc_id", "evasion_label", "clarity_label")
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("What does "), F.col("source"), F.lit(" say?")).alias("question"),
+        F.col("text").alias("answer"), "lang")
+    return (d.join(gold, "doc_id")
+            .withColumn("split", F.when(split_hash(F.col("doc_id")) < 0.2, F.lit("validation")).otherwise(F.lit("train"))))
 
 
 def logits(spark: SparkSession, sf: str) -> DataFrame:
