@@ -107,9 +107,11 @@ def per_class(df: DataFrame, labels: Sequence[str] | None = None, truth: str = "
     return _with_scores(t).select(*by, "label", "precision", "recall", "f1", "support")
 
 
-def _summary(df: DataFrame, labels: Sequence[str] | None, truth: str, pred: str,
-             by: Sequence[str]) -> DataFrame:
-    t = _with_scores(_labelled(pair_counts(df, truth, pred, by), labels, by))
+def _scored(df: DataFrame, labels: Sequence[str] | None, truth: str, pred: str, by: Sequence[str]) -> DataFrame:
+    return _with_scores(_labelled(pair_counts(df, truth, pred, by), labels, by))
+
+
+def _summary_of(t: DataFrame, by: Sequence[str]) -> DataFrame:
     inl = F.col("in_list")
     sup_in = F.sum(F.when(inl, F.col("support")).otherwise(0))
     prd_in = F.sum(F.when(inl, F.col("predicted")).otherwise(0))
@@ -131,6 +133,11 @@ def _summary(df: DataFrame, labels: Sequence[str] | None, truth: str, pred: str,
     )
 
 
+def _summary(df: DataFrame, labels: Sequence[str] | None, truth: str, pred: str,
+             by: Sequence[str]) -> DataFrame:
+    return _summary_of(_scored(df, labels, truth, pred, by), by)
+
+
 def accuracy(df: DataFrame, truth: str = "true_label", pred: str = "pred_label",
              by: Sequence[str] = ()) -> DataFrame:
     """M4: share of rows whose prediction equals the truth, over all given rows."""
@@ -160,8 +167,9 @@ def class_report(df: DataFrame, labels: Sequence[str], truth: str = "true_label"
                  pred: str = "pred_label", by: Sequence[str] = ()) -> DataFrame:
     """M7: per-class rows, then ``accuracy`` (or ``micro avg`` when some row
     holds a label outside the list), ``macro avg`` and ``weighted avg``."""
-    per = per_class(df, labels, truth, pred, by)
-    s = _summary(df, labels, truth, pred, by)
+    t = _scored(df, labels, truth, pred, by)  # one small table feeds both parts
+    per = t.where("in_list").select(*by, "label", "precision", "recall", "f1", "support")
+    s = _summary_of(t, by)
     micro = F.col("n_outside") > 0
     first = F.struct(
         F.when(micro, F.lit("micro avg")).otherwise(F.lit("accuracy")).alias("label"),

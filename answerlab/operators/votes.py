@@ -45,13 +45,19 @@ def _top_votes(votes: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(counted, lambda x: x["n"] == top), lambda x: x["vote"]))
 
 
+def with_votes(df: DataFrame, annotators: Sequence[str] = ANNOTATORS, col: str = "_votes") -> DataFrame:
+    """Stage the valid-vote array as a column (built once, referenced by name)."""
+    return df if col in df.columns else df.withColumn(col, vote_array(annotators))
+
+
 def majority_label(df: DataFrame, annotators: Sequence[str] = ANNOTATORS,
-                   out: str = "majority") -> DataFrame:
+                   out: str = "majority", keep_votes: bool = False) -> DataFrame:
     """V2: add ``out`` = label with strictly most votes (null when tied or no
     vote) and ``n_top`` = number of labels sharing the top count (0: no vote)."""
-    top = _top_votes(vote_array(annotators))
-    return (df.withColumn("n_top", F.size(top))
-            .withColumn(out, F.when(F.col("n_top") == 1, F.element_at(top, 1))))
+    staged = with_votes(df, annotators).withColumn("_top", _top_votes(F.col("_votes")))
+    res = (staged.withColumn("n_top", F.size("_top"))
+           .withColumn(out, F.when(F.col("n_top") == 1, F.element_at("_top", 1))).drop("_top"))
+    return res if keep_votes else res.drop("_votes")
 
 
 def annotator_reliability(df: DataFrame, annotators: Sequence[str] = ANNOTATORS,
@@ -60,8 +66,8 @@ def annotator_reliability(df: DataFrame, annotators: Sequence[str] = ANNOTATORS,
     """V3: per annotator and coarse class, how often the annotator voted the
     majority label on rows that have one. All combinations present (0 filled)."""
     spark = df.sparkSession
-    m = majority_label(df, annotators).where(F.col("n_top") == 1)
-    hits = (m.select(F.col("majority"), F.inline(vote_array(annotators)))
+    m = majority_label(df, annotators, keep_votes=True).where(F.col("n_top") == 1)
+    hits = (m.select(F.col("majority"), F.inline("_votes"))
             .where(F.col("vote") == F.col("majority"))
             .select("annotator", coarsen("majority", taxonomy=taxonomy).alias("coarse_label"))
             .groupBy("annotator", "coarse_label").agg(F.count(F.lit(1)).alias("n")))
@@ -85,9 +91,11 @@ def resolve_ties(df: DataFrame, reliability: DataFrame, official: str = "clarity
     """V4: label for undecided rows. Coherent votes (coarse class = official)
     decide: exactly one -> it; several -> most reliable annotator for that
     class (first annotator on equal scores); none -> first available vote."""
-    votes = vote_array(annotators)
+    df = with_votes(df, annotators)
+    votes = F.col("_votes")
     tax = map_literal(taxonomy)
-    coherent = F.filter(votes, lambda x: F.coalesce(tax[x["vote"]], x["vote"]) == F.col(official))
+    df = df.withColumn("_coh", F.filter(votes, lambda x: F.coalesce(tax[x["vote"]], x["vote"]) == F.col(official)))
+    coherent = F.col("_coh")
     rel = F.col("_rel")
     score = lambda x: F.coalesce(rel[x["annotator"]], F.lit(0).cast("long"))
     best = F.aggregate(
@@ -108,7 +116,7 @@ def resolve_ties(df: DataFrame, reliability: DataFrame, official: str = "clarity
                              .when(n_coh == 0, F.lit("fallback"))
                              .when(n_coh == 1, F.lit("single_coherent"))
                              .otherwise(F.lit("reliability")))
-    return res.drop("_cls", "_rel")
+    return res.drop("_cls", "_rel", "_coh", "_votes")
 
 
 def consolidate_votes(df: DataFrame, official: str = "clarity_label",
@@ -117,7 +125,7 @@ def consolidate_votes(df: DataFrame, official: str = "clarity_label",
                       out: str = "evasion_label", with_rule: bool = False) -> DataFrame:
     """V5: majority label, else tie-break by coherence and reliability."""
     reliability = annotator_reliability(df, annotators, taxonomy)
-    m = majority_label(df, annotators, out="_maj")
+    m = majority_label(df, annotators, out="_maj", keep_votes=True)
     r = resolve_ties(m, reliability, official, annotators, taxonomy, out="_res",
                      rule_col="_rule" if with_rule else None)
     r = r.withColumn(out, F.when(F.col("n_top") == 1, F.col("_maj")).otherwise(F.col("_res")))

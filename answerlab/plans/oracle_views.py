@@ -77,7 +77,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                substr(text, attempt + 1, 80) as rewrite
         from (select doc_id, lang, text, cast(unnest(range(0, 4)) as integer) as attempt from documents) x"""),
     "v_pairs": ([], """
-        select a.doc_id, substr(a.text, 1, 300) as original, substr(b.text, 1, 300) as rewrite
+        select a.doc_id, a.text as original, b.text as rewrite
         from documents a join documents b on b.doc_id = a.doc_id + 1 where a.lang = 'en'"""),
     "v_articles": ([], """
         select title, arg_min(text, doc_id) as article from (
@@ -86,6 +86,12 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         where title <> '' group by title"""),
     "v_lexicon": ([], """select * from (values ('the','Assertive',1.0::double), ('than','Guarded',1.0::double),
         ('and','Dismissive',1.0::double), ('la','Guarded',0.5::double), ('in','Assertive',0.5::double)) t(word, tone, weight)"""),
+    "v_balance": ([], """
+        select e.vec_id as doc_id, e.embedding, case when e.label < 6 then 0 when e.label < 9 then 1 else 2 end as class,
+          coalesce(d.text, '') as text,
+          case when ('0x' || substr(md5(cast(e.vec_id as varchar) || '|42'), 1, 8))::bigint / 4294967296.0 < 0.2
+               then 'validation' else 'train' end as split
+        from embeddings e left join documents d on d.doc_id = e.vec_id"""),
     "v_done": ([], "select doc_id from documents where doc_id % 3 = 0"),
     "v_scored_events": ([], """
         select event_id, ts, event_type as true_label,

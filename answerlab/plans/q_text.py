@@ -329,8 +329,11 @@ def q_q4(spark, sf):
     return Q.question_context_message(ctx).select("conv_id", "turn", "user_message")
 
 
-@query("q5_clean_sub_questions", with_views(rf"""
-select conv_id, turn, array_to_string({clean_list_sql("regexp_extract_all(question, '[^?]+\?')", 'question')}, ' || ') as sub_questions
+Q5_CANDS = r"regexp_extract_all(question, '[^?]+\?')"
+
+
+@query("q5_clean_sub_questions", with_views(f"""
+select conv_id, turn, array_to_string({clean_list_sql(Q5_CANDS, 'question')}, ' || ') as sub_questions
 from v_questions""", "v_questions"))
 def q_q5(spark, sf):
     qs = views.questions(spark, sf)

@@ -196,9 +196,8 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """v_pairs: each English document with the document that follows its id."""
     docs = table(spark, sf, "documents")
-    a = docs.where(F.col("lang") == "en").select(
-        "doc_id", F.substring("text", 1, 300).alias("original"))
-    b = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.substring("text", 1, 300).alias("rewrite"))
+    a = docs.where(F.col("lang") == "en").select("doc_id", F.col("text").alias("original"))
+    b = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("rewrite"))
     return a.join(b, "doc_id")
 
 
@@ -233,3 +232,16 @@ def scored_events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), et.alias("true_label"),
         F.when(F.col("event_id") % 4 == 0, shifted).otherwise(et).alias("pred_label"))
+
+
+def balance_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """v_balance: embeddings as labelled rows for rebalancing: three classes of
+    unequal size from the embedding label (0-5, 6-8, 9), the document text of
+    the same id (empty when there is none) and the hash split."""
+    e = table(spark, sf, "embeddings")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    cls = F.when(F.col("label") < 6, 0).when(F.col("label") < 9, 1).otherwise(2)
+    return (e.join(d, "vec_id", "left")
+            .select(F.col("vec_id").alias("doc_id"), "embedding", cls.alias("class"),
+                    F.coalesce(F.col("text"), F.lit("")).alias("text"),
+                    F.when(split_hash(F.col("vec_id")) < 0.2, F.lit("validation")).otherwise(F.lit("train")).alias("split")))
