@@ -18,26 +18,32 @@ from pyspark.sql import functions as F
 
 from answerlab.functions.constants import IGNORE_ID, PARSE_ERROR, TAXONOMY
 from answerlab.functions.labels import coarsen
+from answerlab.session import literal_table
 
 
 def pair_counts(df: DataFrame, truth: str = "true_label", pred: str = "pred_label",
                 by: Sequence[str] = ()) -> DataFrame:
     """(by.., true_label, pred_label, n) over rows where both labels are present."""
-    return (df.where(F.col(truth).isNotNull() & F.col(pred).isNotNull())
-            .groupBy(*by, F.col(truth).cast("string").alias("true_label"),
+    # no filter before the aggregation: a filter on a computed label would be
+    # pushed down with the label's whole expression; null pairs are dropped
+    # from the aggregated (small) table instead
+    pc = (df.groupBy(*by, F.col(truth).cast("string").alias("true_label"),
                      F.col(pred).cast("string").alias("pred_label"))
-            .agg(F.count(F.lit(1)).alias("n")))
+          .agg(F.count(F.lit(1)).alias("n")))
+    return pc.select(*by, "true_label", "pred_label",
+                     F.when(F.col("true_label").isNotNull() & F.col("pred_label").isNotNull(), F.col("n"))
+                     .otherwise(F.lit(0)).cast("long").alias("n"))
 
 
 def _label_grid(spark, labels: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame([(i, lbl) for i, lbl in enumerate(labels)], "label_pos int, label string")
+    return literal_table(spark, [(i, lbl) for i, lbl in enumerate(labels)], ["label_pos", "label"])
 
 
 def _grid_per_group(pc: DataFrame, by: Sequence[str], rows: list[dict], schema: str) -> DataFrame:
     """Fixed parameter rows (label cells) repeated for every group of ``by``;
     without groups the rows form a small literal table."""
     if not by:
-        return pc.sparkSession.createDataFrame([tuple(r.values()) for r in rows], schema)
+        return literal_table(pc.sparkSession, [tuple(r.values()) for r in rows], list(rows[0].keys()))
     lit_rows = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in rows])
     return pc.select(*by).distinct().select(*by, F.inline(lit_rows))
 
@@ -49,8 +55,12 @@ def confusion_matrix(df: DataFrame, labels: Sequence[str], truth: str = "true_la
     pc = pair_counts(df, truth, pred, by)
     cells = _grid_per_group(pc, by, [{"true_label": a, "pred_label": b} for a in labels for b in labels],
                             "true_label string, pred_label string")
-    return (cells.join(pc, [*by, "true_label", "pred_label"], "left")
-            .select(*by, "true_label", "pred_label", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
+    # zero-filled by union + sum (a join here would push an inferred not-null
+    # filter on the computed labels down into the scan)
+    return (cells.withColumn("n", F.lit(0).cast("long")).withColumn("_cell", F.lit(True))
+            .unionByName(pc.withColumn("_cell", F.lit(False)))
+            .groupBy(*by, "true_label", "pred_label").agg(F.sum("n").cast("long").alias("n"), F.max("_cell").alias("_cell"))
+            .where(F.col("_cell")).drop("_cell"))
 
 
 def confusion_wide(cm: DataFrame, labels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -65,15 +75,29 @@ def confusion_normalised(cm: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return cm.withColumn("share", F.col("n") / F.greatest(F.sum("n").over(w), F.lit(1)).cast("double"))
 
 
-def _per_label(pc: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by.., label, tp, support, predicted) for every label seen in truth or prediction."""
-    contrib = pc.select(*by, F.explode(F.array(
-        F.struct(F.col("true_label").alias("label"), F.col("n").alias("sup"), F.lit(0).cast("long").alias("prd"),
-                 F.when(F.col("true_label") == F.col("pred_label"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp")),
-        F.struct(F.col("pred_label").alias("label"), F.lit(0).cast("long").alias("sup"), F.col("n").alias("prd"),
-                 F.lit(0).cast("long").alias("tp")))).alias("c")).select(*by, "c.*")
-    return contrib.groupBy(*by, "label").agg(F.sum("tp").alias("tp"), F.sum("sup").alias("support"),
-                                             F.sum("prd").alias("predicted"))
+def _labelled(pc: DataFrame, labels: Sequence[str] | None, by: Sequence[str]) -> DataFrame:
+    """(by.., label, label_pos, in_list, tp, support, predicted) for every label
+    seen in truth or prediction and, with ``labels``, every listed label (zero
+    filled). One aggregation: the listed labels enter as zero contributions
+    next to the exploded pair counts, so no join is needed."""
+    n = F.col("n")
+    contrib = F.array(
+        F.struct(F.col("true_label").alias("label"), n.alias("sup"), F.lit(0).cast("long").alias("prd"),
+                 F.when(F.col("true_label") == F.col("pred_label"), n).otherwise(F.lit(0)).cast("long").alias("tp")),
+        F.struct(F.col("pred_label").alias("label"), F.lit(0).cast("long").alias("sup"), n.alias("prd"),
+                 F.lit(0).cast("long").alias("tp")))
+    rows = pc.where(F.col("n") > 0).select(*by, F.inline(contrib)).withColumn("_pos", F.lit(None).cast("int"))
+    if labels is not None:
+        listed = F.array(*[F.struct(F.lit(lbl).alias("label"), F.lit(0).cast("long").alias("sup"),
+                                    F.lit(0).cast("long").alias("prd"), F.lit(0).cast("long").alias("tp"),
+                                    F.lit(i).alias("_pos")) for i, lbl in enumerate(labels)])
+        grid = pc.select(*by).distinct().select(*by, F.inline(listed)) if by else \
+            pc.sparkSession.range(1).select(F.inline(listed))
+        rows = rows.unionByName(grid)
+    agg = rows.groupBy(*by, "label").agg(F.sum("tp").alias("tp"), F.sum("sup").alias("support"),
+                                         F.sum("prd").alias("predicted"), F.min("_pos").alias("label_pos"))
+    in_list = F.lit(True) if labels is None else F.col("label_pos").isNotNull()
+    return agg.withColumn("in_list", in_list)
 
 
 def _with_scores(t: DataFrame) -> DataFrame:
@@ -83,59 +107,52 @@ def _with_scores(t: DataFrame) -> DataFrame:
             .withColumn("f1", F.when(sup + prd > 0, 2 * tp / (sup + prd)).otherwise(F.lit(0.0))))
 
 
-def _labelled(pc: DataFrame, labels: Sequence[str] | None, by: Sequence[str]) -> DataFrame:
-    """Per-label counts with ``in_list`` flag. With ``labels`` every listed label
-    is present (zero rows filled) and others are flagged out; without, all seen
-    labels count."""
-    per = _per_label(pc, by)
-    if labels is None:
-        return per.withColumn("in_list", F.lit(True)).withColumn("label_pos", F.lit(None).cast("int"))
-    grid = _grid_per_group(pc, by, [{"label_pos": i, "label": lbl} for i, lbl in enumerate(labels)],
-                           "label_pos int, label string")
-    return (grid.withColumn("in_list", F.lit(True))
-            .join(per, [*by, "label"], "full")
-            .select(*by, "label", "label_pos", F.coalesce("in_list", F.lit(False)).alias("in_list"),
-                    *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tp", "support", "predicted")]))
-
-
 def per_class(df: DataFrame, labels: Sequence[str] | None = None, truth: str = "true_label",
               pred: str = "pred_label", by: Sequence[str] = ()) -> DataFrame:
     """M3: precision, recall, F1 and support per label (0 where undefined).
     Counts cover all rows, so a prediction outside the list is a miss for the
     true label (as scikit-learn does with ``labels=``)."""
-    t = _labelled(pair_counts(df, truth, pred, by), labels, by).where("in_list")
-    return _with_scores(t).select(*by, "label", "precision", "recall", "f1", "support")
+    t = _with_scores(_labelled(pair_counts(df, truth, pred, by), labels, by)).where("in_list")
+    return t.select(*by, "label", "precision", "recall", "f1", "support")
 
 
 def _scored(df: DataFrame, labels: Sequence[str] | None, truth: str, pred: str, by: Sequence[str]) -> DataFrame:
     return _with_scores(_labelled(pair_counts(df, truth, pred, by), labels, by))
 
 
-def _summary_of(t: DataFrame, by: Sequence[str]) -> DataFrame:
-    inl = F.col("in_list")
-    sup_in = F.sum(F.when(inl, F.col("support")).otherwise(0))
-    prd_in = F.sum(F.when(inl, F.col("predicted")).otherwise(0))
-    tp_in = F.sum(F.when(inl, F.col("tp")).otherwise(0))
-    return t.groupBy(*by).agg(
-        F.sum("support").alias("n_rows"),
-        (F.sum("tp") / F.sum("support")).alias("accuracy"),
-        F.avg(F.when(inl, F.col("f1"))).alias("macro_f1"),
-        F.avg(F.when(inl, F.col("precision"))).alias("macro_precision"),
-        F.avg(F.when(inl, F.col("recall"))).alias("macro_recall"),
-        F.coalesce(F.sum(F.when(inl, F.col("f1") * F.col("support"))) / F.when(sup_in > 0, sup_in), F.lit(0.0)).alias("weighted_f1"),
-        F.coalesce(F.sum(F.when(inl, F.col("precision") * F.col("support"))) / F.when(sup_in > 0, sup_in), F.lit(0.0)).alias("weighted_precision"),
-        F.coalesce(F.sum(F.when(inl, F.col("recall") * F.col("support"))) / F.when(sup_in > 0, sup_in), F.lit(0.0)).alias("weighted_recall"),
-        sup_in.alias("support_in"),
-        F.coalesce(tp_in / F.when(prd_in > 0, prd_in), F.lit(0.0)).alias("micro_precision"),
-        F.coalesce(tp_in / F.when(sup_in > 0, sup_in), F.lit(0.0)).alias("micro_recall"),
-        F.coalesce(2 * tp_in / F.when(sup_in + prd_in > 0, sup_in + prd_in), F.lit(0.0)).alias("micro_f1"),
-        F.count_if(~inl & ((F.col("support") > 0) | (F.col("predicted") > 0))).alias("n_outside"),
-    )
+def _asum(arr, field):
+    return F.aggregate(arr, F.lit(0.0), lambda a, r: a + r[field].cast("double"))
+
+
+def _grouped(df: DataFrame, labels: Sequence[str] | None, truth: str, pred: str, by: Sequence[str]) -> DataFrame:
+    """One row per group: ``rows`` = per-label structs (bounded by the number
+    of labels) and every summary value, from a single lineage."""
+    t = _scored(df, labels, truth, pred, by)
+    g = t.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(
+        F.coalesce("label_pos", F.lit(1 << 30)).alias("pos"), "label", "in_list", "tp", "support", "predicted",
+        "precision", "recall", "f1"))).alias("rows"))
+    inl = F.filter("rows", lambda r: r["in_list"])
+    n_in = F.size(inl)
+    sup_in, prd_in, tp_in = _asum(inl, "support"), _asum(inl, "predicted"), _asum(inl, "tp")
+    safe = lambda num, den: F.when(den > 0, num / den).otherwise(F.lit(0.0))
+    wavg = lambda f: safe(F.aggregate(inl, F.lit(0.0), lambda a, r: a + r[f] * r["support"]), sup_in)
+    n_all, tp_all = _asum("rows", "support"), _asum("rows", "tp")
+    return g.select(
+        *by, "rows",
+        n_all.cast("long").alias("n_rows"), F.when(n_all > 0, tp_all / n_all).alias("accuracy"),
+        F.when(n_in > 0, _asum(inl, "f1") / n_in).alias("macro_f1"),
+        F.when(n_in > 0, _asum(inl, "precision") / n_in).alias("macro_precision"),
+        F.when(n_in > 0, _asum(inl, "recall") / n_in).alias("macro_recall"),
+        wavg("f1").alias("weighted_f1"), wavg("precision").alias("weighted_precision"),
+        wavg("recall").alias("weighted_recall"), sup_in.cast("long").alias("support_in"),
+        safe(tp_in, prd_in).alias("micro_precision"), safe(tp_in, sup_in).alias("micro_recall"),
+        safe(2 * tp_in, sup_in + prd_in).alias("micro_f1"),
+        F.size(F.filter("rows", lambda r: ~r["in_list"] & ((r["support"] > 0) | (r["predicted"] > 0)))).alias("n_outside"))
 
 
 def _summary(df: DataFrame, labels: Sequence[str] | None, truth: str, pred: str,
              by: Sequence[str]) -> DataFrame:
-    return _summary_of(_scored(df, labels, truth, pred, by), by)
+    return _grouped(df, labels, truth, pred, by).drop("rows")
 
 
 def accuracy(df: DataFrame, truth: str = "true_label", pred: str = "pred_label",
@@ -166,10 +183,13 @@ def metrics_row(df: DataFrame, labels: Sequence[str] | None = None, truth: str =
 def class_report(df: DataFrame, labels: Sequence[str], truth: str = "true_label",
                  pred: str = "pred_label", by: Sequence[str] = ()) -> DataFrame:
     """M7: per-class rows, then ``accuracy`` (or ``micro avg`` when some row
-    holds a label outside the list), ``macro avg`` and ``weighted avg``."""
-    t = _scored(df, labels, truth, pred, by)  # one small table feeds both parts
-    per = t.where("in_list").select(*by, "label", "precision", "recall", "f1", "support")
-    s = _summary_of(t, by)
+    holds a label outside the list), ``macro avg`` and ``weighted avg``.
+    Per-class and summary rows come out of the same grouped row, so the data
+    is aggregated once."""
+    g = _grouped(df, labels, truth, pred, by)
+    per = F.transform(F.filter("rows", lambda r: r["in_list"]), lambda r: F.struct(
+        r["label"].alias("label"), r["precision"].alias("precision"), r["recall"].alias("recall"),
+        r["f1"].alias("f1"), r["support"].alias("support")))
     micro = F.col("n_outside") > 0
     first = F.struct(
         F.when(micro, F.lit("micro avg")).otherwise(F.lit("accuracy")).alias("label"),
@@ -183,8 +203,7 @@ def class_report(df: DataFrame, labels: Sequence[str], truth: str = "true_label"
     weighted = F.struct(F.lit("weighted avg").alias("label"), F.col("weighted_precision").alias("precision"),
                         F.col("weighted_recall").alias("recall"), F.col("weighted_f1").alias("f1"),
                         F.col("support_in").alias("support"))
-    tail = s.select(*by, F.inline(F.array(first, macro, weighted)))
-    return per.unionByName(tail)
+    return g.select(*by, F.inline(F.concat(per, F.array(first, macro, weighted))))
 
 
 def dual_level_metrics(df: DataFrame, truth: str = "true_label", pred: str = "pred_label",

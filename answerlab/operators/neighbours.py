@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerlab.functions.constants import TAXONOMY
+from answerlab.session import literal_table
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -184,7 +185,7 @@ def median_exemplar(df: DataFrame, text: str, id_col: str, group: Sequence[str]
 
 
 def _taxonomy_df(spark, taxonomy: Sequence[tuple[str, str]]) -> DataFrame:
-    return spark.createDataFrame([(i, f, c) for i, (f, c) in enumerate(taxonomy)], "pos int, fine string, coarse string")
+    return literal_table(spark, [(i, f, c) for i, (f, c) in enumerate(taxonomy)], ["pos", "fine", "coarse"])
 
 
 def collapse_exemplars(fine_ex: DataFrame, coarse_ex: DataFrame, id_col: str,

@@ -9,6 +9,7 @@ annotators x coarse classes; it is broadcast back by coarse class.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,72 +17,115 @@ from pyspark.sql import functions as F
 from answerlab.functions.constants import ANNOTATORS, COARSE_LABELS, FINE_LABELS, NO_VOTE, TAXONOMY
 from answerlab.functions.labels import coarsen, map_literal
 from answerlab.functions.text import py_strip
+from answerlab.session import literal_table
 
 
 def _is_vote(v: Column) -> Column:
     return v.isNotNull() & ~py_strip(v).isin(NO_VOTE)
 
 
+def _any(conds: list[Column]) -> Column:
+    return reduce(lambda x, y: x | y, conds, F.lit(False))
+
+
+def _count(conds: list[Column]) -> Column:
+    return reduce(lambda x, y: x + y, [F.when(c, 1).otherwise(0) for c in conds], F.lit(0))
+
+
+def _greatest(cols: list[Column]) -> Column:
+    return cols[0] if len(cols) == 1 else F.greatest(*cols)
+
+
+class _Votes:
+    """Per-row vote logic as plain column expressions over the annotator
+    columns (pairwise comparisons, O(annotators^2) terms), compiled by
+    whole-stage codegen - no per-row lambda evaluation."""
+
+    def __init__(self, vals: list[Column], valid: list[Column]):
+        n = len(vals)
+        self.vals, self.valid = vals, valid
+        same = [[valid[i] & valid[j] & (vals[i] == vals[j]) for j in range(n)] for i in range(n)]
+        self.cnt = [_count(same[i]) for i in range(n)]
+        self.first = [valid[i] & ~_any([same[i][j] for j in range(i)]) for i in range(n)]
+        self.n_valid = _count(valid)
+
+
 def vote_array(annotators: Sequence[str] = ANNOTATORS) -> Column:
-    """Valid votes of a row as array<struct<annotator_no, annotator, vote>> in
-    annotator order (blank, null and ``"None"`` skipped)."""
-    arr = F.array(*[F.struct(F.lit(i + 1).alias("annotator_no"), F.lit(a).alias("annotator"),
-                             F.col(a).cast("string").alias("vote"))
-                    for i, a in enumerate(annotators)])
-    return F.filter(arr, lambda x: _is_vote(x["vote"]))
+    """All votes of a row as array<struct<annotator_no, annotator, vote>> in
+    annotator order (before the validity filter)."""
+    return F.array(*[F.struct(F.lit(i + 1).alias("annotator_no"), F.lit(a).alias("annotator"),
+                              F.col(a).cast("string").alias("vote"))
+                     for i, a in enumerate(annotators)])
 
 
 def valid_votes(df: DataFrame, id_col: str = "doc_id",
                 annotators: Sequence[str] = ANNOTATORS) -> DataFrame:
-    """V1: long table (id, annotator_no, annotator, vote) of valid votes."""
-    return df.select(id_col, F.inline(vote_array(annotators)))
+    """V1: long table (id, annotator_no, annotator, vote) of valid votes
+    (blank, null and ``"None"`` skipped)."""
+    return df.select(id_col, F.inline(vote_array(annotators))).where(_is_vote(F.col("vote")))
 
 
-def _top_votes(votes: Column) -> Column:
-    """Distinct votes that reach the highest count, in first-seen order."""
-    counted = F.transform(votes, lambda x: F.struct(
-        x["vote"].alias("vote"), F.size(F.filter(votes, lambda y: y["vote"] == x["vote"])).alias("n")))
-    top = F.array_max(F.transform(counted, lambda x: x["n"]))
-    return F.array_distinct(F.transform(F.filter(counted, lambda x: x["n"] == top), lambda x: x["vote"]))
+def _stage_votes(df: DataFrame, annotators: Sequence[str]) -> tuple[DataFrame, _Votes, list[str]]:
+    """Stage one column per annotator holding its vote or null when it is no
+    vote; all later logic compares these plain columns."""
+    names = [f"_v{i}" for i in range(len(annotators))]
+    staged = df.withColumns({n: F.when(_is_vote(F.col(a).cast("string")), F.col(a).cast("string"))
+                             for n, a in zip(names, annotators)})
+    vals = [F.col(n) for n in names]
+    return staged, _Votes(vals, [x.isNotNull() for x in vals]), names
 
 
-def with_votes(df: DataFrame, annotators: Sequence[str] = ANNOTATORS, col: str = "_votes") -> DataFrame:
-    """Stage the valid-vote array as a column (built once, referenced by name)."""
-    return df if col in df.columns else df.withColumn(col, vote_array(annotators))
+def _with_majority(df: DataFrame, v: _Votes, out: str) -> DataFrame:
+    n = len(v.vals)
+    staged = df.withColumn("_topn", _greatest([F.when(v.valid[i], v.cnt[i]).otherwise(0) for i in range(n)]))
+    top = F.col("_topn")
+    is_top = [v.valid[i] & (v.cnt[i] == top) for i in range(n)]
+    n_top = _count([v.first[i] & is_top[i] for i in range(n)])
+    maj = F.coalesce(*[F.when(is_top[i], v.vals[i]) for i in range(n)])
+    return staged.withColumn("n_top", n_top).withColumn(out, F.when(F.col("n_top") == 1, maj)).drop("_topn")
 
 
 def majority_label(df: DataFrame, annotators: Sequence[str] = ANNOTATORS,
-                   out: str = "majority", keep_votes: bool = False) -> DataFrame:
+                   out: str = "majority") -> DataFrame:
     """V2: add ``out`` = label with strictly most votes (null when tied or no
     vote) and ``n_top`` = number of labels sharing the top count (0: no vote)."""
-    staged = with_votes(df, annotators).withColumn("_top", _top_votes(F.col("_votes")))
-    res = (staged.withColumn("n_top", F.size("_top"))
-           .withColumn(out, F.when(F.col("n_top") == 1, F.element_at("_top", 1))).drop("_top"))
-    return res if keep_votes else res.drop("_votes")
+    staged, v, names = _stage_votes(df, annotators)
+    return _with_majority(staged, v, out).drop(*names)
 
 
 def annotator_reliability(df: DataFrame, annotators: Sequence[str] = ANNOTATORS,
                           taxonomy: Sequence[tuple[str, str]] = TAXONOMY,
                           classes: Sequence[str] = COARSE_LABELS) -> DataFrame:
     """V3: per annotator and coarse class, how often the annotator voted the
-    majority label on rows that have one. All combinations present (0 filled)."""
+    majority label on rows that have one. All combinations present (0 filled).
+    One aggregation keyed by the coarse class (a handful of keys, combined
+    map-side), then unpivoted to (annotator, coarse_label, n)."""
     spark = df.sparkSession
-    m = majority_label(df, annotators, keep_votes=True).where(F.col("n_top") == 1)
-    hits = (m.select(F.col("majority"), F.inline("_votes"))
-            .where(F.col("vote") == F.col("majority"))
-            .select("annotator", coarsen("majority", taxonomy=taxonomy).alias("coarse_label"))
-            .groupBy("annotator", "coarse_label").agg(F.count(F.lit(1)).alias("n")))
-    grid = spark.createDataFrame([(i + 1, a, c) for i, a in enumerate(annotators) for c in classes],
-                                 "annotator_no int, annotator string, coarse_label string")
-    return (grid.join(hits, ["annotator", "coarse_label"], "left")
-            .select("annotator_no", "annotator", "coarse_label",
-                    F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
-
-
-def _reliability_by_class(reliability: DataFrame) -> DataFrame:
-    """(coarse_label, rel map<annotator, n>); rows = coarse classes (bounded)."""
-    return reliability.groupBy("coarse_label").agg(
-        F.map_from_entries(F.collect_list(F.struct("annotator", "n"))).alias("_rel"))
+    staged, v, names = _stage_votes(df, annotators)
+    m = _with_majority(staged, v, "majority")
+    maj = F.when(F.col("n_top") == 1, F.col("majority"))
+    hits = m.groupBy(coarsen(maj, taxonomy=taxonomy).alias("coarse_label")).agg(
+        *[F.sum(F.when(v.valid[i] & (v.vals[i] == maj), 1).otherwise(0)).cast("long").alias(a)
+          for i, a in enumerate(annotators)])
+    long = hits.unpivot("coarse_label", list(annotators), "annotator", "n")
+    # zero rows for every (annotator, class) by union + sum, not by a join (a
+    # join would make Spark infer a not-null filter on the computed class and
+    # push it, with the whole majority expression, into the scan)
+    zeros = literal_table(spark, [(a, c, 0) for a in annotators for c in classes], ["annotator", "coarse_label", "n"])
+    order = literal_table(spark, [(i + 1, a) for i, a in enumerate(annotators)], ["annotator_no", "annotator"])
+    full = (zeros.withColumn("n", F.col("n").cast("long")).withColumn("_grid", F.lit(True))
+            .unionByName(long.withColumn("n", F.col("n").cast("long")).withColumn("_grid", F.lit(False)))
+            .groupBy("annotator", "coarse_label").agg(F.sum("n").cast("long").alias("n"),
+                                                      F.max("_grid").alias("_grid"))
+            .where(F.col("_grid")))
+    return full.join(F.broadcast(order), "annotator").select("annotator_no", "annotator", "coarse_label", "n")
+
+
+def reliability_map(reliability: DataFrame):
+    """The reliability table as one scalar value map<coarse, map<annotator, n>>
+    (annotators x classes entries, bounded); attached to rows without a join."""
+    per = reliability.groupBy("coarse_label").agg(F.map_from_entries(F.collect_list(F.struct("annotator", "n"))).alias("m"))
+    return per.select(F.map_from_entries(F.collect_list(F.struct("coarse_label", "m")))).scalar()
 
 
 def resolve_ties(df: DataFrame, reliability: DataFrame, official: str = "clarity_label",
@@ -90,42 +134,42 @@ def resolve_ties(df: DataFrame, reliability: DataFrame, official: str = "clarity
                  rule_col: str | None = None) -> DataFrame:
     """V4: label for undecided rows. Coherent votes (coarse class = official)
     decide: exactly one -> it; several -> most reliable annotator for that
-    class (first annotator on equal scores); none -> first available vote."""
-    df = with_votes(df, annotators)
-    votes = F.col("_votes")
+    class (first annotator on equal scores); none -> first available vote.
+    The reliability map (annotators x classes) is a scalar subquery; each row
+    looks up its official class in it."""
+    df, v, names = _stage_votes(df, annotators)
+    n = len(annotators)
     tax = map_literal(taxonomy)
-    df = df.withColumn("_coh", F.filter(votes, lambda x: F.coalesce(tax[x["vote"]], x["vote"]) == F.col(official)))
-    coherent = F.col("_coh")
-    rel = F.col("_rel")
-    score = lambda x: F.coalesce(rel[x["annotator"]], F.lit(0).cast("long"))
-    best = F.aggregate(
-        coherent,
-        F.struct(F.lit(-1).cast("long").alias("s"), F.lit(None).cast("string").alias("v")),
-        lambda acc, x: F.when(score(x) > acc["s"], F.struct(score(x).alias("s"), x["vote"].alias("v")))
-        .otherwise(acc))
-    n_coh = F.size(coherent)
-    resolved = (F.when(F.size(votes) == 0, F.lit(None).cast("string"))
-                .when(n_coh == 0, F.element_at(votes, 1)["vote"])
-                .when(n_coh == 1, F.element_at(coherent, 1)["vote"])
-                .otherwise(best["v"]))
-    rel_df = F.broadcast(_reliability_by_class(reliability).withColumnRenamed("coarse_label", "_cls"))
-    joined = df.join(rel_df, df[official] == rel_df["_cls"], "left")
-    res = joined.withColumn(out, resolved)
+    coh = [v.valid[i] & (F.coalesce(tax[v.vals[i]], v.vals[i]) == F.col(official)) for i in range(n)]
+    n_coh = _count(coh)
+    score = [F.coalesce(F.col("_rel")[F.lit(a)], F.lit(0).cast("long")) for a in annotators]
+    best_s, best_v = F.lit(-1).cast("long"), F.lit(None).cast("string")
+    for i in range(n):  # first annotator wins equal scores (strictly greater replaces)
+        take = coh[i] & (score[i] > best_s)
+        best_s, best_v = F.when(take, score[i]).otherwise(best_s), F.when(take, v.vals[i]).otherwise(best_v)
+    fallback = F.coalesce(*[F.when(v.valid[i], v.vals[i]) for i in range(n)])
+    single = F.coalesce(*[F.when(coh[i], v.vals[i]) for i in range(n)])
+    joined = (df.withColumn("_relmap", reliability_map(reliability))
+              .withColumn("_rel", F.col("_relmap")[F.col(official)]).withColumn("_ncoh", n_coh))
+    k = F.col("_ncoh")
+    res = joined.withColumn(out, F.when(v.n_valid == 0, F.lit(None).cast("string")).when(k == 0, fallback)
+                            .when(k == 1, single).otherwise(best_v))
     if rule_col:
-        res = res.withColumn(rule_col, F.when(F.size(votes) == 0, F.lit("no_vote"))
-                             .when(n_coh == 0, F.lit("fallback"))
-                             .when(n_coh == 1, F.lit("single_coherent"))
-                             .otherwise(F.lit("reliability")))
-    return res.drop("_cls", "_rel", "_coh", "_votes")
+        res = res.withColumn(rule_col, F.when(v.n_valid == 0, F.lit("no_vote")).when(k == 0, F.lit("fallback"))
+                             .when(k == 1, F.lit("single_coherent")).otherwise(F.lit("reliability")))
+    return res.drop("_relmap", "_rel", "_ncoh", *names)
 
 
 def consolidate_votes(df: DataFrame, official: str = "clarity_label",
                       annotators: Sequence[str] = ANNOTATORS,
                       taxonomy: Sequence[tuple[str, str]] = TAXONOMY,
                       out: str = "evasion_label", with_rule: bool = False) -> DataFrame:
-    """V5: majority label, else tie-break by coherence and reliability."""
+    """V5: majority label, else tie-break by coherence and reliability. The
+    table is read twice (once for the reliability aggregate) and never
+    shuffled; the reliability (annotators x classes values) reaches the rows
+    as a scalar subquery."""
     reliability = annotator_reliability(df, annotators, taxonomy)
-    m = majority_label(df, annotators, out="_maj", keep_votes=True)
+    m = majority_label(df, annotators, out="_maj")
     r = resolve_ties(m, reliability, official, annotators, taxonomy, out="_res",
                      rule_col="_rule" if with_rule else None)
     r = r.withColumn(out, F.when(F.col("n_top") == 1, F.col("_maj")).otherwise(F.col("_res")))
@@ -142,22 +186,21 @@ def gold_label(df: DataFrame, existing: str | None = "evasion_label", official:
     first candidate; no vote -> empty string."""
     labels = [f for f, _ in taxonomy]
     tax = map_literal(taxonomy)
-    arr = F.array(*[py_strip(F.coalesce(F.col(a).cast("string"), F.lit("None"))) for a in annotators])
-    votes = F.filter(arr, lambda v: v.isin(labels))
-    counted = F.transform(votes, lambda x: F.struct(
-        x.alias("vote"), F.size(F.filter(votes, lambda y: y == x)).alias("n")))
-    top = F.array_max(F.transform(counted, lambda x: x["n"]))
-    cands = F.array_distinct(F.transform(F.filter(counted, lambda x: x["n"] == top), lambda x: x["vote"]))
+    vals = [py_strip(F.coalesce(F.col(a).cast("string"), F.lit("None"))) for a in annotators]
+    v = _Votes(vals, [x.isin(labels) for x in vals])
+    n = len(annotators)
+    top = _greatest([F.when(v.valid[i], v.cnt[i]).otherwise(0) for i in range(n)])
+    staged = df.withColumn("_topn", top)
+    cand = [v.first[i] & (v.cnt[i] == F.col("_topn")) for i in range(n)]
     off = py_strip(F.coalesce(F.col(official).cast("string"), F.lit("None")))
-    coherent = F.filter(cands, lambda v: tax[v] == off)
-    from_votes = (F.when(F.size(votes) == 0, F.lit(""))
-                  .when(F.size(cands) == 1, F.element_at(cands, 1))
-                  .when(F.size(coherent) > 0, F.element_at(coherent, 1))
-                  .otherwise(F.element_at(cands, 1)))
+    first_cand = F.coalesce(*[F.when(cand[i], vals[i]) for i in range(n)])
+    first_coh = F.coalesce(*[F.when(cand[i] & (tax[vals[i]] == off), vals[i]) for i in range(n)])
+    from_votes = (F.when(v.n_valid == 0, F.lit("")).when(_count(cand) == 1, first_cand)
+                  .otherwise(F.coalesce(first_coh, first_cand)))
     if existing is not None and existing in df.columns:
         ex = py_strip(F.coalesce(F.col(existing).cast("string"), F.lit("None")))
         from_votes = F.when(ex.isin(labels), ex).otherwise(from_votes)
-    return df.withColumn(out, from_votes)
+    return staged.withColumn(out, from_votes).drop("_topn")
 
 
 # --- label filters and lookups -------------------------------------------------

@@ -96,8 +96,7 @@ select s.level, (select count(*) from lv where lv.level = s.level and t is not n
 from sc s group by s.level""", "v_votes", "v_coarse"), "R")
 def q_m8(spark, sf):
     gold = V.consolidate_votes(views.votes(spark, sf))
-    pairs = gold.select(F.col("evasion_label").alias("true_label"), F.col("annotator1").alias("pred_label")) \
-        .where(F.col("true_label").isNotNull() & F.col("pred_label").isNotNull())
+    pairs = gold.select(F.col("evasion_label").alias("true_label"), F.col("annotator1").alias("pred_label"))
     return M.dual_level_metrics(pairs).select("level", "n_rows", R6("accuracy"), R6("macro_f1"), R6("weighted_f1"),
                                               "n_unmapped")
 

@@ -61,3 +61,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def literal_table(spark: SparkSession, rows, names):
+    """A small parameter table built from literals inside the JVM (a local
+    relation); unlike ``createDataFrame`` on Python rows it needs no Python
+    worker when it is scanned."""
+    from pyspark.sql import functions as F
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerlab.functions.constants import COARSE_LABELS, FINE_LABELS, TAXONOMY
+from answerlab.session import literal_table
 from answerlab.sources.tables import table
 
 SPLIT_SEED = 42
@@ -28,29 +29,35 @@ def _coarse_of_pos(pos: Column) -> Column:
 
 def taxonomy(spark: SparkSession) -> DataFrame:
     """(pos, label, coarse): the nine fine labels with their coarse class."""
-    return spark.createDataFrame([(i, f, c) for i, (f, c) in enumerate(TAXONOMY)],
-                                 "pos int, label string, coarse string")
+    return literal_table(spark, [(i, f, c) for i, (f, c) in enumerate(TAXONOMY)], ["pos", "label", "coarse"])
 
 
 def coarse_labels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, c) for i, c in enumerate(COARSE_LABELS)], "pos int, label string")
+    return literal_table(spark, [(i, c) for i, c in enumerate(COARSE_LABELS)], ["pos", "label"])
 
 
 def votes(spark: SparkSession, sf: str) -> DataFrame:
-    """v_votes: three annotator votes per document with blanks, nulls and ties."""
+    """v_votes: three annotator votes per document with blanks, nulls and ties.
+    Label names come from broadcast joins with the 9-row taxonomy (as stored
+    columns would), so later expressions see plain columns."""
     d = F.col("doc_id")
     p1 = d % 9
     p2 = F.when(d % 4 == 1, (d + 1) % 9).when(d % 11 == 3, F.lit(-1)).otherwise(d % 9)
     p3 = (F.when(d % 4 == 1, (d + 2) % 9).when(d % 4 == 2, (d + 4) % 9)
           .when(d % 7 == 5, F.lit(None)).otherwise(d % 9))
     pc = (d + d % 3) % 9
-    return table(spark, sf, "documents").select(
-        "doc_id",
-        _fine_at(p1).alias("annotator1"),
-        F.when(p2 == -1, F.lit("")).otherwise(_fine_at(p2)).alias("annotator2"),
-        _fine_at(p3).alias("annotator3"),
-        _coarse_of_pos(pc).alias("clarity_label"),
-    )
+    pos = table(spark, sf, "documents").select("doc_id", p1.alias("p1"), p2.alias("p2"), p3.alias("p3"), pc.alias("pc"))
+    tax = taxonomy(spark)
+
+    def lookup(df, key, out, col="label", how="left"):
+        t = F.broadcast(tax.select(F.col("pos").alias(key), F.col(col).alias(out)))
+        return df.join(t, key, how)
+
+    j = lookup(lookup(lookup(lookup(pos, "p1", "annotator1"), "p2", "_a2"), "p3", "annotator3"),
+               "pc", "clarity_label", "coarse")
+    return j.select("doc_id", "annotator1",
+                    F.when(F.col("p2") == -1, F.lit("")).otherwise(F.col("_a2")).alias("annotator2"),
+                    "annotator3", "clarity_label")
 
 
 _SHIFT = {"en": "fr", "fr": "de", "de": "es"}
@@ -212,9 +219,8 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 
 def lexicon(spark: SparkSession) -> DataFrame:
     """v_lexicon: a small user word list (parameter table)."""
-    return spark.createDataFrame(
-        [("the", "Assertive", 1.0), ("than", "Guarded", 1.0), ("and", "Dismissive", 1.0),
-         ("la", "Guarded", 0.5), ("in", "Assertive", 0.5)], "word string, tone string, weight double")
+    return literal_table(spark, [("the", "Assertive", 1.0), ("than", "Guarded", 1.0), ("and", "Dismissive", 1.0),
+                                 ("la", "Guarded", 0.5), ("in", "Assertive", 0.5)], ["word", "tone", "weight"])
 
 
 def done(spark: SparkSession, sf: str) -> DataFrame:
