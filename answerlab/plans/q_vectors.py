@@ -148,7 +148,7 @@ def q_x7(spark, sf):
 
 
 @query("x8_format_examples", with_views("with " + _X7_SQL.strip() + f""",
-b as (select x7.query_id, x7.rank, 'QUESTION: What does ' || d.source || ' say?' || chr(10) || 'ANSWER: ' ||
+b as (select x7.query_id, row_number() over (partition by x7.query_id order by x7.rank) as rank, 'QUESTION: What does ' || d.source || ' say?' || chr(10) || 'ANSWER: ' ||
         case when length(d.text) > 1500 then substr(d.text, 1, 1500) || '...' else d.text end || chr(10) ||
         'CLASSIFICATION: ' || cast(x7.label as varchar) as block
       from x7 join documents d on d.doc_id = x7.corpus_id)
