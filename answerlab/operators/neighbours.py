@@ -3,9 +3,9 @@
 Exact inner-product top-k (X6) without comparing every query with every
 corpus row when the data allows it:
 
-1. ``n_pivots`` corpus rows (smallest hash of id) become pivots; every corpus
-   row goes to the bucket of its best pivot, and each bucket keeps its
-   radius r_b = max ||x - p_b||.
+1. ``n_pivots`` corpus rows (smallest hash of id) become pivots (a bounded
+   list); every corpus row goes to the bucket of its best pivot, and each
+   bucket keeps its radius r_b = max ||x - p_b||.
 2. For a query q, every row of bucket b scores at most
    ub_b = q.p_b + ||q|| r_b (Cauchy-Schwarz).
 3. Pass 1 scores the ``probe`` buckets with the highest bound and takes the
@@ -13,8 +13,11 @@ corpus row when the data allows it:
    only buckets with ub_b >= t_q. A row outside both passes scores below t_q,
    so the top k are exact (ties broken by id on scores rounded to 6 places).
 
-Both passes are equi-joins on the bucket id (AQE splits a hot bucket); the
-pivot list is a bounded array attached as a scalar subquery. On clustered
+Scoring is blocked: a bucket is cut into chunks of at most ``max_block``
+rows (hash of id), the queries probing it are repeated per chunk, and each
+(bucket, chunk) cogroup is scored by one numpy matrix product inside the
+task, returning only its top k per query. Spark does the partitioning and
+the shuffles; a hot bucket becomes many bounded blocks. On clustered
 embeddings most buckets are skipped; on structureless vectors the bound
 prunes little and the work approaches all pairs, which exact search needs.
 """
@@ -59,48 +62,126 @@ def _bounded_list(df: DataFrame, limit: int, what: str) -> Column:
                      .otherwise(F.raise_error(F.lit(f"{what}: more than {limit} rows"))).alias("a")).scalar()
 
 
+def _assign_buckets(pivots, c_cols_schema):
+    """mapInPandas body: best pivot (highest inner product, lowest index on
+    ties) and distance to it, for each corpus vector of the batch."""
+    import numpy as np
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = np.stack(pdf["_cv"].to_numpy()).astype(np.float64)
+            s = x @ pivots.T
+            b = s.argmax(axis=1)
+            d = np.sqrt(((x - pivots[b]) ** 2).sum(axis=1))
+            out = pdf.copy()
+            out["bucket"] = (b + 1).astype("int32")
+            out["_d"] = d
+            yield out
+    return run
+
+
+def _query_bounds(pivots, radius_by_bucket):
+    """mapInPandas body: for each query, one row per non-empty bucket with the
+    upper bound q.p_b + ||q|| r_b of any score inside it."""
+    import numpy as np
+    import pandas as pd
+
+    buckets = np.array(sorted(radius_by_bucket), dtype=np.int64)
+    radii = np.array([radius_by_bucket[int(b)] for b in buckets], dtype=np.float64)
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf) == 0 or len(buckets) == 0:
+                continue
+            q = np.stack(pdf["_qv"].to_numpy()).astype(np.float64)
+            ub = q @ pivots[buckets - 1].T + np.linalg.norm(q, axis=1)[:, None] * radii[None, :]
+            n, m = ub.shape
+            yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), m),
+                                "_qv": np.repeat(pdf["_qv"].to_numpy(), m),
+                                "bucket": np.tile(buckets, n).astype("int32"), "ub": ub.reshape(-1)})
+    return run
+
+
+def _block_topk(k: int, c_cols: Sequence[str]):
+    """cogroup body: exact scores of one block (queries x corpus rows of one
+    bucket chunk) by a matrix product; keeps the top k per query by (score
+    rounded to 6 places desc, corpus id)."""
+    import numpy as np
+    import pandas as pd
+
+    def run(qpdf, cpdf):
+        if len(qpdf) == 0 or len(cpdf) == 0:
+            return pd.DataFrame({"query_id": [], "corpus_id": [], "score": [], **{c: [] for c in c_cols}})
+        qpdf = qpdf.drop_duplicates("query_id")
+        q = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
+        x = np.stack(cpdf["_cv"].to_numpy()).astype(np.float64)
+        sc = np.round(q @ x.T, 6)
+        ids = cpdf["corpus_id"].to_numpy()
+        kk = min(k, len(ids))
+        rows_q, rows_c, rows_s = [], [], []
+        for i, qid in enumerate(qpdf["query_id"].to_numpy()):
+            order = np.lexsort((ids, -sc[i]))[:kk]
+            rows_q.append(np.full(kk, qid))
+            rows_c.append(order)
+            rows_s.append(sc[i, order])
+        pos = np.concatenate(rows_c)
+        out = pd.DataFrame({"query_id": np.concatenate(rows_q), "corpus_id": ids[pos], "score": np.concatenate(rows_s)})
+        for c in c_cols:
+            out[c] = cpdf[c].to_numpy()[pos]
+        return out
+    return run
+
+
 def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int, q_id: str = "vec_id", c_id: str = "vec_id",
                        vec: str = "embedding", n_pivots: int = 32, probe: int = 2,
-                       c_cols: Sequence[str] = ()) -> DataFrame:
+                       c_cols: Sequence[str] = (), max_block: int = 4096) -> DataFrame:
     """Exact top-k corpus rows per query by inner product.
     Returns (query_id, corpus_id, score, rank, *c_cols); score is rounded to 6
-    places, rank 1..k by (score desc, corpus_id)."""
-    q = queries.select(F.col(q_id).alias("query_id"), F.col(vec).alias("_qv"))
-    c = corpus.select(F.col(c_id).alias("corpus_id"), F.col(vec).alias("_cv"), *c_cols)
-    # pivots: the n_pivots rows with the smallest (hash, id), numbered in that order
+    places, rank 1..k by (score desc, corpus_id).
+
+    Work is done in blocks: rows of a bucket are split into chunks of at most
+    ``max_block`` rows (hash of id), each (bucket, chunk) is one cogroup of the
+    queries probing the bucket and its corpus rows, scored by one matrix
+    product; every block returns only its top k per query."""
+    import numpy as np
+
+    spark = queries.sparkSession
+    q = queries.select(F.col(q_id).alias("query_id"), F.col(vec).cast("array<double>").alias("_qv"))
+    c = corpus.select(F.col(c_id).alias("corpus_id"), F.col(vec).cast("array<double>").alias("_cv"), *c_cols)
     order = [F.xxhash64("corpus_id"), F.col("corpus_id")]
-    pivots = (c.select("corpus_id", "_cv").orderBy(*order).limit(n_pivots)
-              .select(F.row_number().over(Window.orderBy(*order)).alias("b"), F.col("_cv").alias("pv")))
-    piv = _bounded_list(pivots, n_pivots, "pivots")
-    # best pivot per corpus row: highest inner product, lowest b on ties
-    best = F.array_max(F.transform(F.col("_piv"), lambda p: F.struct(
-        dot(p["pv"], F.col("_cv")).alias("s"), (-p["b"]).alias("nb"), p["pv"].alias("pv"))))
-    cb = (c.withColumn("_piv", piv).withColumn("_best", best)
-          .withColumn("bucket", (-F.col("_best")["nb"]).cast("int"))
-          .withColumn("_d", F.sqrt(sq_dist(F.col("_cv"), F.col("_best")["pv"])))
-          .drop("_piv", "_best"))
-    radius = cb.groupBy("bucket").agg(F.max("_d").alias("radius"))  # <= n_pivots rows
-    rad = _bounded_list(radius, n_pivots, "bucket radii")
-    qb = (q.withColumn("_piv", piv).withColumn("_rad", rad)
-          .select("query_id", "_qv", F.posexplode("_piv").alias("_i", "_p"), "_rad")
-          .select("query_id", "_qv", F.col("_p")["b"].alias("bucket"),
-                  (dot(F.col("_p")["pv"], F.col("_qv")) + norm(F.col("_qv")) *
-                   F.try_element_at(F.filter("_rad", lambda r: r["bucket"] == F.col("_p")["b"]), F.lit(1))["radius"]).alias("ub"))
-          .where(F.col("ub").isNotNull()))
+    piv_rows = c.select("corpus_id", "_cv").orderBy(*order).limit(n_pivots).collect()  # <= n_pivots rows
+    if not piv_rows:
+        return spark.createDataFrame([], "query_id long, corpus_id long, score double, rank int")
+    pivots = np.array([r["_cv"] for r in piv_rows], dtype=np.float64)
+    cfields = {f.name: f.dataType.simpleString() for f in c.schema.fields}
+    cb_schema = ", ".join(f"`{n}` {t}" for n, t in cfields.items()) + ", bucket int, _d double"
+    cb = c.mapInPandas(_assign_buckets(pivots, cfields), cb_schema)
+    stats = {r["bucket"]: (r["radius"], r["n"]) for r in
+             cb.groupBy("bucket").agg(F.max("_d").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}  # <= n_pivots
+    chunks = {b: max(1, -(-n // max_block)) for b, (_, n) in stats.items()}
+    n_chunks = F.create_map(*[x for b, n in chunks.items() for x in (F.lit(b), F.lit(n))])
+    qb = q.mapInPandas(_query_bounds(pivots, {b: r for b, (r, _) in stats.items()}),
+                       "query_id long, _qv array<double>, bucket int, ub double")
     qb = qb.withColumn("_brank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ub"), "bucket")))
+    cchunk = cb.drop("_d").withColumn("chunk", F.pmod(F.xxhash64("corpus_id"), n_chunks[F.col("bucket")]).cast("int"))
+    out_schema = "query_id long, corpus_id long, score double" + "".join(f", `{c}` {cfields[c]}" for c in c_cols)
 
     def scored(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(cb.drop("_d"), "bucket")
-                .select("query_id", "corpus_id", F.round(dot(F.col("_qv"), F.col("_cv")), 6).alias("score"), *c_cols))
+        per_chunk = pairs.select("query_id", "_qv", "bucket",
+                                 F.explode(F.sequence(F.lit(0), n_chunks[F.col("bucket")] - 1)).alias("chunk"))
+        return (per_chunk.groupBy("bucket", "chunk").cogroup(cchunk.groupBy("bucket", "chunk"))
+                .applyInPandas(_block_topk(k, c_cols), out_schema))
 
-    first = scored(qb.where(F.col("_brank") <= probe))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
+    first = scored(qb.where(F.col("_brank") <= probe))
     kth = (first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == k)
            .select("query_id", F.col("score").alias("_t")))
     rest = (qb.where(F.col("_brank") > probe).join(kth, "query_id", "left")
             .where(F.col("_t").isNull() | (F.col("ub") >= F.col("_t") - F.lit(1e-6))).drop("_t"))
     cands = first.unionByName(scored(rest))
-    return (cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def diverse_neighbours(queries: DataFrame, corpus: DataFrame, label: str, k: int = 9, cap: int = 1, over: int = 5,
