@@ -48,11 +48,18 @@ def _is_upper_first(x: Column) -> Column:
     return (x != "") & F.substring(x, 1, 1).rlike(r"^\p{Lu}")
 
 
-def candidate_entities(q: ColumnOrName, limit: int = 5) -> Column:
-    """Q2: after the first token, each capitalised token (punctuation removed,
-    length > 1) starts a candidate that takes up to two following capitalised
-    tokens; order-preserving distinct, first ``limit``."""
-    toks = F.transform(words(py_strip(_c(q))), lambda w: F.regexp_replace(w, NON_WORD_RE, ""))
+def entity_tokens(q: ColumnOrName) -> Column:
+    """Whitespace tokens of the question with punctuation removed (Q2 input)."""
+    return F.transform(words(py_strip(_c(q))), lambda w: F.regexp_replace(w, NON_WORD_RE, ""))
+
+
+def entities_from_tokens(toks: ColumnOrName, limit: int = 5) -> Column:
+    """Q2 on a staged token column: after the first token, each capitalised
+    token (length > 1) starts a candidate that takes up to two following
+    capitalised tokens; order-preserving distinct, first ``limit``. The token
+    array must be a column (not an expression), so the lambda reads it
+    instead of recomputing it per element."""
+    toks = _c(toks)
     n = F.size(toks)
 
     def cand(w, i):
@@ -67,6 +74,17 @@ def candidate_entities(q: ColumnOrName, limit: int = 5) -> Column:
     return F.when(n <= 1, F.array().cast("array<string>")).otherwise(F.slice(F.array_distinct(cands), 1, limit))
 
 
+def with_candidate_entities(df, q: str, out: str = "entities", limit: int = 5):
+    """Q2 on a DataFrame: tokens staged as a column, then the candidates."""
+    return df.withColumn("_etoks", entity_tokens(q)).withColumn(out, entities_from_tokens("_etoks", limit)).drop("_etoks")
+
+
+def candidate_entities(q: ColumnOrName, limit: int = 5) -> Column:
+    """Q2 as one column expression (convenient on small inputs; on tables use
+    ``with_candidate_entities``, which computes the tokens once per row)."""
+    return entities_from_tokens(entity_tokens(q), limit)
+
+
 def _rfind(text: Column, needle: str) -> Column:
     pos = F.instr(F.reverse(text), needle[::-1])
     return F.when(pos > 0, F.char_length(text) - pos - F.lit(len(needle) - 1)).otherwise(F.lit(-1))

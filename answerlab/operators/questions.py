@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from answerlab.functions.constants import CONTEXT_HEADER, TAXONOMY
 from answerlab.functions.labels import coarsen
-from answerlab.functions.questions import candidate_entities, question_type
+from answerlab.functions.questions import question_type, with_candidate_entities
 from answerlab.functions.text import py_strip
 
 
@@ -33,7 +33,11 @@ def attach_context(questions: DataFrame, articles: DataFrame, id_cols: Sequence[
     stopping before an entity once the text so far reaches ``max_chars``; a
     header line in front; empty when nothing is found."""
     ids = list(id_cols)
-    ents = questions.select(*ids, F.posexplode(candidate_entities(question)).alias("pos", "entity"))
+    # outer explode: a plain explode makes Spark infer size(array) > 0 and push
+    # that filter, with the whole entity expression, below the projection
+    ents = (with_candidate_entities(questions.select(*ids, question), question, "_ents")
+            .select(*ids, F.posexplode_outer("_ents").alias("pos", "entity"))
+            .where(F.col("entity").isNotNull()))
     arts = articles.select(F.col("title").alias("entity"), summary_sentences(F.col("article"), sentences).alias("summary"))
     snips = (ents.join(arts, "entity")
              .select(*ids, "pos", F.concat(F.lit("["), F.col("entity"), F.lit("]: "), F.col("summary")).alias("snippet")))

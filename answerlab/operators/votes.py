@@ -24,29 +24,38 @@ def _is_vote(v: Column) -> Column:
     return v.isNotNull() & ~py_strip(v).isin(NO_VOTE)
 
 
-def _any(conds: list[Column]) -> Column:
-    return reduce(lambda x, y: x | y, conds, F.lit(False))
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _count(conds: list[Column]) -> Column:
-    return reduce(lambda x, y: x + y, [F.when(c, 1).otherwise(0) for c in conds], F.lit(0))
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _greatest(cols: list[Column]) -> Column:
-    return cols[0] if len(cols) == 1 else F.greatest(*cols)
+def _count(conds: list[str]) -> str:
+    return "(" + " + ".join(f"(CASE WHEN {c} THEN 1 ELSE 0 END)" for c in conds) + ")" if conds else "0"
+
+
+def _any(conds: list[str]) -> str:
+    return "(" + " OR ".join(conds) + ")" if conds else "false"
+
+
+def _greatest(items: list[str]) -> str:
+    return items[0] if len(items) == 1 else f"greatest({', '.join(items)})"
 
 
 class _Votes:
-    """Per-row vote logic as plain column expressions over the annotator
-    columns (pairwise comparisons, O(annotators^2) terms), compiled by
-    whole-stage codegen - no per-row lambda evaluation."""
+    """Per-row vote logic as SQL text over plain vote columns (pairwise
+    comparisons, O(annotators^2) terms). It is parsed once on the JVM side and
+    compiled by whole-stage codegen - no per-row lambda evaluation and no
+    expression-by-expression construction from Python."""
 
-    def __init__(self, vals: list[Column], valid: list[Column]):
+    def __init__(self, vals: list[str], valid: list[str]):
         n = len(vals)
         self.vals, self.valid = vals, valid
-        same = [[valid[i] & valid[j] & (vals[i] == vals[j]) for j in range(n)] for i in range(n)]
+        same = [[f"({valid[i]} AND {valid[j]} AND {vals[i]} = {vals[j]})" for j in range(n)] for i in range(n)]
         self.cnt = [_count(same[i]) for i in range(n)]
-        self.first = [valid[i] & ~_any([same[i][j] for j in range(i)]) for i in range(n)]
+        self.first = [f"({valid[i]} AND NOT {_any([same[i][j] for j in range(i)])})" for i in range(n)]
         self.n_valid = _count(valid)
 
 
@@ -71,18 +80,18 @@ def _stage_votes(df: DataFrame, annotators: Sequence[str]) -> tuple[DataFrame, _
     names = [f"_v{i}" for i in range(len(annotators))]
     staged = df.withColumns({n: F.when(_is_vote(F.col(a).cast("string")), F.col(a).cast("string"))
                              for n, a in zip(names, annotators)})
-    vals = [F.col(n) for n in names]
-    return staged, _Votes(vals, [x.isNotNull() for x in vals]), names
+    return staged, _Votes(names, [f"({n} IS NOT NULL)" for n in names]), names
 
 
 def _with_majority(df: DataFrame, v: _Votes, out: str) -> DataFrame:
     n = len(v.vals)
-    staged = df.withColumn("_topn", _greatest([F.when(v.valid[i], v.cnt[i]).otherwise(0) for i in range(n)]))
-    top = F.col("_topn")
-    is_top = [v.valid[i] & (v.cnt[i] == top) for i in range(n)]
-    n_top = _count([v.first[i] & is_top[i] for i in range(n)])
-    maj = F.coalesce(*[F.when(is_top[i], v.vals[i]) for i in range(n)])
-    return staged.withColumn("n_top", n_top).withColumn(out, F.when(F.col("n_top") == 1, maj)).drop("_topn")
+    top = _greatest([f"(CASE WHEN {v.valid[i]} THEN {v.cnt[i]} ELSE 0 END)" for i in range(n)])
+    staged = df.withColumn("_topn", F.expr(top))
+    is_top = [f"({v.valid[i]} AND {v.cnt[i]} = _topn)" for i in range(n)]
+    n_top = _count([f"({v.first[i]} AND {is_top[i]})" for i in range(n)])
+    maj = "coalesce(" + ", ".join(f"CASE WHEN {is_top[i]} THEN {v.vals[i]} END" for i in range(n)) + ")"
+    return (staged.withColumn("n_top", F.expr(n_top))
+            .withColumn(out, F.expr(f"CASE WHEN n_top = 1 THEN {maj} END")).drop("_topn"))
 
 
 def majority_label(df: DataFrame, annotators: Sequence[str] = ANNOTATORS,
@@ -105,7 +114,7 @@ def annotator_reliability(df: DataFrame, annotators: Sequence[str] = ANNOTATORS,
     m = _with_majority(staged, v, "majority")
     maj = F.when(F.col("n_top") == 1, F.col("majority"))
     hits = m.groupBy(coarsen(maj, taxonomy=taxonomy).alias("coarse_label")).agg(
-        *[F.sum(F.when(v.valid[i] & (v.vals[i] == maj), 1).otherwise(0)).cast("long").alias(a)
+        *[F.sum(F.when(F.expr(v.valid[i]) & (F.col(v.vals[i]) == maj), 1).otherwise(0)).cast("long").alias(a)
           for i, a in enumerate(annotators)])
     long = hits.unpivot("coarse_label", list(annotators), "annotator", "n")
     # zero rows for every (annotator, class) by union + sum, not by a join (a
@@ -139,25 +148,27 @@ def resolve_ties(df: DataFrame, reliability: DataFrame, official: str = "clarity
     looks up its official class in it."""
     df, v, names = _stage_votes(df, annotators)
     n = len(annotators)
-    tax = map_literal(taxonomy)
-    coh = [v.valid[i] & (F.coalesce(tax[v.vals[i]], v.vals[i]) == F.col(official)) for i in range(n)]
-    n_coh = _count(coh)
-    score = [F.coalesce(F.col("_rel")[F.lit(a)], F.lit(0).cast("long")) for a in annotators]
-    best_s, best_v = F.lit(-1).cast("long"), F.lit(None).cast("string")
+    tax = "map(" + ", ".join(f"{_sql_str(f)}, {_sql_str(c)}" for f, c in taxonomy) + ")"
+    off = _q(official)
+    coh = [f"({v.valid[i]} AND coalesce({tax}[{v.vals[i]}], {v.vals[i]}) = {off})" for i in range(n)]
+    score = [f"coalesce(_rel[{_sql_str(a)}], CAST(0 AS BIGINT))" for a in annotators]
+    best_s, best_v = "CAST(-1 AS BIGINT)", "CAST(NULL AS STRING)"
     for i in range(n):  # first annotator wins equal scores (strictly greater replaces)
-        take = coh[i] & (score[i] > best_s)
-        best_s, best_v = F.when(take, score[i]).otherwise(best_s), F.when(take, v.vals[i]).otherwise(best_v)
-    fallback = F.coalesce(*[F.when(v.valid[i], v.vals[i]) for i in range(n)])
-    single = F.coalesce(*[F.when(coh[i], v.vals[i]) for i in range(n)])
+        take = f"({coh[i]} AND {score[i]} > {best_s})"
+        best_s, best_v = f"(CASE WHEN {take} THEN {score[i]} ELSE {best_s} END)", \
+            f"(CASE WHEN {take} THEN {v.vals[i]} ELSE {best_v} END)"
+    fallback = "coalesce(" + ", ".join(f"CASE WHEN {v.valid[i]} THEN {v.vals[i]} END" for i in range(n)) + ")"
+    single = "coalesce(" + ", ".join(f"CASE WHEN {coh[i]} THEN {v.vals[i]} END" for i in range(n)) + ")"
     joined = (df.withColumn("_relmap", reliability_map(reliability))
-              .withColumn("_rel", F.col("_relmap")[F.col(official)]).withColumn("_ncoh", n_coh))
-    k = F.col("_ncoh")
-    res = joined.withColumn(out, F.when(v.n_valid == 0, F.lit(None).cast("string")).when(k == 0, fallback)
-                            .when(k == 1, single).otherwise(best_v))
+              .withColumn("_rel", F.col("_relmap")[F.col(official)])
+              .withColumn("_ncoh", F.expr(_count(coh))).withColumn("_nval", F.expr(v.n_valid)))
+    res = joined.withColumn(out, F.expr(
+        f"CASE WHEN _nval = 0 THEN CAST(NULL AS STRING) WHEN _ncoh = 0 THEN {fallback} "
+        f"WHEN _ncoh = 1 THEN {single} ELSE {best_v} END"))
     if rule_col:
-        res = res.withColumn(rule_col, F.when(v.n_valid == 0, F.lit("no_vote")).when(k == 0, F.lit("fallback"))
-                             .when(k == 1, F.lit("single_coherent")).otherwise(F.lit("reliability")))
-    return res.drop("_relmap", "_rel", "_ncoh", *names)
+        res = res.withColumn(rule_col, F.expr("CASE WHEN _nval = 0 THEN 'no_vote' WHEN _ncoh = 0 THEN 'fallback' "
+                                              "WHEN _ncoh = 1 THEN 'single_coherent' ELSE 'reliability' END"))
+    return res.drop("_relmap", "_rel", "_ncoh", "_nval", *names)
 
 
 def consolidate_votes(df: DataFrame, official: str = "clarity_label",
@@ -185,22 +196,26 @@ def gold_label(df: DataFrame, existing: str | None = "evasion_label", official:
     taxonomy; ties -> first candidate coherent with the official class, else the
     first candidate; no vote -> empty string."""
     labels = [f for f, _ in taxonomy]
-    tax = map_literal(taxonomy)
-    vals = [py_strip(F.coalesce(F.col(a).cast("string"), F.lit("None"))) for a in annotators]
-    v = _Votes(vals, [x.isin(labels) for x in vals])
+    names = [f"_g{i}" for i in range(len(annotators))]
+    df = df.withColumns({nm: py_strip(F.coalesce(F.col(a).cast("string"), F.lit("None")))
+                         for nm, a in zip(names, annotators)})
+    in_tax = "(" + ", ".join(_sql_str(x) for x in labels) + ")"
+    v = _Votes(names, [f"({nm} IN {in_tax})" for nm in names])
     n = len(annotators)
-    top = _greatest([F.when(v.valid[i], v.cnt[i]).otherwise(0) for i in range(n)])
-    staged = df.withColumn("_topn", top)
-    cand = [v.first[i] & (v.cnt[i] == F.col("_topn")) for i in range(n)]
-    off = py_strip(F.coalesce(F.col(official).cast("string"), F.lit("None")))
-    first_cand = F.coalesce(*[F.when(cand[i], vals[i]) for i in range(n)])
-    first_coh = F.coalesce(*[F.when(cand[i] & (tax[vals[i]] == off), vals[i]) for i in range(n)])
-    from_votes = (F.when(v.n_valid == 0, F.lit("")).when(_count(cand) == 1, first_cand)
-                  .otherwise(F.coalesce(first_coh, first_cand)))
+    top = _greatest([f"(CASE WHEN {v.valid[i]} THEN {v.cnt[i]} ELSE 0 END)" for i in range(n)])
+    staged = df.withColumn("_topn", F.expr(top)).withColumn(
+        "_off", py_strip(F.coalesce(F.col(official).cast("string"), F.lit("None"))))
+    tax = "map(" + ", ".join(f"{_sql_str(f)}, {_sql_str(c)}" for f, c in taxonomy) + ")"
+    cand = [f"({v.first[i]} AND {v.cnt[i]} = _topn)" for i in range(n)]
+    first_cand = "coalesce(" + ", ".join(f"CASE WHEN {cand[i]} THEN {names[i]} END" for i in range(n)) + ")"
+    first_coh = "coalesce(" + ", ".join(f"CASE WHEN {cand[i]} AND {tax}[{names[i]}] = _off THEN {names[i]} END"
+                                        for i in range(n)) + ")"
+    from_votes = F.expr(f"CASE WHEN {v.n_valid} = 0 THEN '' WHEN {_count(cand)} = 1 THEN {first_cand} "
+                        f"ELSE coalesce({first_coh}, {first_cand}) END")
     if existing is not None and existing in df.columns:
         ex = py_strip(F.coalesce(F.col(existing).cast("string"), F.lit("None")))
         from_votes = F.when(ex.isin(labels), ex).otherwise(from_votes)
-    return staged.withColumn(out, from_votes).drop("_topn")
+    return staged.withColumn(out, from_votes).drop("_topn", "_off", *names)
 
 
 # --- label filters and lookups -------------------------------------------------

@@ -291,8 +291,8 @@ def _entities_sql(q: str) -> str:
 @query("q2_candidate_entities", with_views(f"""
 select conv_id, turn, array_to_string({_entities_sql('question')}, '; ') as entities from v_qa""", "v_qa"))
 def q_q2(spark, sf):
-    return views.qa(spark, sf).select("conv_id", "turn",
-                                      F.array_join(QF.candidate_entities("question"), "; ").alias("entities"))
+    qa = QF.with_candidate_entities(views.qa(spark, sf), "question")
+    return qa.select("conv_id", "turn", F.array_join("entities", "; ").alias("entities"))
 
 
 _CTX_SQL = f"""

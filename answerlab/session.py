@@ -34,6 +34,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         # broadcast limit at Spark's default, explicit hints carry the rest
         .config("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # building plans from Python: skip per-call call-site capture
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
         .config("spark.driver.memory", os.environ.get("ANSWERLAB_DRIVER_MEMORY", "16g"))
     )
