@@ -99,7 +99,6 @@ def _query_bounds(pivots, radius_by_bucket):
             ub = q @ pivots[buckets - 1].T + np.linalg.norm(q, axis=1)[:, None] * radii[None, :]
             n, m = ub.shape
             yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), m),
-                                "_qv": np.repeat(pdf["_qv"].to_numpy(), m),
                                 "bucket": np.tile(buckets, n).astype("int32"), "ub": ub.reshape(-1)})
     return run
 
@@ -162,15 +161,17 @@ def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int, q_id: str
              cb.groupBy("bucket").agg(F.max("_d").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}  # <= n_pivots
     chunks = {b: max(1, -(-n // max_block)) for b, (_, n) in stats.items()}
     n_chunks = F.create_map(*[x for b, n in chunks.items() for x in (F.lit(b), F.lit(n))])
+    # bounds carry ids only (16 bytes per query and bucket); vectors are joined
+    # back for the few (query, bucket) pairs that get scored
     qb = q.mapInPandas(_query_bounds(pivots, {b: r for b, (r, _) in stats.items()}),
-                       "query_id long, _qv array<double>, bucket int, ub double")
+                       "query_id long, bucket int, ub double")
     qb = qb.withColumn("_brank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ub"), "bucket")))
     cchunk = cb.drop("_d").withColumn("chunk", F.pmod(F.xxhash64("corpus_id"), n_chunks[F.col("bucket")]).cast("int"))
     out_schema = "query_id long, corpus_id long, score double" + "".join(f", `{c}` {cfields[c]}" for c in c_cols)
 
     def scored(pairs: DataFrame) -> DataFrame:
-        per_chunk = pairs.select("query_id", "_qv", "bucket",
-                                 F.explode(F.sequence(F.lit(0), n_chunks[F.col("bucket")] - 1)).alias("chunk"))
+        per_chunk = pairs.select("query_id", "bucket").join(q, "query_id").select(
+            "query_id", "_qv", "bucket", F.explode(F.sequence(F.lit(0), n_chunks[F.col("bucket")] - 1)).alias("chunk"))
         return (per_chunk.groupBy("bucket", "chunk").cogroup(cchunk.groupBy("bucket", "chunk"))
                 .applyInPandas(_block_topk(k, c_cols), out_schema))
 
