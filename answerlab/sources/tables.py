@@ -33,7 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> D
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     df = spark.read.parquet(path)
     if spread:
-        target = spark.sparkContext.defaultParallelism
-        if _scan_partitions(spark, path, df) < target:
+        try:
+            target = spark.sparkContext.defaultParallelism
+            parts = _scan_partitions(spark, path, df)
+        except Exception:  # no RDD access (e.g. a remote session): leave the scan as it is
+            return df
+        if parts < target:
             df = df.repartition(target)
     return df
