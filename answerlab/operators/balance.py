@@ -8,8 +8,9 @@ Plan shape:
   inside a cluster is the distributed ``rank_within`` (a hot cluster is not
   one task);
 * up step (R3): each source row is repeated ``needed div n`` times plus once
-  more for the ``needed mod n`` rows with the smallest seeded hash (again an
-  exact distributed rank), via ``explode(sequence(..))`` - no join;
+  more for the ``needed mod n`` rows with the smallest seeded hash (exact
+  selection by two bounded hash histograms, ``ranking.smallest_k``), via
+  ``explode(sequence(..))``;
 * rewrites (R4-R6): a native character-multiset bound decides most pairs;
   only pairs above it run the exact ratio in an Arrow-batched pandas UDF.
 """
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answerlab.operators.neighbours import centroids, dot, norm, sq_dist
-from answerlab.operators.ranking import rank_within
-from answerlab.operators.stats import split_hash
+from answerlab.operators.ranking import rank_within, smallest_k
+from answerlab.operators.stats import split_hash_int
 
 
 # ------------------------------------------------------------------- R1
@@ -118,12 +119,13 @@ def upsample_sources(df: DataFrame, targets: DataFrame, label: str, id_col: str,
     seeded hash. Output: source rows exploded to (.., copy_no)."""
     t = targets.select(F.col("label").alias(label), F.col("n").alias("_n"),
                        (F.least(F.col("target"), F.floor(F.col("n") * F.lit(max_multiplier))) - F.col("n")).alias("_need"))
-    under = df.join(F.broadcast(t.where(F.col("_need") > 0)), label).withColumn("_h", split_hash(id_col, seed))
-    ranked = rank_within(under, [label], ["_h", id_col], out="_rn")
-    copies = (F.floor(F.col("_need") / F.col("_n")) + F.when(F.col("_rn") <= F.col("_need") % F.col("_n"), 1).otherwise(0))
-    return (ranked.withColumn("copies", copies.cast("int")).where(F.col("copies") > 0)
+    under = (df.join(F.broadcast(t.where(F.col("_need") > 0)), label)
+             .withColumn("_h", split_hash_int(id_col, seed)).withColumn("_rem", F.col("_need") % F.col("_n")))
+    flagged = smallest_k(under, [label], "_h", id_col, "_rem", out="_extra")
+    copies = F.floor(F.col("_need") / F.col("_n")) + F.when(F.col("_extra"), 1).otherwise(0)
+    return (flagged.withColumn("copies", copies.cast("int")).where(F.col("copies") > 0)
             .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .drop("_n", "_need", "_h", "_rn"))
+            .drop("_n", "_need", "_h", "_rem", "_extra"))
 
 
 # ------------------------------------------------------------------- R4

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerlab.functions.text import py_strip, word_count
-from answerlab.operators.ranking import rank_within
+from answerlab.operators.ranking import smallest_k
 
 
 def split_hash(id_col: str | Column, seed: int = 42) -> Column:
@@ -35,20 +35,25 @@ def split_examples(df: DataFrame, id_col: str = "doc_id", test_size: float = 0.2
                          .otherwise(F.lit("train")))
 
 
+def split_hash_int(id_col: str | Column, seed: int = 42) -> Column:
+    """The same hash as ``split_hash`` as an integer in [0, 2^32)."""
+    c = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.conv(F.substring(F.md5(F.concat(c.cast("string"), F.lit(f"|{seed}"))), 1, 8), 16, 10).cast("long")
+
+
 def exact_split(df: DataFrame, id_col: str = "doc_id", test_size: float = 0.2, seed: int = 42,
                 out: str = "split", strata: Sequence[str] = ()) -> DataFrame:
     """L2: exactly ceil(test_size * n) rows (per stratum) go to validation: the
-    rows with the smallest (hash, id). Ranking is distributed (see ranking)."""
-    h = df.withColumn("_h", split_hash(id_col, seed))
+    rows with the smallest (hash, id). Selection by two bounded histograms
+    (see ranking.smallest_k): no sort of the data, nothing materialised."""
+    grp = list(strata) or ["_all"]
+    h = df.withColumn("_hk", split_hash_int(id_col, seed))
     if not strata:
         h = h.withColumn("_all", F.lit(0))
-    grp = list(strata) or ["_all"]
-    ranked = rank_within(h, grp, ["_h", id_col], out="_rn")
-    size = ranked.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n"))
-    return (ranked.join(F.broadcast(size), grp)
-            .withColumn(out, F.when(F.col("_rn") <= F.ceil(F.col("_n") * F.lit(test_size)), F.lit("validation"))
-                        .otherwise(F.lit("train")))
-            .drop("_h", "_rn", "_n", "_all"))
+    size = h.groupBy(*grp).agg(F.ceil(F.count(F.lit(1)) * F.lit(test_size)).cast("long").alias("_nval"))
+    flagged = smallest_k(h.join(F.broadcast(size), grp), grp, "_hk", id_col, "_nval")
+    return (flagged.withColumn(out, F.when(F.col("in_k"), F.lit("validation")).otherwise(F.lit("train")))
+            .drop("_hk", "_nval", "in_k", "_all"))
 
 
 def label_map(train: DataFrame, col: str) -> DataFrame:

@@ -96,3 +96,18 @@ def test_apply_transforms_unknown_name(spark):
         B.apply_transforms(spark.range(1), ["nope"], {"x": lambda d: d})
     df = spark.range(1)
     assert B.apply_transforms(df, ["x"], {"x": lambda d: d.withColumn("y", F.lit(1))}, label="missing") is df
+
+
+def test_smallest_k_matches_window_with_collisions(spark):
+    from answerlab.operators.ranking import smallest_k
+    rnd = random.Random(11)
+    # keys spread over the 32-bit range with many exact collisions; one hot group
+    data = [(i, "hot" if i % 4 else f"g{i % 3}", rnd.choice([0, 5, 65535, 65536, 70000, 1 << 31, (1 << 32) - 1]) +
+             rnd.randrange(3)) for i in range(800)]
+    df = spark.createDataFrame(data, "id long, g string, key long")
+    want_k = {"hot": 333, "g0": 0, "g1": 17, "g2": 66}
+    kdf = spark.createDataFrame(list(want_k.items()), "g string, k long")
+    got = {r["id"] for r in smallest_k(df.join(kdf, "g"), ["g"], "key", "id", "k").where("in_k").collect()}
+    ranked = df.join(kdf, "g").withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("key", "id")))
+    want = {r["id"] for r in ranked.where("r <= k").collect()}
+    assert got == want and len(got) == sum(want_k.values())
