@@ -119,13 +119,13 @@ def upsample_sources(df: DataFrame, targets: DataFrame, label: str, id_col: str,
     seeded hash. Output: source rows exploded to (.., copy_no)."""
     t = targets.select(F.col("label").alias(label), F.col("n").alias("_n"),
                        (F.least(F.col("target"), F.floor(F.col("n") * F.lit(max_multiplier))) - F.col("n")).alias("_need"))
-    under = (df.join(F.broadcast(t.where(F.col("_need") > 0)), label)
-             .withColumn("_h", split_hash_int(id_col, seed)).withColumn("_rem", F.col("_need") % F.col("_n")))
-    flagged = smallest_k(under, [label], "_h", id_col, "_rem", out="_extra")
+    under = df.join(F.broadcast(t.where(F.col("_need") > 0)), label).withColumn("_h", split_hash_int(id_col, seed))
+    rem = t.where(F.col("_need") > 0).select(label, (F.col("_need") % F.col("_n")).alias("k"))  # one row per class
+    flagged = smallest_k(under, [label], "_h", id_col, rem, out="_extra")
     copies = F.floor(F.col("_need") / F.col("_n")) + F.when(F.col("_extra"), 1).otherwise(0)
     return (flagged.withColumn("copies", copies.cast("int")).where(F.col("copies") > 0)
             .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .drop("_n", "_need", "_h", "_rem", "_extra"))
+            .drop("_n", "_need", "_h", "_extra"))
 
 
 # ------------------------------------------------------------------- R4

@@ -42,31 +42,37 @@ def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out:
             .drop("_pid", "_pos", "_off", "_first"))
 
 
-def smallest_k(df: DataFrame, group: Sequence[str], key: str, tiebreak: str, k: str, out: str = "in_k") -> DataFrame:
-    """Flag ``out`` = true for the ``k`` rows (a per-row column, constant within
-    a group) of each group with the smallest (key, tiebreak); ``key`` is an
-    integer in [0, 2^32).
+def smallest_k(df: DataFrame, group: Sequence[str], key: str, tiebreak: str, k, out: str = "in_k") -> DataFrame:
+    """Flag ``out`` = true for the k rows of each group with the smallest
+    (key, tiebreak); ``key`` is an integer in [0, 2^32). ``k`` is either a
+    small DataFrame (group columns + ``k``) or a function from the group size
+    column to k (e.g. ``lambda n: ceil(n * 0.2)``).
 
-    Exact and without materialising the data: a histogram of the high 16 bits
-    per group (at most groups x 65,536 rows, combined map-side) locates the
-    bucket where the k-th row lies; a histogram of the low 16 bits inside that
-    bucket locates the exact key; only rows with exactly that key (hash
-    collisions, a handful) are ordered by ``tiebreak``.
+    Exact and without materialising or sorting the data: a histogram of the
+    high 16 bits per group (at most groups x 65,536 rows, combined map-side;
+    it also gives the group size) locates the bucket where the k-th row lies;
+    a histogram of the low 16 bits inside that bucket locates the exact key;
+    only rows with exactly that key (hash collisions, a handful) are ordered
+    by ``tiebreak``. The data is read four times (two histograms, the tie
+    rows, the final flag), each a map-side pass.
     """
     g = list(group)
     base = df.withColumn("_hi", F.shiftright(F.col(key), 16)).withColumn("_lo", F.col(key).bitwiseAND(0xFFFF))
-    need = base.groupBy(*g).agg(F.first(k).cast("long").alias("_k"))  # one row per group
     # level 1: bucket of the high bits holding the k-th row
-    h1 = base.groupBy(*g, "_hi").agg(F.count(F.lit(1)).alias("_c")).join(F.broadcast(need), g)
-    w1 = Window.partitionBy(*g).orderBy("_hi")
-    h1 = h1.withColumn("_cum", F.sum("_c").over(w1)).withColumn("_before", F.col("_cum") - F.col("_c"))
+    h1 = base.groupBy(*g, "_hi").agg(F.count(F.lit(1)).alias("_c"))
+    wg = Window.partitionBy(*g)
+    if isinstance(k, DataFrame):
+        h1 = h1.join(F.broadcast(k.select(*g, F.col("k").cast("long").alias("_k"))), g)
+    else:
+        h1 = h1.withColumn("_k", k(F.sum("_c").over(wg)).cast("long"))
+    h1 = (h1.withColumn("_cum", F.sum("_c").over(wg.orderBy("_hi")))
+          .withColumn("_before", F.col("_cum") - F.col("_c")))
     b1 = (h1.where((F.col("_before") < F.col("_k")) & (F.col("_cum") >= F.col("_k")))
           .select(*g, F.col("_hi").alias("_bhi"), F.col("_before").alias("_b1"), "_k"))
     # level 2: exact key inside that bucket
     inb = base.join(F.broadcast(b1), g).where(F.col("_hi") == F.col("_bhi"))
     h2 = inb.groupBy(*g, "_lo", "_b1", "_k", "_bhi").agg(F.count(F.lit(1)).alias("_c"))
-    w2 = Window.partitionBy(*g).orderBy("_lo")
-    h2 = (h2.withColumn("_cum", F.col("_b1") + F.sum("_c").over(w2))
+    h2 = (h2.withColumn("_cum", F.col("_b1") + F.sum("_c").over(wg.orderBy("_lo")))
           .withColumn("_before", F.col("_cum") - F.col("_c")))
     cut = (h2.where((F.col("_before") < F.col("_k")) & (F.col("_cum") >= F.col("_k")))
            .select(*g, (F.col("_bhi") * 65536 + F.col("_lo")).alias("_kkey"), (F.col("_k") - F.col("_before")).alias("_take")))

@@ -50,10 +50,9 @@ def exact_split(df: DataFrame, id_col: str = "doc_id", test_size: float = 0.2, s
     h = df.withColumn("_hk", split_hash_int(id_col, seed))
     if not strata:
         h = h.withColumn("_all", F.lit(0))
-    size = h.groupBy(*grp).agg(F.ceil(F.count(F.lit(1)) * F.lit(test_size)).cast("long").alias("_nval"))
-    flagged = smallest_k(h.join(F.broadcast(size), grp), grp, "_hk", id_col, "_nval")
+    flagged = smallest_k(h, grp, "_hk", id_col, lambda n: F.ceil(n * F.lit(test_size)))
     return (flagged.withColumn(out, F.when(F.col("in_k"), F.lit("validation")).otherwise(F.lit("train")))
-            .drop("_hk", "_nval", "in_k", "_all"))
+            .drop("_hk", "in_k", "_all"))
 
 
 def label_map(train: DataFrame, col: str) -> DataFrame:

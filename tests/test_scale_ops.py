@@ -107,7 +107,7 @@ def test_smallest_k_matches_window_with_collisions(spark):
     df = spark.createDataFrame(data, "id long, g string, key long")
     want_k = {"hot": 333, "g0": 0, "g1": 17, "g2": 66}
     kdf = spark.createDataFrame(list(want_k.items()), "g string, k long")
-    got = {r["id"] for r in smallest_k(df.join(kdf, "g"), ["g"], "key", "id", "k").where("in_k").collect()}
+    got = {r["id"] for r in smallest_k(df, ["g"], "key", "id", kdf).where("in_k").collect()}
     ranked = df.join(kdf, "g").withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("key", "id")))
     want = {r["id"] for r in ranked.where("r <= k").collect()}
     assert got == want and len(got) == sum(want_k.values())
