@@ -8,9 +8,9 @@ Plan shape:
   inside a cluster is the distributed ``rank_within`` (a hot cluster is not
   one task);
 * up step (R3): each source row is repeated ``needed div n`` times plus once
-  more for the ``needed mod n`` rows with the smallest seeded hash (exact
-  selection by two bounded hash histograms, ``ranking.smallest_k``), via
-  ``explode(sequence(..))``;
+  more for the ``needed mod n`` rows with the smallest seeded hash (exact;
+  a window per class when classes fit one task, else two bounded hash
+  histograms, ``ranking.select_smallest``), via ``explode(sequence(..))``;
 * rewrites (R4-R6): a native character-multiset bound decides most pairs;
   only pairs above it run the exact ratio in an Arrow-batched pandas UDF.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answerlab.operators.neighbours import centroids, dot, norm, sq_dist
-from answerlab.operators.ranking import rank_within, smallest_k
+from answerlab.operators.ranking import rank_within, select_smallest
 from answerlab.operators.stats import split_hash_int
 
 
@@ -112,7 +112,7 @@ def representatives(df: DataFrame, targets: DataFrame, label: str, cluster: str,
 # ------------------------------------------------------------------- R3
 
 def upsample_sources(df: DataFrame, targets: DataFrame, label: str, id_col: str, max_multiplier: float = 2.0,
-                     seed: int = 42) -> DataFrame:
+                     seed: int = 42, max_window_rows: int = 2_000_000) -> DataFrame:
     """Rows of classes below target, each with ``copies`` synthetic copies
     to make: needed = min(target, int(n * mult)) - n; every row is used
     needed div n times, plus once for the needed mod n rows with the smallest
@@ -121,7 +121,7 @@ def upsample_sources(df: DataFrame, targets: DataFrame, label: str, id_col: str,
                        (F.least(F.col("target"), F.floor(F.col("n") * F.lit(max_multiplier))) - F.col("n")).alias("_need"))
     under = df.join(F.broadcast(t.where(F.col("_need") > 0)), label).withColumn("_h", split_hash_int(id_col, seed))
     rem = t.where(F.col("_need") > 0).select(label, (F.col("_need") % F.col("_n")).alias("k"))  # one row per class
-    flagged = smallest_k(under, [label], "_h", id_col, rem, out="_extra")
+    flagged = select_smallest(under, [label], "_h", id_col, rem, out="_extra", max_window_rows=max_window_rows)
     copies = F.floor(F.col("_need") / F.col("_n")) + F.when(F.col("_extra"), 1).otherwise(0)
     return (flagged.withColumn("copies", copies.cast("int")).where(F.col("copies") > 0)
             .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))

@@ -84,3 +84,24 @@ def smallest_k(df: DataFrame, group: Sequence[str], key: str, tiebreak: str, k,
                .join(F.broadcast(ties), [*g, tiebreak], "left"))
     flag = F.coalesce(F.col(key) < F.col("_kkey"), F.lit(False)) | F.coalesce(F.col("_tie"), F.lit(False))
     return flagged.withColumn(out, flag).drop("_kkey", "_tie")
+
+
+def select_smallest(df: DataFrame, group: Sequence[str], key: str, tiebreak: str, k, out: str = "in_k",
+                    max_window_rows: int = 2_000_000, max_groups: int = 10_000) -> DataFrame:
+    """``smallest_k`` with the plan chosen by measured group sizes: when every
+    group holds at most ``max_window_rows`` rows, one window rank per group
+    (a group then fits one task); otherwise the histogram selection, which
+    never gathers a group. Group sizes come from one aggregate of at most
+    ``max_groups`` rows (more groups also take the histogram path).
+    ``k`` as in ``smallest_k``."""
+    g = list(group)
+    sizes = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")).limit(max_groups + 1).collect()
+    if len(sizes) > max_groups or max((r["_n"] for r in sizes), default=0) > max_window_rows:
+        return smallest_k(df, g, key, tiebreak, k, out)
+    w = Window.partitionBy(*g).orderBy(key, tiebreak)
+    ranked = df.withColumn("_rk", F.row_number().over(w))
+    if isinstance(k, DataFrame):
+        ranked = ranked.join(F.broadcast(k.select(*g, F.col("k").cast("long").alias("_k"))), g, "left")
+    else:
+        ranked = ranked.withColumn("_k", k(F.count(F.lit(1)).over(Window.partitionBy(*g))).cast("long"))
+    return ranked.withColumn(out, F.coalesce(F.col("_rk") <= F.col("_k"), F.lit(False))).drop("_rk", "_k")

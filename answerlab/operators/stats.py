@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerlab.functions.text import py_strip, word_count
-from answerlab.operators.ranking import smallest_k
+from answerlab.operators.ranking import select_smallest
 
 
 def split_hash(id_col: str | Column, seed: int = 42) -> Column:
@@ -42,15 +42,17 @@ def split_hash_int(id_col: str | Column, seed: int = 42) -> Column:
 
 
 def exact_split(df: DataFrame, id_col: str = "doc_id", test_size: float = 0.2, seed: int = 42,
-                out: str = "split", strata: Sequence[str] = ()) -> DataFrame:
+                out: str = "split", strata: Sequence[str] = (), max_window_rows: int = 2_000_000) -> DataFrame:
     """L2: exactly ceil(test_size * n) rows (per stratum) go to validation: the
-    rows with the smallest (hash, id). Selection by two bounded histograms
-    (see ranking.smallest_k): no sort of the data, nothing materialised."""
+    rows with the smallest (hash, id). Strata that fit one task are ranked by a
+    window; larger ones by two bounded hash histograms (ranking.smallest_k:
+    no sort of the data, nothing materialised)."""
     grp = list(strata) or ["_all"]
     h = df.withColumn("_hk", split_hash_int(id_col, seed))
     if not strata:
         h = h.withColumn("_all", F.lit(0))
-    flagged = smallest_k(h, grp, "_hk", id_col, lambda n: F.ceil(n * F.lit(test_size)))
+    flagged = select_smallest(h, grp, "_hk", id_col, lambda n: F.ceil(n * F.lit(test_size)),
+                              max_window_rows=max_window_rows)
     return (flagged.withColumn(out, F.when(F.col("in_k"), F.lit("validation")).otherwise(F.lit("train")))
             .drop("_hk", "in_k", "_all"))
 

@@ -111,3 +111,22 @@ def test_smallest_k_matches_window_with_collisions(spark):
     ranked = df.join(kdf, "g").withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("key", "id")))
     want = {r["id"] for r in ranked.where("r <= k").collect()}
     assert got == want and len(got) == sum(want_k.values())
+
+
+@pytest.mark.parametrize("max_window_rows", [0, 10_000_000])
+def test_exact_split_both_plans(spark, max_window_rows):
+    df = spark.range(3000).withColumnRenamed("id", "doc_id").withColumn("s", (F.col("doc_id") % 3).cast("int"))
+    out = S.exact_split(df, "doc_id", 0.2, strata=["s"], max_window_rows=max_window_rows)
+    h = df.withColumn("h", S.split_hash_int("doc_id")).withColumn(
+        "r", F.row_number().over(Window.partitionBy("s").orderBy("h", "doc_id")))
+    want = rows(h.withColumn("split", F.when(F.col("r") <= 200, "validation").otherwise("train")), "doc_id", "split")
+    assert rows(out, "doc_id", "split") == want
+
+
+def test_upsample_sources_histogram_plan(spark):
+    rnd = random.Random(3)
+    df = spark.createDataFrame([(i, 0 if i < 500 else 1) for i in range(700)], "doc_id long, class int")
+    t = B.class_targets(B.class_counts(df, "class"), "soft", 0.7)  # class 1: 200 -> 350, remainder 150
+    a = rows(B.upsample_sources(df, t, "class", "doc_id", max_window_rows=0), "doc_id", "copy_no")
+    b = rows(B.upsample_sources(df, t, "class", "doc_id"), "doc_id", "copy_no")
+    assert a == b and len(a) == 150 and rnd is not None
