@@ -115,3 +115,25 @@ def evaluated_label(raw: ColumnOrName, retry: ColumnOrName | None = None,
         second = category_from_json(retry, labels)
         out = out.when(second.isin(list(labels)), second)
     return out.otherwise(F.lit(default))
+
+
+def with_reply_label(df, raw: str, labels: Sequence[str], kind: str = "label", out: str = "pred_label"):
+    """O1/O2/O3 on a DataFrame. The normalised reply strings are staged as
+    columns first, so the CASE chains compare plain columns instead of
+    re-running the strip regex in every branch."""
+    r = F.col(raw)
+    if kind in ("label", "strict"):
+        staged = df.withColumn("_rl", F.lower(py_strip(r)))
+        res = staged.withColumn(out, _match(F.col("_rl"), labels, both_ways=(kind == "label")))
+        return res.drop("_rl")
+    if kind != "tagged":
+        raise ValueError(f"unknown kind {kind!r}")
+    staged = (df.withColumn("_rt", F.lower(py_strip(F.regexp_extract(r, r"(?is)<label>\s*(.*?)\s*</label>", 1))))
+              .withColumn("_rlast", F.lower(py_strip(F.element_at(F.split(py_strip(r), "\n"), -1))))
+              .withColumn("_rall", F.lower(r)))
+    staged = (staged.withColumn("_pt", _match(F.col("_rt"), labels, both_ways=False))
+              .withColumn("_pl", _match(F.col("_rlast"), labels, both_ways=False)))
+    anywhere = _chain([(_contains(F.col("_rall"), lbl.lower()), F.lit(lbl)) for lbl in labels], F.lit(PARSE_ERROR))
+    res = staged.withColumn(out, F.when(F.col("_pt") != PARSE_ERROR, F.col("_pt"))
+                            .when(F.col("_pl") != PARSE_ERROR, F.col("_pl")).otherwise(anywhere))
+    return res.drop("_rt", "_rlast", "_rall", "_pt", "_pl")

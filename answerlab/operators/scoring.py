@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerlab.functions.constants import PARSE_ERROR, TONES
-from answerlab.functions.replies import normalise_label
+from answerlab.functions.replies import with_reply_label
 from answerlab.functions.text import truncate_chars, words
 
 Scorer = Callable[[pd.DataFrame], pd.Series]
@@ -47,10 +47,10 @@ def score_table(df: DataFrame, scorer: Scorer, keep: Sequence[str], labels: Sequ
     snippet. ``keep`` columns are carried through."""
     fields = [f for f in df.schema.fields if f.name in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", raw_output string"
-    scored = df.mapInPandas(_scored_batches(scorer, keep), schema)
-    pred = F.when(F.col("raw_output").startswith("ERROR: "), F.lit(PARSE_ERROR)).otherwise(
-        normalise_label("raw_output", labels))
-    scored = scored.withColumn("pred_label", pred)
+    scored = with_reply_label(df.mapInPandas(_scored_batches(scorer, keep), schema), "raw_output", labels,
+                              "label", "_parsed")
+    scored = scored.withColumn("pred_label", F.when(F.col("raw_output").startswith("ERROR: "), F.lit(PARSE_ERROR))
+                               .otherwise(F.col("_parsed"))).drop("_parsed")
     if answer and answer in keep:
         scored = scored.withColumn("answer_snippet", truncate_chars(answer, snippet_chars, ellipsis=False))
     return scored

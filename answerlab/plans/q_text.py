@@ -192,27 +192,24 @@ def q_p9(spark, sf):
 select doc_id, {o1_sql('raw', FINE_LABELS)} as fine, {o1_sql('raw', COARSE_LABELS)} as coarse from v_replies""",
                                         "v_replies"))
 def q_o1(spark, sf):
-    r = views.replies(spark, sf)
-    return r.select("doc_id", RF.normalise_label("raw", FINE_LABELS).alias("fine"),
-                    RF.normalise_label("raw", COARSE_LABELS).alias("coarse"))
+    r = RF.with_reply_label(views.replies(spark, sf), "raw", FINE_LABELS, "label", "fine")
+    return RF.with_reply_label(r, "raw", COARSE_LABELS, "label", "coarse").select("doc_id", "fine", "coarse")
 
 
 @query("o2_normalise_strict", with_views(f"""
 select doc_id, {o2_sql('raw', FINE_LABELS)} as fine, {o2_sql('raw', COARSE_LABELS)} as coarse from v_replies""",
                                          "v_replies"))
 def q_o2(spark, sf):
-    r = views.replies(spark, sf)
-    return r.select("doc_id", RF.normalise_strict("raw", FINE_LABELS).alias("fine"),
-                    RF.normalise_strict("raw", COARSE_LABELS).alias("coarse"))
+    r = RF.with_reply_label(views.replies(spark, sf), "raw", FINE_LABELS, "strict", "fine")
+    return RF.with_reply_label(r, "raw", COARSE_LABELS, "strict", "coarse").select("doc_id", "fine", "coarse")
 
 
 @query("o3_normalise_tagged", with_views(f"""
 select doc_id, {o3_sql('raw', FINE_LABELS)} as fine, {o3_sql('raw', COARSE_LABELS)} as coarse from v_replies""",
                                          "v_replies"))
 def q_o3(spark, sf):
-    r = views.replies(spark, sf)
-    return r.select("doc_id", RF.normalise_tagged("raw", FINE_LABELS).alias("fine"),
-                    RF.normalise_tagged("raw", COARSE_LABELS).alias("coarse"))
+    r = RF.with_reply_label(views.replies(spark, sf), "raw", FINE_LABELS, "tagged", "fine")
+    return RF.with_reply_label(r, "raw", COARSE_LABELS, "tagged", "coarse").select("doc_id", "fine", "coarse")
 
 
 @query("o4_reasoning_steps", with_views(rf"""
@@ -252,7 +249,7 @@ select count(*) as n_total, count(*) filter (where p = 'PARSE_ERROR') as n_parse
   count(*) filter (where p <> 'PARSE_ERROR') as n_valid, round(avg(case when p = 'PARSE_ERROR' then 1.0 else 0.0 end), 6) as parse_error_share
 from (select {o3_sql('raw', COARSE_LABELS)} as p from v_replies) x""", "v_replies"), "R")
 def q_o7(spark, sf):
-    r = views.replies(spark, sf).select(RF.normalise_tagged("raw", COARSE_LABELS).alias("pred_label"))
+    r = RF.with_reply_label(views.replies(spark, sf), "raw", COARSE_LABELS, "tagged", "pred_label")
     return M.parse_error_rate(r).select("n_total", "n_parse_errors", "n_valid",
                                         F.round("parse_error_share", 6).alias("parse_error_share"))
 
