@@ -24,9 +24,17 @@ from answerlab.session import cut_lineage
 
 
 def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "rn",
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, max_window_rows: int = 2_000_000,
+                max_groups: int = 10_000) -> DataFrame:
     """Add ``out`` = 1-based row number of each row inside its ``group`` when
-    sorted by ``order`` (which must make the order total, e.g. end with an id)."""
+    sorted by ``order`` (which must make the order total, e.g. end with an id).
+
+    Group sizes are measured first (one aggregate of at most ``max_groups``
+    rows): when every group fits one task (``max_window_rows``) a plain
+    window is used; otherwise the range-partitioned rank below."""
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).limit(max_groups + 1).collect()
+    if len(sizes) <= max_groups and max((r["_n"] for r in sizes), default=0) <= max_window_rows:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group, *order]

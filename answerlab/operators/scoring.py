@@ -69,25 +69,21 @@ def lexicon_label(df: DataFrame, text: str, lexicon: DataFrame, tones: Sequence[
     without hits gets the first tone. The lexicon (bounded, checked) is one
     map attached as a scalar; each row is scored in place: no explode, no
     join, no shuffle."""
-    entries = lexicon.groupBy("word").agg(F.collect_list(F.struct("tone", F.col("weight").cast("double").alias("weight"))).alias("e"))
-    lex = _bounded_map(entries, "word", F.col("e"), max_words)
+    # one weight vector per word, tones in list order (bounded by the lexicon size)
+    vec = F.array(*[F.sum(F.when(F.col("tone") == t, F.col("weight").cast("double")).otherwise(0.0)) for t in tones])
+    entries = lexicon.groupBy("word").agg(vec.alias("w"))
+    lex = _bounded_map(entries, "word", F.col("w"), max_words)
     toks = F.transform(words(F.lower(F.col(text))), lambda w: F.regexp_replace(w, r"(?U)[^\w]", ""))
     zero = F.array(*[F.lit(0.0) for _ in tones])
-
-    def is_tone(t):
-        return lambda x: x["tone"] == t
-
-    def add(acc, tok):
-        e = F.col("_lex")[tok]
-        return F.when(e.isNull(), acc).otherwise(F.array(*[
-            acc[i] + F.aggregate(F.filter(e, is_tone(t)), F.lit(0.0), lambda a, x: a + x["weight"])
-            for i, t in enumerate(tones)]))
-
-    staged = df.withColumn("_lex", lex).withColumn("_sc", F.aggregate(toks, zero, add))
+    staged = (df.withColumn("_lex", lex)
+              # native map lookups keep only the hits; the vector sum runs on those alone
+              .withColumn("_hits", F.transform(F.filter(toks, lambda t: F.col("_lex")[t].isNotNull()),
+                                               lambda t: F.col("_lex")[t]))
+              .withColumn("_sc", F.aggregate("_hits", zero, lambda acc, w: F.zip_with(acc, w, lambda x, y: x + y))))
     best = F.array_max(F.transform("_sc", lambda s, i: F.struct(s.alias("s"), (-i).alias("ni"))))
     tone_arr = F.array(*[F.lit(t) for t in tones])
     return (staged.withColumn(out, F.element_at(tone_arr, (1 - best["ni"]).cast("int")))
-            .withColumn("tone_scores", F.col("_sc")).drop("_lex", "_sc"))
+            .withColumn("tone_scores", F.col("_sc")).drop("_lex", "_hits", "_sc"))
 
 
 def pending(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
