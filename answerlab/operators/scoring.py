@@ -73,7 +73,8 @@ def lexicon_label(df: DataFrame, text: str, lexicon: DataFrame, tones: Sequence[
     vec = F.array(*[F.sum(F.when(F.col("tone") == t, F.col("weight").cast("double")).otherwise(0.0)) for t in tones])
     entries = lexicon.groupBy("word").agg(vec.alias("w"))
     lex = _bounded_map(entries, "word", F.col("w"), max_words)
-    toks = F.transform(words(F.lower(F.col(text))), lambda w: F.regexp_replace(w, r"(?U)[^\w]", ""))
+    # punctuation removed once per text (not once per token), then whitespace tokens
+    toks = words(F.regexp_replace(F.lower(F.col(text)), r"(?U)[^\w\s]", ""))
     zero = F.array(*[F.lit(0.0) for _ in tones])
     staged = (df.withColumn("_lex", lex)
               # native map lookups keep only the hits; the vector sum runs on those alone
