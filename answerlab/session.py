@@ -72,3 +72,23 @@ def literal_table(spark: SparkSession, rows, names):
     from pyspark.sql import functions as F
     structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``answerlab`` importable in Python workers (as ``--py-files``
+    would): zip the package once and add it to the SparkContext, which
+    distributes it to every executor."""
+    import shutil
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="answerlab-pyfiles-")
+    zpath = shutil.make_archive(os.path.join(out, "answerlab"), "zip", root_dir=os.path.dirname(pkg_dir),
+                                base_dir="answerlab")
+    sc.addPyFile(zpath)
+    _SHIPPED.add(id(sc))
