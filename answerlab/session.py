@@ -48,14 +48,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and resumable state.
 
     Uses ``spark.checkpoint.dir`` as configured by the cluster. Only when it
-    is unset (local tests) a private temporary folder is created and set.
+    is unset (local tests) a folder below the session's table storage
+    (``spark.sql.warehouse.dir``) is used.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="answerlab-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/answerlab-checkpoints"
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(path)
     return path
 
 
@@ -74,21 +75,18 @@ def literal_table(spark: SparkSession, rows, names):
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-_SHIPPED: set[int] = set()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``answerlab`` importable in Python workers (as ``--py-files``
-    would): zip the package once and add it to the SparkContext, which
-    distributes it to every executor."""
+    would): zip the package once per context and add it to the SparkContext,
+    which distributes it to every executor."""
     import shutil
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if getattr(sc, "_answerlab_shipped", False):
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out = tempfile.mkdtemp(prefix="answerlab-pyfiles-")
     zpath = shutil.make_archive(os.path.join(out, "answerlab"), "zip", root_dir=os.path.dirname(pkg_dir),
                                 base_dir="answerlab")
     sc.addPyFile(zpath)
-    _SHIPPED.add(id(sc))
+    sc._answerlab_shipped = True
