@@ -36,3 +36,13 @@ def own_names(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """Select the columns an operator needs under names of its own, so that
     extra columns of the input, whatever their names, cannot clash."""
     return df.select(*[F.col(f"`{src}`").alias(own) for own, src in wanted.items()])
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner",
+                salts: int = 8) -> DataFrame:
+    """Join a side that may be hot in ``keys`` to a side unique in them: left
+    rows are salted by the columns ``spread``, right rows copied once per salt,
+    so one key's rows go to ``salts`` tasks."""
+    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return (left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+            .join(salted, [*keys, "_salt"], how).drop("_salt"))
