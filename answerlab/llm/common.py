@@ -33,9 +33,10 @@ def word_array(text: Column) -> Column:
 
 
 def own_names(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
-    """Select the columns an operator needs under names of its own, so that
-    extra columns of the input, whatever their names, cannot clash."""
-    return df.select(*[F.col(f"`{src}`").alias(own) for own, src in wanted.items()])
+    """Select the columns an operator needs under names of its own, by position,
+    so that extra columns of the input, whatever their names, cannot clash."""
+    at = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return at.select(*[F.col(f"c{df.columns.index(src)}").alias(own) for own, src in wanted.items()])
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner",
