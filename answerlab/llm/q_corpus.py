@@ -4,11 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from answerlab.llm import line_dedup, substring_dedup
+from answerlab.llm import line_dedup, packing, substring_dedup
 from answerlab.llm.common import read
 from answerlab.llm.registry import query
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_mixture_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 @query("op5_substring_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(read(spark, sf_dir, "documents"))
