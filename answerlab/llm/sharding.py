@@ -24,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from answerlab.llm.common import salted_join
+
 KEY_BITS = 60
 #: Levels of cells below the expected depth of the directory.
 _FINER = 5
@@ -42,7 +44,7 @@ def _leaves(cells: DataFrame, cell: str, width: int, first: int, limit: int) ->
     levels = levels.withColumn("prefix", F.expr(f"shiftright({cell}, {width} - depth)"))
     fits = (levels.groupBy("depth", "prefix").agg(F.sum("b").alias("_b"), F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
             .select("depth", "prefix", ((F.col("_b") <= limit) | (F.col("_lo") == F.col("_hi"))).alias("_fits")))
-    return (levels.join(fits, ["depth", "prefix"]).groupBy(cell)
+    return (salted_join(levels, fits, ["depth", "prefix"], [cell]).groupBy(cell)
             .agg(F.min(F.when(F.col("_fits"), F.col("depth"))).alias("depth")))
 
 
