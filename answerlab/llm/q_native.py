@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from answerlab.llm import quality_rules
+from answerlab.llm import decontamination, quality_rules
 from answerlab.llm.common import read
 from answerlab.llm.registry import query
 
@@ -39,3 +39,8 @@ from base b left join gone using (k) left join chars using (k)
 @query("op9_quality_rules", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
+
+
+@query("op3_spaced_seed_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
