@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from answerlab.llm import line_dedup, packing, substring_dedup
+from answerlab.llm import line_dedup, near_dedup, packing, substring_dedup
 from answerlab.llm.common import read
 from answerlab.llm.registry import query
 
@@ -25,6 +25,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(read(spark, sf_dir, "documents"))
 
 
+@query("op6_minhash_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.digest(read(spark, sf_dir, "documents"))
+
+
 @query("op7_line_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(read(spark, sf_dir, "documents"))
