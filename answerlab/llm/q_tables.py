@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from answerlab.llm import chat, sharding, url_filters
+from answerlab.llm import chat, lang_id, sharding, url_filters
 from answerlab.llm.common import read
 from answerlab.llm.registry import query
 from answerlab.session import literal_table
@@ -57,6 +57,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(read(spark, sf_dir, "pages"), rules)
 
 
+@query("op8_byte_gru_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(read(spark, sf_dir, "documents"))
+
+
 @query("op10_chat_formatting")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _tokenizer("byte_bpe_50k.json")
