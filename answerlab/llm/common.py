@@ -39,11 +39,12 @@ def own_names(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return at.select(*[F.col(f"c{df.columns.index(src)}").alias(own) for own, src in wanted.items()])
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner",
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str] | None = None, how: str = "inner",
                 salts: int = 8) -> DataFrame:
     """Join a side that may be hot in ``keys`` to a side unique in them: left
-    rows are salted by the columns ``spread``, right rows copied once per salt,
-    so one key's rows go to ``salts`` tasks."""
+    rows are salted by the columns ``spread`` (default: by row), right rows
+    copied once per salt, so one key's rows go to ``salts`` tasks."""
+    by = F.xxhash64(*spread) if spread else F.monotonically_increasing_id()
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    return (left.withColumn("_salt", F.pmod(by, F.lit(salts)).cast("int"))
             .join(salted, [*keys, "_salt"], how).drop("_salt"))

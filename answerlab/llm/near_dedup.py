@@ -258,7 +258,7 @@ def near_links(docs: DataFrame, sketch: DataFrame, width: int, percent: int = 80
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(substring(signature, i * {4 * _ROWS} + 1, {4 * _ROWS}), i))")
     rows = sketch.where("key is not null").select("key", F.explode(band).alias("bucket"))
     ends = rows.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
-    members = stored(salted_join(rows, ends, ["bucket"], ["key"]).distinct(), "members")
+    members = stored(salted_join(rows, ends, ["bucket"]).distinct(), "members")
     keys = members.select("key").distinct()
     few = keys.count() <= broadcast_rows
     picked = stored(sketch.join(F.broadcast(keys) if few else keys, "key", "left_semi")
@@ -287,10 +287,10 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     sketch = sketches(own, width)
     parts = components(near_links(own, sketch, width, percent, miss, **limits))
     rows = sketch.select("doc_id", "row_key", "n_shingles", "key")
-    labelled = salted_join(rows, parts.select(F.col("node").alias("key"), "component"), ["key"], ["row_key"], "left")
+    labelled = salted_join(rows, parts.select(F.col("node").alias("key"), "component"), ["key"], how="left")
     labelled = labelled.withColumn("class", F.coalesce("component", "key")).drop("component")
     least = labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("_least"))
-    out = salted_join(labelled, least, ["class"], ["row_key"], "left")
+    out = salted_join(labelled, least, ["class"], how="left")
     return out.select("doc_id", "row_key", "n_shingles", "key", "class",
                       F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
 

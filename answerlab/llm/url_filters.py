@@ -121,7 +121,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
     nodes = salted_join(comp, classes, ["component"], ["node"]).withColumnRenamed("node", "_node")
     judged = with_rule(own.select("_id", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path"),
                                   node_of(F.col("_url")).alias("_node")), rules)
-    out = salted_join(judged, nodes, ["_node"], ["_id", "_host"], "left")
+    out = salted_join(judged, nodes, ["_node"], how="left")
     alias = F.when(F.coalesce("_allow", F.lit(False)), "allow").when(F.coalesce("_block", F.lit(False)), "block").otherwise("allow")
     return out.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"),
                       F.col("_rule").alias("rule"), F.coalesce("_verdict", alias).alias("verdict"), "component")
