@@ -25,6 +25,7 @@ an empty table gives no rows; extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -52,7 +53,12 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
+#: Characters that one call to the tokenizer takes (a longer text is one call).
+_CALL = 1 << 20
+
+
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -60,6 +66,18 @@ def _tokenizer(path: str):
     return t, t.get_vocab_size(with_added_tokens=True)
 
 
+def _slices(sizes: list[int]) -> Iterator[slice]:
+    """Consecutive rows of about ``_CALL`` characters together."""
+    begin, held = 0, 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= _CALL:
+            yield slice(begin, i + 1)
+            begin, held = i + 1, 0
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, size = _tokenizer(path)
@@ -69,15 +87,17 @@ def _encode(path: str):
             trained = [x == TRAINED_ROLE for x in batch.column("role").to_pylist()]
             known = {x: e.ids for x, e in zip(dict.fromkeys(roles), tok.encode_batch(list(dict.fromkeys(roles)), add_special_tokens=False))}
             ids, loss = [], []
-            for role, yes, content in zip(roles, trained, tok.encode_batch(texts, add_special_tokens=False)):
-                head = [size + HEAD, *known[role], size + SEP]
-                turn = np.array([*head, *content.ids, size + END], dtype="<i4")
-                delta = np.zeros(len(turn), dtype=np.int8)
-                if yes and content.ids:
-                    delta[len(head)] += 1
-                    delta[-1] -= 1
-                ids.append(turn.tobytes())
-                loss.append(np.cumsum(delta, dtype=np.int8).tobytes())
+            for part in _slices([len(x) for x in texts]):
+                contents = tok.encode_batch_fast(texts[part], add_special_tokens=False)
+                for role, yes, content in zip(roles[part], trained[part], contents):
+                    head, body = [size + HEAD, *known[role], size + SEP], content.ids
+                    turn = np.array([*head, *body, size + END], dtype="<i4")
+                    delta = np.zeros(len(turn), dtype=np.int8)
+                    if yes and body:
+                        delta[len(head)] += 1
+                        delta[-1] -= 1
+                    ids.append(turn.tobytes())
+                    loss.append(np.cumsum(delta, dtype=np.int8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), batch.column("role"), batch.column("text"),
                                               pa.array(ids, pa.binary()), pa.array(loss, pa.binary())],
                                              ["conv_id", "turn", "role", "text", "ids", "loss"])
@@ -129,25 +149,28 @@ def _read_back(path: str):
         for batch in batches:
             schema = pa.schema([batch.schema.field("conv_id"), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
                                 ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-            done, parts = [], []
-            for ids, loss in zip(batch.column("ids").to_pylist(), batch.column("loss").to_pylist()):
-                ids, loss = np.frombuffer(ids, "<i4"), np.frombuffer(loss, np.int8)
-                cuts = np.flatnonzero(ids >= size)  # HEAD, SEP, END in this order
-                if (ids[cuts] - size).tolist() != [HEAD, SEP, END] or cuts[0] != 0 or cuts[2] != len(ids) - 1:
-                    raise ValueError("a turn's marks are not in place")
-                parts += [ids[1:cuts[1]].tolist(), ids[cuts[1] + 1:cuts[2]].tolist(), ids[loss > 0].tolist()]
-            said = tok.decode_batch(parts, skip_special_tokens=False)
-            for i, conv in enumerate(batch.column("conv_id").to_pylist()):
-                if not state or conv != state[0]:
-                    if state:
-                        done.append(row(state))
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text, learnt = said[3 * i:3 * i + 3]
-                state[1] += 1
-                state[2].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
-                state[3] += len(unescape(learnt))
-                state[4].update(unescape(learnt).encode())
-                state[5] += len(role) + len(text) + sum(map(len, MARKS))
+            done, convs = [], batch.column("conv_id").to_pylist()
+            packed, masks = batch.column("ids"), batch.column("loss")
+            for part in _slices([x.as_buffer().size for x in masks]):
+                parts = []
+                for ids, loss in zip(packed[part].to_pylist(), masks[part].to_pylist()):
+                    ids, loss = np.frombuffer(ids, "<i4"), np.frombuffer(loss, np.int8)
+                    cuts = np.flatnonzero(ids >= size)  # HEAD, SEP, END in this order
+                    if (ids[cuts] - size).tolist() != [HEAD, SEP, END] or cuts[0] != 0 or cuts[2] != len(ids) - 1:
+                        raise ValueError("a turn's marks are not in place")
+                    parts += [ids[1:cuts[1]].tolist(), ids[cuts[1] + 1:cuts[2]].tolist(), ids[loss > 0].tolist()]
+                said = tok.decode_batch(parts, skip_special_tokens=False)
+                for i, conv in enumerate(convs[part]):
+                    if not state or conv != state[0]:
+                        if state:
+                            done.append(row(state))
+                        state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    role, text, learnt = said[3 * i:3 * i + 3]
+                    state[1] += 1
+                    state[2].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
+                    state[3] += len(unescape(learnt))
+                    state[4].update(unescape(learnt).encode())
+                    state[5] += len(role) + len(text) + sum(map(len, MARKS))
             if done:
                 yield pa.RecordBatch.from_pylist(done, schema)
         if state:
