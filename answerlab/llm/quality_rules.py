@@ -155,9 +155,12 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
         F.xxhash64(F.col("_row").getField(id_col), F.col("_row").getField(host_col), text).alias("_k"),
         F.aggregate(F.transform(_norm_lines(text), F.char_length), F.lit(0).cast("long"), lambda a, x: a + x).alias("_chars"),
         text.alias("_text"))
-    judged = base_measures(rows).where(~F.col("base_failed"))
-    out = (judged.join(gone, (F.col("_k") == F.col("_gk")) & F.col("_id").eqNullSafe(F.col("_gid")), "left")
-           .where((F.col("_chars") - F.coalesce("_gone_chars", F.lit(0))) >= F.col("_chars") * F.lit(min_kept_share)))
+    joined = base_measures(rows).join(gone, (F.col("_k") == F.col("_gk")) & F.col("_id").eqNullSafe(F.col("_gid")), "left")
+    depleted = (F.col("_chars") - F.coalesce("_gone_chars", F.lit(0))) < F.col("_chars") * F.lit(min_kept_share)
+    # One sum over both sides of the join, never null: a filter on base_failed alone, or a not-null
+    # filter inferred from it, would be pushed into the projections below, where each level's
+    # expression is copied into the next.
+    out = joined.where(F.coalesce(F.col("base_failed").cast("int") + depleted.cast("int"), F.lit(1)) == 0)
 
     def norm(x):
         return F.trim(F.regexp_replace(F.lower(x), r"[\x20\x09\x0B-\x0D]+", " "))
