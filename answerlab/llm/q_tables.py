@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from answerlab.llm import chat, lang_id, sharding, url_filters
 from answerlab.llm.common import read
-from answerlab.llm.registry import query
+from answerlab.llm.registry import QUERIES, query  # noqa: F401
 from answerlab.session import literal_table
 
 #: Byte limit of a shard in the registered query.
