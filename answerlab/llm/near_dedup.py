@@ -9,13 +9,14 @@
    After each batch the pair is dropped if, given the matches so far, the
    posterior probability of a similarity at the threshold or above is less than
    ``miss``. Survivors are verified exactly on their whole sets.
-4. Links give components. Only buckets that still hold several components are
-   open: there, members outside the bucket's largest component are compared with
-   all members of other components, in blocks of bounded size, by the same
-   sequential test; first the best few survivors of each member are verified,
-   then, with the components joined so far, all that are left. So no link that
-   could join two components is skipped, though pairs inside a component are
-   never enumerated.
+   Each set is sent once to a block of pairs, not once for every pair.
+4. Links give components. Candidates give clusters (components of all candidate
+   pairs). Only clusters that still hold several components are open: there,
+   members outside the cluster's largest component meet the members of other
+   components, in blocks of bounded size, together with their sets. Pairs that
+   share a band take the same tests, best first, until their components are
+   joined. So no link that could join two components is skipped, pairs inside a
+   component are never looked at, and only links leave a block.
 
 A pair at similarity 0.8 shares no band in 5 of 10^8 cases; ``miss`` is 10^-6.
 
@@ -48,8 +49,8 @@ from answerlab.session import ship_package
 
 HASHES, BANDS, BATCH = 128, 32, 32
 _ROWS = HASHES // BANDS
-#: Members of a block of an open bucket; survivors of a member verified first; texts per slice.
-_BLOCK, _BEST, _SLICE = 2048, 8, 4 << 20
+#: Members of a block of an open cluster; pairs of a verification block, about; text bytes of a slice.
+_BLOCK, _PAIRS, _SLICE = 2048, 20_000, 4 << 20
 
 _MULTIPLY = W.mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = W.mix(np.arange(1 << 20, (1 << 20) + HASHES, dtype=np.uint64))
@@ -152,93 +153,89 @@ def _prune(least: list[int]):
     return run
 
 
+def _is_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _exact(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                if 100 * len(x) < percent * len(y):
-                    linked.append(False)
-                    continue
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+    """Pairs of a block (a < b) that are links, from the sets of the block."""
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        held = {k: np.frombuffer(x, np.uint64) for k, x in zip(sets["key"].to_pylist(), sets["shingles"].to_pylist())}
+        linked = [_is_link(held[a], held[b], percent) for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist())]
+        return pairs.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
     return run
 
 
-def _open_block(least: list[int], best: int | None):
-    """Pairs (a < b) that survive between the minors of a block and its members
-    of other components; of each minor and component the ``best`` by matches."""
+def _open_block(least: list[int], percent: int):
+    """Links between the minors of a block and its members of other components,
+    as far as they join components: a pair is passed over once its components
+    are joined, else it takes the sequential test and, best first, the exact one."""
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        minor = table["minor"].to_numpy()
-        key, label = table["key"].to_numpy(), table["label"].to_numpy()
+        minor, low, key = (table[c].to_numpy() for c in ("minor", "low", "key"))
         signature = _signatures(table["signature"])
-        members = np.flatnonzero(~minor)
-        found = []
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        _, part = np.unique(table["label"].to_numpy(), return_inverse=True)
+        root = np.arange(part.max() + 1)
+        members, links = np.flatnonzero(~minor), []
         for m in np.flatnonzero(minor):
-            others = members[label[members] != label[m]]
+            # another minor meets this one as well: the lesser key takes the pair
+            others = members[(root[part[members]] != root[part[m]]) & (~low[members] | (key[members] > key[m]))]
             rows, matches = _may_link(signature[m], signature[others], least)
             rows = others[rows]
-            if best is not None and len(rows) > best:
-                order = np.lexsort((key[rows], -matches, label[rows]))
-                rows, matches = rows[order], matches[order]
-                begins = np.flatnonzero(np.diff(label[rows], prepend=label[rows][0] ^ 1))
-                rank = np.arange(len(rows)) - np.repeat(begins, np.diff(np.append(begins, len(rows))))
-                rows = rows[rank < best]
-            found.append(np.stack([np.minimum(key[rows], key[m]), np.maximum(key[rows], key[m])]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+            banded = (signature[rows] == signature[m]).reshape(-1, BANDS, _ROWS).all(axis=2).any(axis=1)
+            rows, matches = rows[banded], matches[banded]
+            for r in rows[np.lexsort((key[rows], -matches))]:
+                if root[part[r]] != root[part[m]] and _is_link(sets[m], sets[r], percent):
+                    links.append((min(key[m], key[r]), max(key[m], key[r])))
+                    root[root == root[part[r]]] = root[part[m]]
+        return pa.table({"a": pa.array([int(a) for a, _ in links], pa.int64()), "b": pa.array([int(b) for _, b in links], pa.int64())})
     return run
 
 
-class _Verifier:
-    """Sequential and exact verification of pairs of classes."""
-
-    def __init__(self, signatures: DataFrame, sets: DataFrame, percent: int, miss: float):
-        self.signatures, self.sets, self.percent = signatures, sets, percent
-        self.least = least_matches(percent / 100, miss)
-        self.tested: DataFrame | None = None
-
-    def _with(self, pairs: DataFrame, table: DataFrame, value: str, names: tuple[str, str]) -> DataFrame:
-        for end, name in zip("ab", names):
-            pairs = pairs.join(table.select(F.col("key").alias(end), F.col(value).alias(name)), end)
-        return pairs.select("a", "b", *names)
-
-    def links(self, pairs: DataFrame, pruned: bool) -> DataFrame:
-        pairs = pairs.distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        if not pruned:
-            pairs = self._with(pairs, self.signatures, "signature", ("sa", "sb")).mapInArrow(_prune(self.least), "a long, b long")
-        pairs = stored(pairs, "pairs")
-        self.tested = pairs if self.tested is None else self.tested.union(pairs)
-        return stored(self._with(pairs, self.sets, "shingles", ("xa", "xb")).mapInArrow(_exact(self.percent), "a long, b long"), "links")
-
-
-def _open_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame, least: list[int], best: int | None) -> DataFrame:
-    """Surviving pairs between components in the buckets that hold several."""
-    m = (members.join(labels.select(F.col("node").alias("key"), F.col("component").alias("_c")), "key", "left")
-         .select("bucket", "key", F.coalesce("_c", "key").alias("label")))
-    parts = m.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = (parts.groupBy("bucket").agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "label")).alias("_top"),
-                                         F.count(F.lit(1)).alias("_parts"))
+def _verified(pairs: DataFrame, clusters: DataFrame, data: DataFrame, percent: int, least: list[int]) -> DataFrame:
+    """The links among ``pairs`` (a < b, distinct), by the sequential and then
+    the exact test. Sets meet in blocks: all pairs of a cluster that fall into
+    one block are verified in one group, to which each of their sets is sent
+    once. A cluster with many pairs has many blocks, dealt by the hashes of both
+    ends."""
+    signed = pairs
+    for end in "ab":
+        signed = signed.join(data.select(F.col("key").alias(end), F.col("signature").alias(f"s{end}")), end)
+    left = stored(signed.select("a", "b", "sa", "sb").mapInArrow(_prune(least), "a long, b long"), "pairs")
+    placed = left.join(clusters.select(F.col("node").alias("a"), F.col("component").alias("g")), "a")
+    sides = placed.groupBy("g").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / F.lit(_PAIRS))).cast("int").alias("_p"))
+    blocks = salted_join(placed, sides, ["g"]).select("g", F.pmod(F.xxhash64("a"), "_p").alias("i"), F.pmod(F.xxhash64("b"), "_p").alias("j"), "a", "b")
+    wanted = blocks.select("g", "i", "j", F.explode(F.array("a", "b")).alias("key")).distinct()
+    sent = wanted.join(data, "key").select("g", "i", "j", "key", "shingles").toDF("sg", "si", "sj", "key", "shingles")
+    return stored(blocks.groupBy("g", "i", "j").cogroup(sent.groupBy("sg", "si", "sj"))
+                  .applyInArrow(_exact(percent), "a long, b long"), "links")
+
+
+def _open_links(clusters: DataFrame, labels: DataFrame, data: DataFrame, percent: int, least: list[int]) -> DataFrame:
+    """Links that join components within the clusters that hold several."""
+    m = (clusters.select(F.col("node").alias("key"), F.col("component").alias("g"))
+         .join(labels.select(F.col("node").alias("key"), F.col("component").alias("_c")), "key", "left")
+         .select("g", "key", F.coalesce("_c", "key").alias("label")))
+    parts = m.groupBy("g", "label").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = (parts.groupBy("g").agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "label")).alias("_top"), F.count(F.lit(1)).alias("_parts"))
              .where(F.col("_parts") > 1)
-             .select("bucket", F.col("_top.label").alias("_major"),
-                     F.ceil(F.col("_all") / _BLOCK).cast("int").alias("_i"),
+             .select("g", F.col("_top.label").alias("_major"), F.ceil(F.col("_all") / _BLOCK).cast("int").alias("_i"),
                      F.ceil((F.col("_all") - F.col("_top._n")) / _BLOCK).cast("int").alias("_j")))
-    m = salted_join(m, sizes, ["bucket"], ["key"]).join(signatures, "key")
-    each = m.select("bucket", "key", "label", "signature", F.lit(False).alias("minor"),
-                    F.pmod(F.xxhash64("key"), "_i").cast("int").alias("i"), F.explode(F.expr("sequence(0, _j - 1)")).alias("j"))
-    minors = (m.where(F.col("label") != F.col("_major"))
-              .select("bucket", "key", "label", "signature", F.lit(True).alias("minor"),
-                      F.explode(F.expr("sequence(0, _i - 1)")).alias("i"), F.pmod(F.xxhash64("key", F.lit(1)), "_j").cast("int").alias("j")))
-    return each.union(minors).groupBy("bucket", "i", "j").applyInArrow(_open_block(least, best), "a long, b long")
+    m = salted_join(m, sizes, ["g"]).withColumn("low", F.col("label") != F.col("_major")).join(data, "key")
+    shown = ["g", "key", "label", "low", "signature", "shingles"]
+    each = m.select(*shown, F.lit(False).alias("minor"), F.pmod(F.xxhash64("key"), "_i").cast("int").alias("i"),
+                    F.explode(F.expr("sequence(0, _j - 1)")).alias("j"))
+    minors = m.where("low").select(*shown, F.lit(True).alias("minor"), F.explode(F.expr("sequence(0, _i - 1)")).alias("i"),
+                                   F.pmod(F.xxhash64("key", F.lit(1)), "_j").cast("int").alias("j"))
+    return stored(each.union(minors).groupBy("g", "i", "j").applyInArrow(_open_block(least, percent), "a long, b long"), "links")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -256,26 +253,22 @@ def near_links(docs: DataFrame, sketch: DataFrame, width: int, percent: int = 80
     """``a, b``: links between classes (keys of shingle sets), enough of them to
     give every component. ``docs`` has ``doc_id, text``."""
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(substring(signature, i * {4 * _ROWS} + 1, {4 * _ROWS}), i))")
-    rows = sketch.where("key is not null").select("key", F.explode(band).alias("bucket"))
+    rows = sketch.where("key is not null").select("key", F.posexplode(band).alias("band", "bucket"))
     ends = rows.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
     members = stored(salted_join(rows, ends, ["bucket"]).distinct(), "members")
     keys = members.select("key").distinct()
     few = keys.count() <= broadcast_rows
     picked = stored(sketch.join(F.broadcast(keys) if few else keys, "key", "left_semi")
                     .groupBy("key").agg(F.min("row_key").alias("row_key"), F.min_by("signature", "row_key").alias("signature")), "classes")
-    signatures = picked.select("key", "signature")
-    wanted = picked.select("key", "row_key")
-    texts = _keyed(docs).join(F.broadcast(wanted) if few else wanted, "row_key").select("key", "text")
-    sets = stored(texts.mapInArrow(_sets(width), "key long, shingles binary").dropDuplicates(["key"]), "sets")
-
-    verifier = _Verifier(signatures, sets, percent, miss)
-    stars = members.select(F.col("key"), F.explode(F.array("lo", "hi")).alias("c")).where("key <> c")
-    links = verifier.links(stars.select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")), pruned=False)
-    buckets = members.select("bucket", "key")
-    for best in (_BEST, None):
-        more = _open_pairs(buckets, components(links), signatures, verifier.least, best)
-        links = links.union(verifier.links(more, pruned=True))
-    return links
+    texts = _keyed(docs).join(F.broadcast(picked.select("key", "row_key")) if few else picked.select("key", "row_key"), "row_key")
+    sets = texts.select("key", "text").mapInArrow(_sets(width), "key long, shingles binary").dropDuplicates(["key"])
+    data = stored(picked.select("key", "signature").join(sets, "key"), "sets")
+
+    stars = stored(members.select("key", F.explode(F.array("lo", "hi")).alias("c")).where("key <> c")
+                   .select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")).distinct(), "stars")
+    clusters, least = components(stars), least_matches(percent / 100, miss)
+    links = _verified(stars, clusters, data, percent, least)
+    return links.union(_open_links(clusters, components(links), data, percent, least))
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id",
