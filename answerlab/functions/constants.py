@@ -24,6 +24,10 @@ ANNOTATORS = ["annotator1", "annotator2", "annotator3"]
 # --- fixed values: strings that count as "no vote" after stripping ---
 NO_VOTE = ["", "None"]
 
+# --- fixed values: the nine fine labels in the order in which a single direct reply is searched for them ---
+DIRECT_LABEL_ORDER = ["Explicit", "Declining to answer", "Claims ignorance", "Clarification", "Dodging", "Deflection",
+                      "General", "Implicit", "Partial/half-answer"]
+
 PARSE_ERROR = "PARSE_ERROR"
 IGNORE_ID = -100
 

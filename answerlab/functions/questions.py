@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from answerlab.functions.constants import (QUESTION_TYPE_DEFAULT, QUESTION_TYPES, RULE_SPLIT_MARK,
                                            SHORT_SPLIT_MARK, STARTER_WORDS)
-from answerlab.functions.text import py_strip, word_count, words
+from answerlab.functions.text import SPACE, py_strip, word_count, words
 
 ColumnOrName = Column | str
 
 STARTERS = "|".join(STARTER_WORDS)
 STARTER_RE = rf"(?iU)\b({STARTERS})\b"
-CONNECTOR_RE = rf"(?U)\s+(?=(?:And|and)\s+(?:{STARTERS})\b)"
+CONNECTOR_RE = rf"(?U){SPACE}+(?=(?:And|and){SPACE}+(?:{STARTERS})\b)"
 NON_WORD_RE = r"(?U)[^\w\s]"
 
 
@@ -26,7 +26,7 @@ def _c(c: ColumnOrName) -> Column:
 
 
 def normalised_question(q: ColumnOrName) -> Column:
-    return F.regexp_replace(F.lower(py_strip(_c(q))), r"\s+", " ")
+    return F.regexp_replace(F.lower(py_strip(_c(q))), rf"(?U){SPACE}+", " ")
 
 
 def question_type(q: ColumnOrName) -> Column:
@@ -94,7 +94,7 @@ def _clean_stages(cands: Column) -> Column:
     """Q5 cleaning of every candidate as a chain of array transforms, so each
     intermediate value is computed once per element."""
     s1 = F.transform(cands, lambda c: py_strip(F.regexp_replace(
-        py_strip(F.regexp_replace(py_strip(c.cast("string")), r"(?i)^Q\.\s*", "")), r"^(And|and)\s+", "")))
+        py_strip(F.regexp_replace(py_strip(c.cast("string")), r"(?i)^Q\.\s*", "")), rf"(?U)^(And|and){SPACE}+", "")))
     s2 = F.transform(s1, lambda t: F.struct(t.alias("t"), F.greatest(_rfind(t, ". "), _rfind(t, "? ")).alias("lb")))
     s3 = F.transform(s2, lambda x: F.struct(
         x["t"].alias("t"), x["lb"].alias("lb"),
@@ -137,13 +137,16 @@ def rule_split(q: ColumnOrName) -> Column:
 
 
 def reply_sub_questions(raw: ColumnOrName) -> Column:
-    """``sub_questions`` array of a model JSON reply (fences removed; whole text
-    first, then the outermost object), null when absent or not JSON."""
+    """``sub_questions`` of a model JSON reply (fences removed; whole text first,
+    then the outermost object): null when the key is absent or the reply is not
+    JSON; an empty array when the key is there without an array of questions."""
     clean = py_strip(F.replace(F.replace(_c(raw), F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
     whole = F.try_parse_json(clean)
     inner = F.try_parse_json(F.regexp_extract(clean, r"(?s)\{.*\}", 0))
     v = F.coalesce(whole, inner)
-    return F.try_variant_get(v, "$.sub_questions", "array<string>")
+    there = F.try_variant_get(v, "$.sub_questions", "variant")
+    asked = F.try_variant_get(v, "$.sub_questions", "array<string>")
+    return F.when(there.isNotNull(), F.coalesce(asked, F.array().cast("array<string>")))
 
 
 def with_route_split(df, q: str, raw: str, out: str = "split"):
@@ -160,16 +163,3 @@ def with_route_split(df, q: str, raw: str, out: str = "split"):
              .when(F.col("_subs").isNotNull(), mk(clean_sub_questions("_subs", orig), F.col(raw), "llm_base"))
              .otherwise(mk(F.array(orig), F.col(raw), "parser_fallback")))
     return staged.withColumn(out, route).drop("_rule", "_subs", "_wc")
-
-
-def route_split(q: ColumnOrName, raw: ColumnOrName) -> Column:
-    """Q7: struct(sub_questions, raw_splitter_output, splitter_source)."""
-    orig = _c(q).cast("string")
-    rule = rule_split(orig)
-    subs = reply_sub_questions(raw)
-    mk = lambda arr, r, s: F.struct(arr.alias("sub_questions"), r.alias("raw_splitter_output"),
-                                    F.lit(s).alias("splitter_source"))
-    return (F.when(F.size(rule) > 1, mk(rule, F.lit(RULE_SPLIT_MARK), "rule_based"))
-            .when(word_count(orig) < 8, mk(F.array(orig), F.lit(SHORT_SPLIT_MARK), "short_question"))
-            .when(subs.isNotNull(), mk(clean_sub_questions(subs, orig), _c(raw), "llm_base"))
-            .otherwise(mk(F.array(orig), _c(raw), "parser_fallback")))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from answerlab.functions.constants import FINE_LABELS, PARSE_ERROR, REPLY_SHORTCUTS
+from answerlab.functions.constants import DIRECT_LABEL_ORDER, PARSE_ERROR, REPLY_SHORTCUTS
 from answerlab.functions.text import py_strip
 
 ColumnOrName = Column | str
@@ -87,19 +87,23 @@ def json_object_text(raw: ColumnOrName) -> Column:
 
 
 def category_from_json(raw: ColumnOrName, labels: Sequence[str] = CHAIN_LABEL_ORDER) -> Column:
-    """Keys ``category``, ``categoria``, ``label`` of the outermost JSON
-    object (stripped); if no valid object or none of the keys, the first label
-    contained in the reply; else null."""
+    """The first key present of ``category``, ``categoria``, ``label`` in the
+    outermost JSON object, as Python writes its value (null is ``None``),
+    stripped; if no valid object or none of the keys, the first label contained
+    in the reply; else null."""
     text = py_strip(_c(raw))
     v = F.try_parse_json(json_object_text(text))
     is_obj = F.when(v.isNotNull(), F.schema_of_variant(v).startswith("OBJECT"))
-    key_val = F.coalesce(*[F.try_variant_get(v, f"$.{k}", "string") for k in ("category", "categoria", "label")])
+    found = F.coalesce(*[F.try_variant_get(v, f"$.{k}", "variant") for k in ("category", "categoria", "label")])
+    key_val = (F.when(F.is_variant_null(found), F.lit("None"))
+               .when(F.schema_of_variant(found) == "BOOLEAN", F.initcap(F.try_variant_get(found, "$", "string")))
+               .otherwise(F.try_variant_get(found, "$", "string")))
     t_l = F.lower(text)
     contained = _chain([(_contains(t_l, lbl.lower()), F.lit(lbl)) for lbl in labels], F.lit(None).cast("string"))
     return F.when(F.coalesce(is_obj, F.lit(False)) & key_val.isNotNull(), py_strip(key_val)).otherwise(contained)
 
 
-def contained_label(raw: ColumnOrName, labels: Sequence[str] = FINE_LABELS, default: str = "Dodging") -> Column:
+def contained_label(raw: ColumnOrName, labels: Sequence[str] = DIRECT_LABEL_ORDER, default: str = "Dodging") -> Column:
     """O6 (single reply): first label contained in the reply, else ``default``."""
     r_l = F.lower(_c(raw))
     return _chain([(_contains(r_l, lbl.lower()), F.lit(lbl)) for lbl in labels], F.lit(default))

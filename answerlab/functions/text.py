@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
 
+#: White space as Python's ``str.split`` sees it: Unicode's, and U+001C to U+001F.
+SPACE = r"[\s\x1C-\x1F]"
+
 
 def _c(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -18,12 +21,12 @@ def _c(c: ColumnOrName) -> Column:
 
 def py_strip(c: ColumnOrName) -> Column:
     """Leading and trailing whitespace removed (like ``str.strip()``)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(c), rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def words(c: ColumnOrName) -> Column:
     """Whitespace tokens, empty pieces dropped (like ``str.split()``)."""
-    return F.filter(F.split(_c(c), r"\s+"), lambda x: x != "")
+    return F.array_remove(F.split(_c(c), rf"(?U){SPACE}+"), "")
 
 
 def word_count(c: ColumnOrName) -> Column:
@@ -91,12 +94,3 @@ def tone_tag(answer: ColumnOrName, tone: ColumnOrName) -> Column:
     """``[TONE OF RESPONSE: t]`` line in front of the answer."""
     return F.concat(F.lit("[TONE OF RESPONSE: "), _c(tone), F.lit("]\n"), _c(answer))
 
-
-def label_list(labels: ColumnOrName) -> Column:
-    """Labels joined by commas."""
-    return F.array_join(_c(labels), ",")
-
-
-def score_list(scores: ColumnOrName, decimals: int = 3) -> Column:
-    """Scores with a fixed number of decimals, joined by commas."""
-    return F.array_join(F.transform(_c(scores), lambda x: F.format_string(f"%.{decimals}f", x)), ",")

@@ -2,15 +2,15 @@
 
 Plan shape:
 * targets (R1) come from one count per class: a table of C rows;
-* down step (R2): Spark ML KMeans per over-full class (k capped), then the
-  rows nearest to their cluster centre are kept, with a per-cluster quota by
-  largest remainder so that exactly ``target`` distinct rows remain. The rank
-  inside a cluster is the distributed ``rank_within`` (a hot cluster is not
-  one task);
+* down step (R2): Spark ML KMeans per over-full class (k is the target, or as
+  given), then the rows nearest to their cluster centre are kept, with a
+  per-cluster quota by largest remainder so that exactly ``target`` distinct
+  rows remain. The rank inside a cluster is the distributed ``rank_within`` over
+  ids and distances only (a hot cluster is not one task);
 * up step (R3): each source row is repeated ``needed div n`` times plus once
-  more for the ``needed mod n`` rows with the smallest seeded hash (exact;
-  a window per class when classes fit one task, else two bounded hash
-  histograms, ``ranking.select_smallest``), via ``explode(sequence(..))``;
+  more for the ``needed mod n`` rows with the smallest seeded hash (exact, by
+  two bounded hash histograms, ``ranking.smallest_k``), via
+  ``explode(sequence(..))``;
 * rewrites (R4-R6): a native character-multiset bound decides most pairs;
   only pairs above it run the exact ratio in an Arrow-batched pandas UDF.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answerlab.operators.neighbours import centroids, dot, norm, sq_dist
-from answerlab.operators.ranking import rank_within, select_smallest
+from answerlab.operators.ranking import join_null_safe, rank_within, smallest_k
 from answerlab.operators.stats import split_hash_int
 
 
@@ -58,22 +58,22 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 # ------------------------------------------------------------------- R2
 
-def assign_clusters(df: DataFrame, targets: DataFrame, label: str, vec: str, max_k: int = 64, seed: int = 42,
+def assign_clusters(df: DataFrame, targets: DataFrame, label: str, vec: str, k: int | None = None, seed: int = 42,
                     out: str = "cluster") -> DataFrame:
-    """KMeans per over-full class with k = min(target, max_k); rows of
-    other classes get cluster 0. One distributed fit per over-full class
-    (classes are few); the assignments come from ``model.transform``."""
+    """KMeans per over-full class with k = its target, or the given ``k``
+    (never lowered); rows of other classes get cluster 0; a null label is a
+    class. One distributed fit per over-full class (classes are few); the
+    assignments come from ``model.transform``."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     over = [(r["label"], int(r["target"])) for r in
             targets.where(F.col("n") > F.col("target")).select("label", "target").collect()]  # C rows at most
-    parts = [df.join(F.broadcast(targets.where(F.col("n") <= F.col("target")).select(F.col("label").alias(label))), label)
-             .withColumn(out, F.lit(0))]
+    fitting = targets.where(F.col("n") <= F.col("target")).select(F.col("label").alias(label))
+    parts = [join_null_safe(df, fitting, [label]).withColumn(out, F.lit(0))]
     for lbl, target in over:
-        rows = df.where(F.col(label) == F.lit(lbl)).withColumn("_features", array_to_vector(F.col(vec)))
-        k = max(1, min(target, max_k))
-        model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol=out, maxIter=20).fit(rows)
+        rows = df.where(F.col(label).eqNullSafe(F.lit(lbl))).withColumn("_features", array_to_vector(F.col(vec)))
+        model = KMeans(k=target if k is None else k, seed=seed, featuresCol="_features", predictionCol=out, maxIter=20).fit(rows)
         parts.append(model.transform(rows).drop("_features").withColumn(out, F.col(out).cast("int")))
     res = parts[0]
     for p in parts[1:]:
@@ -87,41 +87,40 @@ def representatives(df: DataFrame, targets: DataFrame, label: str, cluster: str,
     (largest remainder, smaller cluster id first on ties) and keeps its rows
     nearest to the cluster centre (distance rounded to 6 places, then id)."""
     t = targets.select(F.col("label").alias(label), F.col("n").alias("_n"), F.col("target").alias("_t"))
-    tagged = df.join(F.broadcast(t), label)
+    tagged = join_null_safe(df, t, [label])
     keep_all = tagged.where(F.col("_n") <= F.col("_t")).drop("_n", "_t")
     over = tagged.where(F.col("_n") > F.col("_t"))
     sizes = over.groupBy(label, cluster, "_n", "_t").agg(F.count(F.lit(1)).alias("_s"))
     prod = F.col("_t") * F.col("_s")
     sizes = (sizes.withColumn("_base", F.floor(prod / F.col("_n")).cast("long"))
              .withColumn("_rem", prod % F.col("_n")))
-    wl = Window.partitionBy(label)  # clusters of one class: at most max_k rows
+    wl = Window.partitionBy(label)  # clusters of one class
     sizes = (sizes.withColumn("_left", F.col("_t") - F.sum("_base").over(wl))
              .withColumn("_rr", F.row_number().over(wl.orderBy(F.desc("_rem"), cluster)))
              .withColumn("_quota", F.col("_base") + F.when(F.col("_rr") <= F.col("_left"), 1).otherwise(0)))
     cents = centroids(over.withColumn("_key", F.struct(label, cluster)), "_key", vec) \
         .select(F.col("label").alias("_key"), "centroid")
-    dist = (over.withColumn("_key", F.struct(label, cluster)).join(F.broadcast(cents), "_key")
-            .withColumn("_dist", F.round(F.sqrt(sq_dist(F.col(vec), F.col("centroid"))), 6))
-            .drop("centroid", "_key"))
+    dist = (over.withColumn("_key", F.struct(label, cluster)).join(cents, "_key")
+            .withColumn("_dist", F.round(F.sqrt(sq_dist(F.col(vec), F.col("centroid"))), 6)))
     ranked = rank_within(dist, [label, cluster], ["_dist", id_col], out="_rank")
-    kept = (ranked.join(F.broadcast(sizes.select(label, cluster, "_quota")), [label, cluster])
-            .where(F.col("_rank") <= F.col("_quota")))
-    return keep_all.unionByName(kept.drop("_n", "_t", "_dist", "_rank", "_quota"))
+    ids = (join_null_safe(ranked, sizes.select(label, cluster, "_quota"), [label, cluster])
+           .where(F.col("_rank") <= F.col("_quota")).select(id_col))
+    return keep_all.unionByName(over.join(ids, id_col, "left_semi").drop("_n", "_t"))
 
 
 # ------------------------------------------------------------------- R3
 
 def upsample_sources(df: DataFrame, targets: DataFrame, label: str, id_col: str, max_multiplier: float = 2.0,
-                     seed: int = 42, max_window_rows: int = 2_000_000) -> DataFrame:
+                     seed: int = 42) -> DataFrame:
     """Rows of classes below target, each with ``copies`` synthetic copies
     to make: needed = min(target, int(n * mult)) - n; every row is used
     needed div n times, plus once for the needed mod n rows with the smallest
     seeded hash. Output: source rows exploded to (.., copy_no)."""
     t = targets.select(F.col("label").alias(label), F.col("n").alias("_n"),
                        (F.least(F.col("target"), F.floor(F.col("n") * F.lit(max_multiplier))) - F.col("n")).alias("_need"))
-    under = df.join(F.broadcast(t.where(F.col("_need") > 0)), label).withColumn("_h", split_hash_int(id_col, seed))
+    under = join_null_safe(df, t.where(F.col("_need") > 0), [label]).withColumn("_h", split_hash_int(id_col, seed))
     rem = t.where(F.col("_need") > 0).select(label, (F.col("_need") % F.col("_n")).alias("k"))  # one row per class
-    flagged = select_smallest(under, [label], "_h", id_col, rem, out="_extra", max_window_rows=max_window_rows)
+    flagged = smallest_k(under, [label], "_h", id_col, rem, out="_extra")
     copies = F.floor(F.col("_need") / F.col("_n")) + F.when(F.col("_extra"), 1).otherwise(0)
     return (flagged.withColumn("copies", copies.cast("int")).where(F.col("copies") > 0)
             .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
@@ -154,7 +153,7 @@ def with_surface_bound(df: DataFrame, a: str, b: str, out: str = "surface_bound"
 @F.pandas_udf(T.DoubleType())
 def _difflib_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
-    return pd.Series([SequenceMatcher(None, str(x or "").lower(), str(y or "").lower()).ratio()
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x.lower(), y.lower()).ratio()
                       for x, y in zip(a, b)], dtype="float64")
 
 
@@ -163,11 +162,13 @@ def accept_pairs(df: DataFrame, original: str, rewrite: str, min_div: float = 0.
     """Accept a rewrite if its character similarity to the original is at
     most 1 - min_div and, when both vectors are present, their cosine lies in
     [lo, hi]. The exact similarity (difflib ratio) is computed only for pairs
-    whose native upper bound exceeds the limit."""
+    whose native upper bound exceeds the limit: the others reach the UDF as
+    nulls, which it skips (a UDF under ``when`` alone would run on every row)."""
     limit = 1.0 - min_div
     out = with_surface_bound(df, original, rewrite)
-    out = out.withColumn("surface_ratio", F.when(F.col("surface_bound") > limit,
-                                                 _difflib_ratio(F.col(original), F.col(rewrite))))
+    above = F.col("surface_bound") > limit
+    a, b = (F.when(above, F.coalesce(F.col(c), F.lit(""))) for c in (original, rewrite))
+    out = out.withColumn("surface_ratio", _difflib_ratio(a, b))
     surface_ok = F.col("surface_bound") <= limit
     surface_ok = surface_ok | (F.col("surface_ratio") <= limit)
     ok = surface_ok
@@ -188,6 +189,23 @@ def choose_rewrites(cands: DataFrame, id_cols: Sequence[str], attempt: str = "at
     return cands.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
 
 
+def retry_sources(first: DataFrame, cands: DataFrame, rows: DataFrame, id_col: str, source: str = "source_id",
+                  attempt: str = "attempt", accepted: str = "accepted", text: str = "rewrite") -> DataFrame:
+    """R5 with retries on other rows: ``first`` holds one rewrite per synthetic
+    row (``id_col``, ``source``, ``accepted``, ``text``), ``cands`` the retries
+    (``id_col``, ``attempt``, ``source`` tried instead, ``accepted``, ``text``).
+    An accepted first rewrite stays, else the first accepted retry replaces the
+    text and its source, else the first rewrite stays. All columns of ``rows``
+    (keyed by ``source``) are carried over from the source that was used."""
+    tries = (cands.where(F.coalesce(F.col(accepted), F.lit(False))).groupBy(id_col)
+             .agg(F.min_by(F.struct(F.col(source).alias("s"), F.col(text).alias("t")), F.col(attempt)).alias("_retry")))
+    use = ~F.coalesce(F.col(accepted), F.lit(False)) & F.col("_retry").isNotNull()
+    chosen = first.join(tries, id_col, "left").select(
+        id_col, F.when(use, F.col("_retry.s")).otherwise(F.col(source)).alias(source),
+        F.when(use, F.col("_retry.t")).otherwise(F.col(text)).alias(text), use.alias("retried"))
+    return chosen.join(rows, source, "left")
+
+
 def augmented_flag(dfs: Sequence[DataFrame], col: str = "is_augmented") -> list[DataFrame]:
     """Add ``col = false`` where missing, only if some input has it."""
     if not any(col in d.columns for d in dfs):
@@ -205,8 +223,10 @@ def union_all(dfs: Sequence[DataFrame]) -> DataFrame:
 def upsample(originals: DataFrame, sources: DataFrame, rewrites: DataFrame, id_col: str, text: str,
              rewrite: str = "rewrite") -> DataFrame:
     """Originals kept; each source copy becomes a synthetic row with the
-    chosen rewrite as its text and ``is_augmented = true``."""
-    syn = (sources.join(rewrites.select(id_col, F.col(rewrite).alias("_rw")), id_col, "left")
+    chosen rewrite as its text and ``is_augmented = true``. ``rewrites`` may
+    hold one text for each copy (``copy_no``) or one for all copies of a row."""
+    by = [id_col, "copy_no"] if "copy_no" in rewrites.columns else [id_col]
+    syn = (join_null_safe(sources, rewrites.select(*by, F.col(rewrite).alias("_rw")), by, "left")
            .withColumn(text, F.coalesce(F.col("_rw"), F.lit("")))
            .drop("_rw", "copies").withColumn("is_augmented", F.lit(True)))
     syn = syn.select(*[c for c in originals.columns if c in syn.columns], "copy_no", "is_augmented")
@@ -228,16 +248,16 @@ def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
 
 def rebalance(df: DataFrame, label: str, id_col: str, vec: str, text: str, rewrites: DataFrame,
               strategy: str | int = "soft", down_ratio: float = 0.75, split_col: str = "split",
-              max_k: int = 64, max_multiplier: float = 2.0, seed: int = 42) -> DataFrame:
+              k: int | None = None, max_multiplier: float = 2.0, seed: int = 42) -> DataFrame:
     """Targets once from the train split; down step where a class is above
     target, up step where below; other splits untouched."""
     train = df.where(F.col(split_col) == "train")
-    rest = df.where(F.col(split_col) != "train")
+    rest = df.where(~F.col(split_col).eqNullSafe("train"))
     targets = class_targets(class_counts(train, label), strategy, down_ratio)
-    clustered = assign_clusters(train, targets, label, vec, max_k, seed)
+    clustered = assign_clusters(train, targets, label, vec, k, seed)
     down = representatives(clustered, targets, label, "cluster", vec, id_col).drop("cluster")
     sources = upsample_sources(train, targets, label, id_col, max_multiplier, seed)
-    chosen = choose_rewrites(rewrites, [id_col])
+    chosen = choose_rewrites(rewrites, [id_col, *[c for c in ("copy_no",) if c in rewrites.columns]])
     up = upsample(down, sources, chosen, id_col, text)
     return union_all(augmented_flag([up, rest]))
 

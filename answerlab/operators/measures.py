@@ -219,11 +219,37 @@ def dual_level_metrics(df: DataFrame, truth: str = "true_label", pred: str = "pr
         F.struct(F.lit("fine").alias("level"), t.alias("t"), p.alias("p"), F.lit(False).alias("unmapped")),
         F.struct(F.lit("coarse").alias("level"), ct.alias("t"), cp.alias("p"),
                  (ct.isNull() | cp.isNull()).alias("unmapped")))))
-    unm = stacked.groupBy(*by, "level").agg(F.count_if("unmapped").alias("n_unmapped"))
-    kept = stacked.where(~F.col("unmapped"))
-    fine_m = metrics_row(kept.where(F.col("level") == "fine"), fine, "t", "p", [*by, "level"])
-    coarse_m = metrics_row(kept.where(F.col("level") == "coarse"), coarse, "t", "p", [*by, "level"])
-    return fine_m.unionByName(coarse_m).join(unm, [*by, "level"], "left")
+    # one pass: pair counts of both levels, then everything from that small table; a
+    # level lists its own labels only, so the grids of both cannot mix
+    pc = (stacked.groupBy(*by, "level", "unmapped", F.col("t").alias("true_label"), F.col("p").alias("pred_label"))
+          .agg(F.count(F.lit(1)).alias("n")))
+    listed = F.when(F.col("level") == "fine", F.array(*[F.lit(x) for x in fine])).otherwise(F.array(*[F.lit(x) for x in coarse]))
+    return _levels(pc, [*by, "level"], listed)
+
+
+def _levels(pc: DataFrame, by: Sequence[str], listed) -> DataFrame:
+    """Summary per group of pair counts (``unmapped`` ones only counted), with
+    the labels of ``listed`` (an array by group); null pairs count as wrong."""
+    zero = F.lit(0).cast("long")
+
+    def cell(label, t, p, hit, listed_, un):
+        return F.struct(label.alias("label"), t.alias("t"), p.alias("p"), hit.alias("hit"), listed_.alias("listed"), un.alias("un"))
+    n, mapped = F.col("n"), ~F.col("unmapped")
+    seen = F.array(cell(F.when(mapped, F.col("true_label")), F.when(mapped, n).otherwise(zero), zero,
+                        F.when(mapped & (F.col("true_label") == F.col("pred_label")), n).otherwise(zero), F.lit(False),
+                        F.when(mapped, zero).otherwise(n)),
+                   cell(F.when(mapped, F.col("pred_label")), zero, F.when(mapped, n).otherwise(zero), zero, F.lit(False), zero))
+    grid = F.transform(listed, lambda x: cell(x, zero, zero, zero, F.lit(True), zero))
+    cells = pc.select(*by, F.inline(F.concat(seen, grid)))
+    per = cells.groupBy(*by, "label").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("hit").alias("hit"),
+                                          F.max("listed").alias("listed"), F.sum("un").alias("un"))
+    inl = F.col("listed") & F.col("label").isNotNull()
+    f1 = F.when(inl & (F.col("t") + F.col("p") > 0), 2 * F.col("hit") / (F.col("t") + F.col("p"))).when(inl, F.lit(0.0))
+    sup = F.sum(F.when(inl, F.col("t")))
+    return per.withColumn("f1", f1).groupBy(*by).agg(
+        F.sum("t").cast("long").alias("n_rows"), (F.sum("hit") / F.when(F.sum("t") > 0, F.sum("t"))).alias("accuracy"),
+        F.avg("f1").alias("macro_f1"), F.coalesce(F.sum(F.col("f1") * F.col("t")) / F.when(sup > 0, sup), F.lit(0.0)).alias("weighted_f1"),
+        F.sum("un").cast("long").alias("n_unmapped"))
 
 
 def drop_ignored(df: DataFrame, col: str = "label_id") -> DataFrame:

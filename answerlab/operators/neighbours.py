@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerlab.functions.constants import TAXONOMY
+from answerlab.operators.ranking import join_null_safe
 from answerlab.session import literal_table
 
 
@@ -54,14 +55,6 @@ def normalise_vectors(df: DataFrame, col: str = "embedding", out: str | None = N
     return df.withColumn(out or col, F.transform(col, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
 
 
-def _bounded_list(df: DataFrame, limit: int, what: str) -> Column:
-    """Scalar subquery with the rows of ``df`` as one array; fails if it holds
-    more than ``limit`` rows (the broadcast is bounded by construction)."""
-    arr = F.collect_list(F.struct(*df.columns))
-    return df.select(F.when(F.size(arr) <= limit, arr)
-                     .otherwise(F.raise_error(F.lit(f"{what}: more than {limit} rows"))).alias("a")).scalar()
-
-
 def _assign_buckets(pivots, c_cols_schema):
     """mapInPandas body: best pivot (highest inner product, lowest index on
     ties) and distance to it, for each corpus vector of the batch."""
@@ -238,11 +231,11 @@ def centroids(train: DataFrame, label: str, vec: str = "embedding") -> DataFrame
         F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def centroid_classifier(train: DataFrame, test: DataFrame, label: str, vec: str = "embedding",
-                        max_classes: int = 1000) -> DataFrame:
+def centroid_classifier(train: DataFrame, test: DataFrame, label: str, vec: str = "embedding") -> DataFrame:
     """logits = inner product with each class centroid (classes in label
-    order), prediction = label of the first maximum."""
-    cents = _bounded_list(centroids(train, label, vec).orderBy("label"), max_classes, "centroids")
+    order), prediction = label of the first maximum. Every row gets one logit
+    for each class, so the list of centroids is as long as a row's result."""
+    cents = centroids(train, label, vec).select(F.collect_list(F.struct("label", "centroid"))).scalar()
     sorted_c = F.sort_array(cents)  # by label; sort_array is not a lambda function
     return (test.withColumn("_c", sorted_c)
             .withColumn("logits", F.transform("_c", lambda c: dot(c["centroid"], F.col(vec))))
@@ -259,7 +252,7 @@ def median_exemplar(df: DataFrame, text: str, id_col: str, group: Sequence[str]
     g = list(group)
     base = df.select(*g, id_col, ln.alias("_len"))
     med = base.groupBy(*g).agg(F.percentile("_len", 0.5).alias("median"))
-    j = base.join(F.broadcast(med), g) if g else base.withColumn("median", med.select("median").scalar())
+    j = join_null_safe(base, med, g) if g else base.withColumn("median", med.select("median").scalar())
     pick = j.groupBy(*g).agg(F.min_by(F.struct(id_col, "_len", "median"),
                                       F.struct(F.abs(F.col("_len") - F.col("median")), F.col(id_col))).alias("_p"))
     return pick.select(*g, F.col("_p")[id_col].alias(id_col), F.col("_p")["_len"].alias("length"),
@@ -267,19 +260,50 @@ def median_exemplar(df: DataFrame, text: str, id_col: str, group: Sequence[str]
 
 
 def _taxonomy_df(spark, taxonomy: Sequence[tuple[str, str]]) -> DataFrame:
-    return literal_table(spark, [(i, f, c) for i, (f, c) in enumerate(taxonomy)], ["pos", "fine", "coarse"])
+    return literal_table(spark, [(i, f, c) for i, (f, c) in enumerate(taxonomy)], ["_pos", "_fine", "_coarse"])
+
+
+def exemplars_by_level(df: DataFrame, text: str, id_col: str, levels: dict[str, str]) -> DataFrame:
+    """X2 over several label columns at once: ``levels`` maps a level name to its
+    label column; every row is stacked once per level, so all levels come from
+    one pass. Returns (level, label, id, length, median); null labels have none."""
+    stacked = df.select(id_col, F.col(text), F.inline(F.array(*[
+        F.struct(F.lit(level).alias("level"), F.col(c).alias("label")) for level, c in levels.items()])))
+    return median_exemplar(stacked, text, id_col, ["level", "label"]).where(F.col("label").isNotNull())
+
+
+def _first_per_coarse(stacked: DataFrame, id_col: str, taxonomy: Sequence[tuple[str, str]], fine_level: str) -> DataFrame:
+    """Per coarse class: the exemplar of the first fine label (taxonomy order)
+    that has one, else the exemplar of the coarse class (``fine`` null)."""
+    tax = F.broadcast(_taxonomy_df(stacked.sparkSession, taxonomy))  # one row for each fine label
+    is_fine = F.col("level") == fine_level
+    tagged = (stacked.join(tax, is_fine & (F.col("label") == F.col("_fine")), "left")
+              .select(F.when(is_fine, F.col("_coarse")).otherwise(F.col("label")).alias("coarse"),
+                      F.when(is_fine, F.col("_pos")).otherwise(F.lit(len(taxonomy))).alias("_pos"),
+                      F.struct(F.when(is_fine, F.col("label")).alias("fine"), F.col(id_col).alias("id")).alias("_x")))
+    return (tagged.groupBy("coarse").agg(F.min_by("_x", "_pos").alias("_x")).where(F.col("coarse").isNotNull())
+            .select("coarse", F.col("_x.fine").alias("fine"), F.col("_x.id").alias(id_col)))
+
+
+def _stack(fine_ex: DataFrame, coarse_ex: DataFrame, id_col: str) -> DataFrame:
+    return (fine_ex.select(F.lit("fine").alias("level"), F.col("fine").alias("label"), id_col)
+            .unionByName(coarse_ex.select(F.lit("coarse").alias("level"), F.col("coarse").alias("label"), id_col)))
+
+
+def collapse_stacked(stacked: DataFrame, id_col: str, taxonomy: Sequence[tuple[str, str]] = TAXONOMY,
+                     fine_level: str = "fine") -> DataFrame:
+    """X3 on stacked exemplars (level, label, id): (coarse, id, source), where
+    source tells whether a fine or the coarse exemplar was found. One pass."""
+    return _first_per_coarse(stacked, id_col, taxonomy, fine_level).select(
+        "coarse", id_col, F.when(F.col("fine").isNotNull(), F.lit("fine")).otherwise(F.lit("coarse")).alias("source"))
 
 
 def collapse_exemplars(fine_ex: DataFrame, coarse_ex: DataFrame, id_col: str,
-                       taxonomy: Sequence[tuple[str, str]] = TAXONOMY, coarse_order: Sequence[str] | None = None) -> DataFrame:
+                       taxonomy: Sequence[tuple[str, str]] = TAXONOMY) -> DataFrame:
     """Per coarse class, the exemplar of the first fine label (taxonomy
     order) that has one; classes without any take their coarse exemplar.
     In: fine_ex(fine, id), coarse_ex(coarse, id). Out: (coarse, id, source)."""
-    tax = F.broadcast(_taxonomy_df(fine_ex.sparkSession, taxonomy))
-    found = (fine_ex.join(tax, "fine").groupBy("coarse")
-             .agg(F.min_by(F.col(id_col), F.col("pos")).alias(id_col)).withColumn("source", F.lit("fine")))
-    fill = coarse_ex.join(found.select("coarse"), "coarse", "left_anti").select("coarse", id_col).withColumn("source", F.lit("coarse"))
-    return found.unionByName(fill)
+    return collapse_stacked(_stack(fine_ex, coarse_ex, id_col), id_col, taxonomy)
 
 
 def one_shot_fine_label(coarse: Column, taxonomy: Sequence[tuple[str, str]] = TAXONOMY) -> Column:
@@ -290,14 +314,15 @@ def one_shot_fine_label(coarse: Column, taxonomy: Sequence[tuple[str, str]] = TA
     return F.create_map(*[F.lit(x) for kv in first.items() for x in kv])[coarse]
 
 
+def fine_stacked(stacked: DataFrame, id_col: str, taxonomy: Sequence[tuple[str, str]] = TAXONOMY,
+                 fine_level: str = "fine") -> DataFrame:
+    """X13 on stacked exemplars (level, label, id): (coarse, label, id). One pass."""
+    return _first_per_coarse(stacked, id_col, taxonomy, fine_level).select(
+        "coarse", F.coalesce("fine", one_shot_fine_label(F.col("coarse"), taxonomy)).alias("label"), id_col)
+
+
 def fine_exemplar_per_coarse(fine_ex: DataFrame, coarse_ex: DataFrame, id_col: str,
                              taxonomy: Sequence[tuple[str, str]] = TAXONOMY) -> DataFrame:
     """Per coarse class, (first fine label with an exemplar, its exemplar);
     without any, the coarse exemplar tagged with the first fine label of the class."""
-    tax = F.broadcast(_taxonomy_df(fine_ex.sparkSession, taxonomy))
-    found = (fine_ex.join(tax, "fine").groupBy("coarse")
-             .agg(F.min_by(F.struct(F.col("fine").alias("label"), F.col(id_col)), F.col("pos")).alias("_p"))
-             .select("coarse", F.col("_p")["label"].alias("label"), F.col(f"_p.{id_col}").alias(id_col)))
-    fill = (coarse_ex.join(found.select("coarse"), "coarse", "left_anti")
-            .select("coarse", one_shot_fine_label(F.col("coarse"), taxonomy).alias("label"), id_col))
-    return found.unionByName(fill)
+    return fine_stacked(_stack(fine_ex, coarse_ex, id_col), id_col, taxonomy)

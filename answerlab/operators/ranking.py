@@ -1,16 +1,17 @@
-"""Exact row numbers within groups without funnelling a group into one task.
+"""Exact ranks and k-smallest selection within groups, without a group in one task.
 
-``Window.partitionBy(group).orderBy(key)`` sends every row of a group to one
-task; with a group holding a third of all rows that task is the job. Here the
-rows are range-partitioned on (group, key), so a hot group is spread over
-many balanced partitions. Per (partition, group) counts form a small table
-(partitions x groups); a running sum over it gives each partition's offset,
-and the row number is offset + position inside the partition.
+``rank_within`` range-partitions narrow rows on (group, key), so a hot group is
+spread over many balanced partitions; per (partition, group) counts give each
+partition's offset, and the row number is offset + position in the partition.
+Positions come from ``monotonically_increasing_id`` on sorted partitions, which
+is stable only while the partitioning is; the narrow rows are therefore written
+to the shared checkpoint folder first.
 
-The positions come from ``monotonically_increasing_id`` on the sorted
-partitions, which is only stable while the partitioning is; the result is
-therefore written to the shared checkpoint folder before it is joined back,
-so a lost executor cannot make the two halves disagree.
+``smallest_k`` finds the cut of an integer key by two bounded histograms, which
+combine on the map side: no sort, nothing written.
+
+Both have one plan whatever the size. Joins match null groups with null groups;
+which side is broadcast is left to Spark's own size check.
 """
 
 from __future__ import annotations
@@ -23,29 +24,29 @@ from pyspark.sql import functions as F
 from answerlab.session import cut_lineage
 
 
-def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "rn",
-                partitions: int | None = None, max_window_rows: int = 2_000_000,
-                max_groups: int = 10_000) -> DataFrame:
-    """Add ``out`` = 1-based row number of each row inside its ``group`` when
-    sorted by ``order`` (which must make the order total, e.g. end with an id).
+def join_null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``cols`` in which null matches null; keeps the left's columns of that name."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in cols})
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in cols])
+
 
-    Group sizes are measured first (one aggregate of at most ``max_groups``
-    rows): when every group fits one task (``max_window_rows``) a plain
-    window is used; otherwise the range-partitioned rank below."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).limit(max_groups + 1).collect()
-    if len(sizes) <= max_groups and max((r["_n"] for r in sizes), default=0) <= max_window_rows:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "rn") -> DataFrame:
+    """The columns ``group`` and ``order`` with ``out`` = 1-based row number of
+    each row inside its group when sorted by ``order`` (which must make the
+    order total, e.g. end with an id). Only these columns are moved; join the
+    result back by the id."""
     keys = [*group, *order]
-    placed = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    placed = (df.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33)))
     placed = cut_lineage(placed)
     counts = placed.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first"))
     w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    return (placed.join(F.broadcast(offsets.select("_pid", *group, "_off", "_first")), ["_pid", *group])
+    return (join_null_safe(placed, offsets.select("_pid", *group, "_off", "_first"), ["_pid", *group])
             .withColumn(out, F.col("_off") + F.col("_pos") - F.col("_first") + 1)
             .drop("_pid", "_pos", "_off", "_first"))
 
@@ -56,13 +57,12 @@ def smallest_k(df: DataFrame, group: Sequence[str], key: str, tiebreak: str, k,
     small DataFrame (group columns + ``k``) or a function from the group size
     column to k (e.g. ``lambda n: ceil(n * 0.2)``).
 
-    Exact and without materialising or sorting the data: a histogram of the
-    high 16 bits per group (at most groups x 65,536 rows, combined map-side;
-    it also gives the group size) locates the bucket where the k-th row lies;
-    a histogram of the low 16 bits inside that bucket locates the exact key;
-    only rows with exactly that key (hash collisions, a handful) are ordered
-    by ``tiebreak``. The data is read four times (two histograms, the tie
-    rows, the final flag), each a map-side pass.
+    A histogram of the high 16 bits per group (at most groups x 65,536 rows,
+    combined map-side; it also gives the group size) locates the bucket where
+    the k-th row lies; a histogram of the low 16 bits inside that bucket locates
+    the exact key; only rows with exactly that key (hash collisions, a handful)
+    are ordered by ``tiebreak``. The data is read four times (two histograms,
+    the tie rows, the final flag), each a map-side pass.
     """
     g = list(group)
     base = df.withColumn("_hi", F.shiftright(F.col(key), 16)).withColumn("_lo", F.col(key).bitwiseAND(0xFFFF))
@@ -70,7 +70,7 @@ def smallest_k(df: DataFrame, group: Sequence[str], key: str, tiebreak: str, k,
     h1 = base.groupBy(*g, "_hi").agg(F.count(F.lit(1)).alias("_c"))
     wg = Window.partitionBy(*g)
     if isinstance(k, DataFrame):
-        h1 = h1.join(F.broadcast(k.select(*g, F.col("k").cast("long").alias("_k"))), g)
+        h1 = join_null_safe(h1, k.select(*g, F.col("k").cast("long").alias("_k")), g)
     else:
         h1 = h1.withColumn("_k", k(F.sum("_c").over(wg)).cast("long"))
     h1 = (h1.withColumn("_cum", F.sum("_c").over(wg.orderBy("_hi")))
@@ -78,38 +78,16 @@ def smallest_k(df: DataFrame, group: Sequence[str], key: str, tiebreak: str, k,
     b1 = (h1.where((F.col("_before") < F.col("_k")) & (F.col("_cum") >= F.col("_k")))
           .select(*g, F.col("_hi").alias("_bhi"), F.col("_before").alias("_b1"), "_k"))
     # level 2: exact key inside that bucket
-    inb = base.join(F.broadcast(b1), g).where(F.col("_hi") == F.col("_bhi"))
+    inb = join_null_safe(base, b1, g).where(F.col("_hi") == F.col("_bhi"))
     h2 = inb.groupBy(*g, "_lo", "_b1", "_k", "_bhi").agg(F.count(F.lit(1)).alias("_c"))
     h2 = (h2.withColumn("_cum", F.col("_b1") + F.sum("_c").over(wg.orderBy("_lo")))
           .withColumn("_before", F.col("_cum") - F.col("_c")))
     cut = (h2.where((F.col("_before") < F.col("_k")) & (F.col("_cum") >= F.col("_k")))
            .select(*g, (F.col("_bhi") * 65536 + F.col("_lo")).alias("_kkey"), (F.col("_k") - F.col("_before")).alias("_take")))
-    # rows with exactly the cut key: take the first _take by tiebreak
-    ties = (base.join(F.broadcast(cut), g).where(F.col(key) == F.col("_kkey"))
+    # rows with exactly the cut key: the first _take by tiebreak
+    ties = (join_null_safe(base, cut, g).where(F.col(key) == F.col("_kkey"))
             .withColumn("_r", F.row_number().over(Window.partitionBy(*g).orderBy(tiebreak)))
             .where(F.col("_r") <= F.col("_take")).select(*g, tiebreak).withColumn("_tie", F.lit(True)))
-    flagged = (df.join(F.broadcast(cut.select(*g, "_kkey")), g, "left")
-               .join(F.broadcast(ties), [*g, tiebreak], "left"))
+    flagged = join_null_safe(join_null_safe(df, cut.select(*g, "_kkey"), g, "left"), ties, [*g, tiebreak], "left")
     flag = F.coalesce(F.col(key) < F.col("_kkey"), F.lit(False)) | F.coalesce(F.col("_tie"), F.lit(False))
     return flagged.withColumn(out, flag).drop("_kkey", "_tie")
-
-
-def select_smallest(df: DataFrame, group: Sequence[str], key: str, tiebreak: str, k, out: str = "in_k",
-                    max_window_rows: int = 2_000_000, max_groups: int = 10_000) -> DataFrame:
-    """``smallest_k`` with the plan chosen by measured group sizes: when every
-    group holds at most ``max_window_rows`` rows, one window rank per group
-    (a group then fits one task); otherwise the histogram selection, which
-    never gathers a group. Group sizes come from one aggregate of at most
-    ``max_groups`` rows (more groups also take the histogram path).
-    ``k`` as in ``smallest_k``."""
-    g = list(group)
-    sizes = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")).limit(max_groups + 1).collect()
-    if len(sizes) > max_groups or max((r["_n"] for r in sizes), default=0) > max_window_rows:
-        return smallest_k(df, g, key, tiebreak, k, out)
-    w = Window.partitionBy(*g).orderBy(key, tiebreak)
-    ranked = df.withColumn("_rk", F.row_number().over(w))
-    if isinstance(k, DataFrame):
-        ranked = ranked.join(F.broadcast(k.select(*g, F.col("k").cast("long").alias("_k"))), g, "left")
-    else:
-        ranked = ranked.withColumn("_k", k(F.count(F.lit(1)).over(Window.partitionBy(*g))).cast("long"))
-    return ranked.withColumn(out, F.coalesce(F.col("_rk") <= F.col("_k"), F.lit(False))).drop("_rk", "_k")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerlab.functions.constants import PARSE_ERROR, TONES
-from answerlab.functions.replies import with_reply_label
+from answerlab.functions.replies import reasoning_steps, with_reply_label
 from answerlab.functions.text import truncate_chars, words
 
 Scorer = Callable[[pd.DataFrame], pd.Series]
@@ -28,6 +28,8 @@ def _scored_batches(scorer: Scorer, keep: Sequence[str]):
         for pdf in batches:
             try:
                 raw = [str(x) for x in scorer(pdf)]
+                if len(raw) != len(pdf):
+                    raise ValueError(f"{len(raw)} replies for {len(pdf)} rows")
             except Exception:  # isolate the failing rows of this batch
                 raw = []
                 for i in range(len(pdf)):
@@ -42,49 +44,45 @@ def _scored_batches(scorer: Scorer, keep: Sequence[str]):
 
 
 def score_table(df: DataFrame, scorer: Scorer, keep: Sequence[str], labels: Sequence[str],
-                answer: str | None = None, snippet_chars: int = 150) -> DataFrame:
-    """Raw reply per row from ``scorer``, parsed label (O1), optional answer
-    snippet. ``keep`` columns are carried through."""
+                answer: str | None = None, snippet_chars: int = 150, tagged: bool = False) -> DataFrame:
+    """Raw reply per row from ``scorer``, parsed label (O1, or O3 with
+    ``tagged``), optional answer snippet. ``keep`` columns are carried through.
+    The tagged form adds ``reasoning`` (O4), empty for a failed row."""
     fields = [f for f in df.schema.fields if f.name in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", raw_output string"
     scored = with_reply_label(df.mapInPandas(_scored_batches(scorer, keep), schema), "raw_output", labels,
-                              "label", "_parsed")
-    scored = scored.withColumn("pred_label", F.when(F.col("raw_output").startswith("ERROR: "), F.lit(PARSE_ERROR))
-                               .otherwise(F.col("_parsed"))).drop("_parsed")
+                              "tagged" if tagged else "label", "_parsed")
+    failed = F.col("raw_output").startswith("ERROR: ")
+    scored = scored.withColumn("pred_label", F.when(failed, F.lit(PARSE_ERROR)).otherwise(F.col("_parsed"))).drop("_parsed")
+    if tagged:
+        scored = scored.withColumn("reasoning", F.when(failed, F.lit("")).otherwise(F.coalesce(reasoning_steps("raw_output"), F.lit(""))))
     if answer and answer in keep:
         scored = scored.withColumn("answer_snippet", truncate_chars(answer, snippet_chars, ellipsis=False))
     return scored
 
 
-def _bounded_map(df: DataFrame, key: str, value, limit: int):
-    arr = F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))
-    return df.select(F.when(F.size(arr) <= limit, F.map_from_entries(arr))
-                     .otherwise(F.raise_error(F.lit(f"lexicon larger than {limit} words")))).scalar()
-
-
-def lexicon_label(df: DataFrame, text: str, lexicon: DataFrame, tones: Sequence[str] = TONES,
-                  out: str = "tone", max_words: int = 1_000_000) -> DataFrame:
+def lexicon_label(df: DataFrame, text: str, lexicon: DataFrame, id_col: str, tones: Sequence[str] = TONES,
+                  out: str = "tone") -> DataFrame:
     """Sum of lexicon weights per tone over the lower-cased, punctuation-free
-    tokens of the text; highest sum wins, list order on ties, so a text
-    without hits gets the first tone. The lexicon (bounded, checked) is one
-    map attached as a scalar; each row is scored in place: no explode, no
-    join, no shuffle."""
-    # one weight vector per word, tones in list order (bounded by the lexicon size)
-    vec = F.array(*[F.sum(F.when(F.col("tone") == t, F.col("weight").cast("double")).otherwise(0.0)) for t in tones])
-    entries = lexicon.groupBy("word").agg(vec.alias("w"))
-    lex = _bounded_map(entries, "word", F.col("w"), max_words)
-    # punctuation removed once per text (not once per token), then whitespace tokens
+    tokens of the text; highest sum wins, list order on ties, so a text without
+    hits gets the first tone. Adds ``out`` and ``tone_scores`` (tones in list
+    order); ``id_col`` must be unique.
+
+    Tokens are joined to the lexicon by word (broadcast or shuffled as Spark's
+    size check decides; a frequent word's rows are split by its skew handling)
+    and summed by row on the map side, so only ids and sums move and the cost
+    per token does not depend on the size of the lexicon."""
     toks = words(F.regexp_replace(F.lower(F.col(text)), r"(?U)[^\w\s]", ""))
-    zero = F.array(*[F.lit(0.0) for _ in tones])
-    staged = (df.withColumn("_lex", lex)
-              # native map lookups keep only the hits; the vector sum runs on those alone
-              .withColumn("_hits", F.transform(F.filter(toks, lambda t: F.col("_lex")[t].isNotNull()),
-                                               lambda t: F.col("_lex")[t]))
-              .withColumn("_sc", F.aggregate("_hits", zero, lambda acc, w: F.zip_with(acc, w, lambda x, y: x + y))))
-    best = F.array_max(F.transform("_sc", lambda s, i: F.struct(s.alias("s"), (-i).alias("ni"))))
-    tone_arr = F.array(*[F.lit(t) for t in tones])
-    return (staged.withColumn(out, F.element_at(tone_arr, (1 - best["ni"]).cast("int")))
-            .withColumn("tone_scores", F.col("_sc")).drop("_lex", "_hits", "_sc"))
+    weight = F.col("weight").cast("double")
+    per_word = lexicon.groupBy("word").agg(*[F.sum(F.when(F.col("tone") == t, weight).otherwise(0.0)).alias(f"_w{i}")
+                                             for i, t in enumerate(tones)])
+    hits = df.select(F.col(id_col).alias("_id"), F.explode(toks).alias("word")).join(per_word, "word")
+    sums = hits.groupBy("_id").agg(*[F.sum(f"_w{i}").alias(f"_s{i}") for i in range(len(tones))])
+    scored = df.join(sums, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    s = [F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) for i in range(len(tones))]
+    best = F.greatest(*s) if len(s) > 1 else s[0]
+    pick = F.coalesce(*[F.when(x == best, F.lit(t)) for x, t in zip(s, tones)])
+    return scored.withColumn(out, pick).withColumn("tone_scores", F.array(*s)).drop("_id", *[f"_s{i}" for i in range(len(tones))])
 
 
 def pending(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -94,24 +92,25 @@ def pending(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def is_complete(done: DataFrame, inputs: DataFrame) -> DataFrame:
-    """One row (n_done, n_input, complete) from two counts."""
-    n_done = done.select(F.count(F.lit(1))).scalar()
-    n_in = inputs.select(F.count(F.lit(1))).scalar()
-    return done.sparkSession.range(1).select(n_done.alias("n_done"), n_in.alias("n_input"),
-                                             (n_done == n_in).alias("complete"))
+    """One row (n_done, n_input, complete) from one count over both tables."""
+    both = done.select(F.lit(1).alias("d")).unionByName(inputs.select(F.lit(0).alias("d")))
+    return (both.agg(F.count_if(F.col("d") == 1).alias("n_done"), F.count_if(F.col("d") == 0).alias("n_input"))
+            .withColumn("complete", F.col("n_done") == F.col("n_input")))
 
 
 def train_text_classifier(train: DataFrame, valid: DataFrame, text: str, label: str, weights: DataFrame | None = None,
                           reg_params: Sequence[float] = (0.0, 0.01), num_features: int = 1 << 18, max_iter: int = 50):
     """Hashed TF-IDF + multinomial logistic regression (class weights as
-    ``weightCol``); one fit per setting, the best by validation macro F1.
-    Returns (validation metrics per setting, best fitted model)."""
+    ``weightCol``); one fit per setting, the best by validation macro F1 (the
+    first on ties). Returns (validation metrics per setting with ``chosen``, the
+    chosen fitted model)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 
     from answerlab.operators.measures import metrics_row
     from answerlab.operators.stats import label_map
+    from answerlab.session import literal_table
 
     lmap = label_map(train, label)  # alphabetical ids, one row per class
     ids = F.broadcast(lmap.select(F.col("label").alias(label), F.col("label_id").cast("double").alias("_y")))
@@ -123,7 +122,7 @@ def train_text_classifier(train: DataFrame, valid: DataFrame, text: str, label:
         tr = tr.withColumn("_w", F.lit(1.0))
     back = F.broadcast(lmap.select(F.col("label_id").cast("double").alias("prediction"), F.col("label").alias("pred_label")))
     labels = sorted(r["label"] for r in lmap.collect())  # one row per class
-    results, models = [], []
+    results, best = [], None
     for reg in reg_params:
         stages = [RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"\s+", toLowercase=True),
                   HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
@@ -133,10 +132,9 @@ def train_text_classifier(train: DataFrame, valid: DataFrame, text: str, label:
         model = Pipeline(stages=stages).fit(tr)
         pred = (model.transform(valid).join(back, "prediction", "left")
                 .select(F.col(label).alias("true_label"), "pred_label"))
-        m = metrics_row(pred, labels).withColumn("reg_param", F.lit(float(reg)))
-        results.append(m)
-        models.append(model)
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out, models
+        m = metrics_row(pred, labels).first()  # one row of numbers
+        results.append((float(reg), *m))
+        if best is None or (m["macro_f1"] or 0.0) > best[0]:
+            best = (m["macro_f1"] or 0.0, len(results) - 1, model)
+    rows = [(*r, i == best[1]) for i, r in enumerate(results)]
+    return literal_table(train.sparkSession, rows, ["reg_param", "n_rows", "accuracy", "macro_f1", "weighted_f1", "chosen"]), best[2]

@@ -10,14 +10,13 @@ for lengths and word counts).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerlab.functions.text import py_strip, word_count
-from answerlab.operators.ranking import select_smallest
+from answerlab.operators.ranking import smallest_k
 
 
 def split_hash(id_col: str | Column, seed: int = 42) -> Column:
@@ -42,17 +41,15 @@ def split_hash_int(id_col: str | Column, seed: int = 42) -> Column:
 
 
 def exact_split(df: DataFrame, id_col: str = "doc_id", test_size: float = 0.2, seed: int = 42,
-                out: str = "split", strata: Sequence[str] = (), max_window_rows: int = 2_000_000) -> DataFrame:
+                out: str = "split", strata: Sequence[str] = ()) -> DataFrame:
     """L2: exactly ceil(test_size * n) rows (per stratum) go to validation: the
-    rows with the smallest (hash, id). Strata that fit one task are ranked by a
-    window; larger ones by two bounded hash histograms (ranking.smallest_k:
-    no sort of the data, nothing materialised)."""
+    rows with the smallest (hash, id), found by two bounded hash histograms
+    (ranking.smallest_k: no sort of the data, nothing materialised)."""
     grp = list(strata) or ["_all"]
     h = df.withColumn("_hk", split_hash_int(id_col, seed))
     if not strata:
         h = h.withColumn("_all", F.lit(0))
-    flagged = select_smallest(h, grp, "_hk", id_col, lambda n: F.ceil(n * F.lit(test_size)),
-                              max_window_rows=max_window_rows)
+    flagged = smallest_k(h, grp, "_hk", id_col, lambda n: F.ceil(n * F.lit(test_size)))
     return (flagged.withColumn(out, F.when(F.col("in_k"), F.lit("validation")).otherwise(F.lit("train")))
             .drop("_hk", "in_k", "_all"))
 
@@ -113,19 +110,14 @@ def crosstab_pct(df: DataFrame, a: str, b: str, values: Sequence[str]) -> DataFr
 def describe_lengths(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear interpolation), max
     per column, in long form (one row per column)."""
-    parts = []
-    for c in cols:
+    def stats(c: str) -> Column:
         x = F.col(c).cast("double")
-        parts.append(df.agg(
-            F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-            F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.max(x).alias("max"))
-            .select("column", "count", "mean", "std", "min", F.col("_q")[0].alias("q25"),
-                    F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        return F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                        F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(x).alias("max"))
+
+    # one aggregate over one scan, then one row for each column
+    return df.agg(F.array(*[stats(c) for c in cols]).alias("_all")).select(F.inline("_all"))
 
 
 def length_stats_by_label(df: DataFrame, label: str, text: str, limits: Sequence[int] = (300, 500)) -> DataFrame:
@@ -195,7 +187,3 @@ def binned_mean(df: DataFrame, x: str, y: str, bins: int = 5) -> DataFrame:
     return (df.where(xc.isNotNull()).groupBy(b.cast("int").alias("bin"))
             .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(y).cast("double")).alias("mean"))
             .select("bin", (lo + F.col("bin") * w).alias("lo"), (lo + (F.col("bin") + 1) * w).alias("hi"), "n", "mean"))
-
-
-def ceil_count(n: int, share: float) -> int:
-    return int(math.ceil(n * share))

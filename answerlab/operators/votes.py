@@ -130,55 +130,52 @@ def annotator_reliability(df: DataFrame, annotators: Sequence[str] = ANNOTATORS,
     return full.join(F.broadcast(order), "annotator").select("annotator_no", "annotator", "coarse_label", "n")
 
 
-def reliability_map(reliability: DataFrame):
-    """The reliability table as one scalar value map<coarse, map<annotator, n>>
-    (annotators x classes entries, bounded); attached to rows without a join."""
-    per = reliability.groupBy("coarse_label").agg(F.map_from_entries(F.collect_list(F.struct("annotator", "n"))).alias("m"))
-    return per.select(F.map_from_entries(F.collect_list(F.struct("coarse_label", "m")))).scalar()
+def reliability_columns(reliability: DataFrame, names: Sequence[str], annotators: Sequence[str]) -> DataFrame:
+    """The reliability table as one row per coarse class (``_class``) with one
+    column of ``names`` per annotator: classes x annotators values."""
+    return reliability.groupBy(F.col("coarse_label").alias("_class")).agg(
+        *[F.max(F.when(F.col("annotator") == a, F.col("n"))).alias(n) for n, a in zip(names, annotators)])
 
 
-def resolve_ties(df: DataFrame, reliability: DataFrame, official: str = "clarity_label",
+def resolve_ties(df: DataFrame, reliability: DataFrame, official: str = "official_label",
                  annotators: Sequence[str] = ANNOTATORS,
                  taxonomy: Sequence[tuple[str, str]] = TAXONOMY, out: str = "resolved",
                  rule_col: str | None = None) -> DataFrame:
     """V4: label for undecided rows. Coherent votes (coarse class = official)
     decide: exactly one -> it; several -> most reliable annotator for that
     class (first annotator on equal scores); none -> first available vote.
-    The reliability map (annotators x classes) is a scalar subquery; each row
-    looks up its official class in it."""
+    The reliability (one row per class) is joined on the official class."""
     df, v, names = _stage_votes(df, annotators)
     n = len(annotators)
     tax = "map(" + ", ".join(f"{_sql_str(f)}, {_sql_str(c)}" for f, c in taxonomy) + ")"
     off = _q(official)
     coh = [f"({v.valid[i]} AND coalesce({tax}[{v.vals[i]}], {v.vals[i]}) = {off})" for i in range(n)]
-    score = [f"coalesce(_rel[{_sql_str(a)}], CAST(0 AS BIGINT))" for a in annotators]
-    best_s, best_v = "CAST(-1 AS BIGINT)", "CAST(NULL AS STRING)"
-    for i in range(n):  # first annotator wins equal scores (strictly greater replaces)
-        take = f"({coh[i]} AND {score[i]} > {best_s})"
-        best_s, best_v = f"(CASE WHEN {take} THEN {score[i]} ELSE {best_s} END)", \
-            f"(CASE WHEN {take} THEN {v.vals[i]} ELSE {best_v} END)"
+    rel = [f"_rel{i}" for i in range(n)]
+    score = [f"coalesce({r}, CAST(0 AS BIGINT))" for r in rel]
     fallback = "coalesce(" + ", ".join(f"CASE WHEN {v.valid[i]} THEN {v.vals[i]} END" for i in range(n)) + ")"
-    single = "coalesce(" + ", ".join(f"CASE WHEN {coh[i]} THEN {v.vals[i]} END" for i in range(n)) + ")"
-    joined = (df.withColumn("_relmap", reliability_map(reliability))
-              .withColumn("_rel", F.col("_relmap")[F.col(official)])
-              .withColumn("_ncoh", F.expr(_count(coh))).withColumn("_nval", F.expr(v.n_valid)))
-    res = joined.withColumn(out, F.expr(
-        f"CASE WHEN _nval = 0 THEN CAST(NULL AS STRING) WHEN _ncoh = 0 THEN {fallback} "
-        f"WHEN _ncoh = 1 THEN {single} ELSE {best_v} END"))
+    flags = [f"_c{i}" for i in range(n)]
+    # the first annotator wins equal scores; greatest() skips the nulls of votes that are not coherent
+    best = "greatest(" + ", ".join(
+        f"CASE WHEN {flags[i]} THEN named_struct('s', {score[i]}, 'i', {-i}, 'v', {v.vals[i]}) END" for i in range(n)) + ").v"
+    # a handful of rows by construction (the classes of the taxonomy); null-safe, since a plain
+    # equality would make Spark push a not-null filter, with the whole majority expression, into the scan
+    joined = (df.join(F.broadcast(reliability_columns(reliability, rel, annotators)), F.col(official).eqNullSafe(F.col("_class")), "left")
+              .withColumns({c: F.expr(f"coalesce({e}, false)") for c, e in zip(flags, coh)}).withColumn("_nval", F.expr(v.n_valid)))
+    joined = joined.withColumn("_ncoh", F.expr(" + ".join(f"CAST({c} AS INT)" for c in flags)))
+    res = joined.withColumn(out, F.expr(f"CASE WHEN _nval = 0 THEN CAST(NULL AS STRING) WHEN _ncoh = 0 THEN {fallback} ELSE {best} END"))
     if rule_col:
         res = res.withColumn(rule_col, F.expr("CASE WHEN _nval = 0 THEN 'no_vote' WHEN _ncoh = 0 THEN 'fallback' "
                                               "WHEN _ncoh = 1 THEN 'single_coherent' ELSE 'reliability' END"))
-    return res.drop("_relmap", "_rel", "_ncoh", "_nval", *names)
+    return res.drop("_class", *rel, *flags, "_ncoh", "_nval", *names)
 
 
-def consolidate_votes(df: DataFrame, official: str = "clarity_label",
+def consolidate_votes(df: DataFrame, official: str = "official_label",
                       annotators: Sequence[str] = ANNOTATORS,
                       taxonomy: Sequence[tuple[str, str]] = TAXONOMY,
                       out: str = "evasion_label", with_rule: bool = False) -> DataFrame:
     """V5: majority label, else tie-break by coherence and reliability. The
     table is read twice (once for the reliability aggregate) and never
-    shuffled; the reliability (annotators x classes values) reaches the rows
-    as a scalar subquery."""
+    shuffled; the reliability (one row per class) reaches the rows by a join."""
     reliability = annotator_reliability(df, annotators, taxonomy)
     m = majority_label(df, annotators, out="_maj")
     r = resolve_ties(m, reliability, official, annotators, taxonomy, out="_res",
@@ -189,7 +186,7 @@ def consolidate_votes(df: DataFrame, official: str = "clarity_label",
     return r.drop("_maj", "_res", "_rule", "n_top")
 
 
-def gold_label(df: DataFrame, existing: str | None = "evasion_label", official: str = "clarity_label",
+def gold_label(df: DataFrame, existing: str | None = "evasion_label", official: str = "official_label",
                annotators: Sequence[str] = ANNOTATORS, taxonomy: Sequence[tuple[str, str]] = TAXONOMY,
                out: str = "gold_label") -> DataFrame:
     """V6: an existing valid label wins; else majority among votes inside the

@@ -11,12 +11,15 @@ _TAX_ROWS = ("(0,'Explicit','Clear Reply'),(1,'Implicit','Ambivalent'),(2,'Gener
              "(6,'Declining to answer','Clear Non-Reply'),(7,'Claims ignorance','Clear Non-Reply'),"
              "(8,'Clarification','Clear Non-Reply')")
 
+#: One white-space character as Python's str.split sees it, typed out for RE2 (which has ASCII classes only).
+PYSPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 VIEWS: dict[str, tuple[list[str], str]] = {
     "v_taxonomy": ([], f"select * from (values {_TAX_ROWS}) as t(pos, label, coarse)"),
     "v_coarse": ([], "select * from (values (0,'Clear Reply'),(1,'Ambivalent'),(2,'Clear Non-Reply')) as t(pos, label)"),
     "v_votes": (["v_taxonomy"], """
         select p.doc_id, a.label as annotator1, case when p.p2 = -1 then '' else b.label end as annotator2,
-               c.label as annotator3, o.coarse as clarity_label
+               c.label as annotator3, o.coarse as official_label
         from (select doc_id, doc_id % 9 as p1,
                 case when doc_id % 4 = 1 then (doc_id + 1) % 9 when doc_id % 11 = 3 then -1 else doc_id % 9 end as p2,
                 case when doc_id % 4 = 1 then (doc_id + 2) % 9 when doc_id % 4 = 2 then (doc_id + 4) % 9
@@ -46,11 +49,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
           when 10 then concat('  What   date ', s, '?') else s end as question, answer
         from (select conv_id, turn, question as s, answer from v_qa) x"""),
     "v_replies": ([], """
-        select doc_id, case doc_id % 12 when 0 then 'Explicit' when 1 then ' clear non reply ' when 2 then 'I think: Dodging.'
-          when 3 then '' when 4 then '<step1>a</step1><step2> b </step2><label> General </label>'
-          when 5 then concat('<label>none</label>', chr(10), 'Deflection') when 6 then '{"category": "Claims ignorance"}'
-          when 7 then 'x {"label": "Implicit"} y' when 8 then '{"category": broken Clarification}' when 9 then 'half-answer'
-          when 10 then 'non-reply' else 'nothing here' end as raw
+        select doc_id, case doc_id % 12 when 0 then 'Explicit' when 1 then ' clear non reply ' when 2 then concat('I think: Dodging, not General. ', coalesce(text, ''))
+          when 3 then '' when 4 then concat('<step1>', coalesce(text, ''), '</step1><step2>', chr(160), 'b', chr(8195), '</step2><label>', chr(160), 'General </label>')
+          when 5 then concat('<label>none</label>', chr(10), coalesce(text, ''), chr(10), chr(12288), 'Deflection') when 6 then '{"category": "Claims ignorance"}'
+          when 7 then 'x {"label": "Implicit"} y' when 8 then case when doc_id % 24 = 8 then '{"category": null, "label": "Implicit"}' else '{"category": broken Clarification}' end when 9 then 'half-answer'
+          when 10 then 'non-reply' else coalesce(text, '') end as raw
         from documents"""),
     "v_split": ([], """
         select doc_id, text, lang as label, source,
@@ -74,11 +77,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         from embeddings"""),
     "v_candidates": ([], """
         select doc_id, lang, attempt, (doc_id * 7 + attempt * 3) % 5 = 0 as accepted,
-               substr(text, attempt + 1, 80) as rewrite
+               substr(text, attempt + 1) as rewrite
         from (select doc_id, lang, text, cast(unnest(range(0, 4)) as integer) as attempt from documents) x"""),
     "v_pairs": ([], """
         select a.doc_id, a.text as original, b.text as rewrite
-        from documents a join documents b on b.doc_id = a.doc_id + 1 where a.lang = 'en'"""),
+        from documents a join documents b on b.doc_id = a.doc_id + 1"""),
     "v_articles": ([], """
         select title, arg_min(text, doc_id) as article from (
           select regexp_replace(string_split_regex(trim(text), '\\s+')[1], '[^\\p{L}\\p{N}_\\s]', '', 'g') as title,

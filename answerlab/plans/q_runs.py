@@ -84,14 +84,14 @@ runs as (select t.source as model_key, cast(substr(t.source, 4) as integer) as k
            case when cast(substr(t.source, 4) as integer) % 2 = 0 then 'smart_resampling' else '' end as bal_name,
            case when cast(substr(t.source, 4) as integer) % 3 = 0 then 'tone_analysis' else '' end as aug_name,
            case when cast(substr(t.source, 4) as integer) % 2 = 0 then 'ce' else 'focal' end as loss_name,
-           case when cast(substr(t.source, 4) as integer) % 2 = 0 then 'clarity' else 'evasion' end as task,
+           case when cast(substr(t.source, 4) as integer) % 2 = 0 then 'coarse' else 'evasion' end as task,
            ta.accuracy as test_accuracy,
            case when cast(substr(t.source, 4) as integer) % 7 = 3 then null else t.macro_f1 end as test_macro_f1,
            t.weighted_f1 as test_weighted_f1, v.macro_f1 as val_macro_f1, ta.n_rows as train_size
          from m t join acc ta on ta.source = t.source and ta.split = t.split
          left join m v on v.source = t.source and v.split = 'validation'
          where t.split = 'train'),
-named as (select *, concat_ws('__', case when task = 'clarity' then 'c' else 'e' end, model_key, bal_name, aug_name, loss_name)
+named as (select *, concat_ws('__', case when task = 'coarse' then 'c' else 'e' end, model_key, bal_name, aug_name, loss_name)
             as run_name from runs)"""
 
 
@@ -115,7 +115,7 @@ def run_metrics(spark, sf):
         F.when(k % 2 == 0, "ce").otherwise("focal").alias("loss_name"),
         F.struct(F.col("source").alias("model_id"), F.lit(512).cast("long").alias("max_length"),
                  F.lit(5).cast("long").alias("num_epochs"), F.lit(2.0).alias("focal_gamma"),
-                 F.when(k % 2 == 0, "clarity").otherwise("evasion").alias("task"),
+                 F.when(k % 2 == 0, "coarse").otherwise("evasion").alias("task"),
                  F.col("train_size").cast("long").alias("train_size")).alias("extra"),
         "test_accuracy", F.when(k % 7 == 3, F.lit(None).cast("double")).otherwise(F.col("test_macro_f1")).alias("test_macro_f1"),
         "test_weighted_f1", "val_macro_f1"))
@@ -125,7 +125,7 @@ def _written_runs(spark, sf):
     path = IO.scratch_path(spark, "runs")
     IO.write_runs(IO.run_records(run_metrics(spark, sf)), path)
     return IO.read_runs(spark, path, "test_macro_f1").withColumn(
-        "run_name", F.concat_ws("__", F.when(F.col("extra.task") == "clarity", "c").otherwise("e"),
+        "run_name", F.concat_ws("__", F.when(F.col("extra.task") == "coarse", "c").otherwise("e"),
                                 "model_key", "bal_name", "aug_name", "loss_name"))
 
 

@@ -9,7 +9,7 @@ from answerlab.functions.labels import coarsen
 from answerlab.functions.text import word_count
 from answerlab.operators import measures as M
 from answerlab.operators import stats as S
-from answerlab.plans.oracle_views import with_views
+from answerlab.plans.oracle_views import PYSPACE, with_views
 from answerlab.plans.registry import query
 from answerlab.sources import views
 from answerlab.sources.tables import table
@@ -17,7 +17,7 @@ from answerlab.sources.tables import table
 R6 = lambda c: F.round(F.col(c), 6).alias(c)
 
 HASH_SQL = "('0x' || substr(md5(cast(doc_id as varchar) || '|42'), 1, 8))::bigint / 4294967296.0"
-WC_SQL = r"length(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> ''))"
+WC_SQL = rf"length(list_filter(string_split_regex(coalesce(text, ''), '{PYSPACE}+'), lambda x: x <> ''))"
 
 
 @query("l1_split_examples", f"""
@@ -84,35 +84,35 @@ def q_l6(spark, sf):
 
 
 _CT_SQL = """
-with p as (select v.clarity_label, coalesce(t.coarse, v.annotator1) as a1 from v_votes v
+with p as (select v.official_label, coalesce(t.coarse, v.annotator1) as a1 from v_votes v
            left join v_taxonomy t on t.label = v.annotator1)
-select clarity_label, count(*) filter (where a1 = 'Clear Reply') as "Clear Reply",
+select official_label, count(*) filter (where a1 = 'Clear Reply') as "Clear Reply",
   count(*) filter (where a1 = 'Ambivalent') as "Ambivalent",
   count(*) filter (where a1 = 'Clear Non-Reply') as "Clear Non-Reply"
-from p group by clarity_label"""
+from p group by official_label"""
 
 
 def _ct_input(spark, sf):
-    return views.votes(spark, sf).select("clarity_label", coarsen("annotator1").alias("a1"))
+    return views.votes(spark, sf).select("official_label", coarsen("annotator1").alias("a1"))
 
 
 @query("l7_crosstab", with_views(_CT_SQL, "v_votes"))
 def q_l7(spark, sf):
-    return S.crosstab(_ct_input(spark, sf), "clarity_label", "a1", COARSE_LABELS)
+    return S.crosstab(_ct_input(spark, sf), "official_label", "a1", COARSE_LABELS)
 
 
 @query("l8_crosstab_pct", with_views(f"""
-with p as (select v.clarity_label, coalesce(t.coarse, v.annotator1) as a1 from v_votes v
+with p as (select v.official_label, coalesce(t.coarse, v.annotator1) as a1 from v_votes v
            left join v_taxonomy t on t.label = v.annotator1),
-ct as (select clarity_label, count(*) filter (where a1 = 'Clear Reply') as cr,
+ct as (select official_label, count(*) filter (where a1 = 'Clear Reply') as cr,
   count(*) filter (where a1 = 'Ambivalent') as am, count(*) filter (where a1 = 'Clear Non-Reply') as cn
-  from p group by clarity_label)
-select clarity_label, round(cr * 100.0 / (cr + am + cn), 6) as "Clear Reply",
+  from p group by official_label)
+select official_label, round(cr * 100.0 / (cr + am + cn), 6) as "Clear Reply",
   round(am * 100.0 / (cr + am + cn), 6) as "Ambivalent", round(cn * 100.0 / (cr + am + cn), 6) as "Clear Non-Reply"
 from ct""", "v_votes"), "R")
 def q_l8(spark, sf):
-    ct = S.crosstab_pct(_ct_input(spark, sf), "clarity_label", "a1", COARSE_LABELS)
-    return ct.select("clarity_label", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in COARSE_LABELS])
+    ct = S.crosstab_pct(_ct_input(spark, sf), "official_label", "a1", COARSE_LABELS)
+    return ct.select("official_label", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in COARSE_LABELS])
 
 
 @query("l9_describe_lengths", f"""

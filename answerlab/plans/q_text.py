@@ -16,7 +16,7 @@ from answerlab.functions.constants import (COARSE_LABELS, CONTEXT_HEADER, FINE_L
 from answerlab.operators import measures as M
 from answerlab.operators import questions as Q
 from answerlab.operators import stats as S
-from answerlab.plans.oracle_views import with_views
+from answerlab.plans.oracle_views import PYSPACE, with_views
 from answerlab.plans.registry import query
 from answerlab.sources import views
 from answerlab.sources.tables import table
@@ -29,11 +29,11 @@ def sq(s: str) -> str:
 
 
 def strip_sql(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return rf"regexp_replace({x}, '^{PYSPACE}+|{PYSPACE}+$', '', 'g')"
 
 
 def words_sql(x: str) -> str:
-    return rf"list_filter(string_split_regex({x}, '\s+'), lambda w: w <> '')"
+    return rf"list_filter(string_split_regex({x}, '{PYSPACE}+'), lambda w: w <> '')"
 
 
 def chain_sql(cases: list[tuple[str, str]], default: str) -> str:
@@ -69,7 +69,12 @@ def o3_sql(x, labels):
 def o5_sql(x, labels):
     t = strip_sql(x)
     c = rf"regexp_extract({t}, '(?s)\{{.*\}}', 0)"
-    kv = " , ".join(f"json_extract_string({c}, '$.{k}')" for k in ("category", "categoria", "label"))
+    # the first key that is there, whatever its value; json null is None as text
+    def key(k):
+        return f"""case json_type({c}::json, '$.{k}') when 'NULL' then 'None' when 'BOOLEAN' then
+            case json_extract_string({c}::json, '$.{k}') when 'true' then 'True' else 'False' end
+            else json_extract_string({c}::json, '$.{k}') end"""
+    kv = " , ".join(key(k) for k in ("category", "categoria", "label"))
     contained = chain_sql([(f"contains(lower({t}), {sq(lbl.lower())})", sq(lbl)) for lbl in labels], "null")
     return (f"case when json_valid({c}) and json_type({c}::json) = 'OBJECT' and coalesce({kv}) is not null "
             f"then {strip_sql(f'coalesce({kv})')} else {contained} end")
@@ -228,7 +233,10 @@ def q_o5(spark, sf):
 def _o6_sql():
     lbls = ", ".join(sq(x) for x in RF.CHAIN_LABEL_ORDER)
     first, second = o5_sql("a.raw", RF.CHAIN_LABEL_ORDER), o5_sql("b.raw", RF.CHAIN_LABEL_ORDER)
-    contained = chain_sql([(f"contains(lower(a.raw), {sq(lbl.lower())})", sq(lbl)) for lbl in FINE_LABELS], "'Dodging'")
+    # typed out, not imported: the order in which the reference walks its labels
+    order = ["Explicit", "Declining to answer", "Claims ignorance", "Clarification", "Dodging", "Deflection", "General", "Implicit",
+             "Partial/half-answer"]
+    contained = chain_sql([(f"contains(lower(a.raw), {sq(lbl.lower())})", sq(lbl)) for lbl in order], "'Dodging'")
     return with_views(f"""
 select a.doc_id, {contained} as contained,
   case when {first} in ({lbls}) then {first} when {second} in ({lbls}) then {second} else 'Dodging' end as evaluated
@@ -257,7 +265,7 @@ def q_o7(spark, sf):
 # ---------------------------------------------------------------- Q1-Q10
 
 def _qtype_sql(q: str) -> str:
-    n = rf"regexp_replace(lower({strip_sql(q)}), '\s+', ' ', 'g')"
+    n = rf"regexp_replace(lower({strip_sql(q)}), '{PYSPACE}+', ' ', 'g')"
     cases = [(f"regexp_matches({n}, {sq(p)})", f"{{'question_type': {sq(t)}, 'expected_length': {sq(ln)}, 'hint': {sq(h)}}}")
              for t, p, ln, h in QUESTION_TYPES]
     t, ln, h = QUESTION_TYPE_DEFAULT
@@ -351,7 +359,7 @@ def _splitter_reply_sql() -> str:
     return """case (conv_id + turn) % 5
       when 0 then '```json' || chr(10) || '{"sub_questions": ["What is item ' || conv_id || ' about?", "And how does turn ' || turn || ' end?"]}' || chr(10) || '```'
       when 1 then 'Sure: {"sub_questions": ["Why was it done?", "q"]} ok'
-      when 2 then '{"other": 1}'
+      when 2 then case when conv_id % 2 = 0 then '{"other": 1}' else '{"sub_questions": null}' end
       when 3 then 'no json here'
       else '{"sub_questions": ["short", "Is this a real question here?"]}' end"""
 
@@ -362,7 +370,8 @@ def _splitter_reply():
                                      F.lit(' about?", "And how does turn '), F.col("turn").cast("string"),
                                      F.lit(' end?"]}\n```')))
             .when(k == 1, F.lit('Sure: {"sub_questions": ["Why was it done?", "q"]} ok'))
-            .when(k == 2, F.lit('{"other": 1}'))
+            .when((k == 2) & (F.col("conv_id") % 2 == 0), F.lit('{"other": 1}'))
+            .when(k == 2, F.lit('{"sub_questions": null}'))
             .when(k == 3, F.lit("no json here"))
             .otherwise(F.lit('{"sub_questions": ["short", "Is this a real question here?"]}')))
 
@@ -371,7 +380,8 @@ def _reply_subs_sql(raw: str) -> str:
     clean = strip_sql(f"replace(replace({raw}, '```json', ''), '```', '')")
     inner = rf"regexp_extract({clean}, '(?s)\{{.*\}}', 0)"
     v = f"case when json_valid({clean}) then {clean} when json_valid({inner}) then {inner} end"
-    return f"case when json_type(({v})::json, '$.sub_questions') = 'ARRAY' then cast(json_extract_string(({v})::json, '$.sub_questions[*]') as varchar[]) end"
+    return (f"case when json_type(({v})::json, '$.sub_questions') = 'ARRAY' then cast(json_extract_string(({v})::json, '$.sub_questions[*]') as varchar[]) "
+            f"when json_type(({v})::json, '$.sub_questions') is not null then []::varchar[] end")
 
 
 @query("q7_route_split", with_views(f"""
@@ -417,14 +427,14 @@ d as (select distinct doc_id, direct_label from v_sub_answers),
 h as (select f.doc_id, case when tf.coarse = 'Ambivalent' and td.coarse in ('Clear Reply', 'Clear Non-Reply')
         then d.direct_label else f.final_label end as label from f join d using (doc_id)
       left join v_taxonomy tf on tf.label = f.final_label left join v_taxonomy td on td.label = d.direct_label)
-select h.doc_id, h.label as final_label, t.coarse as macro_clarity from h left join v_taxonomy t on t.label = h.label""",
+select h.doc_id, h.label as final_label, t.coarse as coarse_final from h left join v_taxonomy t on t.label = h.label""",
                                      "v_sub_answers"))
 def q_q9(spark, sf):
     parts = views.sub_answers(spark, sf)
     agg = Q.aggregate_sub_answers(parts, ["doc_id"])
     direct = parts.groupBy("doc_id").agg(F.any_value("direct_label").alias("direct_label"))
     lbl, macro = Q.hybrid_label("final_label", "direct_label")
-    return agg.join(direct, "doc_id").select("doc_id", lbl.alias("final_label"), macro.alias("macro_clarity"))
+    return agg.join(direct, "doc_id").select("doc_id", lbl.alias("final_label"), macro.alias("coarse_final"))
 
 
 @query("q10_split_log", with_views("""

@@ -16,7 +16,7 @@ from answerlab.sources.tables import table
 HASH = "('0x' || substr(md5(cast(doc_id as varchar) || '|42'), 1, 8))::bigint / 4294967296.0"
 EX_CTE = ORACLE_CONSOLIDATED + f""",
 ex as (select d.doc_id, 'What does ' || d.source || ' say?' as question, d.text as answer, d.lang, g.evasion_label,
-         g.clarity_label, case when {HASH.replace('doc_id', 'd.doc_id')} < 0.2 then 'validation' else 'train' end as split
+         g.official_label, case when {HASH.replace('doc_id', 'd.doc_id')} < 0.2 then 'validation' else 'train' end as split
        from documents d join gold g using (doc_id))"""
 
 
@@ -41,16 +41,16 @@ TUNING_SYSTEM = "Label the answer with one evasion class."
 
 
 @query("x1_median_exemplar", ex_sql("""
-b as (select doc_id, length(answer)::integer as length from ex where split = 'train' and clarity_label = 'Clear Reply'),
+b as (select doc_id, length(answer)::integer as length from ex where split = 'train' and official_label = 'Clear Reply'),
 m as (select quantile_cont(length, 0.5) as median from b)
 select doc_id, length, median from b, m order by abs(length - median), doc_id limit 1"""), "R")
 def q_x1(spark, sf):
-    tr = _train_examples(spark, sf).where(F.col("clarity_label") == "Clear Reply")
+    tr = _train_examples(spark, sf).where(F.col("official_label") == "Clear Reply")
     return N.median_exemplar(tr, "answer", "doc_id")
 
 
 _X2_SQL = """
-b as (select 'clarity' as level, clarity_label as label, doc_id, length(answer)::integer as length from ex where split = 'train'
+b as (select 'coarse' as level, official_label as label, doc_id, length(answer)::integer as length from ex where split = 'train'
       union all select 'evasion', evasion_label, doc_id, length(answer)::integer from ex where split = 'train' and evasion_label is not null),
 m as (select level, label, quantile_cont(length, 0.5) as median from b group by level, label),
 x2 as (select b.level, b.label, b.doc_id, b.length, m.median from b join m using (level, label)
@@ -58,11 +58,7 @@ x2 as (select b.level, b.label, b.doc_id, b.length, m.median from b join m using
 
 
 def _x2(spark, sf):
-    tr = _train_examples(spark, sf)
-    c = N.median_exemplar(tr.withColumnRenamed("clarity_label", "label"), "answer", "doc_id", ["label"])
-    e = N.median_exemplar(tr.where(F.col("evasion_label").isNotNull()).withColumnRenamed("evasion_label", "label"),
-                          "answer", "doc_id", ["label"])
-    return c.withColumn("level", F.lit("clarity")).unionByName(e.withColumn("level", F.lit("evasion")))
+    return N.exemplars_by_level(_train_examples(spark, sf), "answer", "doc_id", {"coarse": "official_label", "evasion": "evasion_label"})
 
 
 @query("x2_exemplar_per_label", ex_sql(_X2_SQL + "\nselect level, label, doc_id, length, median from x2"), "R")
@@ -70,30 +66,22 @@ def q_x2(spark, sf):
     return _x2(spark, sf).select("level", "label", "doc_id", "length", "median")
 
 
-def _fine_coarse(spark, sf):
-    x2 = _x2(spark, sf)
-    fine = x2.where(F.col("level") == "evasion").select(F.col("label").alias("fine"), "doc_id")
-    coarse = x2.where(F.col("level") == "clarity").select(F.col("label").alias("coarse"), "doc_id")
-    return fine, coarse
-
-
 @query("x3_collapse_exemplars", ex_sql(_X2_SQL + """,
 f as (select t.coarse, x2.doc_id, row_number() over (partition by t.coarse order by t.pos) as r
       from x2 join v_taxonomy t on t.label = x2.label where x2.level = 'evasion'),
 found as (select coarse, doc_id, 'fine' as source from f where r = 1)
 select * from found union all
-select x2.label as coarse, x2.doc_id, 'coarse' from x2 where x2.level = 'clarity' and x2.label not in (select coarse from found)"""))
+select x2.label as coarse, x2.doc_id, 'coarse' from x2 where x2.level = 'coarse' and x2.label not in (select coarse from found)"""))
 def q_x3(spark, sf):
-    fine, coarse = _fine_coarse(spark, sf)
-    return N.collapse_exemplars(fine, coarse, "doc_id")
+    return N.collapse_stacked(_x2(spark, sf), "doc_id", fine_level="evasion")
 
 
 @query("x4_one_shot_fine_label", ex_sql("""
 firsts as (select coarse, label from v_taxonomy qualify row_number() over (partition by coarse order by pos) = 1)
-select ex.doc_id, ex.clarity_label, f.label as fine_label from ex left join firsts f on f.coarse = ex.clarity_label"""))
+select ex.doc_id, ex.official_label, f.label as fine_label from ex left join firsts f on f.coarse = ex.official_label"""))
 def q_x4(spark, sf):
     ex = views.examples(spark, sf)
-    return ex.select("doc_id", "clarity_label", N.one_shot_fine_label(F.col("clarity_label")).alias("fine_label"))
+    return ex.select("doc_id", "official_label", N.one_shot_fine_label(F.col("official_label")).alias("fine_label"))
 
 
 @query("x13_fine_exemplar_per_coarse", ex_sql(_X2_SQL + """,
@@ -103,10 +91,9 @@ found as (select coarse, label, doc_id from f where r = 1),
 firsts as (select coarse, label from v_taxonomy qualify row_number() over (partition by coarse order by pos) = 1)
 select * from found union all
 select x2.label as coarse, fi.label, x2.doc_id from x2 join firsts fi on fi.coarse = x2.label
-where x2.level = 'clarity' and x2.label not in (select coarse from found)"""))
+where x2.level = 'coarse' and x2.label not in (select coarse from found)"""))
 def q_x13(spark, sf):
-    fine, coarse = _fine_coarse(spark, sf)
-    return N.fine_exemplar_per_coarse(fine, coarse, "doc_id")
+    return N.fine_stacked(_x2(spark, sf), "doc_id", fine_level="evasion")
 
 
 @query("x5_normalise_vectors", """

@@ -15,10 +15,10 @@ from answerlab.sources import views
 # --- shared oracle pieces (DuckDB) ---------------------------------------------
 ORACLE_VALID_VOTES = r"""
 vv as (
-  select doc_id, clarity_label, annotator_no, annotator, vote from (
-    select doc_id, clarity_label, 1 as annotator_no, 'annotator1' as annotator, annotator1 as vote from v_votes
-    union all select doc_id, clarity_label, 2, 'annotator2', annotator2 from v_votes
-    union all select doc_id, clarity_label, 3, 'annotator3', annotator3 from v_votes) u
+  select doc_id, official_label, annotator_no, annotator, vote from (
+    select doc_id, official_label, 1 as annotator_no, 'annotator1' as annotator, annotator1 as vote from v_votes
+    union all select doc_id, official_label, 2, 'annotator2', annotator2 from v_votes
+    union all select doc_id, official_label, 3, 'annotator3', annotator3 from v_votes) u
   where vote is not null and regexp_replace(vote, '^\s+|\s+$', '', 'g') not in ('', 'None'))"""
 
 ORACLE_MAJORITY = ORACLE_VALID_VOTES + r""",
@@ -39,10 +39,10 @@ rel as (select g.annotator_no, g.annotator, g.coarse_label, coalesce(h.n, 0)::bi
 
 ORACLE_CONSOLIDATED = ORACLE_RELIABILITY + r""",
 und as (select doc_id from tops where n_top > 1),
-cand as (select vv.*, coalesce(t.coarse, vv.vote) = vv.clarity_label as coh
+cand as (select vv.*, coalesce(t.coarse, vv.vote) = vv.official_label as coh
          from vv join und using (doc_id) left join v_taxonomy t on t.label = vv.vote),
 scored as (select c.*, coalesce(r.n, 0) as score from cand c
-           left join rel r on r.annotator = c.annotator and r.coarse_label = c.clarity_label),
+           left join rel r on r.annotator = c.annotator and r.coarse_label = c.official_label),
 ncoh as (select doc_id, count(*) filter (where coh) as k from scored group by doc_id),
 pick as (select s.doc_id, s.vote, n.k, row_number() over (partition by s.doc_id order by
            case when n.k = 0 then 0 when s.coh then 1 else 2 end,
@@ -95,14 +95,14 @@ def q_v5(spark, sf):
 
 @query("v6_gold_label", with_views(r"""
 with vv as (
-  select doc_id, clarity_label, annotator_no, v as vote from (
-    select doc_id, clarity_label, 1 as annotator_no, regexp_replace(coalesce(annotator1, 'None'), '^\s+|\s+$', '', 'g') as v from v_votes
-    union all select doc_id, clarity_label, 2, regexp_replace(coalesce(annotator2, 'None'), '^\s+|\s+$', '', 'g') from v_votes
-    union all select doc_id, clarity_label, 3, regexp_replace(coalesce(annotator3, 'None'), '^\s+|\s+$', '', 'g') from v_votes) u
+  select doc_id, official_label, annotator_no, v as vote from (
+    select doc_id, official_label, 1 as annotator_no, regexp_replace(coalesce(annotator1, 'None'), '^\s+|\s+$', '', 'g') as v from v_votes
+    union all select doc_id, official_label, 2, regexp_replace(coalesce(annotator2, 'None'), '^\s+|\s+$', '', 'g') from v_votes
+    union all select doc_id, official_label, 3, regexp_replace(coalesce(annotator3, 'None'), '^\s+|\s+$', '', 'g') from v_votes) u
   where v in (select label from v_taxonomy)),
 vc as (select doc_id, vote, count(*) as n, min(annotator_no) as first_pos from vv group by 1, 2),
 top as (select vc.*, max(n) over (partition by doc_id) as mx from vc),
-cands as (select t.doc_id, t.vote, t.first_pos, tx.coarse = regexp_replace(coalesce(v.clarity_label, 'None'), '^\s+|\s+$', '', 'g') as coh
+cands as (select t.doc_id, t.vote, t.first_pos, tx.coarse = regexp_replace(coalesce(v.official_label, 'None'), '^\s+|\s+$', '', 'g') as coh
           from top t join v_votes v using (doc_id) left join v_taxonomy tx on tx.label = t.vote where t.n = t.mx),
 pick as (select doc_id, vote, row_number() over (partition by doc_id order by
            case when cnt = 1 then 0 when coalesce(coh, false) then 0 else 1 end, first_pos) as rn

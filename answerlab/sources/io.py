@@ -18,7 +18,7 @@ from answerlab.session import checkpoint_dir
 
 EXAMPLE_SCHEMA = T.StructType([
     T.StructField("question", T.StringType()), T.StructField("interview_question", T.StringType()),
-    T.StructField("interview_answer", T.StringType()), T.StructField("clarity_label", T.StringType()),
+    T.StructField("interview_answer", T.StringType()), T.StructField("official_label", T.StringType()),
     T.StructField("evasion_label", T.StringType()), T.StructField("annotator1", T.StringType()),
     T.StructField("annotator2", T.StringType()), T.StructField("annotator3", T.StringType()),
 ])
@@ -53,18 +53,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def read_examples(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-                  fmt: str = "parquet") -> DataFrame:
-    """Example table with an explicit schema (no inference)."""
+                  fmt: str = "parquet", names: dict[str, str] | None = None) -> DataFrame:
+    """Example table with an explicit schema (no inference); ``names`` maps
+    the columns of the file to the library's names."""
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
-    return r.format(fmt).load(path)
+    return r.format(fmt).load(path).withColumnsRenamed(names or {})
 
 
-def read_runs(spark: SparkSession, path: str, measure: str = "macro_f1") -> DataFrame:
-    """Every run record (JSON, one object per record, multi-line allowed)
-    of a folder, best first by ``metrics[measure]`` (missing = 0.0)."""
-    runs = spark.read.option("multiLine", True).schema(RUN_SCHEMA).json(path)
+def read_runs(spark: SparkSession, path: str, measure: str = "macro_f1", one_per_file: bool = False) -> DataFrame:
+    """Every run record of a folder (one JSON object per line, as
+    ``write_runs`` writes them; with ``one_per_file`` one object per file, over
+    any number of lines), best first by ``metrics[measure]`` (missing = 0.0)."""
+    runs = spark.read.option("multiLine", one_per_file).schema(RUN_SCHEMA).json(path)
     return runs.orderBy(F.desc(F.coalesce(F.col("metrics")[measure], F.lit(0.0))))
 
 
@@ -87,7 +89,7 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "parquet", partition_
 
 def run_records(metrics: DataFrame, task_col: str = "task") -> DataFrame:
     """S5 (record side): one record per run with the name
-    ``{c|e}__model__bal__aug__loss`` (c for the clarity task), metrics as a
+    ``{c|e}__model__bal__aug__loss`` (c for the coarse task), metrics as a
     map of doubles and an ISO timestamp. ``metrics`` has model_key, bal_name,
     aug_name, loss_name, extra (struct with ``task``) and measure columns."""
     keys = ["model_key", "bal_name", "aug_name", "loss_name", "extra"]
@@ -95,7 +97,7 @@ def run_records(metrics: DataFrame, task_col: str = "task") -> DataFrame:
     mp = F.map_from_arrays(F.array(*[F.lit(m) for m in measures]),
                            F.array(*[F.col(m).cast("double") for m in measures]))
     mp = F.map_filter(mp, lambda k, v: v.isNotNull())
-    prefix = F.when(F.col("extra.task") == "clarity", F.lit("c")).otherwise(F.lit("e"))
+    prefix = F.when(F.col("extra.task") == "coarse", F.lit("c")).otherwise(F.lit("e"))
     name = F.concat_ws("__", prefix, "model_key", "bal_name", "aug_name", "loss_name")
     return metrics.select(name.alias("run_name"), "model_key", "bal_name", "aug_name", "loss_name",
                           F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),

@@ -7,37 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
-_SPREAD_CACHE: dict[tuple[int, str], int] = {}
 
-
-def _scan_partitions(spark: SparkSession, path: str, df: DataFrame) -> int:
-    key = (id(spark), path)
-    if key not in _SPREAD_CACHE:
-        _SPREAD_CACHE[key] = df.rdd.getNumPartitions()  # plans the file scan only, runs nothing
-    return _SPREAD_CACHE[key]
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan of one driver table; projections and filters applied later
-    by the caller are pushed into this scan by Catalyst (also through the
-    round-robin spread below).
-
-    A table stored as a few large row groups scans as fewer tasks than the
-    cluster has cores, so per-row text and vector work would run on one core.
-    In that case (and only then) the rows are spread round-robin over the
-    default parallelism. A large input already scans as many tasks and is
-    left as it is.
-    """
+    by the caller are pushed into this scan by Catalyst. The number of scan
+    tasks is Spark's own (``spark.sql.files.maxPartitionBytes``)."""
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}; known: {', '.join(TABLES)}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if spread:
-        try:
-            target = spark.sparkContext.defaultParallelism
-            parts = _scan_partitions(spark, path, df)
-        except Exception:  # no RDD access (e.g. a remote session): leave the scan as it is
-            return df
-        if parts < target:
-            df = df.repartition(target)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -54,10 +54,10 @@ def votes(spark: SparkSession, sf: str) -> DataFrame:
         return df.join(t, key, how)
 
     j = lookup(lookup(lookup(lookup(pos, "p1", "annotator1"), "p2", "_a2"), "p3", "annotator3"),
-               "pc", "clarity_label", "coarse")
+               "pc", "official_label", "coarse")
     return j.select("doc_id", "annotator1",
                     F.when(F.col("p2") == -1, F.lit("")).otherwise(F.col("_a2")).alias("annotator2"),
-                    "annotator3", "clarity_label")
+                    "annotator3", "official_label")
 
 
 _SHIFT = {"en": "fr", "fr": "de", "de": "es"}
@@ -104,20 +104,22 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf: str) -> DataFrame:
-    """v_replies: twelve shapes of raw model replies."""
+    """v_replies: twelve shapes of raw model replies, around the document's text."""
     k = F.col("doc_id") % 12
+    text = F.coalesce(F.col("text"), F.lit(""))
     raw = (F.when(k == 0, F.lit("Explicit"))
            .when(k == 1, F.lit(" clear non reply "))
-           .when(k == 2, F.lit("I think: Dodging."))
+           .when(k == 2, F.concat(F.lit("I think: Dodging, not General. "), text))
            .when(k == 3, F.lit(""))
-           .when(k == 4, F.lit("<step1>a</step1><step2> b </step2><label> General </label>"))
-           .when(k == 5, F.lit("<label>none</label>\nDeflection"))
+           .when(k == 4, F.concat(F.lit("<step1>"), text, F.lit("</step1><step2>\u00a0b\u2003</step2><label>\u00a0General </label>")))
+           .when(k == 5, F.concat(F.lit("<label>none</label>\n"), text, F.lit("\n\u3000Deflection")))
            .when(k == 6, F.lit('{"category": "Claims ignorance"}'))
            .when(k == 7, F.lit('x {"label": "Implicit"} y'))
+           .when((k == 8) & (F.col("doc_id") % 24 == 8), F.lit('{"category": null, "label": "Implicit"}'))
            .when(k == 8, F.lit('{"category": broken Clarification}'))
            .when(k == 9, F.lit("half-answer"))
            .when(k == 10, F.lit("non-reply"))
-           .otherwise(F.lit("nothing here")))
+           .otherwise(text))
     return table(spark, sf, "documents").select("doc_id", raw.alias("raw"))
 
 
@@ -155,7 +157,7 @@ def examples(spark: SparkSession, sf: str) -> DataFrame:
     answer = text, gold fine label (vote consolidation) and official coarse
     label, plus the hash split."""
     from answerlab.operators.votes import consolidate_votes
-    gold = consolidate_votes(votes(spark, sf)).select("doc_id", "evasion_label", "clarity_label")
+    gold = consolidate_votes(votes(spark, sf)).select("doc_id", "evasion_label", "official_label")
     d = table(spark, sf, "documents").select(
         "doc_id", F.concat(F.lit("What does "), F.col("source"), F.lit(" say?")).alias("question"),
         F.col("text").alias("answer"), "lang")
@@ -197,13 +199,13 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
             .select("doc_id", "lang", "text", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("attempt"))
             .select("doc_id", "lang", "attempt",
                     ((d * 7 + F.col("attempt") * 3) % 5 == 0).alias("accepted"),
-                    F.expr("substr(text, attempt + 1, 80)").alias("rewrite")))
+                    F.expr("substr(text, attempt + 1)").alias("rewrite")))
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """v_pairs: each English document with the document that follows its id."""
+    """v_pairs: each document with the document that follows its id."""
     docs = table(spark, sf, "documents")
-    a = docs.where(F.col("lang") == "en").select("doc_id", F.col("text").alias("original"))
+    a = docs.select("doc_id", F.col("text").alias("original"))
     b = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("rewrite"))
     return a.join(b, "doc_id")
 

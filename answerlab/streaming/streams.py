@@ -22,15 +22,17 @@ from answerlab.operators.scoring import Scorer, score_table
 
 
 def score_stream(spark: SparkSession, src: str, schema, scorer: Scorer, keep: Sequence[str], labels: Sequence[str],
-                 sink: str, checkpoint: str, max_files_per_trigger: int = 1, answer: str | None = None,
-                 glob: str | None = None) -> None:
+                 sink: str, checkpoint: str, max_files_per_trigger: int | None = None, answer: str | None = None,
+                 glob: str | None = None, tagged: bool = False) -> None:
     """Score every new file of ``src`` into ``sink``; safe to stop and run
-    again with the same ``checkpoint``."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    again with the same ``checkpoint``. ``tagged`` as in C1."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     stream = reader.parquet(src)
-    scored = score_table(stream, scorer, keep, labels, answer)
+    scored = score_table(stream, scorer, keep, labels, answer, tagged=tagged)
     q = (scored.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()

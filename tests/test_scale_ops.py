@@ -17,7 +17,7 @@ def test_rank_within_matches_window(spark):
     rnd = random.Random(7)
     data = [(i, "hot" if i % 3 else f"g{i % 5}", rnd.random()) for i in range(600)]
     df = spark.createDataFrame(data, "id long, g string, h double")
-    got = rows(rank_within(df, ["g"], ["h", "id"], max_window_rows=0), "id", "rn")  # range-partitioned plan
+    got = rows(rank_within(df, ["g"], ["h", "id"]), "id", "rn")
     want = rows(df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("h", "id"))), "id", "rn")
     assert got == want
 
@@ -74,7 +74,7 @@ def test_rebalance_counts_match_targets(spark):
     df = spark.createDataFrame(data, "doc_id long, embedding array<double>, class int, text string, split string")
     rewrites = spark.createDataFrame([(i, 0, False, f"rw {i}") for i in range(450)],
                                      "doc_id long, attempt int, accepted boolean, rewrite string")
-    out = B.rebalance(df, "class", "doc_id", "embedding", "text", rewrites, "soft", 0.6, max_k=4)
+    out = B.rebalance(df, "class", "doc_id", "embedding", "text", rewrites, "soft", 0.6, k=4)
     got = {r["label"]: (r["n_original"], r["n_synthetic"]) for r in B.growth_report(out, "class").collect()}
     # ceiling = int(300 * 0.6) = 180: class 0 down to 180, class 1 up to 180, class 2 up to 100 (2x cap)
     assert got == {0: (180, 0), 1: (100, 80), 2: (50, 50)}
@@ -113,10 +113,9 @@ def test_smallest_k_matches_window_with_collisions(spark):
     assert got == want and len(got) == sum(want_k.values())
 
 
-@pytest.mark.parametrize("max_window_rows", [0, 10_000_000])
-def test_exact_split_both_plans(spark, max_window_rows):
+def test_exact_split_matches_window(spark):
     df = spark.range(3000).withColumnRenamed("id", "doc_id").withColumn("s", (F.col("doc_id") % 3).cast("int"))
-    out = S.exact_split(df, "doc_id", 0.2, strata=["s"], max_window_rows=max_window_rows)
+    out = S.exact_split(df, "doc_id", 0.2, strata=["s"])
     h = df.withColumn("h", S.split_hash_int("doc_id")).withColumn(
         "r", F.row_number().over(Window.partitionBy("s").orderBy("h", "doc_id")))
     want = rows(h.withColumn("split", F.when(F.col("r") <= 200, "validation").otherwise("train")), "doc_id", "split")
@@ -127,6 +126,6 @@ def test_upsample_sources_histogram_plan(spark):
     rnd = random.Random(3)
     df = spark.createDataFrame([(i, 0 if i < 500 else 1) for i in range(700)], "doc_id long, class int")
     t = B.class_targets(B.class_counts(df, "class"), "soft", 0.7)  # class 1: 200 -> 350, remainder 150
-    a = rows(B.upsample_sources(df, t, "class", "doc_id", max_window_rows=0), "doc_id", "copy_no")
-    b = rows(B.upsample_sources(df, t, "class", "doc_id"), "doc_id", "copy_no")
-    assert a == b and len(a) == 150 and rnd is not None
+    a = rows(B.upsample_sources(df, t, "class", "doc_id"), "doc_id", "copy_no")
+    h = df.where("class = 1").withColumn("h", S.split_hash_int("doc_id")).orderBy("h", "doc_id").limit(150)
+    assert a == sorted((r.doc_id, 1) for r in h.collect()) and rnd is not None

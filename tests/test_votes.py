@@ -2,12 +2,12 @@
 from answerlab.operators import votes as V
 from conftest import rows
 
-SCHEMA = "doc_id long, annotator1 string, annotator2 string, annotator3 string, clarity_label string"
+SCHEMA = "doc_id long, annotator1 string, annotator2 string, annotator3 string, official_label string"
 
 
 def test_valid_votes_skip_blank_null_none(spark):
     df = spark.createDataFrame([(1, "Explicit", "  ", None), (2, "None", " None ", "Dodging")], SCHEMA.replace(
-        ", clarity_label string", ""))
+        ", official_label string", ""))
     assert rows(V.valid_votes(df), "doc_id", "annotator_no", "vote") == [(1, 1, "Explicit"), (2, 3, "Dodging")]
 
 
