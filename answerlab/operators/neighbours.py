@@ -1,25 +1,25 @@
 """Vectors, exemplars and retrieval.
 
-Exact inner-product top-k (X6) without comparing every query with every
-corpus row when the data allows it:
+Exact inner-product top-k (X6), in blocks of bounded size:
 
-1. ``n_pivots`` corpus rows (smallest hash of id) become pivots (a bounded
-   list); every corpus row goes to the bucket of its best pivot, and each
-   bucket keeps its radius r_b = max ||x - p_b||.
+1. Pivots, as many as suit the size of the corpus, are corpus rows picked by a
+   hash; every corpus row goes to the bucket of its best pivot, and each bucket
+   keeps its radius r_b = max ||x - p_b||.
 2. For a query q, every row of bucket b scores at most
    ub_b = q.p_b + ||q|| r_b (Cauchy-Schwarz).
-3. Pass 1 scores the ``probe`` buckets with the highest bound and takes the
-   k-th best score t_q (-inf if fewer than k rows were seen). Pass 2 scores
-   only buckets with ub_b >= t_q. A row outside both passes scores below t_q,
-   so the top k are exact (ties broken by id on scores rounded to 6 places).
-
-Scoring is blocked: a bucket is cut into chunks of at most ``max_block``
-rows (hash of id), the queries probing it are repeated per chunk, and each
-(bucket, chunk) cogroup is scored by one numpy matrix product inside the
-task, returning only its top k per query. Spark does the partitioning and
-the shuffles; a hot bucket becomes many bounded blocks. On clustered
-embeddings most buckets are skipped; on structureless vectors the bound
-prunes little and the work approaches all pairs, which exact search needs.
+3. Pass 1 scores the ``probe`` buckets with the highest bound; the k-th best
+   score t_q found (none if fewer than k rows were seen) goes with the query to
+   pass 2, which scores only buckets with ub_b >= t_q and returns only scores
+   of at least t_q. So the top k are exact (ties by id on scores rounded to 6
+   places).
+
+Buckets are cut into chunks of at most about ``max_block`` rows and the queries
+that probe a bucket into blocks of ``max_queries``; each (bucket, chunk, query
+block) is one matrix product in one task, which returns at most k rows for each
+query. A hot bucket is many blocks. On clustered vectors most buckets are
+skipped; vectors without structure let the bound prune nothing, and the cost is
+that of all products, |queries| x |corpus| x dimension, with every corpus row
+sent to |queries| / max_queries blocks.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from answerlab.functions.constants import TAXONOMY
 from answerlab.operators.ranking import join_null_safe
-from answerlab.session import literal_table
+from answerlab.session import cut_lineage, literal_table
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,7 +55,7 @@ def normalise_vectors(df: DataFrame, col: str = "embedding", out: str | None = N
     return df.withColumn(out or col, F.transform(col, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
 
 
-def _assign_buckets(pivots, c_cols_schema):
+def _assign_buckets(pivots):
     """mapInPandas body: best pivot (highest inner product, lowest index on
     ties) and distance to it, for each corpus vector of the batch."""
     import numpy as np
@@ -65,117 +65,113 @@ def _assign_buckets(pivots, c_cols_schema):
             if len(pdf) == 0:
                 continue
             x = np.stack(pdf["_cv"].to_numpy()).astype(np.float64)
-            s = x @ pivots.T
-            b = s.argmax(axis=1)
-            d = np.sqrt(((x - pivots[b]) ** 2).sum(axis=1))
-            out = pdf.copy()
-            out["bucket"] = (b + 1).astype("int32")
-            out["_d"] = d
-            yield out
+            b = (x @ pivots.T).argmax(axis=1)
+            yield pdf.assign(bucket=b.astype("int32"), _d=np.sqrt(((x - pivots[b]) ** 2).sum(axis=1)))
     return run
 
 
-def _query_bounds(pivots, radius_by_bucket):
-    """mapInPandas body: for each query, one row per non-empty bucket with the
-    upper bound q.p_b + ||q|| r_b of any score inside it."""
+def _probe_buckets(pivots, radii, probe: int, second: bool):
+    """mapInPandas body: the buckets each query probes, best bounds first in
+    pass 1, in pass 2 (``second``) the others whose bound reaches ``_t``."""
     import numpy as np
-    import pandas as pd
 
-    buckets = np.array(sorted(radius_by_bucket), dtype=np.int64)
-    radii = np.array([radius_by_bucket[int(b)] for b in buckets], dtype=np.float64)
+    buckets = np.array(sorted(radii), dtype=np.int64)
+    radius = np.array([radii[int(b)] for b in buckets])
 
     def run(batches):
         for pdf in batches:
-            if len(pdf) == 0 or len(buckets) == 0:
+            if len(pdf) == 0:
                 continue
             q = np.stack(pdf["_qv"].to_numpy()).astype(np.float64)
-            ub = q @ pivots[buckets - 1].T + np.linalg.norm(q, axis=1)[:, None] * radii[None, :]
-            n, m = ub.shape
-            yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), m),
-                                "bucket": np.tile(buckets, n).astype("int32"), "ub": ub.reshape(-1)})
+            ub = q @ pivots[buckets].T + np.linalg.norm(q, axis=1)[:, None] * radius[None, :]
+            rank = np.argsort(np.argsort(-ub, axis=1, kind="stable"), axis=1)
+            t = pdf["_t"].to_numpy(dtype=np.float64)
+            reach = np.isnan(t)[:, None] | (ub >= np.nan_to_num(t)[:, None] - 1e-6)
+            row, col = np.nonzero((rank >= probe) & reach if second else rank < probe)
+            yield pdf.iloc[row].assign(bucket=buckets[col].astype("int32"))
     return run
 
 
 def _block_topk(k: int, c_cols: Sequence[str]):
-    """cogroup body: exact scores of one block (queries x corpus rows of one
-    bucket chunk) by a matrix product; keeps the top k per query by (score
-    rounded to 6 places desc, corpus id)."""
+    """cogroup body: scores of one block by a matrix product; per query the top
+    k of at least ``_t``, by (score rounded to 6 places desc, corpus id)."""
     import numpy as np
     import pandas as pd
 
     def run(qpdf, cpdf):
         if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({"query_id": [], "corpus_id": [], "score": [], **{c: [] for c in c_cols}})
-        qpdf = qpdf.drop_duplicates("query_id")
+            return pd.DataFrame({c: [] for c in ("query_id", "corpus_id", "score", *c_cols)})
         q = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
         x = np.stack(cpdf["_cv"].to_numpy()).astype(np.float64)
         sc = np.round(q @ x.T, 6)
-        ids = cpdf["corpus_id"].to_numpy()
-        kk = min(k, len(ids))
-        rows_q, rows_c, rows_s = [], [], []
-        for i, qid in enumerate(qpdf["query_id"].to_numpy()):
-            order = np.lexsort((ids, -sc[i]))[:kk]
-            rows_q.append(np.full(kk, qid))
-            rows_c.append(order)
-            rows_s.append(sc[i, order])
-        pos = np.concatenate(rows_c)
-        out = pd.DataFrame({"query_id": np.concatenate(rows_q), "corpus_id": ids[pos], "score": np.concatenate(rows_s)})
-        for c in c_cols:
-            out[c] = cpdf[c].to_numpy()[pos]
-        return out
+        least = qpdf["_t"].to_numpy(dtype=np.float64)
+        least = np.where(np.isnan(least), -np.inf, least - 1e-6)
+        if sc.shape[1] > k:
+            least = np.maximum(least, np.partition(sc, sc.shape[1] - k, axis=1)[:, sc.shape[1] - k])
+        row, col = np.nonzero(sc >= least[:, None])  # the k best of a query and all ties of the last
+        ids = cpdf["corpus_id"].rank(method="first").to_numpy()
+        order = np.lexsort((ids[col], -sc[row, col], row))
+        row, col = row[order], col[order]
+        begin = np.flatnonzero(np.diff(row, prepend=-1))
+        keep = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row)))) < k
+        row, col = row[keep], col[keep]
+        out = pd.DataFrame({"query_id": qpdf["query_id"].to_numpy()[row], "corpus_id": cpdf["corpus_id"].to_numpy()[col],
+                            "score": sc[row, col]})
+        return out.assign(**{c: cpdf[c].to_numpy()[col] for c in c_cols})
     return run
 
 
+#: Memory that all pivots together may take in a task; it sets how fine the buckets are, nothing else.
+PIVOT_BYTES = 32 << 20
+
+
 def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int, q_id: str = "vec_id", c_id: str = "vec_id",
-                       vec: str = "embedding", n_pivots: int = 32, probe: int = 2,
-                       c_cols: Sequence[str] = (), max_block: int = 4096) -> DataFrame:
+                       vec: str = "embedding", n_pivots: int | None = None, probe: int = 2,
+                       c_cols: Sequence[str] = (), max_block: int = 4096, max_queries: int = 1024) -> DataFrame:
     """Exact top-k corpus rows per query by inner product.
     Returns (query_id, corpus_id, score, rank, *c_cols); score is rounded to 6
-    places, rank 1..k by (score desc, corpus_id).
+    places, rank 1..k by (score desc, corpus_id). Ids may be of any type that
+    orders; an empty corpus gives no rows. ``n_pivots`` defaults to half the
+    square root of the corpus size."""
+    import math
 
-    Work is done in blocks: rows of a bucket are split into chunks of at most
-    ``max_block`` rows (hash of id), each (bucket, chunk) is one cogroup of the
-    queries probing the bucket and its corpus rows, scored by one matrix
-    product; every block returns only its top k per query."""
     import numpy as np
 
     spark = queries.sparkSession
-    q = queries.select(F.col(q_id).alias("query_id"), F.col(vec).cast("array<double>").alias("_qv"))
+    q = queries.select(F.col(q_id).alias("query_id"), F.col(vec).cast("array<double>").alias("_qv")).dropDuplicates(["query_id"])
     c = corpus.select(F.col(c_id).alias("corpus_id"), F.col(vec).cast("array<double>").alias("_cv"), *c_cols)
-    order = [F.xxhash64("corpus_id"), F.col("corpus_id")]
-    piv_rows = c.select("corpus_id", "_cv").orderBy(*order).limit(n_pivots).collect()  # <= n_pivots rows
-    if not piv_rows:
-        return spark.createDataFrame([], "query_id long, corpus_id long, score double, rank int")
-    pivots = np.array([r["_cv"] for r in piv_rows], dtype=np.float64)
-    cfields = {f.name: f.dataType.simpleString() for f in c.schema.fields}
-    cb_schema = ", ".join(f"`{n}` {t}" for n, t in cfields.items()) + ", bucket int, _d double"
-    cb = c.mapInPandas(_assign_buckets(pivots, cfields), cb_schema)
-    stats = {r["bucket"]: (r["radius"], r["n"]) for r in
-             cb.groupBy("bucket").agg(F.max("_d").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}  # <= n_pivots
-    chunks = {b: max(1, -(-n // max_block)) for b, (_, n) in stats.items()}
-    n_chunks = F.create_map(*[x for b, n in chunks.items() for x in (F.lit(b), F.lit(n))])
-    # bounds carry ids only (16 bytes per query and bucket); vectors are joined
-    # back for the few (query, bucket) pairs that get scored
-    qb = q.mapInPandas(_query_bounds(pivots, {b: r for b, (r, _) in stats.items()}),
-                       "query_id long, bucket int, ub double")
-    qb = qb.withColumn("_brank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ub"), "bucket")))
-    cchunk = cb.drop("_d").withColumn("chunk", F.pmod(F.xxhash64("corpus_id"), n_chunks[F.col("bucket")]).cast("int"))
-    out_schema = "query_id long, corpus_id long, score double" + "".join(f", `{c}` {cfields[c]}" for c in c_cols)
+    q_kind, kinds = q.schema["query_id"].dataType.simpleString(), {f.name: f.dataType.simpleString() for f in c.schema.fields}
+    out_schema = f"query_id {q_kind}, corpus_id {kinds['corpus_id']}, score double" + "".join(f", `{x}` {kinds[x]}" for x in c_cols)
+    size = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_cv")).alias("d")).first()
+    if not size["n"]:
+        return spark.createDataFrame([], out_schema + ", rank int")
+    wanted = n_pivots or max(1, min(math.isqrt(size["n"]) // 2, PIVOT_BYTES // (8 * max(1, size["d"]))))
+    rows = c.select("corpus_id", "_cv").orderBy(F.xxhash64("corpus_id"), "corpus_id").limit(wanted).collect()  # the pivots
+    pivots = np.array([r["_cv"] for r in rows], dtype=np.float64)
+    cb = c.mapInPandas(_assign_buckets(pivots), ", ".join(f"`{x}` {t}" for x, t in kinds.items()) + ", bucket int, _d double")
+    stats = cb.groupBy("bucket").agg(F.max("_d").alias("r"), F.count(F.lit(1)).alias("n")).collect()  # one row for each pivot at most
+    radii = {r["bucket"]: r["r"] for r in stats}
+    chunks = spark.createDataFrame([(r["bucket"], -(-r["n"] // max_block)) for r in stats], "bucket int, _chunks int")
+    cchunk = cb.drop("_d").join(chunks, "bucket").withColumn("chunk", F.pmod(F.xxhash64("corpus_id"), "_chunks").cast("int")).drop("_chunks")
+    pair_schema = f"query_id {q_kind}, _qv array<double>, _t double, bucket int"
 
     def scored(pairs: DataFrame) -> DataFrame:
-        per_chunk = pairs.select("query_id", "bucket").join(q, "query_id").select(
-            "query_id", "_qv", "bucket", F.explode(F.sequence(F.lit(0), n_chunks[F.col("bucket")] - 1)).alias("chunk"))
-        return (per_chunk.groupBy("bucket", "chunk").cogroup(cchunk.groupBy("bucket", "chunk"))
+        sides = pairs.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(max_queries)).cast("int").alias("_blocks"))
+        left = (pairs.join(sides, "bucket").join(chunks, "bucket")
+                .select("query_id", "_qv", "_t", "bucket", F.pmod(F.xxhash64("query_id"), "_blocks").cast("int").alias("qb"),
+                        F.explode(F.expr("sequence(0, _chunks - 1)")).alias("chunk")))
+        right = cchunk.join(sides.withColumnRenamed("bucket", "_b"), F.col("bucket") == F.col("_b")).select(
+            *kinds, "bucket", "chunk", F.explode(F.expr("sequence(0, _blocks - 1)")).alias("qb"))
+        return (left.groupBy("bucket", "chunk", "qb").cogroup(right.groupBy("bucket", "chunk", "qb"))
                 .applyInPandas(_block_topk(k, c_cols), out_schema))
 
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
-    first = scored(qb.where(F.col("_brank") <= probe))
-    kth = (first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == k)
-           .select("query_id", F.col("score").alias("_t")))
-    rest = (qb.where(F.col("_brank") > probe).join(kth, "query_id", "left")
-            .where(F.col("_t").isNull() | (F.col("ub") >= F.col("_t") - F.lit(1e-6))).drop("_t"))
-    cands = first.unionByName(scored(rest))
-    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    start = q.withColumn("_t", F.lit(None).cast("double")).mapInPandas(_probe_buckets(pivots, radii, probe, False), pair_schema)
+    first = cut_lineage(scored(start).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank"))
+    kth = first.groupBy("query_id").agg(F.min("score").alias("_s"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k)
+    known = q.join(kth.select("query_id", F.col("_s").alias("_t")), "query_id", "left").select("query_id", "_qv", "_t")
+    rest = scored(known.mapInPandas(_probe_buckets(pivots, radii, probe, True), pair_schema))
+    return first.unionByName(rest).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def diverse_neighbours(queries: DataFrame, corpus: DataFrame, label: str, k: int = 9, cap: int = 1, over: int = 5,

@@ -59,6 +59,14 @@ def test_nearest_neighbours_exact(spark, clustered):
     assert got == want
 
 
+def test_nearest_neighbours_ties_strings_and_empty_corpus(spark):
+    same = spark.createDataFrame([(f"c{i:03d}", [1.0, 0.0] if i % 2 else [0.5, 0.5], i) for i in range(60)], "vec_id string, embedding array<double>, label int")
+    q = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", [0.0, 1.0])], "vec_id string, embedding array<double>")
+    got = rows(N.nearest_neighbours(q, same, 3, n_pivots=4, probe=1, max_block=7, max_queries=1, c_cols=["label"]), "query_id", "corpus_id", "rank", "label")
+    assert got == [("q1", "c001", 1, 1), ("q1", "c003", 2, 3), ("q1", "c005", 3, 5), ("q2", "c000", 1, 0), ("q2", "c002", 2, 2), ("q2", "c004", 3, 4)]
+    assert N.diverse_neighbours(q, same.limit(0), "label").collect() == []
+
+
 def test_diverse_neighbours_cap(spark):
     q = _vectors(spark, 10, 8, 3, True)
     c = _vectors(spark, 200, 8, 4, True).withColumn("vec_id", F.col("vec_id") + 1000)
@@ -129,3 +137,63 @@ def test_upsample_sources_histogram_plan(spark):
     a = rows(B.upsample_sources(df, t, "class", "doc_id"), "doc_id", "copy_no")
     h = df.where("class = 1").withColumn("h", S.split_hash_int("doc_id")).orderBy("h", "doc_id").limit(150)
     assert a == sorted((r.doc_id, 1) for r in h.collect()) and rnd is not None
+
+
+def test_null_labels_and_splits_are_kept(spark):
+    data = [(i, [float(i % 7), 1.0], None if i < 15 else (0 if i < 75 else 1), f"text {i}", "train" if i < 90 else None) for i in range(100)]
+    df = spark.createDataFrame(data, "doc_id long, embedding array<double>, class int, text string, split string")
+    rewrites = spark.createDataFrame([(i, 0, False, f"rw {i}") for i in range(100)], "doc_id long, attempt int, accepted boolean, rewrite string")
+    out = B.rebalance(df, "class", "doc_id", "embedding", "text", rewrites, "soft", 0.6, k=4)
+    got = {r["label"]: (r["n_original"], r["n_synthetic"]) for r in B.growth_report(out.where("split = 'train'"), "class").collect()}
+    assert got == {0: (36, 0), 1: (15, 15), None: (15, 15)}
+    assert out.where("split is null").count() == 10
+
+
+def test_copies_take_their_own_rewrites(spark):
+    rows_ = spark.createDataFrame([(1, "a", 0)], "doc_id long, text string, class int")
+    src = rows_.withColumn("copies", F.lit(2)).withColumn("copy_no", F.explode(F.array(F.lit(1), F.lit(2))))
+    rw = spark.createDataFrame([(1, 1, "first"), (1, 2, "second")], "doc_id long, copy_no int, rewrite string")
+    assert sorted(r.text for r in B.upsample(rows_, src, rw, "doc_id", "text").where("is_augmented").collect()) == ["first", "second"]
+
+
+def test_retry_takes_over_the_source_row(spark):
+    first = spark.createDataFrame([(1, 10, False, "w1"), (2, 11, True, "w2"), (3, 12, False, "w3")], "doc_id long, source_id long, accepted boolean, rewrite string")
+    cands = spark.createDataFrame([(1, 1, 20, False, "x"), (1, 2, 21, True, "y"), (1, 3, 22, True, "z"), (3, 1, 20, False, "n")],
+                                  "doc_id long, attempt int, source_id long, accepted boolean, rewrite string")
+    base = spark.createDataFrame([(i, f"t{i}") for i in (10, 11, 12, 20, 21, 22)], "source_id long, tag string")
+    got = rows(B.retry_sources(first, cands, base, "doc_id"), "doc_id", "source_id", "rewrite", "tag")
+    assert got == [(1, 21, "y", "t21"), (2, 11, "w2", "t11"), (3, 12, "w3", "t12")]
+
+
+def test_exact_ratio_runs_only_above_the_bound(spark):
+    df = spark.createDataFrame([(1, "abcdef", "zzzzzz"), (2, "abcdef", "abcdef"), (3, None, None)], "id long, a string, b string")
+    got = {r.id: (r.surface_ratio, r.accepted) for r in B.accept_pairs(df, "a", "b").collect()}
+    assert got == {1: (None, True), 2: (1.0, False), 3: (1.0, False)}
+
+
+def test_runs_are_read_line_by_line(spark, tmp_path):
+    from answerlab.sources import io as IO
+    recs = [{"model_key": f"m{i}", "bal_name": "b", "aug_name": "a", "loss_name": "l", "metrics": {"macro_f1": i / 10}} for i in range(3)]
+    import json
+    (tmp_path / "r.json").write_text("\n".join(json.dumps(r) for r in recs))
+    assert [r.model_key for r in IO.read_runs(spark, str(tmp_path)).collect()] == ["m2", "m1", "m0"]
+
+
+def test_scorer_with_a_short_result_fails_its_rows_only(spark):
+    import pandas as pd
+
+    from answerlab.operators import scoring as SC
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "id long, text string").coalesce(1)
+
+    def short(pdf):
+        return pd.Series(["<step1> why </step1><label>General</label>"]) if len(pdf) > 1 else pd.Series([] if pdf.text.iloc[0] == "y" else ["<step1> why </step1><label>General</label>"])
+    got = {r.id: (r.pred_label, r.reasoning) for r in SC.score_table(df, short, ["id", "text"], ["General", "Explicit"], tagged=True).collect()}
+    assert got == {1: ("General", "why"), 2: ("PARSE_ERROR", "")}
+
+
+def test_lexicon_join_equals_a_count(spark):
+    from answerlab.operators import scoring as SC
+    lex = spark.createDataFrame([(f"w{i}", ["A", "B"][i % 2], 1.0) for i in range(5000)], "word string, tone string, weight double")
+    df = spark.createDataFrame([(1, "W1 w3, w2."), (2, None), (3, "nothing"), (4, "w2 w4 w1")], "doc_id long, text string")
+    got = {r.doc_id: (r.tone, list(r.tone_scores)) for r in SC.lexicon_label(df, "text", lex, "doc_id", ["A", "B"]).collect()}
+    assert got == {1: ("B", [1.0, 2.0]), 2: ("A", [0.0, 0.0]), 3: ("A", [0.0, 0.0]), 4: ("A", [2.0, 1.0])}

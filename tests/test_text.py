@@ -81,3 +81,17 @@ def test_rule_split(spark):
     # "Who did this" is cut to "Did this" (first starter) and dropped for having under 3 words
     assert out2 == ["Do you agree with it"]
     assert one(spark, QF.rule_split("s"), "So?") == ["So?"]
+
+
+def test_white_space_is_pythons(spark):
+    for text in ("a\u00a0b", "\u2003x y\x1cz \u3000", "\x85q", "", "\u200bq r"):
+        assert one(spark, T.word_count("s"), text) == len(text.split())
+        assert one(spark, T.py_strip("s"), text) == text.strip()
+
+
+def test_json_key_with_null_counts_as_present(spark):
+    assert one(spark, RF.category_from_json("s"), '{"category": null, "label": "Implicit"}') == "None"
+    assert one(spark, RF.category_from_json("s"), '{"category": true}') == "True"
+    assert one(spark, RF.contained_label("s"), "Dodging, not General") == "Dodging"
+    df = QF.with_route_split(spark.createDataFrame([("one two three four five six seven eight", '{"sub_questions": null}')], "q string, r string"), "q", "r")
+    assert df.first()["split"]["splitter_source"] == "llm_base"
