@@ -39,17 +39,30 @@ def _with_weights(v: DataFrame, weights: DataFrame) -> DataFrame:
     return v.join(w, "_y", "left").withColumn("_w", F.coalesce("_w", F.lit(0.0)))
 
 
-def weighted_ce(df: DataFrame, weights: DataFrame, logits: str = "logits", label: str = "label_id") -> DataFrame:
-    """sum(w_y * CE) / sum(w_y)."""
+def _class_mean(v: DataFrame, term) -> DataFrame:
+    """Mean over the classes seen of the term's mean in each class. With balanced
+    weights w_y = N / (C n_y), both sum(w_y * x) / sum(w_y) and sum(w_y * x) / N
+    are this value, so the weights need no pass of their own."""
+    return v.groupBy("_y").agg(F.avg(term).alias("_m")).agg(F.avg("_m").alias("loss"))
+
+
+def weighted_ce(df: DataFrame, weights: DataFrame | None = None, logits: str = "logits", label: str = "label_id") -> DataFrame:
+    """sum(w_y * CE) / sum(w_y); without ``weights``, the balanced ones
+    (L4 on the labels seen), in one pass over the rows."""
+    if weights is None:
+        return _class_mean(_valid(df, logits, label), F.col("_ce"))
     v = _with_weights(_valid(df, logits, label), weights)
     return v.agg((F.sum(F.col("_w") * F.col("_ce")) / F.sum("_w")).alias("loss"))
 
 
 def focal_loss(df: DataFrame, weights: DataFrame | None = None, gamma: float = 2.0, logits: str = "logits",
-               label: str = "label_id") -> DataFrame:
+               label: str = "label_id", balanced: bool = False) -> DataFrame:
     """Mean of alpha_y * (1 - p)^gamma * CE with p = exp(-CE); 0.0 when
-    no row has a label."""
+    no row has a label. ``balanced``: alpha_y as in M12 without weights."""
     v = _valid(df, logits, label)
+    if balanced:
+        term = F.pow(1 - F.exp(-F.col("_ce")), F.lit(gamma)) * F.col("_ce")
+        return _class_mean(v, term).select(F.coalesce("loss", F.lit(0.0)).alias("loss"))
     alpha = F.lit(1.0)
     if weights is not None:
         v = _with_weights(v, weights)

@@ -207,10 +207,12 @@ def class_report(df: DataFrame, labels: Sequence[str], truth: str = "true_label"
 
 
 def dual_level_metrics(df: DataFrame, truth: str = "true_label", pred: str = "pred_label",
-                       taxonomy: Sequence[tuple[str, str]] = TAXONOMY, by: Sequence[str] = ()) -> DataFrame:
+                       taxonomy: Sequence[tuple[str, str]] = TAXONOMY, by: Sequence[str] = (), seen_only: bool = False) -> DataFrame:
     """M8: accuracy, macro and weighted F1 on the fine labels and again on their
     coarse classes. Rows with a label outside the taxonomy cannot be coarsened:
-    they are dropped from the coarse level and counted in ``n_unmapped``."""
+    they are dropped from the coarse level and counted in ``n_unmapped``. With
+    ``seen_only`` the means run over the labels that occur, as a training metric
+    does, else over all listed labels. Rows with a null label count as wrong."""
     fine = [f for f, _ in taxonomy]
     coarse = sorted({c for _, c in taxonomy})
     t, p = F.col(truth).cast("string"), F.col(pred).cast("string")
@@ -224,10 +226,10 @@ def dual_level_metrics(df: DataFrame, truth: str = "true_label", pred: str = "pr
     pc = (stacked.groupBy(*by, "level", "unmapped", F.col("t").alias("true_label"), F.col("p").alias("pred_label"))
           .agg(F.count(F.lit(1)).alias("n")))
     listed = F.when(F.col("level") == "fine", F.array(*[F.lit(x) for x in fine])).otherwise(F.array(*[F.lit(x) for x in coarse]))
-    return _levels(pc, [*by, "level"], listed)
+    return _levels(pc, [*by, "level"], F.array().cast("array<string>") if seen_only else listed, seen_only)
 
 
-def _levels(pc: DataFrame, by: Sequence[str], listed) -> DataFrame:
+def _levels(pc: DataFrame, by: Sequence[str], listed, seen_only: bool = False) -> DataFrame:
     """Summary per group of pair counts (``unmapped`` ones only counted), with
     the labels of ``listed`` (an array by group); null pairs count as wrong."""
     zero = F.lit(0).cast("long")
@@ -243,7 +245,7 @@ def _levels(pc: DataFrame, by: Sequence[str], listed) -> DataFrame:
     cells = pc.select(*by, F.inline(F.concat(seen, grid)))
     per = cells.groupBy(*by, "label").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("hit").alias("hit"),
                                           F.max("listed").alias("listed"), F.sum("un").alias("un"))
-    inl = F.col("listed") & F.col("label").isNotNull()
+    inl = (F.lit(True) if seen_only else F.col("listed")) & F.col("label").isNotNull()
     f1 = F.when(inl & (F.col("t") + F.col("p") > 0), 2 * F.col("hit") / (F.col("t") + F.col("p"))).when(inl, F.lit(0.0))
     sup = F.sum(F.when(inl, F.col("t")))
     return per.withColumn("f1", f1).groupBy(*by).agg(

@@ -103,9 +103,15 @@ def hybrid_label(final: str, direct: str, taxonomy: Sequence[tuple[str, str]] =
 
 
 def split_log(parts: DataFrame, id_cols: Sequence[str], order: str = "part", label: str = "label",
-              extra: Sequence[str] = ()) -> DataFrame:
-    """Q10: one audit row per question with its labels in part order (JSON)."""
-    ids = list(id_cols)
-    return parts.groupBy(*ids).agg(
-        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(order, label))), lambda x: x[label])).alias("labels"),
-        *[F.any_value(c).alias(c) for c in extra])
+              extra: Sequence[str] = (), lists: dict[str, str] | None = None, final: str | None = None) -> DataFrame:
+    """Q10: one audit row per question with its labels in part order (JSON).
+    ``lists`` names further columns of the parts (sub-questions, raw outputs) to
+    be listed the same way, ``extra`` columns that are the same in all parts
+    (splitter source, direct label), ``final`` the column for the label that Q8
+    gives the question."""
+    ids, listed = list(id_cols), {"labels": label, **(lists or {})}
+    kept = [f"_p{i}" for i in range(len(listed))]
+    parted = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *[F.col(c).alias(k) for k, c in zip(kept, listed.values())])))
+    out = parts.groupBy(*ids).agg(parted.alias("_all"), *[F.any_value(c).alias(c) for c in extra])
+    out = out.withColumns({name: F.to_json(F.col(f"_all.{k}")) for name, k in zip(listed, kept)}).drop("_all")
+    return out if final is None else out.join(aggregate_sub_answers(parts, ids, label, order, out=final).drop("n"), ids)

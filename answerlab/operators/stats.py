@@ -133,17 +133,18 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """Equal-width bins over [min, max], last bin closed; every bin listed.
     Integer columns are binned with integer arithmetic (exact)."""
     x = F.col(col)
+    # staged as one column, so that the range is one subquery however often it is used
     mm = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
-    lo, hi = mm["lo"], mm["hi"]
+    lo, hi = F.col("_mm.lo"), F.col("_mm.hi")
     is_int = dict(df.dtypes)[col] in ("int", "bigint", "smallint", "tinyint")
     if is_int:
         b = F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor(((x - lo) * bins) / (hi - lo)), F.lit(bins - 1)))
     else:
         b = F.when(hi == lo, F.lit(0)).otherwise(
             F.least(F.floor((x.cast("double") - lo) * bins / (hi - lo)), F.lit(bins - 1)))
-    counts = df.where(x.isNotNull()).groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(x.isNotNull()).withColumn("_mm", mm).groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     width = (hi - lo).cast("double") / bins
-    all_bins = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    all_bins = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), mm.alias("_mm"))
     return (all_bins.join(counts, "bin", "left")
             .select("bin", (lo + F.col("bin") * width).alias("lo"), (lo + (F.col("bin") + 1) * width).alias("hi"),
                     F.coalesce("n", F.lit(0)).cast("long").alias("n")))
@@ -181,9 +182,9 @@ def binned_mean(df: DataFrame, x: str, y: str, bins: int = 5) -> DataFrame:
     falls in the first bin); mean of y per non-empty bin."""
     xc = F.col(x).cast("double")
     mm = df.agg(F.struct(F.min(xc).alias("lo"), F.max(xc).alias("hi"))).scalar()
-    lo, hi = mm["lo"], mm["hi"]
+    lo, hi = F.col("_mm.lo"), F.col("_mm.hi")
     w = (hi - lo) / bins
     b = F.when(hi == lo, F.lit(0)).otherwise(F.greatest(F.least(F.ceil((xc - lo) / w) - 1, F.lit(bins - 1)), F.lit(0)))
-    return (df.where(xc.isNotNull()).groupBy(b.cast("int").alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(y).cast("double")).alias("mean"))
+    return (df.where(xc.isNotNull()).withColumn("_mm", mm).groupBy(b.cast("int").alias("bin"))
+            .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(y).cast("double")).alias("mean"), F.any_value("_mm").alias("_mm"))
             .select("bin", (lo + F.col("bin") * w).alias("lo"), (lo + (F.col("bin") + 1) * w).alias("hi"), "n", "mean"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from answerlab.plans import q_votes  # noqa: F401
+from answerlab.plans import (  # noqa: F401
+    q_balance,
+    q_measures,
+    q_runs,
+    q_scoring,
+    q_stats,
+    q_text,
+    q_vectors,
+    q_votes,
+)
 from answerlab.plans.registry import QUERIES
 
-for _mod in ("q_stats", "q_text", "q_vectors", "q_balance", "q_runs", "q_scoring", "q_measures"):
-    try:
-        __import__(f"answerlab.plans.{_mod}")
-    except ModuleNotFoundError as exc:  # module not written yet
-        if exc.name != f"answerlab.plans.{_mod}":
-            raise
-
 __all__ = ["QUERIES"]

@@ -143,6 +143,22 @@ def q_r5(spark, sf):
     return B.choose_rewrites(views.candidates(spark, sf), ["doc_id"]).select("doc_id", "attempt", "accepted", "rewrite")
 
 
+@query("r5_retry_sources", with_views("""
+with f as (select doc_id, (doc_id * 3) % 50 as source_id, accepted, rewrite from v_candidates where attempt = 0),
+t as (select doc_id, (doc_id * 7 + attempt) % 50 as s, rewrite, attempt from v_candidates where attempt > 0 and accepted
+      qualify row_number() over (partition by doc_id order by attempt) = 1),
+c as (select f.doc_id, case when not f.accepted and t.s is not null then t.s else f.source_id end as source_id,
+        case when not f.accepted and t.s is not null then t.rewrite else f.rewrite end as rewrite, not f.accepted and t.s is not null as retried
+      from f left join t using (doc_id))
+select c.*, d.lang, d.source from c left join documents d on d.doc_id = c.source_id""", "v_candidates"))
+def q_r5_retry(spark, sf):
+    c = views.candidates(spark, sf)
+    first = c.where("attempt = 0").withColumn("source_id", F.col("doc_id") * 3 % 50)
+    tries = c.where("attempt > 0").withColumn("source_id", (F.col("doc_id") * 7 + F.col("attempt")) % 50)
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "lang", "source")
+    return B.retry_sources(first, tries, rows, "doc_id").select("doc_id", "source_id", "rewrite", "retried", "lang", "source")
+
+
 @query("r6_upsample", with_views(f"""
 with {TG_SQL.strip()},{R3_SQL},
 ch as (select doc_id, rewrite from v_candidates

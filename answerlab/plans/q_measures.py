@@ -130,7 +130,7 @@ with {W_SQL.strip()}
 select round(sum(wt.weight * {CE}) / sum(wt.weight), 6) as loss from v_logits v join wt using (label_id)""", "v_logits"), "R")
 def q_m12(spark, sf):
     lg = views.logits(spark, sf)
-    return LS.weighted_ce(lg, LS.class_weights_from_ids(lg)).select(R6("loss"))
+    return LS.weighted_ce(lg).select(R6("loss"))
 
 
 @query("m13_focal_loss", with_views(f"""
@@ -139,7 +139,7 @@ select round(coalesce(avg(wt.weight * pow(1 - exp(-{CE}), 2.0) * {CE}), 0.0), 6)
 from v_logits v join wt using (label_id)""", "v_logits"), "R")
 def q_m13(spark, sf):
     lg = views.logits(spark, sf)
-    return LS.focal_loss(lg, LS.class_weights_from_ids(lg), 2.0).select(R6("loss"))
+    return LS.focal_loss(lg, None, 2.0, balanced=True).select(R6("loss"))
 
 
 @query("m14_smoothed_ce", with_views(f"""

@@ -123,7 +123,9 @@ def run_metrics(spark, sf):
 
 def _written_runs(spark, sf):
     path = IO.scratch_path(spark, "runs")
-    IO.write_runs(IO.run_records(run_metrics(spark, sf)), path)
+    records = IO.run_records(run_metrics(spark, sf))
+    IO.write_runs(records.withColumn("loss_name", F.lit("old")), path)
+    IO.write_runs(records, path)  # the same names: the first records go
     return IO.read_runs(spark, path, "test_macro_f1").withColumn(
         "run_name", F.concat_ws("__", F.when(F.col("extra.task") == "coarse", "c").otherwise("e"),
                                 "model_key", "bal_name", "aug_name", "loss_name"))
@@ -134,8 +136,7 @@ with {RUNS_SQL.strip()}
 select run_name, model_key, round(test_macro_f1, 6) as test_macro_f1, round(val_macro_f1, 6) as val_macro_f1,
   train_size::bigint as train_size, test_macro_f1 is null as missing_test_macro_f1 from named""", "v_predictions"), "R")
 def q_s5(spark, sf):
-    rec = IO.run_records(run_metrics(spark, sf))
-    return rec.select("run_name", "model_key", F.round(F.col("metrics")["test_macro_f1"], 6).alias("test_macro_f1"),
+    return _written_runs(spark, sf).select("run_name", "model_key", F.round(F.col("metrics")["test_macro_f1"], 6).alias("test_macro_f1"),
                       F.round(F.col("metrics")["val_macro_f1"], 6).alias("val_macro_f1"),
                       F.col("extra.train_size").alias("train_size"),
                       (~F.map_contains_key("metrics", "test_macro_f1")).alias("missing_test_macro_f1"))

@@ -10,7 +10,7 @@ from answerlab.functions.constants import COARSE_LABELS, FINE_LABELS
 from answerlab.operators import scoring as SC
 from answerlab.operators import stats as S
 from answerlab.plans.oracle_views import with_views
-from answerlab.plans.q_text import o1_sql
+from answerlab.plans.q_text import o1_sql, o3_sql, strip_sql
 from answerlab.plans.registry import query
 from answerlab.sources import io as IO
 from answerlab.sources import views
@@ -51,6 +51,31 @@ def q_c1(spark, sf):
     return _scored_cols(SC.score_table(docs, rule_scorer, ["doc_id", "lang", "text"], REPLY_LABELS, answer="text"))
 
 
+def tagged_scorer(pdf: pd.DataFrame) -> pd.Series:
+    """Stand-in for a model that thinks in steps and tags its label."""
+    t = pdf["text"].fillna("")
+    if t.str.contains("$$$", regex=False).any():
+        raise ValueError("unreadable answer")
+    label = np.where(t.str.len() > 2000, "Explicit", np.where(t.str.contains(" the ", regex=False), "Dodging", "none"))
+    return pd.Series([f"<step1> {len(x)} characters </step1><step2>{x[:20]}</step2><label> {y} </label>" for x, y in zip(t, label)], index=pdf.index)
+
+
+TAGGED_SQL = """case when contains(text, '$$$') then 'ERROR: unreadable answer' else '<step1> ' || length(text) || ' characters </step1><step2>' ||
+  substr(text, 1, 20) || '</step2><label> ' || case when length(text) > 2000 then 'Explicit' when contains(text, ' the ') then 'Dodging' else 'none' end
+  || ' </label>' end"""
+
+
+@query("c1_score_tagged", f"""
+select doc_id, raw_output, case when starts_with(raw_output, 'ERROR: ') then 'PARSE_ERROR' else {o3_sql('raw_output', FINE_LABELS)} end as pred_label,
+  case when starts_with(raw_output, 'ERROR: ') then '' else array_to_string(list_transform(
+    regexp_extract_all(raw_output, '(?s)<step\\d>(.*?)</step\\d>', 1), lambda s: {strip_sql('s')}), ' | ') end as reasoning
+from (select doc_id, {TAGGED_SQL} as raw_output from documents) x""")
+def q_c1_tagged(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = SC.score_table(docs, tagged_scorer, ["doc_id", "text"], FINE_LABELS, tagged=True)
+    return out.select("doc_id", "raw_output", "pred_label", "reasoning")
+
+
 @query("c2_lexicon_label", with_views(r"""
 with tok as (select doc_id, regexp_replace(lower(w), '[^\p{L}\p{N}_]', '', 'g') as w
              from (select doc_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) as w

@@ -437,8 +437,18 @@ def q_q9(spark, sf):
     return agg.join(direct, "doc_id").select("doc_id", lbl.alias("final_label"), macro.alias("coarse_final"))
 
 
-@query("q10_split_log", with_views("""
-select doc_id, to_json(list(label order by part))::varchar as labels, any_value(direct_label) as direct_label
-from v_sub_answers group by doc_id""", "v_sub_answers"))
+@query("q10_split_log", with_views(f"""
+with {_Q8_SQL.strip()},
+l as (select doc_id, to_json(list(label order by part))::varchar as labels,
+        to_json(list('Part ' || part || ' of ' || doc_id || '?' order by part))::varchar as sub_questions,
+        to_json(list('[' || label || ']' order by part))::varchar as raw_outputs, any_value(direct_label) as direct_label,
+        case when count(*) > 1 then 'rule_based' else 'short_question' end as splitter_source
+      from v_sub_answers group by doc_id)
+select l.*, f.final_label from l join f using (doc_id)""", "v_sub_answers"))
 def q_q10(spark, sf):
-    return Q.split_log(views.sub_answers(spark, sf), ["doc_id"], extra=["direct_label"])
+    parts = views.sub_answers(spark, sf).select(
+        "*", F.concat(F.lit("Part "), F.col("part"), F.lit(" of "), F.col("doc_id"), F.lit("?")).alias("sub_question"),
+        F.concat(F.lit("["), F.col("label"), F.lit("]")).alias("raw"),
+        F.when(F.col("doc_id") % 3 > 0, "rule_based").otherwise("short_question").alias("splitter_source"))
+    return Q.split_log(parts, ["doc_id"], extra=["direct_label", "splitter_source"],
+                       lists={"sub_questions": "sub_question", "raw_outputs": "raw"}, final="final_label")

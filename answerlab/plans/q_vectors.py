@@ -158,6 +158,23 @@ def q_x9(spark, sf):
         "conv_id", "turn", "run_id", "system_prompt", "user_prompt")
 
 
+@query("x9_prompt_table_per_row", with_views("with " + _X7_SQL.strip() + f""",
+b as (select x7.query_id, row_number() over (partition by x7.query_id order by x7.rank) as rank, 'QUESTION: What does ' || d.source || ' say?' || chr(10) || 'ANSWER: ' ||
+        case when length(d.text) > 1500 then substr(d.text, 1, 1500) || '...' else d.text end || chr(10) ||
+        'CLASSIFICATION: ' || cast(x7.label as varchar) as block
+      from x7 join documents d on d.doc_id = x7.corpus_id),
+p as (select query_id, {_sq(HEADER)} || string_agg('Example ' || rank || ':' || chr(10) || block || chr(10) || chr(10), '' order by rank)
+  || {_sq(TAIL)} as system_prompt from b group by query_id)
+select p.query_id, p.system_prompt, 'QUESTION: What does ' || d.source || ' say?' || chr(10) || chr(10) || 'ANSWER: ' || d.text as user_prompt
+from p join documents d on d.doc_id = p.query_id""", "v_vectors_q", "v_vectors_c"))
+def q_x9_rows(spark, sf):
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("query_id"), F.concat(F.lit("What does "), F.col("source"), F.lit(" say?")).alias("question"),
+        F.col("text").alias("answer"))
+    return (P.prompt_table_dynamic(rows, q_x8(spark, sf), ["query_id"], "question", "answer")
+            .select("query_id", "system_prompt", "user_prompt"))
+
+
 @query("x10_training_texts", ex_sql(f"""
 t as (select doc_id, to_json([{{'role': 'system', 'content': {_sq(TUNING_SYSTEM)}}},
         {{'role': 'user', 'content': 'Question: ' || question || chr(10) || 'Politician answer: ' || answer}},

@@ -104,9 +104,10 @@ def run_records(metrics: DataFrame, task_col: str = "task") -> DataFrame:
                           mp.alias("metrics"), "extra")
 
 
-def write_runs(records: DataFrame, path: str, mode: str = "append") -> str:
-    """S5 (file side): one JSON record per run, under ``run_name=<name>/``."""
-    records.write.mode(mode).partitionBy("run_name").json(path)
+def write_runs(records: DataFrame, path: str) -> str:
+    """S5 (file side): one JSON record per run, under ``run_name=<name>/``; a run
+    of the same name is replaced, others stay."""
+    records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_name").json(path)
     return path
 
 
