@@ -4,10 +4,11 @@ The tokenizers meant here never join bytes across white space: the ids of a text
 are those of its words in order. So a slice of texts is cut into words, its
 distinct words are encoded once, and the ids are put together by array indexing.
 
-Words of letters below U+0250, with full stops or commas behind them, go to the
-model in lower case: they need no normalising or splitting, which take most of a
-tokenizer's time. Every other word takes the tokenizer's whole way. That both
-ways agree is tried on sample words first; else all words take the whole way.
+Words of letters below U+0250, with ASCII marks behind them, go to the model in
+lower case: they need no normalising or splitting, which take most of a
+tokenizer's time; the marks are one piece, encoded on its own. Every other word
+takes the tokenizer's whole way. That both ways agree is tried on sample words
+first; else all words take the whole way.
 Nothing is remembered between slices, so memory is bounded by one slice.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +84,7 @@ class WordEncoder:
         sample = ["straße", "été", "naïve", "the", "zu", "œuvre", "ñandú"]
         ids, sizes = self._lower(sample)
         self.short = bool(suffix) and [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [
-            e.ids[:-1] for e in self.tok.encode_batch([w.capitalize() + "." for w in sample], add_special_tokens=False)]
+            e.ids[:-1] for e in self.tok.encode_batch([w.capitalize() + "*" for w in sample], add_special_tokens=False)]
 
     def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
@@ -107,7 +109,7 @@ class WordEncoder:
         offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
         column = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[~gap[data]])).dictionary_encode()
         words, codes = column.dictionary, column.indices.to_numpy()
-        stem = pc.utf8_rtrim(words, characters=".,")
+        stem = pc.utf8_rtrim(words, characters=string.punctuation)
         short = pc.match_substring_regex(stem, _LETTERS).to_numpy(zero_copy_only=False) & self.short
         pool, one, two = _Pool(), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         if short.any():
@@ -116,7 +118,7 @@ class WordEncoder:
             marked = short & (pc.binary_length(words).to_numpy() > pc.binary_length(stem).to_numpy())
             if marked.any():
                 pick = pa.array(marked)
-                tail = pc.replace_substring_regex(words.filter(pick), "^.*?([.,]*)$", "\\1").dictionary_encode()
+                tail = pc.replace_substring_regex(words.filter(pick), "^.*?([!-/:-@\\[-`{-~]*)$", "\\1").dictionary_encode()
                 two[marked] = pool.add(*self._whole(tail.dictionary.to_pylist())) + tail.indices.to_numpy()
         if not short.all():
             one[~short] = pool.add(*self._whole(words.filter(pa.array(~short)).to_pylist())) + np.arange((~short).sum())
