@@ -254,6 +254,8 @@ def rebalance(df: DataFrame, label: str, id_col: str, vec: str, text: str, rewri
     train = df.where(F.col(split_col) == "train")
     rest = df.where(~F.col(split_col).eqNullSafe("train"))
     targets = class_targets(class_counts(train, label), strategy, down_ratio)
+    # one row for each class, used by every step: counted once (the clustering below needs them now anyway)
+    targets = df.sparkSession.createDataFrame(targets.collect(), targets.schema)
     clustered = assign_clusters(train, targets, label, vec, k, seed)
     down = representatives(clustered, targets, label, "cluster", vec, id_col).drop("cluster")
     sources = upsample_sources(train, targets, label, id_col, max_multiplier, seed)
