@@ -18,12 +18,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder of ``spark.checkpoint.dir``
-    and read it back: cuts the lineage, and a lost executor loses nothing."""
+    and read it back: cuts the lineage, and a lost executor loses nothing.
+    ``files``: at most so many files, for tables known to be small (many tiny
+    files cost more memory and time than their rows)."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/answerlab-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,7 +3,7 @@
 Every round is two grouped minima (combined on the map side) and two salted
 joins over the edge list; rounds are written to the shared folder. Hubs are
 safe: a hub's edges are salted in the joins and combined in the minima. Only
-an edge count and a checksum of a round reach the driver.
+an edge and a node count of a round reach the driver.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from answerlab.llm.common import salted_join, stored
 
 
+#: Edges of a file.
+_FILE_ROWS = 250_000
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star operation on ``(u, v)`` with u > v. Each node is centre once:
     its neighbours (large: the greater ones; small: the smaller ones and
@@ -29,6 +33,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
+def _unfinished(edges: DataFrame) -> int:
+    """0 if every node has one edge up and no upper end has one (stars), else the
+    number of edges."""
+    row = edges.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("nodes")).first()
+    if row["n"] != row["nodes"]:
+        return row["n"]
+    tops = edges.select(F.col("v").alias("top")).distinct()
+    return 0 if tops.join(edges.select("u"), F.col("top") == F.col("u"), "left_semi").isEmpty() else row["n"]
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """``node, component`` for every node of an edge; the component is its
     least node. Null ends and loops link nothing; repeated and reversed edges
@@ -36,12 +50,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     e = (edges.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
          .select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).distinct())
     e = stored(e, "edges")
-    state = None
-    while True:
-        row = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
-        if row["n"] == 0 or (row["n"], row["s"]) == state:
-            break
-        state = (row["n"], row["s"])
-        e = stored(_star(_star(e, large=True), large=False), "edges")
+    while (n := _unfinished(e)):
+        # stars hold at most one edge for each node: no more files than these rows need
+        e = stored(_star(_star(e, large=True), large=False), "edges", files=n // _FILE_ROWS + 1)
     return (e.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())

@@ -50,7 +50,7 @@ from answerlab.session import ship_package
 HASHES, BANDS, BATCH = 128, 32, 32
 _ROWS = HASHES // BANDS
 #: Members of a block of an open cluster; pairs of a verification block, about; text bytes of a slice.
-_BLOCK, _PAIRS, _SLICE = 2048, 20_000, 4 << 20
+_BLOCK, _PAIRS, _SLICE = 512, 5_000, 1 << 20
 
 _MULTIPLY = W.mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = W.mix(np.arange(1 << 20, (1 << 20) + HASHES, dtype=np.uint64))
@@ -250,8 +250,9 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 def near_links(docs: DataFrame, sketch: DataFrame, width: int, percent: int = 80, miss: float = 1e-6,
                broadcast_rows: int = 500_000) -> DataFrame:
-    """``a, b``: links between classes (keys of shingle sets), enough of them to
-    give every component. ``docs`` has ``doc_id, text``."""
+    """``a, b``: edges between classes (keys of shingle sets) with the components
+    of the links: components of the first links as stars, and the links that
+    join them. ``docs`` has ``doc_id, text``."""
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(substring(signature, i * {4 * _ROWS} + 1, {4 * _ROWS}), i))")
     rows = sketch.where("key is not null").select("key", F.posexplode(band).alias("band", "bucket"))
     ends = rows.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
@@ -267,8 +268,9 @@ def near_links(docs: DataFrame, sketch: DataFrame, width: int, percent: int = 80
     stars = stored(members.select("key", F.explode(F.array("lo", "hi")).alias("c")).where("key <> c")
                    .select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")).distinct(), "stars")
     clusters, least = components(stars), least_matches(percent / 100, miss)
-    links = _verified(stars, clusters, data, percent, least)
-    return links.union(_open_links(clusters, components(links), data, percent, least))
+    labels = components(_verified(stars, clusters, data, percent, least))
+    return (labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            .union(_open_links(clusters, labels, data, percent, least)))
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id",
