@@ -9,18 +9,19 @@ along it, words are compared one to one, and the hit counts when some window of
 ``window`` item words (all of a shorter item) agrees in at least ``similarity``
 of its words. A document with such a hit is contaminated.
 
-The two masks find every alignment whose changed words lie five apart, and with
-changes at random one word in five leaves a passage of 30 words unseen in about
-one case of a thousand. Items of fewer than seven words are below the shortest
-mask and are not searched for: so few words are no evidence.
+The masks lose nothing: whichever words of a verifying window are changed, one
+mask lies on unchanged words somewhere inside it. They are chosen by the words of
+the window and the changes the rule allows (:func:`masks_for`), for the item
+lengths that the benchmark holds, so items of one word and more are searched for
+and documents are hashed only under masks that some item needs.
 
 Scale: hashes are computed and probed inside the scan of the documents while the
 benchmark's hashes are few enough to be sent to all tasks (``broadcast_rows``,
-checked by a count); beyond that they are joined by a shuffle of (hash, place)
+counted from the items' lengths); beyond that they are joined by a shuffle of (hash, place)
 rows, salted against frequent word sequences, and only candidate documents meet
 their words again. Both ways give the same rows.
 
-Defined results: null or empty texts and texts shorter than a mask are clean;
+Defined results: null or empty texts and items without words match nothing;
 null item texts are no items; repeated rows get the same verdict each; empty
 documents give no rows, an empty benchmark leaves all clean; extra columns are
 ignored (or kept, by :func:`drop_contaminated`), whatever their names.
@@ -28,13 +29,25 @@ ignored (or kept, by :func:`drop_contaminated`), whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerlab.llm.common import own_names
 
-#: Word offsets under the ones of each mask: 1110111 and 110101011.
-MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 5, 7, 8))
+#: Word offsets under the ones of each mask, by words of the window and changed words.
+_FOUR, _SPLIT, _FIVE = (0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 3, 4, 5)
+MASKS = {(5, 1): ((0, 1, 2), (0, 1, 3)), (6, 1): (_FOUR, _SPLIT), (7, 1): (_SPLIT,), (8, 1): (_SPLIT,), (9, 1): (_FIVE,),
+         (10, 2): (_FOUR, _SPLIT), (11, 2): (_FOUR, _SPLIT), (12, 2): ((0, 1, 2, 3, 4), _FIVE),
+         (13, 2): ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))}
+
+
+def masks_for(words: int, similarity: float) -> tuple[tuple[int, ...], ...]:
+    """Masks that hit every window of so many words that the rule accepts. Beside
+    the table: ``c`` changes leave a run of a ``c + 1``-th of the equal words."""
+    need = max(1, math.ceil(words * similarity - 1e-9))
+    return MASKS.get((words, words - need)) or (tuple(range(-(-need // (words - need + 1)))),)
 
 
 def _word_hashes(text: Column) -> Column:
@@ -42,20 +55,30 @@ def _word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(h: str) -> Column:
-    """Hashes of all masks at all positions, mask by mask."""
+def _last(h: str, mask: tuple[int, ...]) -> str:
+    return f"(size({h}) - {mask[-1] + 1})"
+
+
+def _seeds(h: str, masks: dict, window: int | None = None) -> Column:
+    """Hashes of all masks at all positions, mask by mask; with ``window``, of
+    the masks that an item of this length needs."""
     each = []
-    for number, mask in enumerate(MASKS):
+    for number, (mask, sizes) in enumerate(masks.items()):
         parts = ", ".join(f"get({h}, i + {o})" for o in mask)
-        last = f"size({h}) - {mask[-1] + 1}"
-        each.append(f"if({last} >= 0, transform(sequence(0, greatest({last}, 0)), i -> xxhash64({number}, {parts})), array())")
+        last = _last(h, mask)
+        used = f"{last} >= 0" + (f" and least(size({h}), {window}) in ({', '.join(map(str, sizes))})" if window else "")
+        each.append(f"if({used}, transform(sequence(0, greatest({last}, 0)), i -> xxhash64({number}, {parts})), array())")
     return F.expr(f"concat({', '.join(each)})")
 
 
-def _place(h: str, index: str) -> Column:
+def _place(h: str, index: str, masks: dict, window: int | None = None) -> Column:
     """Position of the seed with this index in :func:`_seeds`."""
-    first = f"greatest(size({h}) - {MASKS[0][-1]}, 0)"
-    return F.expr(f"if({index} < {first}, {index}, {index} - {first})")
+    out, first = "", "0"
+    for mask, sizes in masks.items():
+        used = f"least(size({h}), {window}) in ({', '.join(map(str, sizes))})" if window else "true"
+        then = f"{first} + if({used}, greatest({_last(h, mask)} + 1, 0), 0)"
+        out, first = out + f" when {index} < {then} then {index} - ({first})", then
+    return F.expr(f"case{out} end")
 
 
 def _agreement(window: int, similarity: float) -> tuple[Column, Column]:
@@ -75,16 +98,23 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 13, similarity: flo
     """``_k, _id, item_id, matched_words``: one row per document and item with a
     verified overlap. ``docs`` has ``_id, _text``; ``items`` ``item_id, _text``."""
     bench = items.where(F.col("_text").isNotNull()).select("item_id", _word_hashes(F.col("_text")).alias("_b"))
-    probes = (bench.select("item_id", "_b", F.posexplode(_seeds("_b")).alias("_q", "_seed"))
-              .withColumn("_q", _place("_b", "_q")))
+    lengths = (bench.groupBy(F.least(F.size("_b"), F.lit(window)).alias("n")).agg(F.count(F.lit(1)).alias("items"), F.sum(F.size("_b")).alias("words"))
+               .where("n > 0").orderBy("n").collect())  # one row for each length up to the window
+    masks: dict = {}
+    for n in [r["n"] for r in lengths] or [window]:
+        for mask in masks_for(n, similarity):
+            masks.setdefault(mask, []).append(n)
+    n_probes = sum(r["words"] - r["items"] * mask[-1] for r in lengths for mask in masks_for(r["n"], similarity))
+    probes = (bench.select("item_id", "_b", F.posexplode(_seeds("_b", masks, window)).alias("_q", "_seed"))
+              .withColumn("_q", _place("_b", "_q", masks, window)))
     hashed = docs.select(F.xxhash64("_id", "_text").alias("_k"), "_id", _word_hashes(F.col("_text")).alias("_h"))
-    seeds = hashed.select("_k", "_id", "_h", F.posexplode(_seeds("_h")).alias("_p", "_seed"))
-    if probes.count() <= broadcast_rows:
-        hits = seeds.join(F.broadcast(probes), "_seed").withColumn("_p", _place("_h", "_p"))
+    seeds = hashed.select("_k", "_id", "_h", F.posexplode(_seeds("_h", masks)).alias("_p", "_seed"))
+    if n_probes <= broadcast_rows:
+        hits = seeds.join(F.broadcast(probes), "_seed").withColumn("_p", _place("_h", "_p", masks))
         found = hits.withColumn("_shift", F.col("_p") - F.col("_q"))
     else:
         salts = 16
-        spread = seeds.withColumn("_p", _place("_h", "_p")).select("_k", "_id", "_p", "_seed", F.pmod("_k", F.lit(salts)).alias("_salt"))
+        spread = seeds.withColumn("_p", _place("_h", "_p", masks)).select("_k", "_id", "_p", "_seed", F.pmod("_k", F.lit(salts)).alias("_salt"))
         copied = probes.select("item_id", "_q", "_seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
         pairs = spread.join(copied, ["_seed", "_salt"]).select("_k", "_id", "item_id", (F.col("_p") - F.col("_q")).alias("_shift")).distinct()
         back = hashed.select(F.col("_k").alias("_hk"), F.col("_id").alias("_hid"), "_h").dropDuplicates(["_hk", "_hid"])
