@@ -176,7 +176,7 @@ def q_r6(spark, sf):
 
 def _rebalanced(spark, sf):
     return B.rebalance(views.balance_rows(spark, sf), "class", "doc_id", "embedding", "text",
-                       views.candidates(spark, sf), "soft", 0.6, k=8)
+                       views.candidates(spark, sf), "soft", 0.6)
 
 
 GROWTH_SQL = f"""
