@@ -43,19 +43,19 @@ def _repeat_words(df: DataFrame) -> DataFrame:
             transform(sequence(0, greatest(n_words, 3) - 3),
                       i -> (xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)) & ~_mask) | i),
             array()))"""))
+    # the packed hash is short of some bits: it only proposes windows, the full hash decides
     df = df.withColumn("_t", F.expr(f"""
-        array_sort(if(n_words > {_PACKED_WORDS},
-            transform(sequence(0, greatest(n_words, 3) - 3),
-                      i -> struct(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)) as h, i as i)),
-            array()))"""))
-    df = df.withColumn("_p", F.expr(f"""
-        sort_array(if(n_words <= {_PACKED_WORDS},
-            transform(filter(_s, (x, j) -> coalesce((get(_s, j - 1) & ~_mask) = (x & ~_mask), false)
-                                        or coalesce((get(_s, j + 1) & ~_mask) = (x & ~_mask), false)),
-                      x -> cast(x & _mask as int)),
-            transform(filter(_t, (x, j) -> coalesce(get(_t, j - 1).h = x.h, false)
-                                        or coalesce(get(_t, j + 1).h = x.h, false)),
-                      x -> x.i)))"""))
+        sort_array(transform(
+            if(n_words > {_PACKED_WORDS},
+               sequence(0, greatest(n_words, 3) - 3),
+               transform(filter(_s, (x, j) -> coalesce((get(_s, j - 1) & ~_mask) = (x & ~_mask), false)
+                                           or coalesce((get(_s, j + 1) & ~_mask) = (x & ~_mask), false)),
+                         x -> cast(x & _mask as int))),
+            i -> struct(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)) as h, i as i)))"""))
+    df = df.withColumn("_p", F.expr("""
+        sort_array(transform(filter(_t, (x, j) -> coalesce(get(_t, j - 1).h = x.h, false)
+                                               or coalesce(get(_t, j + 1).h = x.h, false)),
+                             x -> x.i))"""))
     return df.withColumn("n_repeat_words", F.expr(_COVER).cast("long")).drop("_mask", "_s", "_t", "_p")
 
 
