@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from answerlab.llm import divergence
+from answerlab.llm import alignment, divergence, secret_scan
 from answerlab.llm.common import read
 from answerlab.llm.registry import query
 
@@ -36,3 +36,15 @@ select lang, source, part, item, value, rank::int as rank from ranked where part
 @query("op11_source_divergence_audit", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+@query("op13_cross_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_secret_cnn_scan")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(read(spark, sf_dir, "documents"))
