@@ -55,6 +55,19 @@ def normalise_vectors(df: DataFrame, col: str = "embedding", out: str | None = N
     return df.withColumn(out or col, F.transform(col, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
 
 
+def vector_length(df: DataFrame, vec: str) -> int | None:
+    """The most frequent length of the vectors (the shortest of several); None
+    without any. One row for each length comes to the driver."""
+    first = (df.where(F.col(vec).isNotNull() & (F.size(vec) > 0)).groupBy(F.size(vec).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+             .orderBy(F.desc("n"), "d").first())
+    return None if first is None else first["d"]
+
+
+def searchable(vec: str, length: int) -> Column:
+    """A vector of this length without a null or NaN; false for a null vector."""
+    return F.coalesce((F.size(vec) == length) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))), F.lit(False))
+
+
 def _assign_buckets(pivots):
     """mapInPandas body: best pivot (highest inner product, lowest index on
     ties) and distance to it, for each corpus vector of the batch."""
@@ -131,7 +144,9 @@ def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int, q_id: str
     """Exact top-k corpus rows per query by inner product.
     Returns (query_id, corpus_id, score, rank, *c_cols); score is rounded to 6
     places, rank 1..k by (score desc, corpus_id). Ids may be of any type that
-    orders; an empty corpus gives no rows. ``n_pivots`` defaults to half the
+    orders; an empty corpus gives no rows. Rows whose vector is null, holds a null
+    or NaN, or has not the most frequent length of the corpus are no neighbours,
+    and as queries find nothing. ``n_pivots`` defaults to half the
     square root of the corpus size."""
     import math
 
@@ -142,10 +157,11 @@ def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int, q_id: str
     c = corpus.select(F.col(c_id).alias("corpus_id"), F.col(vec).cast("array<double>").alias("_cv"), *c_cols)
     q_kind, kinds = q.schema["query_id"].dataType.simpleString(), {f.name: f.dataType.simpleString() for f in c.schema.fields}
     out_schema = f"query_id {q_kind}, corpus_id {kinds['corpus_id']}, score double" + "".join(f", `{x}` {kinds[x]}" for x in c_cols)
-    size = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_cv")).alias("d")).first()
-    if not size["n"]:
+    length = vector_length(c, "_cv")
+    if length is None:
         return spark.createDataFrame([], out_schema + ", rank int")
-    wanted = n_pivots or max(1, min(math.isqrt(size["n"]) // 2, PIVOT_BYTES // (8 * max(1, size["d"]))))
+    q, c = q.where(searchable("_qv", length)), c.where(searchable("_cv", length))
+    wanted = n_pivots or max(1, min(math.isqrt(c.count()) // 2, PIVOT_BYTES // (8 * length)))
     rows = c.select("corpus_id", "_cv").orderBy(F.xxhash64("corpus_id"), "corpus_id").limit(wanted).collect()  # the pivots
     pivots = np.array([r["_cv"] for r in rows], dtype=np.float64)
     cb = c.mapInPandas(_assign_buckets(pivots), ", ".join(f"`{x}` {t}" for x, t in kinds.items()) + ", bucket int, _d double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from answerlab.functions.labels import argmax
 from answerlab.operators import neighbours as N
 from answerlab.operators import prompts as P
+from answerlab.operators import vector_index as VI
 from answerlab.plans.oracle_views import with_views
 from answerlab.plans.q_votes import ORACLE_CONSOLIDATED
 from answerlab.plans.registry import query
@@ -117,6 +118,24 @@ def q_x6(spark, sf):
     return N.nearest_neighbours(views.vectors_q(spark, sf), views.vectors_c(spark, sf), 5)
 
 
+def _x6_hashed(spark, sf):
+    return VI.hashed_neighbours(views.vectors_q(spark, sf), views.vectors_c(spark, sf), 5)
+
+
+@query("x6_hashed_neighbours", None, "P")
+def q_x6_hashed(spark, sf):
+    return _x6_hashed(spark, sf)
+
+
+@query("x6_hashed_recall", with_views(f"""
+with x6 as (select q.vec_id as query_id, c.vec_id as corpus_id from v_vectors_q q, v_vectors_c c
+            qualify row_number() over (partition by q.vec_id order by {DOT} desc, c.vec_id) <= 5)
+select count(distinct query_id) as n_queries, count(*) as n_exact, true as recall_at_least_90 from x6""", "v_vectors_q", "v_vectors_c"))
+def q_x6_recall(spark, sf):
+    exact = N.nearest_neighbours(views.vectors_q(spark, sf), views.vectors_c(spark, sf), 5)
+    return VI.recall_against(_x6_hashed(spark, sf), exact).select("n_queries", "n_exact", (F.col("recall") >= 0.9).alias("recall_at_least_90"))
+
+
 _X7_SQL = f"""
 s as (select q.vec_id as query_id, c.vec_id as corpus_id, c.label, {DOT} as score from v_vectors_q q, v_vectors_c c),
 r as (select * from s qualify row_number() over (partition by query_id order by score desc, corpus_id) <= 45),
