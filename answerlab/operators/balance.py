@@ -2,10 +2,9 @@
 
 Plan shape:
 * targets (R1) come from one count per class: a table of C rows;
-* down step (R2): an over-full class is bisected into ``target`` clusters, each
-  of which keeps the row nearest to its centre (one grouped aggregate a level
-  while a cluster is larger than a block, blocks are finished in one task each);
-  with a given ``k``, Spark ML KMeans and a per-cluster quota by largest
+* down step (R2): an over-full class is cut into ``target`` clusters by k-means
+  with many centres (``many_means``), each of which keeps the row nearest to its
+  centre; with a given ``k``, Spark ML KMeans and a per-cluster quota by largest
   remainder. Exactly ``target`` distinct rows remain. The rank inside a cluster is the distributed ``rank_within`` over
   ids and distances only (a hot cluster is not one task);
 * up step (R3): each source row is repeated ``needed div n`` times plus once
@@ -20,12 +19,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from answerlab.operators.many_means import many_means, usable_vectors
 from answerlab.operators.neighbours import centroids, dot, norm, sq_dist
 from answerlab.operators.ranking import cut_lineage, join_null_safe, rank_within, smallest_k
 from answerlab.operators.stats import split_hash_int
@@ -60,93 +59,26 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 # ------------------------------------------------------------------- R2
 
-def _leaves(x: np.ndarray, leaves: int) -> np.ndarray:
-    """Leaf number (0 to ``leaves`` - 1, none empty) of each row: nodes are cut at
-    the mean of their widest dimension, equal rows anywhere, and get leaves by size."""
-    out = np.zeros(len(x), "int64")
-    open_nodes = [(np.arange(len(x)), 0, leaves)]
-    while open_nodes:
-        at, first, t = open_nodes.pop()
-        if t == 1 or t == len(at):
-            out[at] = first if t == 1 else first + np.arange(t)
-            continue
-        rows = x[at]
-        low, high = rows.min(0), rows.max(0)
-        j = int(np.where(high > low, rows.var(0), -1.0).argmax())
-        if high[j] > low[j]:
-            cut = max(rows[:, j].mean(), low[j])
-            left = rows[:, j] <= cut if cut < high[j] else rows[:, j] < high[j]
-        else:
-            left = np.arange(len(at)) < len(at) // 2
-        n1 = int(left.sum())
-        t1 = min(max(round(t * n1 / len(at)), 1, t - (len(at) - n1)), n1, t - 1)
-        open_nodes += [(at[left], first, t1), (at[~left], first + t1, t - t1)]
-    return out
-
-
-def _bisect(df: DataFrame, targets: DataFrame, label: str, vec: str, out: str, block: int) -> DataFrame:
-    """Rows of over-full classes with their leaf number in ``out``, exactly
-    ``target`` leaves a class. A node is (label, first leaf ``_lo``) with ``_t``
-    leaves and ``_n`` rows; nodes above ``block`` rows are cut level by level,
-    as :func:`_leaves` does with the others."""
-    t = targets.where(F.col("n") > F.col("target")).select(
-        F.col("label").alias(label), F.col("n").alias("_n"), F.greatest(F.col("target"), F.lit(1)).alias("_t"))
-    base = cut_lineage(join_null_safe(df, t, [label]).withColumn("_row", F.monotonically_increasing_id()))
-    cols = ["_row", label, vec, "_lo", "_t", "_n"]
-    cur = base.withColumn("_lo", F.lit(0).cast("long")).select(*cols)
-    large = (F.col("_n") > block) & (F.col("_t") > 1)
-    level = 0
-    while not cur.where(large).isEmpty():
-        level += 1
-        big, node = cur.where(large), [label, "_lo"]
-        x = F.col("_x").cast("double")
-        dims = (big.select(*node, F.posexplode(vec).alias("_d", "_x")).groupBy(*node, "_d")
-                .agg(F.avg(x).alias("m"), F.var_pop(x).alias("v"), F.min(x).alias("low"), F.max(x).alias("high")))
-        width = F.when(F.col("high") > F.col("low"), F.col("v")).otherwise(-1.0)
-        cuts = dims.groupBy(*node).agg(F.max_by(F.struct("_d", "m", "low", "high"), F.struct(width, -F.col("_d"))).alias("_c"))
-        at, cut = F.get(vec, F.col("_c._d")).cast("double"), F.greatest("_c.m", "_c.low")
-        left = (F.when(F.col("_c.high") <= F.col("_c.low"), F.xxhash64("_row", F.lit(level)) % 2 == 0)
-                .when(cut < F.col("_c.high"), at <= cut).otherwise(at < F.col("_c.high")))
-        sided = join_null_safe(big, cuts, node).withColumn("_left", left).drop("_c")
-        sizes = sided.groupBy(*node).agg(F.count_if("_left").alias("_n1"))
-        n1, n, leaves = F.col("_n1"), F.col("_n"), F.col("_t")
-        t1 = F.least(F.greatest(F.round(leaves * n1 / n).cast("long"), F.lit(1), leaves - (n - n1)), n1, leaves - 1)
-        split = (n1 > 0) & (n1 < n)
-        moved = join_null_safe(sided, sizes, node).withColumn("_t1", t1).select(
-            "_row", label, vec, F.when(split & ~F.col("_left"), F.col("_lo") + F.col("_t1")).otherwise(F.col("_lo")).alias("_lo"),
-            F.when(split, F.when(F.col("_left"), F.col("_t1")).otherwise(leaves - F.col("_t1"))).otherwise(leaves).alias("_t"),
-            F.when(split, F.when(F.col("_left"), n1).otherwise(n - n1)).otherwise(n).alias("_n"))
-        cur = cut_lineage(cur.where(~large).unionByName(moved))
-
-    def finish(node: pd.DataFrame) -> pd.DataFrame:
-        node = node.sort_values("_row")
-        found = _leaves(np.stack(node["_v"]).astype("float64"), int(node["_t"].iloc[0]))
-        return pd.DataFrame({"_row": node["_row"], out: (found + node["_lo"]).astype("int32")})
-
-    open_nodes = cur.where("_t > 1").select("_row", label, F.col(vec).alias("_v"), "_lo", "_t")
-    leaf = (open_nodes.groupBy(label, "_lo").applyInPandas(finish, f"_row long, `{out}` int")
-            .unionByName(cur.where("_t = 1").select("_row", F.col("_lo").cast("int").alias(out))))
-    return base.drop("_n", "_t").join(leaf, "_row").drop("_row")
-
-
 def assign_clusters(df: DataFrame, targets: DataFrame, label: str, vec: str, k: int | None = None, seed: int = 42,
                     out: str = "cluster", block: int = 8192) -> DataFrame:
-    """Each over-full class in as many clusters as its target, by bisecting
-    (:func:`_bisect`); rows of other classes get cluster 0; a null label is a
-    class. With a given ``k`` (never lowered) KMeans, one distributed fit per
-    over-full class (classes are few)."""
+    """Each over-full class in as many clusters as its target, by k-means
+    with many centres (:func:`many_means`); rows of other classes get cluster 0; a
+    null label is a class; a vector that cannot be used (null, of another length,
+    with a null or NaN) counts as the zero vector. With a given ``k`` (never
+    lowered) KMeans, one distributed fit per over-full class (classes are few)."""
     if k is None:
         fitting = targets.where(F.col("n") <= F.col("target")).select(F.col("label").alias(label))
         return (join_null_safe(df, fitting, [label]).withColumn(out, F.lit(0))
-                .unionByName(_bisect(df, targets, label, vec, out, block)))
+                .unionByName(many_means(df, targets, label, vec, out, block, seed=seed)))
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    usable = usable_vectors(df, vec)
     over = [r["label"] for r in targets.where(F.col("n") > F.col("target")).select("label").collect()]  # C rows at most
     fitting = targets.where(F.col("n") <= F.col("target")).select(F.col("label").alias(label))
     parts = [join_null_safe(df, fitting, [label]).withColumn(out, F.lit(0))]
     for lbl in over:
-        rows = df.where(F.col(label).eqNullSafe(F.lit(lbl))).withColumn("_features", array_to_vector(F.col(vec)))
+        rows = df.where(F.col(label).eqNullSafe(F.lit(lbl))).withColumn("_features", array_to_vector(usable))
         model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol=out, maxIter=20).fit(rows)
         parts.append(model.transform(rows).drop("_features").withColumn(out, F.col(out).cast("int")))
     res = parts[0]
@@ -166,10 +98,9 @@ def representatives(df: DataFrame, targets: DataFrame, label: str, cluster: str,
     tagged = join_null_safe(df, t, [label])
     keep_all = tagged.where(F.col("_n") <= F.col("_t")).drop("_n", "_t")
     over = tagged.where(F.col("_n") > F.col("_t"))
-    cents = centroids(over.withColumn("_key", F.struct(label, cluster)), "_key", vec) \
-        .select(F.col("label").alias("_key"), "centroid")
-    dist = (over.withColumn("_key", F.struct(label, cluster)).join(cents, "_key")
-            .withColumn("_dist", F.round(F.sqrt(sq_dist(F.col(vec), F.col("centroid"))), 6)))
+    keyed = over.withColumn("_key", F.struct(label, cluster)).withColumn("_v", usable_vectors(df, vec))
+    cents = centroids(keyed, "_key", "_v").select(F.col("label").alias("_key"), "centroid")
+    dist = keyed.join(cents, "_key").withColumn("_dist", F.round(F.sqrt(sq_dist(F.col("_v"), F.col("centroid"))), 6)).drop("_v")
     if one_each:
         ids = (dist.where(F.col(cluster) < F.col("_t")).groupBy(label, cluster).agg(F.min(F.struct("_dist", id_col)).alias("_first"))
                .select(F.col("_first")[id_col].alias(id_col)))
@@ -196,8 +127,8 @@ def upsample_sources(df: DataFrame, targets: DataFrame, label: str, id_col: str,
     to make: needed = min(target, int(n * mult)) - n; every row is used
     needed div n times, plus once for the needed mod n rows with the smallest
     seeded hash. Output: source rows exploded to (.., copy_no)."""
-    t = targets.select(F.col("label").alias(label), F.col("n").alias("_n"),
-                       (F.least(F.col("target"), F.floor(F.col("n") * F.lit(max_multiplier))) - F.col("n")).alias("_need"))
+    t = cut_lineage(targets.select(F.col("label").alias(label), F.col("n").alias("_n"),
+                                   (F.least(F.col("target"), F.floor(F.col("n") * F.lit(max_multiplier))) - F.col("n")).alias("_need")))
     under = join_null_safe(df, t.where(F.col("_need") > 0), [label]).withColumn("_h", split_hash_int(id_col, seed))
     rem = t.where(F.col("_need") > 0).select(label, (F.col("_need") % F.col("_n")).alias("k"))  # one row per class
     flagged = smallest_k(under, [label], "_h", id_col, rem, out="_extra")
@@ -331,7 +262,7 @@ def rebalance(df: DataFrame, label: str, id_col: str, vec: str, text: str, rewri
               k: int | None = None, max_multiplier: float = 2.0, seed: int = 42) -> DataFrame:
     """Targets once from the train split; down step where a class is above
     target, up step where below; other splits untouched."""
-    train = df.where(F.col(split_col) == "train")
+    train = cut_lineage(df.where(F.col(split_col) == "train"))  # six steps read it
     rest = df.where(~F.col(split_col).eqNullSafe("train"))
     targets = class_targets(class_counts(train, label), strategy, down_ratio)
     # one row for each class, used by every step: counted once (the clustering below needs them now anyway)

@@ -234,13 +234,15 @@ def neighbour_vote(neigh: DataFrame, label: str) -> DataFrame:
 
 
 def centroids(train: DataFrame, label: str, vec: str = "embedding") -> DataFrame:
-    """Per-label mean vector: (label, centroid array<double>). Rows are
-    exploded per dimension and averaged with partial aggregation, so a hot
-    label is combined map-side."""
-    per_dim = (train.select(F.col(label).alias("label"), F.posexplode(vec).alias("d", "x"))
-               .groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("m")))
-    return per_dim.groupBy("label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("centroid"))
+    """Per-label mean vector: (label, centroid array<double>). One vector
+    aggregate per label, combined on the map side, so a hot label is no hot task;
+    vectors that cannot be searched (see :func:`searchable`) have no part."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    length = vector_length(train, vec) or 0
+    usable = train.where(searchable(vec, length)).select(F.col(label).alias("label"), array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    return usable.groupBy("label").agg(Summarizer.mean(F.col("_v")).alias("_m")).select("label", vector_to_array("_m").alias("centroid"))
 
 
 def centroid_classifier(train: DataFrame, test: DataFrame, label: str, vec: str = "embedding") -> DataFrame:

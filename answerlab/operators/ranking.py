@@ -8,7 +8,7 @@ is stable only while the partitioning is; the narrow rows are therefore written
 to the shared checkpoint folder first.
 
 ``smallest_k`` finds the cut of an integer key by two bounded histograms, which
-combine on the map side: no sort, nothing written.
+combine on the map side: no sort.
 
 Both have one plan whatever the size. Joins match null groups with null groups;
 which side is broadcast is left to Spark's own size check.
@@ -61,11 +61,11 @@ def smallest_k(df: DataFrame, group: Sequence[str], key: str, tiebreak: str, k,
     combined map-side; it also gives the group size) locates the bucket where
     the k-th row lies; a histogram of the low 16 bits inside that bucket locates
     the exact key; only rows with exactly that key (hash collisions, a handful)
-    are ordered by ``tiebreak``. The data is read four times (two histograms,
-    the tie rows, the final flag), each a map-side pass.
+    are ordered by ``tiebreak``. Group, key and tiebreak are written once; these
+    narrow rows are read three times, map-side, and ``df`` once more for the flag.
     """
     g = list(group)
-    base = df.withColumn("_hi", F.shiftright(F.col(key), 16)).withColumn("_lo", F.col(key).bitwiseAND(0xFFFF))
+    base = cut_lineage(df.select(*g, key, tiebreak)).withColumn("_hi", F.shiftright(F.col(key), 16)).withColumn("_lo", F.col(key).bitwiseAND(0xFFFF))
     # level 1: bucket of the high bits holding the k-th row
     h1 = base.groupBy(*g, "_hi").agg(F.count(F.lit(1)).alias("_c"))
     wg = Window.partitionBy(*g)
@@ -77,6 +77,7 @@ def smallest_k(df: DataFrame, group: Sequence[str], key: str, tiebreak: str, k,
           .withColumn("_before", F.col("_cum") - F.col("_c")))
     b1 = (h1.where((F.col("_before") < F.col("_k")) & (F.col("_cum") >= F.col("_k")))
           .select(*g, F.col("_hi").alias("_bhi"), F.col("_before").alias("_b1"), "_k"))
+    b1 = cut_lineage(b1)  # a row for each group
     # level 2: exact key inside that bucket
     inb = join_null_safe(base, b1, g).where(F.col("_hi") == F.col("_bhi"))
     h2 = inb.groupBy(*g, "_lo", "_b1", "_k", "_bhi").agg(F.count(F.lit(1)).alias("_c"))
@@ -84,6 +85,7 @@ def smallest_k(df: DataFrame, group: Sequence[str], key: str, tiebreak: str, k,
           .withColumn("_before", F.col("_cum") - F.col("_c")))
     cut = (h2.where((F.col("_before") < F.col("_k")) & (F.col("_cum") >= F.col("_k")))
            .select(*g, (F.col("_bhi") * 65536 + F.col("_lo")).alias("_kkey"), (F.col("_k") - F.col("_before")).alias("_take")))
+    cut = cut_lineage(cut)
     # rows with exactly the cut key: the first _take by tiebreak
     ties = (join_null_safe(base, cut, g).where(F.col(key) == F.col("_kkey"))
             .withColumn("_r", F.row_number().over(Window.partitionBy(*g).orderBy(tiebreak)))

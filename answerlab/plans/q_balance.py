@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from answerlab.functions.text import feature_prefix, tone_tag
 from answerlab.operators import balance as B
 from answerlab.operators import stats as S
+from answerlab.operators.ranking import cut_lineage, join_null_safe, rank_within
 from answerlab.plans.oracle_views import with_views
 from answerlab.plans.registry import query
 from answerlab.sources import views
@@ -81,6 +82,23 @@ def q_r2a(spark, sf):
     return cl.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("n_clusters"))
 
 
+@query("r2a_target_clusters", with_views(f"""
+with {TG_SQL.strip()}
+select label as "class", n, (case when n > target then target else 1 end)::bigint as n_clusters, true as kept_from_every_cluster from tg""",
+                                         "v_balance"))
+def q_r2a_target(spark, sf):
+    """As many clusters as the target: none empty, and one row of each is kept."""
+    tr = _train(spark, sf)
+    tg = _targets(tr)
+    cl = B.assign_clusters(tr, tg, "class", "embedding")
+    kept = B.representatives(cl, tg, "class", "cluster", "embedding", "doc_id", one_each=True)
+    per = cl.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("n_clusters"))
+    left = kept.groupBy("class").agg(F.countDistinct("cluster").alias("_k"), F.count(F.lit(1)).alias("_rows"))
+    return (join_null_safe(per, left, ["class"])
+            .select("class", "n", "n_clusters", ((F.col("_k") == F.col("n_clusters")) & ((F.col("_rows") == F.col("_k")) | (F.col("_rows") == F.col("n"))))
+                    .alias("kept_from_every_cluster")))
+
+
 R3_SQL = f"""
 need as (select label, n, least(target, floor(n * 2.0)::bigint) - n as need from tg),
 u as (select b.doc_id, b.class, need.n, need.need, {HASH.format(c='b.doc_id')} as h
@@ -144,19 +162,30 @@ def q_r5(spark, sf):
 
 
 @query("r5_retry_sources", with_views("""
-with f as (select doc_id, (doc_id * 3) % 50 as source_id, accepted, rewrite from v_candidates where attempt = 0),
-t as (select doc_id, (doc_id * 7 + attempt) % 50 as s, rewrite, attempt from v_candidates where attempt > 0 and accepted
-      qualify row_number() over (partition by doc_id order by attempt) = 1),
+with n as (select doc_id, lang, source, row_number() over (partition by lang order by doc_id) as r, count(*) over (partition by lang) as m from documents),
+nx as (select n.doc_id, x.attempt, o.doc_id as other from n, (values (0), (1), (2)) x(attempt)
+       join n o on o.lang = n.lang and o.r = 1 + (n.r + x.attempt) % n.m),
+f as (select c.doc_id, nx.other as source_id, accepted, rewrite from v_candidates c join nx on nx.doc_id = c.doc_id and nx.attempt = 0 where c.attempt = 0),
+t as (select c.doc_id, nx.other as s, rewrite, c.attempt from v_candidates c join nx on nx.doc_id = c.doc_id and nx.attempt = c.attempt
+      where c.attempt > 0 and accepted qualify row_number() over (partition by c.doc_id order by c.attempt) = 1),
 c as (select f.doc_id, case when not f.accepted and t.s is not null then t.s else f.source_id end as source_id,
         case when not f.accepted and t.s is not null then t.rewrite else f.rewrite end as rewrite, not f.accepted and t.s is not null as retried
       from f left join t using (doc_id))
 select c.*, d.lang, d.source from c left join documents d on d.doc_id = c.source_id""", "v_candidates"))
 def q_r5_retry(spark, sf):
-    c = views.candidates(spark, sf)
-    first = c.where("attempt = 0").withColumn("source_id", F.col("doc_id") * 3 % 50)
-    tries = c.where("attempt > 0").withColumn("source_id", (F.col("doc_id") * 7 + F.col("attempt")) % 50)
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "lang", "source")
-    return B.retry_sources(first, tries, rows, "doc_id").select("doc_id", "source_id", "rewrite", "retried", "lang", "source")
+    """Every document is a synthetic row; it is made from the next document of
+    its language, its retries from those after that."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    place = rank_within(docs, ["lang"], ["doc_id"], "_r")
+    many = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_m"))
+    place = cut_lineage(join_null_safe(place, many, ["lang"]).select("doc_id", "lang", "_r", "_m"))
+    wanted = place.select("doc_id", "lang", F.explode(F.array(*map(F.lit, range(3)))).alias("attempt"), "_r", "_m") \
+        .select("doc_id", "lang", "attempt", (F.lit(1) + (F.col("_r") + F.col("attempt")) % F.col("_m")).alias("_r"))
+    other = join_null_safe(wanted, place.select("lang", "_r", F.col("doc_id").alias("source_id")), ["lang", "_r"]).select("doc_id", "attempt", "source_id")
+    c = views.candidates(spark, sf).join(other, ["doc_id", "attempt"])
+    rows = docs.withColumnRenamed("doc_id", "source_id")
+    return (B.retry_sources(c.where("attempt = 0"), c.where("attempt > 0"), rows, "doc_id")
+            .select("doc_id", "source_id", "rewrite", "retried", "lang", "source"))
 
 
 @query("r6_upsample", with_views(f"""
@@ -167,10 +196,10 @@ select doc_id, class, text, null::integer as copy_no, false as is_augmented from
 union all select s.doc_id, s.class, coalesce(ch.rewrite, ''), s.copy_no, true from src s left join ch using (doc_id)""",
                                  "v_balance", "v_candidates"))
 def q_r6(spark, sf):
-    tr = _train(spark, sf)
+    tr = cut_lineage(_train(spark, sf).select("doc_id", "class", "text"))
     src = B.upsample_sources(tr, _targets(tr), "class", "doc_id")
     chosen = B.choose_rewrites(views.candidates(spark, sf), ["doc_id"])
-    up = B.upsample(tr.select("doc_id", "class", "text"), src, chosen, "doc_id", "text")
+    up = B.upsample(tr, src, chosen, "doc_id", "text")
     return up.select("doc_id", "class", "text", "copy_no", "is_augmented")
 
 
