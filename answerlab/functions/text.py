@@ -30,8 +30,8 @@ def words(c: ColumnOrName) -> Column:
 
 
 def word_count(c: ColumnOrName) -> Column:
-    """Number of whitespace tokens; null counts 0."""
-    return F.size(words(F.coalesce(_c(c), F.lit(""))))
+    """Number of whitespace tokens; null counts 0. Runs are counted, not cut out."""
+    return F.regexp_count(F.coalesce(_c(c), F.lit("")), F.lit(r"(?U)[^\s\x1C-\x1F]+"))
 
 
 def char_length(c: ColumnOrName) -> Column:

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from answerlab.operators.many_means import many_means, usable_vectors
 from answerlab.operators.neighbours import centroids, dot, norm, sq_dist
 from answerlab.operators.ranking import cut_lineage, join_null_safe, rank_within, smallest_k
+from answerlab.operators.similarity import sequence_ratio
 from answerlab.operators.stats import split_hash_int
 
 
@@ -162,24 +163,22 @@ def with_surface_bound(df: DataFrame, a: str, b: str, out: str = "surface_bound"
 
 
 @F.pandas_udf(T.DoubleType())
-def _difflib_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    from difflib import SequenceMatcher
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x.lower(), y.lower()).ratio()
-                      for x, y in zip(a, b)], dtype="float64")
+def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else sequence_ratio(x.lower(), y.lower()) for x, y in zip(a, b)], dtype="float64")
 
 
 def accept_pairs(df: DataFrame, original: str, rewrite: str, min_div: float = 0.15,
                  vec_a: str | None = None, vec_b: str | None = None, lo: float = 0.6, hi: float = 0.9) -> DataFrame:
     """Accept a rewrite if its character similarity to the original is at
     most 1 - min_div and, when both vectors are present, their cosine lies in
-    [lo, hi]. The exact similarity (difflib ratio) is computed only for pairs
+    [lo, hi]. The exact similarity (difflib's ratio, found by hashed windows: ``sequence_ratio``) is computed only for pairs
     whose native upper bound exceeds the limit: the others reach the UDF as
     nulls, which it skips (a UDF under ``when`` alone would run on every row)."""
     limit = 1.0 - min_div
     out = with_surface_bound(df, original, rewrite)
     above = F.col("surface_bound") > limit
     a, b = (F.when(above, F.coalesce(F.col(c), F.lit(""))) for c in (original, rewrite))
-    out = out.withColumn("surface_ratio", _difflib_ratio(a, b))
+    out = out.withColumn("surface_ratio", _sequence_ratio(a, b))
     surface_ok = F.col("surface_bound") <= limit
     surface_ok = surface_ok | (F.col("surface_ratio") <= limit)
     ok = surface_ok

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerlab.functions.constants import TAXONOMY
+from answerlab.operators.quantiles import exact_quantiles
 from answerlab.operators.ranking import join_null_safe
 from answerlab.session import cut_lineage, literal_table
 
@@ -265,7 +266,7 @@ def median_exemplar(df: DataFrame, text: str, id_col: str, group: Sequence[str]
     ln = F.char_length(F.col(text))
     g = list(group)
     base = df.select(*g, id_col, ln.alias("_len"))
-    med = base.groupBy(*g).agg(F.percentile("_len", 0.5).alias("median"))
+    med = exact_quantiles(base.select(*g, "_len"), "_len", [0.5], g, "_q").select(*g, F.col("_q")[0].alias("median"))
     j = join_null_safe(base, med, g) if g else base.withColumn("median", med.select("median").scalar())
     pick = j.groupBy(*g).agg(F.min_by(F.struct(id_col, "_len", "median"),
                                       F.struct(F.abs(F.col("_len") - F.col("median")), F.col(id_col))).alias("_p"))

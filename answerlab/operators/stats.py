@@ -3,9 +3,7 @@
 Scalars that every row needs (thresholds, totals, min/max) are attached as
 scalar subqueries (``DataFrame.scalar()``): Spark runs the one-row aggregate
 first and inlines the value, so no join and no single-partition window over
-the data is involved. Exact percentiles aggregate a value->count map with
-partial aggregation, so their memory is the number of distinct values (small
-for lengths and word counts).
+the data is involved. Quantiles are exact and located by histograms (``quantiles``).
 """
 
 from __future__ import annotations
@@ -16,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerlab.functions.text import py_strip, word_count
-from answerlab.operators.ranking import smallest_k
+from answerlab.operators.quantiles import exact_quantiles
+from answerlab.operators.ranking import join_null_safe, smallest_k
 
 
 def split_hash(id_col: str | Column, seed: int = 42) -> Column:
@@ -109,24 +108,27 @@ def crosstab_pct(df: DataFrame, a: str, b: str, values: Sequence[str]) -> DataFr
 
 def describe_lengths(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear interpolation), max
-    per column, in long form (one row per column)."""
-    def stats(c: str) -> Column:
-        x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                        F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(x).alias("max"))
-
-    # one aggregate over one scan, then one row for each column
-    return df.agg(F.array(*[stats(c) for c in cols]).alias("_all")).select(F.inline("_all"))
+    per column, in long form (one row per column). The columns are stacked, so
+    that one selection finds the quartiles of all of them."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_x")) for c in cols])))
+    plain = long.groupBy("column").agg(F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"),
+                                       F.min("_x").alias("min"), F.max("_x").alias("max"))
+    q = exact_quantiles(long, "_x", [0.25, 0.5, 0.75], ["column"], "_q")
+    return join_null_safe(plain, q, ["column"]).select(
+        "column", "count", "mean", "std", "min", *[F.col("_q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max")
 
 
 def length_stats_by_label(df: DataFrame, label: str, text: str, limits: Sequence[int] = (300, 500)) -> DataFrame:
     """Per label mean, median, min, max of the text length in characters
     and the share of rows within each limit."""
     ln = F.char_length(F.col(text))
-    return df.groupBy(F.col(label).alias("label")).agg(
-        F.avg(ln).alias("mean"), F.percentile(ln, 0.5).alias("median"), F.min(ln).alias("min"),
-        F.max(ln).alias("max"), *[F.avg((ln <= n).cast("double")).alias(f"share_within_{n}") for n in limits])
+    lengths = df.select(F.col(label).alias("label"), ln.alias("_n"))
+    plain = lengths.groupBy("label").agg(
+        F.avg("_n").alias("mean"), F.min("_n").alias("min"),
+        F.max("_n").alias("max"), *[F.avg((F.col("_n") <= n).cast("double")).alias(f"share_within_{n}") for n in limits])
+    q = exact_quantiles(lengths, "_n", [0.5], ["label"], "_q")
+    return join_null_safe(plain, q, ["label"]).select(
+        "label", "mean", F.col("_q")[0].alias("median"), "min", "max", *[f"share_within_{n}" for n in limits])
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
@@ -155,13 +157,13 @@ def length_category(df: DataFrame, text: str, train_filter: Column | None = None
     """B1: word-count tertiles of the training rows (linear interpolation at
     33.33 and 66.67) as thresholds; <= p33 Short, <= p67 Medium, else Large.
     Only rows matching ``train_filter`` are categorised; others get null."""
-    wc = word_count(text)
     base = df if train_filter is None else df.where(train_filter)
-    p = base.select(F.percentile(wc, F.array(F.lit(0.3333), F.lit(0.6667)))).scalar()
-    cat = F.when(wc <= p[0], F.lit("Short")).when(wc <= p[1], F.lit("Medium")).otherwise(F.lit("Large"))
+    p = exact_quantiles(base.select(word_count(text).alias("_wc")), "_wc", [0.3333, 0.6667]).select("q").scalar()
+    wc = F.col("_wc")
+    cat = F.when(wc <= F.col("_p")[0], F.lit("Short")).when(wc <= F.col("_p")[1], F.lit("Medium")).otherwise(F.lit("Large"))
     if train_filter is not None:
         cat = F.when(train_filter, cat)
-    return df.withColumn(out, cat)
+    return df.withColumn("_wc", word_count(text)).withColumn("_p", p).withColumn(out, cat).drop("_wc", "_p")
 
 
 def quantile_bins(df: DataFrame, col: str, q: int = 3, out: str = "qbin") -> tuple[DataFrame, DataFrame]:
@@ -169,7 +171,7 @@ def quantile_bins(df: DataFrame, col: str, q: int = 3, out: str = "qbin") -> tup
     edges collapse. Returns (rows with bin index, edge table)."""
     x = F.col(col).cast("double")
     probs = [i / q for i in range(q + 1)]
-    e = df.select(F.percentile(x, F.array(*[F.lit(p) for p in probs]))).scalar()
+    e = exact_quantiles(df.select(x.alias("_x")), "_x", probs).select("q").scalar()
     # bin = number of distinct interior edges strictly below x
     n_below = sum((F.when((e[i] > e[i - 1]) & (e[i] < x), 1).otherwise(0) for i in range(1, q)), F.lit(0))
     rows = df.withColumn(out, F.when(x.isNotNull(), n_below.cast("int")))
