@@ -234,6 +234,15 @@ def q_r9(spark, sf):
     return B.seeded_shuffle(table(spark, sf, "documents").select("doc_id"), "doc_id")
 
 
+@query("r9_seeded_positions", """
+select count(*) as n, count(*) as n_places, 0::bigint as first_place, count(*) - 1 as last_place, true as moved from documents""")
+def q_r9_positions(spark, sf):
+    """The places are a permutation, and not the order of the ids."""
+    placed = B.seeded_positions(table(spark, sf, "documents").select("doc_id"), "doc_id")
+    return placed.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("n_places"), F.min("position").alias("first_place"),
+                      F.max("position").alias("last_place"), (F.count_if(F.col("position") != F.col("doc_id")) > 0.9 * F.count(F.lit(1))).alias("moved"))
+
+
 def _length_category_step(df, **_):
     return S.length_category(df, "text", F.col("split") == "train")
 

@@ -148,3 +148,47 @@ def q_t4(spark, sf):
                            .otherwise(F.col("event_type")).alias("pred_label"))
     ST.run_window_confusion(ST.window_confusion(scored), changes, ckpt)
     return ST.current_counts(spark, changes)
+
+
+LATE_SQL = with_views("""
+with e as (select event_id, epoch_us(ts) as t, ts, true_label, pred_label from v_scored_events),
+b as (select min(t) as lo, max(t) as hi from e),
+f as (select e.*, case least(3, ((t - lo) * 4) // greatest(1, hi - lo)) when 1 then 2 when 2 then 1 else least(3, ((t - lo) * 4) // greatest(1, hi - lo)) end as arrival
+      from e, b),
+m as (select a.arrival, max(o.ts) - interval 1 day as mark from (select distinct arrival from f) a left join f o on o.arrival < a.arrival group by a.arrival)
+select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as window_start, true_label, pred_label,
+  count(*) filter (where not coalesce(date_trunc('day', ts) + interval 1 day <= mark, false)) as n_kept,
+  count(*) filter (where coalesce(date_trunc('day', ts) + interval 1 day <= mark, false)) as n_late
+from f join m using (arrival) group by all""", "v_scored_events")
+
+
+@query("t4_kept_and_late", LATE_SQL)
+def q_t4_late(spark, sf):
+    """The events in four files by time, of which the second and third arrive in
+    the wrong order."""
+    names = ("late-src", "late-changes", "late-rows", "late-marks", "late-ckpt")
+    src, changes, late, marks, ckpt = (IO.scratch_path(spark, n) for n in names)
+    events = views.scored_events(spark, sf)
+    ends = events.agg(F.struct(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi"))).scalar()
+    parts = events.withColumn("_e", ends).withColumn("_part", F.expr(
+        "least(3L, ((unix_micros(ts) - _e.lo) * 4) div greatest(1L, _e.hi - _e.lo))")).drop("_e")
+    for i in (0, 2, 1, 3):
+        parts.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    ST.run_counted_confusion(stream, changes, late, marks, ckpt)
+    return ST.kept_and_late(spark, changes, late)
+
+
+@query("t3_score_stream_by_key", C1_SQL)
+def q_t3_key(spark, sf):
+    """Every document arrives in two files; a first half was scored before."""
+    src, sink, ckpt, old = (IO.scratch_path(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt", "stream-old"))
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    keep = ["doc_id", "lang", "text"]
+    SC.score_table(docs.where("doc_id % 2 = 0"), rule_scorer, keep, REPLY_LABELS, "text").write.parquet(old)
+    for _ in range(2):
+        docs.repartition(2, "doc_id").write.mode("append").parquet(src)
+    done = spark.read.parquet(old)
+    ST.score_stream(spark, src, docs.schema, rule_scorer, keep, REPLY_LABELS, sink, ckpt, max_files_per_trigger=2, answer="text",
+                    keys=["doc_id"], done=done)
+    return _scored_cols(done.unionByName(spark.read.parquet(sink)))

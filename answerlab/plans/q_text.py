@@ -13,6 +13,7 @@ from answerlab.functions import replies as RF
 from answerlab.functions import text as T
 from answerlab.functions.constants import (COARSE_LABELS, CONTEXT_HEADER, FINE_LABELS, QUESTION_TYPE_DEFAULT,
                                            QUESTION_TYPES, REPLY_SHORTCUTS, STARTER_WORDS)
+from answerlab.operators import label_match as LM
 from answerlab.operators import measures as M
 from answerlab.operators import questions as Q
 from answerlab.operators import stats as S
@@ -217,6 +218,27 @@ def q_o3(spark, sf):
     return RF.with_reply_label(r, "raw", COARSE_LABELS, "tagged", "coarse").select("doc_id", "fine", "coarse")
 
 
+def _label_tables(spark):
+    return (views.taxonomy(spark).select("label", F.col("pos").alias("rank")),
+            views.coarse_labels(spark).select("label", F.col("pos").alias("rank")))
+
+
+@query("o1_normalise_by_table", with_views(f"""
+select doc_id, {o1_sql('raw', FINE_LABELS)} as fine, {o1_sql('raw', COARSE_LABELS)} as coarse from v_replies""", "v_replies"))
+def q_o1_table(spark, sf):
+    fine, coarse = _label_tables(spark)
+    r = LM.with_table_label(views.replies(spark, sf), "raw", fine, "label", "fine")
+    return LM.with_table_label(r, "raw", coarse, "label", "coarse").select("doc_id", "fine", "coarse")
+
+
+@query("o3_normalise_by_table", with_views(f"""
+select doc_id, {o3_sql('raw', FINE_LABELS)} as fine, {o3_sql('raw', COARSE_LABELS)} as coarse from v_replies""", "v_replies"))
+def q_o3_table(spark, sf):
+    fine, coarse = _label_tables(spark)
+    r = LM.with_table_label(views.replies(spark, sf), "raw", fine, "tagged", "fine")
+    return LM.with_table_label(r, "raw", coarse, "tagged", "coarse").select("doc_id", "fine", "coarse")
+
+
 @query("o4_reasoning_steps", with_views(rf"""
 select doc_id, array_to_string(list_transform(regexp_extract_all(raw, '(?s)<step\d>(.*?)</step\d>', 1),
   lambda s: {strip_sql('s')}), ' | ') as reasoning from v_replies""", "v_replies"))
