@@ -45,7 +45,3 @@ def argmax(values: ColumnOrName) -> Column:
     """0-based position of the first maximum of an array."""
     v = _c(values)
     return (F.array_position(v, F.array_max(v)) - 1).cast("int")
-
-
-def is_known(label: ColumnOrName, labels: Sequence[str]) -> Column:
-    return _c(label).isin(list(labels))

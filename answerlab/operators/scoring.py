@@ -3,8 +3,10 @@
 C1 runs a user scorer (any model: pandas batch in, raw text out) inside
 ``mapInPandas``: Arrow batches, one scorer per Python worker, the batch size
 set by ``spark.sql.execution.arrow.maxRecordsPerBatch``. A failing batch is
-re-run row by row only to isolate the failing rows, which get
-``ERROR: ...`` and ``PARSE_ERROR``; the job goes on. Label parsing happens
+cut in halves until the failing rows stand alone; these get ``ERROR: ...`` and
+``PARSE_ERROR``, and the job goes on. So a scorer sees the good rows of a failing
+batch again, log2(batch) times at most for each failing row; a scorer that is paid
+by the call should remember its replies by row key. Label parsing happens
 afterwards as native expressions.
 """
 
@@ -23,20 +25,23 @@ from answerlab.functions.text import truncate_chars, words
 Scorer = Callable[[pd.DataFrame], pd.Series]
 
 
+def _replies(scorer: Scorer, pdf: pd.DataFrame) -> list[str]:
+    try:
+        raw = [str(x) for x in scorer(pdf)]
+        if len(raw) != len(pdf):
+            raise ValueError(f"{len(raw)} replies for {len(pdf)} rows")
+        return raw
+    except Exception as exc:
+        if len(pdf) == 1:
+            return [f"ERROR: {exc}"]
+        half = len(pdf) // 2
+        return _replies(scorer, pdf.iloc[:half]) + _replies(scorer, pdf.iloc[half:])
+
+
 def _scored_batches(scorer: Scorer, keep: Sequence[str]):
     def run(batches):
         for pdf in batches:
-            try:
-                raw = [str(x) for x in scorer(pdf)]
-                if len(raw) != len(pdf):
-                    raise ValueError(f"{len(raw)} replies for {len(pdf)} rows")
-            except Exception:  # isolate the failing rows of this batch
-                raw = []
-                for i in range(len(pdf)):
-                    try:
-                        raw.append(str(scorer(pdf.iloc[i:i + 1]).iloc[0]))
-                    except Exception as exc:
-                        raw.append(f"ERROR: {exc}")
+            raw = _replies(scorer, pdf)
             out = pdf[list(keep)].copy()
             out["raw_output"] = raw
             yield out

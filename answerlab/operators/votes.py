@@ -229,10 +229,11 @@ def keep_nonnull(df: DataFrame, col: str, rename: str | None = None) -> DataFram
 
 
 def apply_label_ids(df: DataFrame, label_map: DataFrame, col: str, out: str = "label") -> DataFrame:
-    """P10 as a join: label -> id through a label map table (label, label_id);
-    unknown or missing -> -100. The map has one row per class and is broadcast."""
-    m = F.broadcast(label_map.select(F.col("label").alias("_lbl"), F.col("label_id").alias("_lid")))
-    return (df.join(m, df[col] == m["_lbl"], "left")
+    """P10 as a join: label -> id through a label map table (label, label_id) of
+    any size; unknown or missing -> -100, the smallest id of a label listed twice.
+    Spark's size check decides how the map is sent."""
+    m = label_map.where(F.col("label").isNotNull()).groupBy(F.col("label").alias("_lbl")).agg(F.min("label_id").alias("_lid"))
+    return (df.join(m, F.col(col) == F.col("_lbl"), "left")
             .withColumn(out, F.coalesce(F.col("_lid"), F.lit(-100)).cast("int"))
             .drop("_lbl", "_lid"))
 

@@ -133,6 +133,13 @@ def q_p10(spark, sf):
     return views.votes(spark, sf).select("doc_id", label_id("annotator2", FINE_LABELS).alias("label"))
 
 
+@query("p10_label_id_by_table", with_views("""
+select v.doc_id, coalesce(t.pos, -100)::integer as label from v_votes v left join v_taxonomy t on t.label = v.annotator3""", "v_votes"))
+def q_p10_table(spark, sf):
+    ids = views.taxonomy(spark).select("label", F.col("pos").alias("label_id"))
+    return V.apply_label_ids(views.votes(spark, sf), ids, "annotator3").select("doc_id", "label")
+
+
 @query("p11_coarsen", with_views("""
 select v.doc_id, coalesce(a.coarse, 'PARSE_ERROR') as coarse1, coalesce(b.coarse, 'UNKNOWN') as coarse2,
        coalesce(c.coarse, v.annotator3) as coarse3

@@ -48,12 +48,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and resumable state.
 
     Uses ``spark.checkpoint.dir`` as configured by the cluster. Only when it
-    is unset (local tests) a folder below the session's table storage
-    (``spark.sql.warehouse.dir``) is used.
+    is unset in a local session (tests) a folder below the session's table storage
+    (``spark.sql.warehouse.dir``) is used; on a cluster that is an error, since
+    executors would not see each other's files.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/answerlab-checkpoints"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(path)

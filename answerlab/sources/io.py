@@ -71,18 +71,21 @@ def read_runs(spark: SparkSession, path: str, measure: str = "macro_f1", one_per
 
 
 def read_predictions(spark: SparkSession, path: str, schema: T.StructType | str = PREDICTION_SCHEMA) -> DataFrame:
-    """S3: prediction CSV with header; quoted fields may hold line breaks."""
+    """S3: prediction CSV with header; quoted fields may hold line breaks. Such a
+    file cannot be split: one file is one task. ``write_predictions`` bounds the
+    rows of a CSV file for that; large tables belong in Parquet, its default."""
     return _csv_options(spark.read.schema(schema).option("multiLine", True)).csv(path)
 
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = "run_id",
-                      mode: str = "overwrite") -> str:
-    """Save a result table; partitioned by run so readers prune to one run."""
+                      mode: str = "overwrite", csv_rows: int = 200_000) -> str:
+    """Save a result table; partitioned by run so readers prune to one run.
+    A CSV file has at most ``csv_rows`` rows, so that its reader's task stays small."""
     w = df.write.mode(mode)
     if partition_by and partition_by in df.columns:
         w = w.partitionBy(partition_by)
     if fmt == "csv":
-        w = _csv_options(w)
+        w = _csv_options(w).option("maxRecordsPerFile", csv_rows)
     w.format(fmt).save(path)
     return path
 

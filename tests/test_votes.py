@@ -1,6 +1,7 @@
 """Vote consolidation: every branch with hand-made rows."""
 from answerlab.operators import votes as V
 from conftest import rows
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, annotator1 string, annotator2 string, annotator3 string, official_label string"
 
@@ -60,3 +61,36 @@ def test_reliability_has_all_cells(spark):
     rel = rows(V.annotator_reliability(df), "annotator", "coarse_label", "n")
     assert len(rel) == 9
     assert ("annotator1", "Clear Reply", 1) in rel and ("annotator3", "Clear Reply", 0) in rel
+
+
+def test_label_ids_by_table(spark):
+    from answerlab.operators.votes import apply_label_ids
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "x"), (5, "a")], "id long, c string")
+    ids = spark.createDataFrame([("a", 0), ("b", 1), ("b", 7), (None, 3)], "label string, label_id int")
+    assert sorted(map(tuple, apply_label_ids(df, ids, "c").select("id", "label").collect())) == [(1, 0), (2, 1), (3, -100), (4, -100), (5, 0)]
+    many = spark.range(50_000).select(F.concat(F.lit("k"), "id").alias("label"), F.col("id").cast("int").alias("label_id"))
+    wide = spark.range(2000).select("id", F.concat(F.lit("k"), F.col("id") * 25).alias("c"))
+    assert apply_label_ids(wide, many, "c").where("label = id * 25").count() == 2000
+
+
+def test_csv_files_are_bounded(spark, tmp_path):
+    from answerlab.sources import io as IO
+    df = spark.range(1000).select(F.col("id").cast("string").alias("question"), F.lit("a\nb").alias("answer_snippet"))
+    IO.write_predictions(df.coalesce(1), str(tmp_path / "p"), "csv", None, csv_rows=300)
+    assert len(list((tmp_path / "p").glob("part-*.csv"))) == 4
+    assert IO.read_predictions(spark, str(tmp_path / "p"), "question string, answer_snippet string").where("answer_snippet = 'a\\nb'").count() == 1000
+
+
+def test_a_failing_row_costs_its_batch_few_calls(spark):
+    import pandas as pd
+
+    from answerlab.operators.scoring import _replies
+    calls = []
+    def scorer(pdf):
+        calls.append(len(pdf))
+        if (pdf.id == 77).any():
+            raise ValueError("no")
+        return pdf.id.astype(str)
+    got = _replies(scorer, pd.DataFrame({"id": range(128)}))
+    assert got[77] == "ERROR: no" and [g for i, g in enumerate(got) if i != 77] == [str(i) for i in range(128) if i != 77]
+    assert len(calls) <= 2 * 8 and sum(calls) < 4 * 128
