@@ -24,7 +24,7 @@ ln as (select distinct k, source, t, x from (
          select k, source, t, trim(unnest(string_split(regexp_replace(lower(t), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10)))) as x from d) where x <> ''),
 hosts as (select source, count(distinct t) as docs from d group by source),
 hot as (select source, x, n from (select source, x, count(distinct t) as n from ln group by source, x) join hosts using (source)
-        where n > 50 and n > docs * 0.01),
+        where n > least(50, greatest(2, docs * 0.1::double))),
 gone as (select k, count(*) as n, sum(length(x)) as c from ln join hot using (source, x) group by k),
 chars as (select k, sum(length(x)) as c from ln group by k)
 select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

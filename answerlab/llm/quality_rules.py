@@ -3,9 +3,10 @@
 Lines are normalised (lower case, runs of blanks to one space, trimmed); the
 distinct normalised lines of every document go to one row each, and the number
 of distinct documents (by content, so exact copies count once) that hold a line
-is counted per host. A line held by more than ``max(min_docs, max_share x
-documents of the host)`` documents is removed from every document of that host.
-A document is rejected when the lines that stay hold less than
+is counted per host. A line is removed from every document of its host when more
+documents hold it than the host's limit: ``max_share`` of its documents, but
+``min_docs`` at least (small hosts) and ``max_docs`` at most (large ones: a page
+footer on a thousandth of a huge host is still a footer). A document is rejected when the lines that stay hold less than
 ``min_kept_share`` of the characters of its distinct normalised lines.
 
 Skew: counting pre-aggregates on the map side; the join of lines to removed
@@ -88,7 +89,7 @@ def _row_key(id_col: str, host: str, text: str):
     return F.xxhash64(id_col, host, text)
 
 
-def removed_lines(docs: DataFrame, min_docs: int = 50, max_share: float = 0.01) -> tuple[DataFrame, DataFrame]:
+def removed_lines(docs: DataFrame, min_docs: int = 2, max_share: float = 0.1, max_docs: int = 50) -> tuple[DataFrame, DataFrame]:
     """(lines, removed). lines: one row for each distinct normalised line of a
     document (``_id _k _host _h _len``). removed: ``_host _h`` of the lines above
     the limit. ``docs`` has ``_id _text _host``."""
@@ -103,7 +104,7 @@ def removed_lines(docs: DataFrame, min_docs: int = 50, max_share: float = 0.01)
     held = (lines.groupBy("_host", "_nohost", "_h").agg(F.count_distinct("_c").alias("_n"))
             .where(F.col("_n") > min_docs))
     removed = (held.join(hosts, ["_host", "_nohost"])
-               .where(F.col("_n") > F.col("_docs") * F.lit(max_share)).select("_host", "_nohost", "_h", "_n"))
+               .where(F.col("_n") > F.least(F.lit(float(max_docs)), F.col("_docs") * F.lit(max_share))).select("_host", "_nohost", "_h", "_n"))
     return lines, removed
 
 
@@ -119,12 +120,12 @@ def _per_document(lines: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-          min_docs: int = 50, max_share: float = 0.01, min_kept_share: float = 0.3) -> DataFrame:
+          min_docs: int = 2, max_share: float = 0.1, max_docs: int = 50, min_kept_share: float = 0.3) -> DataFrame:
     """One row per document: ``id_col``, the base measures, ``base_failed``,
     ``n_removed_lines``, ``line_chars`` (distinct normalised lines),
     ``removed_chars`` and ``kept``."""
     own = own_names(docs, {"_id": id_col, "_text": text_col, "_host": host_col})
-    lines, removed = removed_lines(own, min_docs, max_share)
+    lines, removed = removed_lines(own, min_docs, max_share, max_docs)
     gone = _per_document(lines, removed).drop("_hashes")
     rows = base_measures(own.withColumn("_k", _row_key("_id", "_host", "_text"))
                          .withColumn("_chars", F.aggregate(F.transform(_norm_lines(F.col("_text")), F.char_length),
@@ -140,11 +141,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-          min_docs: int = 50, max_share: float = 0.01, min_kept_share: float = 0.3) -> DataFrame:
+          min_docs: int = 2, max_share: float = 0.1, max_docs: int = 50, min_kept_share: float = 0.3) -> DataFrame:
     """The kept documents with all their columns; lines above the limit are
     taken out of ``text_col``. Same decisions as :func:`judge`."""
     own = own_names(docs, {"_id": id_col, "_text": text_col, "_host": host_col})
-    lines, removed = removed_lines(own, min_docs, max_share)
+    lines, removed = removed_lines(own, min_docs, max_share, max_docs)
     gone = (_per_document(lines, removed)
             .select(F.col("_id").alias("_gid"), F.col("_k").alias("_gk"), "_gone_chars", "_hashes"))
     columns = docs.columns
