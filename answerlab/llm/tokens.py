@@ -68,12 +68,15 @@ class _Pool:
 
 
 class WordEncoder:
-    def __init__(self, path: str):
+    """``plain_specials``: strings of special tokens inside texts are plain text;
+    else they become the special tokens, as the tokenizer does when it is loaded."""
+
+    def __init__(self, path: str, plain_specials: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = plain_specials
         self.bare = Tokenizer(self.tok.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.alphabet = _byte_alphabet()

@@ -194,8 +194,16 @@ def test_packing_round_trip(spark):
             at += length
         lengths.append(at)
     assert all(n == 256 or n & (n - 1) == 0 for n in lengths)  # no padding at all
-    digest = packing.digest(df, WORD_BPE, width=256)
-    assert collections.Counter(r.ids_crc32 for r in digest.collect()) == collections.Counter(zlib.crc32(p.ids) for p in pieces)
+    digest = packing.digest(df.where("doc_id <> 9"), WORD_BPE, width=256)
+    assert collections.Counter(r.ids_crc32 for r in digest.collect()) == collections.Counter(
+        zlib.crc32(p.ids) for p in packing.pack(df.where("doc_id <> 9"), WORD_BPE, width=256).collect())
+    loaded = Tokenizer.from_file(WORD_BPE)  # the digest has the ids of the tokenizer as it is loaded
+    for r in df.where("doc_id in (9, 4)").collect():
+        one = packing.digest(df.where(f"doc_id = {r.doc_id}"), WORD_BPE).collect()
+        ids = loaded.encode(r.text, add_special_tokens=False).ids + [1]
+        assert sum(p.length for p in one) == len(ids) == one[0].doc_tokens
+        for p in one:
+            assert p.ids_crc32 == zlib.crc32(struct.pack(f"<{p.length}I", *ids[p.start:p.start + p.length]))
     assert packing.pack(B.awkward(spark, empty=True), WORD_BPE).collect() == []
 
 
@@ -288,6 +296,23 @@ def test_quality_rules(spark):
     assert quality_rules.judge(df.limit(0)).collect() == [] and quality_rules.clean(df.limit(0)).collect() == []
 
 
+def test_line_limits_for_hosts_of_any_size(spark):
+    """A small host's footer goes (three documents of ten), one of two documents
+    stays; in a large host more than 50 documents are too many, 40 of 800 are not."""
+    body = lambda i: " ".join(f"h{i}q{j}" for j in range(60))
+    rows = [(i, body(i) + ("\nsmall footer" if i < 3 else "\npair" if i < 5 else ""), "small") for i in range(10)]
+    rows += [(1000 + i, body(1000 + i) + ("\nlarge footer" if i < 51 else "\nforty" if i < 91 else ""), "large") for i in range(800)]
+    menu = "\n".join(" ".join(f"m{k}e{j}" for j in range(8)) for k in range(9))
+    rows += [(5000 + i, menu + f"\nown line {i}", "menus") for i in range(4)]
+    df = spark.createDataFrame([(*r[:2], "en", r[2], 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    assert [got[i].n_removed_lines for i in (0, 2, 3, 9)] == [1, 1, 0, 0]
+    assert [got[1000 + i].n_removed_lines for i in (0, 50, 51, 90, 799)] == [1, 1, 0, 0, 0]
+    depleted = [got[5000 + i] for i in range(4)]  # the method's own verdict: little but the menu
+    assert all(r.n_removed_lines == 9 and not r.base_failed and not r.kept for r in depleted)
+    assert all(got[i].kept for i in (0, 3, 9, 1000, 1799))
+
+
 def test_repeat_words_of_texts_beyond_the_packed_form(spark, monkeypatch):
     df = B.awkward(spark, ["a b c d a b c e", "p q r " * 30])
     want = B.rows_of(quality_rules.judge(df), "doc_id", "n_repeat_words")
