@@ -149,7 +149,7 @@ def _prune(least: list[int]):
         for batch in batches:
             if len(batch):
                 rows, _ = _may_link(_signatures(batch.column("sa")), _signatures(batch.column("sb")), least)
-                yield batch.select(["a", "b"]).take(pa.array(rows))
+                yield batch.select(["a", "b", "member"]).take(pa.array(rows))
     return run
 
 
@@ -204,18 +204,20 @@ def _verified(pairs: DataFrame, clusters: DataFrame, data: DataFrame, percent: i
     """The links among ``pairs`` (a < b, distinct), by the sequential and then
     the exact test. Sets meet in blocks: all pairs of a cluster that fall into
     one block are verified in one group, to which each of their sets is sent
-    once. A cluster with many pairs has many blocks, dealt by the hashes of both
-    ends."""
+    once. A cluster with many pairs has many blocks, dealt by the hash of a pair's
+    ``member``: the end that met the other as the least or greatest of a bucket, so
+    it has at most two pairs a band. Blocks of a star are even then, however many
+    pairs its centre has; only centres are sent to several blocks."""
     signed = pairs
     for end in "ab":
         signed = signed.join(data.select(F.col("key").alias(end), F.col("signature").alias(f"s{end}")), end)
-    left = stored(signed.select("a", "b", "sa", "sb").mapInArrow(_prune(least), "a long, b long"), "pairs")
+    left = stored(signed.select("a", "b", "member", "sa", "sb").mapInArrow(_prune(least), "a long, b long, member long"), "pairs")
     placed = left.join(clusters.select(F.col("node").alias("a"), F.col("component").alias("g")), "a")
-    sides = placed.groupBy("g").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / F.lit(_PAIRS))).cast("int").alias("_p"))
-    blocks = salted_join(placed, sides, ["g"]).select("g", F.pmod(F.xxhash64("a"), "_p").alias("i"), F.pmod(F.xxhash64("b"), "_p").alias("j"), "a", "b")
-    wanted = blocks.select("g", "i", "j", F.explode(F.array("a", "b")).alias("key")).distinct()
-    sent = wanted.join(data, "key").select("g", "i", "j", "key", "shingles").toDF("sg", "si", "sj", "key", "shingles")
-    return stored(blocks.groupBy("g", "i", "j").cogroup(sent.groupBy("sg", "si", "sj"))
+    sides = placed.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(_PAIRS)).cast("int").alias("_p"))
+    blocks = salted_join(placed, sides, ["g"]).select("g", F.pmod(F.xxhash64("member"), "_p").alias("i"), "a", "b")
+    wanted = blocks.select("g", "i", F.explode(F.array("a", "b")).alias("key")).distinct()
+    sent = wanted.join(data, "key").select("g", "i", "key", "shingles").toDF("sg", "si", "key", "shingles")
+    return stored(blocks.groupBy("g", "i").cogroup(sent.groupBy("sg", "si"))
                   .applyInArrow(_exact(percent), "a long, b long"), "links")
 
 
@@ -266,7 +268,7 @@ def near_links(docs: DataFrame, sketch: DataFrame, width: int, percent: int = 80
     data = stored(picked.select("key", "signature").join(sets, "key"), "sets")
 
     stars = stored(members.select("key", F.explode(F.array("lo", "hi")).alias("c")).where("key <> c")
-                   .select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")).distinct(), "stars")
+                   .groupBy(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")).agg(F.min("key").alias("member")), "stars")
     clusters, least = components(stars), least_matches(percent / 100, miss)
     labels = components(_verified(stars, clusters, data, percent, least))
     return (labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
