@@ -49,7 +49,7 @@ from answerlab.llm.tokens import _byte_alphabet
 from answerlab.session import ship_package
 
 _CHUNK = 8 << 20       # bytes of text in a chunk
-_CALL = 1 << 20        # bytes of text tokenised at a time
+_CALL = 2 << 20        # bytes of text tokenised at a time
 _MEMO = 1 << 18        # windows remembered at most
 _PAIR = 32             # bits of an id in a packed pair
 
@@ -148,6 +148,24 @@ def _same(joined: np.ndarray, at: np.ndarray, wanted: np.ndarray, where: np.ndar
     return fits
 
 
+def _marks(ends: np.ndarray) -> np.ndarray:
+    """Which byte offsets are ends."""
+    out = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, bool)
+    out[ends] = True
+    return out
+
+
+def _shared(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in both rows of ends of the offsets that stand in both."""
+    return np.flatnonzero(_marks(two)[one]), np.flatnonzero(_marks(one)[two])
+
+
+def _tokens_at(offsets: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each byte end, the first token that ends there or behind it."""
+    mark = _marks(ends)
+    return (np.cumsum(mark) - mark)[offsets]
+
+
 class Aligner:
     """Aligns whole texts, and remembers windows by their id tuples."""
 
@@ -171,13 +189,14 @@ class Aligner:
         in_a, in_b = (place > 0) & (place <= cut), place > cut
         a, b = data[in_a], data[in_b]
         ends_a, ends_b = np.cumsum(self.tok.table_a[2][a]), np.cumsum(self.tok.table_b[2][b])
-        ends, shared = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
-        of = np.searchsorted(ends_a, ends)
-        self.flat = np.concatenate([self.flat, a[of] << _PAIR | b[np.searchsorted(ends_b, ends)]])
+        mark = _marks(ends_a) | _marks(ends_b)
+        ends, shared = np.flatnonzero(mark), ends_a[_shared(ends_a, ends_b)[0]]
+        of = _tokens_at(ends, ends_a)
+        self.flat = np.concatenate([self.flat, a[of] << _PAIR | b[_tokens_at(ends, ends_b)]])
         self.fan = np.concatenate([self.fan, np.bincount(window[in_a][of], minlength=len(keys))])
-        self.groups = np.concatenate([self.groups, np.bincount(window[in_a][np.searchsorted(ends_a, shared)], minlength=len(keys))])
+        self.groups = np.concatenate([self.groups, np.bincount(window[in_a][_tokens_at(shared, ends_a)], minlength=len(keys))])
         # groups as text: tokens by group and side, each behind the mark that parts it from the one before
-        row = np.concatenate([2 * np.searchsorted(shared, ends_a), 2 * np.searchsorted(shared, ends_b) + 1])
+        row = np.concatenate([2 * _tokens_at(ends_a, shared), 2 * _tokens_at(ends_b, shared) + 1])
         order = np.argsort(row, kind="stable")
         row, owner = row[order], np.concatenate([window[in_a], window[in_b]])[order]
         mark = np.where(np.diff(owner, prepend=-1) > 0, 3, np.where(np.diff(row // 2, prepend=-1) > 0, 2, np.diff(row, prepend=0)))
@@ -200,7 +219,7 @@ class Aligner:
         keep_a, keep_b = np.repeat(good, n_a), np.repeat(good, n_b)
         a, b, n_a, n_b = a[keep_a], b[keep_b], n_a * good, n_b * good
         ends_a, ends_b = np.cumsum(self.tok.table_a[2][a]), np.cumsum(self.tok.table_b[2][b])
-        shared, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        at_a, at_b = _shared(ends_a, ends_b)
         next_a, next_b = np.append(self.tok.table_a[3][a][1:], True), np.append(self.tok.table_b[3][b][1:], True)
         last = np.zeros(len(a) + 1, bool)
         last[np.cumsum(n_a)[n_a > 0] - 1] = True  # a text's end is an anchor
