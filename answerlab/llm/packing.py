@@ -2,23 +2,25 @@
 
 Every source is a queue of token ids (its documents in the order in which the
 tokenised table was written, each closed by an end id). In each round, a window
-of the output takes from every source its quantum, target share x window; what a
-source could not be given as whole tokens is its deficit and is carried to the
-next window, so after any number of windows each source is within one token of
-its target; the lasting source, the largest, takes up the rounding of the others
-and may be off by half a token for each of them. A window is one sequence as long
-as the largest source's quantum can hold that rounding; with many equal sources
-(some 40 and more) it is several, by a rule on their number and shares: with 1,000
-equal sources the mixture holds over a million tokens, not over 2,048. A batch costs
-time in proportion to the square of the number of its sources (1.6 s with 200):
-group rare hosts into one source first. Targets are given shares, or the sources' shares of the corpus, with
-which all queues run dry together and every window has the mixture. Queues with
-given targets that run dry leave the round; the others share on.
-
-The deficit after w windows is a closed formula of w (rounded cumulative quanta;
-one lasting source takes up the rounding of the others). Any task can thus fill
-its part of any window without hearing from the windows before: deficits are
-carried across partitions, and nothing runs in sequence.
+of the output, one sequence long, takes from every source its quantum, target
+share x window; what a source could not be given as whole tokens is its deficit
+and is carried to the next window. Targets are given shares, or the sources'
+shares of the corpus, with which all queues run dry together and every window has
+the mixture. Queues with given targets that run dry leave the round; the others
+share on.
+
+The quanta are dealt down a tree over the sources (the two lightest parts are
+joined first, as in a Huffman code): a part that has been given x tokens gives
+the rounded share of x to its left half and the rest to its right half. Neither
+ever falls as x grows, so quanta are never negative, and a half is off by half a
+token plus its share of what the part is off. A part of two parts or more holds
+at most two thirds of the part above, so every source stays within two tokens of
+its target at every window's border, with any number of sources and any shares.
+
+The deficit after w windows is thus a closed formula of w, as deep as the tree
+(some log2 of the number of sources; a heavy source lies near the root). Any task
+can fill its part of any window without hearing from the windows before: deficits
+are carried across partitions, and nothing runs in sequence.
 
 1. Tokenise; write ids to the shared folder, with the tokens before each document
    in its own (partition, source).
@@ -37,6 +39,7 @@ columns are ignored, whatever their names. A hot source is only a longer queue.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -68,6 +71,28 @@ def _tokenise(path: str, end_id: int, plain_specials: bool):
     return run
 
 
+def _halves(weights: list[int]) -> list[list[tuple[int, int, bool]]]:
+    """The way to each source down the tree over the positive weights, from the
+    root: (weight of the left half, weight of the whole, whether it goes left)."""
+    heap = [(w, s) for s, w in enumerate(weights) if w > 0]
+    heapq.heapify(heap)
+    above: dict[int, tuple[int, int, int, bool]] = {}  # part: (part above, left, whole, is left)
+    part = len(weights)
+    while len(heap) > 1:
+        (right, r), (left, l) = heapq.heappop(heap), heapq.heappop(heap)
+        above[l], above[r] = (part, left, left + right, True), (part, left, left + right, False)
+        heapq.heappush(heap, (left + right, part))
+        part += 1
+    ways = []
+    for s in range(len(weights)):
+        way, at = [], s
+        while at in above:
+            at, *step = above[at]
+            way.append(tuple(step))
+        ways.append(way[::-1])
+    return ways
+
+
 class Mixture:
     """Which tokens of which queue stand where. ``totals``: tokens per source;
     ``targets``: share per source (sources without one come after all others)."""
@@ -86,49 +111,46 @@ class Mixture:
                     else min(totals[s], used[s] + round(rate.get(s, 0) * time)) for s in range(len(totals))]
             self.ends.append(used)
         big = self.total >= 1 << 31  # products of two counts then leave 64 bits
-        self.ends = np.array(self.ends, dtype=object if big else np.int64)
+        self.kind = object if big else np.int64
+        self.ways = [_halves([y - x for x, y in zip(a, b)]) for a, b in zip(self.ends, self.ends[1:])]
+        self.ends = np.array(self.ends, dtype=self.kind)
         begin = self.ends.sum(axis=1)
         self.begin, self.gain = begin[:-1], np.diff(self.ends, axis=0)
-        # Windows of a phase: wide enough that the lasting source, the largest, can take up the others' rounding.
-        self.step, self.count, self.lasting = [], [], []
-        for k, gain in enumerate(self.gain):
-            length, last = int(begin[k + 1] - begin[k]), int(np.argmax(gain))
-            active = int((gain > 0).sum())
-            step = width * max(1, -(-(active * length) // (width * int(gain[last]))))
-            self.step.append(step)
-            self.count.append(max(1, length // step))  # the last window takes the rest
-            self.lasting.append(last)
-        self.offset = np.concatenate(([0], np.cumsum(self.count)))
+        self.length = np.diff(begin)
+        self.count = [-(-int(n) // width) for n in self.length]
         tail, at = self.total % width, self.full * width
         self.cuts = [at]  # sequence borders behind the full ones
         for bit in reversed(range(width.bit_length())):
             if tail >> bit & 1:
                 self.cuts.append(self.cuts[-1] + (1 << bit))
 
+    def _given(self, k: int, i: np.ndarray) -> np.ndarray:
+        """Tokens that phase k has given out before its window i."""
+        return np.minimum(i.astype(self.kind) * self.width, self.length[k])
+
     def border(self, k: int, i: np.ndarray) -> np.ndarray:
         """Place in the output where window i of phase k begins."""
-        return np.where(i == self.count[k], self.begin[k] + self.gain[k].sum(), self.begin[k] + i * self.step[k])
-
-    def _quanta(self, k: int, s: int, i: np.ndarray) -> np.ndarray:
-        length = self.gain[k].sum()
-        gained = (i * self.step[k] * self.gain[k][s] + length // 2) // length
-        return self.ends[k][s] + np.where(i == self.count[k], self.gain[k][s], gained)
+        return self.begin[k] + self._given(k, i)
 
     def used(self, k: int, s: int, i: np.ndarray) -> np.ndarray:
         """Tokens of source s that stand before window i of phase k."""
-        if s != self.lasting[k]:
-            return self._quanta(k, s, i)
-        others = sum((self._quanta(k, o, i) for o in range(len(self.gain[k])) if o != s and self.gain[k][o]),
-                     np.zeros(len(i), self.ends.dtype))
-        idle = sum(int(self.ends[k][o]) for o in range(len(self.gain[k])) if o != s and not self.gain[k][o])
-        return self.border(k, i) - others - idle
+        x = self._given(k, i)
+        for left, whole, is_left in self.ways[k][s]:
+            half = (x * left + whole // 2) // whole
+            x = half if is_left else x - half
+        return self.ends[k][s] + x
 
     def before(self, k: int, s: int, i: np.ndarray) -> np.ndarray:
-        """Place in the output of the first token of s in window i of phase k."""
-        at = self.border(k, i)
-        for o in range(s):
-            if self.gain[k][o]:
-                at = at + self.used(k, o, i + 1) - self.used(k, o, i)
+        """Place in the output of the first token of s in window i of phase k:
+        in a window, the left half of a part stands before the right half."""
+        x, y = self._given(k, i), self._given(k, i + 1)
+        at = self.begin[k] + x
+        for left, whole, is_left in self.ways[k][s]:
+            a, b = (x * left + whole // 2) // whole, (y * left + whole // 2) // whole
+            if is_left:
+                x, y = a, b
+            else:
+                at, x, y = at + b - a, x - a, y - b
         return at
 
     def window(self, k: int, s: int, x: np.ndarray) -> np.ndarray:
@@ -200,19 +222,20 @@ def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int =
                     .select(F.col("part").alias("_part"), F.col("source").alias("_source"), "_base", "_n"), "places")
     totals = {r[0]: int(r[1]) for r in places.groupBy("_source").agg(F.sum("_n")).orderBy("_source").collect()}
     names = list(totals)
+    number = {x: s for s, x in enumerate(names)}
     mixture = Mixture([totals[x] for x in names], None if targets is None else [targets.get(x, 0.0) for x in names], width)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            source = batch.column("source").to_pylist()
+            rows_of: dict = {}
+            for i, x in enumerate(batch.column("source").to_pylist()):
+                rows_of.setdefault(x, []).append(i)
             starts, n = (batch.column(c).to_numpy() for c in ("start", "n"))
             raw = batch.column("ids").to_pylist()
             out = []
-            for s, name in enumerate(names):
-                own = np.array([i for i, x in enumerate(source) if x == name], np.int64)
-                if not len(own):
-                    continue
-                doc, x, place, size = mixture.segments(s, starts[own], n[own])
+            for name, own in rows_of.items():
+                own = np.array(own, np.int64)
+                doc, x, place, size = mixture.segments(number[name], starts[own], n[own])
                 part, skip, length, seq, offset = mixture.sequences(place, size)
                 row = own[doc[part]]
                 out.append([row, x[part] + skip - starts[row], length, seq, offset])

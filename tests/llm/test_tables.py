@@ -160,12 +160,23 @@ def test_mixture_places_every_token_once(seed):
         assert (seen == 1).all()
 
 
-def test_windows_hold_the_target_mixture():
-    m = packing.Mixture([3_000_000, 1_000_000, 500_000], [0.5, 0.3, 0.2], 2048)
-    windows = np.arange(200)
-    for s, share in enumerate((0.5, 0.3, 0.2)):
-        used = m.used(0, s, windows)
-        assert np.abs(used - share * 2048 * windows).max() <= 1.5  # deficits never exceed the rounding
+@pytest.mark.parametrize("n, targets", [(3, [0.5, 0.3, 0.2]), (20, None), (200, None), (2000, None), (2000, "given")])
+def test_windows_hold_the_target_mixture(n, targets):
+    rnd = random.Random(n)
+    totals = [3_000_000, 1_000_000, 500_000] if n == 3 else [100_000] * n if n == 200 else [int(10 ** rnd.uniform(0, 5.7)) for _ in range(n)]
+    if targets == "given":
+        targets = [rnd.choice([1.0, 3.0, 10.0]) for _ in totals]
+        totals = [int(50 * t) for t in targets]  # all run dry together
+    m = packing.Mixture(totals, targets, 2048)
+    share = np.array(totals if n != 3 else targets, float)
+    share /= share.sum()
+    windows = np.arange(m.count[0])  # one sequence each, whatever the number of sources
+    for s in range(n):
+        used = m.used(0, s, windows).astype(float)
+        assert np.abs(used - share[s] * 2048 * windows).max() < 2 and (np.diff(used) >= 0).all()
+
+
+def test_mixture_of_many_tokens():
     big = packing.Mixture([3 << 32, 1 << 32], None, 2048)  # products beyond 64 bits
     assert int(big.used(0, 0, np.array([4096]))[0]) == 3 * 4096 * 2048 // 4
 
