@@ -11,7 +11,8 @@ lines), lines under the later one go although the first covers them too.
 Defined results: null and empty text and texts of fewer than three lines stay as
 they are; null ids come first in the order; repeated rows are copies like any
 others; an empty table gives no rows; extra columns stay as they are, whatever
-their names. Ids must be integers.
+their names. Ids are of any type that Arrow orders (integers, strings, decimals,
+dates, times, binary).
 """
 
 from __future__ import annotations

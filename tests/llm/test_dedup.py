@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from answerlab.llm import line_dedup, near_dedup, substring_dedup
+from answerlab.llm import line_dedup, near_dedup, repeats, substring_dedup
 from answerlab.llm import words as W
 from answerlab.llm.components import components
 from answerlab.llm.repeats import runs
@@ -27,8 +27,13 @@ def _texts(seed, n=60, lines=False):
     return out + out[:5]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 700, "bucket_bytes": 900}])
-def test_substring_dedup_equals_brute_force(spark, sizes):
+FORMS = pytest.mark.parametrize("sizes, fan", [({}, 8), ({"chunk_bytes": 700, "bucket_bytes": 900}, 8), ({"chunk_bytes": 700, "bucket_bytes": 900}, 3),
+                                               ({"chunk_bytes": 300, "bucket_bytes": 5000}, 2)])
+
+
+@FORMS
+def test_substring_dedup_equals_brute_force(spark, monkeypatch, sizes, fan):
+    monkeypatch.setattr(repeats, "FAN_BITS", fan)
     df = B.awkward(spark, _texts(1))
     rows = [(r.doc_id, r.text) for r in df.collect()]
     want = sorted(((d, len(w), sum(g), " ".join(x for x, y in zip(w, g) if not y))
@@ -47,8 +52,42 @@ def test_substring_dedup_digest_and_empty_table(spark):
     assert got[3].n_words == 0 and got[5].n_removed == got[5].n_words == 30_000  # the long text is there twice
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 700, "bucket_bytes": 900}])
-def test_line_dedup_equals_brute_force(spark, sizes):
+def test_announced_rows_are_bounded_by_the_chunks(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "FAN_BITS", 2)
+    counts = []
+    for n in (60, 240):
+        df = spark.createDataFrame([(i, " ".join(f"{i}w{j}" for j in range(200))) for i in range(n)], "doc_id long, text string")
+        rows, bits = repeats.chunked(df, "text", 1500, 1500)
+        chunks = rows.select("chunk").distinct().count()
+
+        def hashes(table):
+            data, at = W.text_bytes(table["c1"])
+            starts, ends, first = W.spans(data, at)
+            pos, values = W.window_hashes(W.span_hashes(data, starts, ends), first, 7)
+            return values, pos
+
+        sent, steps = repeats.announcements(rows, bits, hashes)
+        assert len(steps) == -(-bits // 2) and max(steps) <= 2 and sum(steps) == bits
+        assert all(df.count() <= 4 * 4 * chunks for df in sent) and sent[0].count() <= 4 * chunks
+        counts.append(sent[0].count() / chunks)
+    assert max(counts) <= 4
+
+
+def test_ids_of_any_type(spark):
+    df = B.awkward(spark, _texts(4, lines=True)).coalesce(1)
+    ids = {"string": "lpad(cast(doc_id as string), 9, '0')", "decimal": "cast(doc_id as decimal(20, 2))", "date": "date_add(date'2000-01-01', cast(doc_id as int))",
+           "binary": "cast(lpad(cast(doc_id as string), 9, '0') as binary)"}
+    for sizes in ({}, {"chunk_bytes": 700, "bucket_bytes": 900}):
+        want = collections.Counter((r.doc_id, r.text) for r in line_dedup.dedup_lines(df, **sizes).select("doc_id", "text").collect())
+        for text in ids.values():
+            own = df.select(F.expr(text).alias("key"), "text", "doc_id")
+            got = line_dedup.dedup_lines(own, "key", **sizes).select("doc_id", "text").collect()
+            assert collections.Counter((r.doc_id, r.text) for r in got) == want
+
+
+@FORMS
+def test_line_dedup_equals_brute_force(spark, monkeypatch, sizes, fan):
+    monkeypatch.setattr(repeats, "FAN_BITS", fan)
     df = B.awkward(spark, _texts(2, lines=True)).coalesce(1)
     rows = [(r.doc_id, r.text) for r in df.collect()]
     want = sorted(((d, *x) for (d, _), x in zip(rows, B.lines_removed(rows))), key=repr)
