@@ -61,14 +61,24 @@ def _absolute(href: Column, host: Column, path: Column) -> Column:
             .otherwise(F.concat(F.lit("http://"), host, F.regexp_replace(F.when(path == "", "/").otherwise(path), "[^/]*$", ""), h)))
 
 
+def _with_token(attribute: str, token: str) -> str:
+    """Pattern of an attribute whose space-separated tokens hold ``token``."""
+    quoted = "|".join(rf"{q}(?:[^{q}>]*\s)?{token}(?:\s[^{q}>]*)?{q}" for q in "\"'")
+    return rf"(?<![\w-]){attribute}\s*=\s*(?:{quoted}|{token}(?=[\s/>]))"
+
+
+def _targets(element: str, attribute: str, token: str, place: str) -> Column:
+    """What stands behind ``place`` in each such element of ``_html``, in order."""
+    tags = F.regexp_extract_all(F.col("_html"), F.lit(rf"(?is)(<{element}\b[^>]*>)"), 1)
+    meant = F.filter(tags, lambda t: t.rlike(rf"(?is){_with_token(attribute, token)}"))
+    return F.transform(meant, lambda t: F.regexp_extract(t, rf"""(?is){place}\s*=\s*["']?\s*([^"'\s>]*)""", 1))
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """``src, dst`` urls of canonical links and meta refreshes of ``_url, _html``."""
-    tag = F.regexp_extract(F.col("_html"), r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)""", 1)
-    href = F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]*)""", 1)
-    meta = F.regexp_extract(F.col("_html"), r"""(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>)""", 1)
-    goes = F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?([^"'\s>]*)""", 1)
+    """``src, dst`` urls of all canonical links and meta refreshes of ``_url, _html``."""
+    found = F.concat(_targets("link", "rel", "canonical", r"(?<![\w-])href"), _targets("meta", "http-equiv", "refresh", r"\burl"))
     both = pages.where(F.col("_html").isNotNull() & F.col("_url").isNotNull()).select(
-        F.col("_url").alias("src"), F.explode(F.array(href, goes)).alias("_href"))
+        F.col("_url").alias("src"), F.explode_outer(found).alias("_href"))
     return (both.where(F.col("_href") != "")
             .select("src", _absolute(F.col("_href"), host_of(F.col("src")), path_of(F.col("src"))).alias("dst"))
             .where(F.col("dst").isNotNull()))
