@@ -7,7 +7,8 @@ tokenizer, the marks around them are reserved ids behind its vocabulary:
 
 Control strings inside roles and contents are escaped reversibly, so that text
 cannot pass for a mark in the string form either: ``\\`` becomes ``\\\\``, and a
-backslash is put into ``###`` and ``</turn>`` behind their first character. The
+backslash is put into ``###`` and ``</turn>`` behind their first character, in
+roles before each ``:`` too (the first bare one ends the role). The
 loss mask is the prefix sum of +1 where an assistant's content begins and -1
 where it ends; marks and roles are never under it.
 
@@ -49,6 +50,10 @@ def escape(text: str) -> str:
     return re.sub(r"#(?=##)", r"#\\", text.replace("\\", "\\\\")).replace("</turn>", "<\\/turn>")
 
 
+def escape_role(role: str) -> str:
+    return escape(role).replace(":", "\\:")
+
+
 def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
@@ -82,7 +87,7 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, size = _tokenizer(path)
         for batch in batches:
-            roles = [escape(x or "") for x in batch.column("role").to_pylist()]
+            roles = [escape_role(x or "") for x in batch.column("role").to_pylist()]
             texts = [escape(x or "") for x in batch.column("text").to_pylist()]
             trained = [x == TRAINED_ROLE for x in batch.column("role").to_pylist()]
             known = {x: e.ids for x, e in zip(dict.fromkeys(roles), tok.encode_batch(list(dict.fromkeys(roles)), add_special_tokens=False))}

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import struct
 import zlib
 
@@ -92,6 +93,18 @@ def test_rules_and_propagation(spark):
     assert {r.verdict for r in url_filters.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_all_tags_of_a_page_are_links(spark):
+    rules = spark.createDataFrame([("bad.net", "/", "block")], "host string, path string, verdict string")
+    bad = "http://bad.net/x"
+    htmls = [f'<link rel="canonical"><link rel=canonical href="{bad}">', f'<meta http-equiv="refresh" content="5"><meta http-equiv=refresh content="0; url={bad}">',
+             f'<LINK href="{bad}" rel="shortlink canonical">', f"<link rel='canonical' href='/own'><link rel='canonical' href='{bad}'>",
+             f'<link rel="non-canonical" href="{bad}">', f'<link rel="next" href="{bad}"><a rel="canonical" href="{bad}">', f'<link data-rel="canonical" href="{bad}">',
+             f'<meta http-equiv="refresh" content="0; url=\'{bad}\'"/>', None, ""]
+    pages = spark.createDataFrame([(i, f"http://p{i}.org/", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filters.judge_urls(pages, rules).collect()}
+    assert [got[i] for i in range(len(htmls))] == ["block"] * 4 + ["allow"] * 3 + ["block"] + ["allow"] * 2
+
+
 # ---- decontamination
 
 def _contaminated(rows, items):
@@ -378,6 +391,17 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(_turns(spark, []), BYTE_BPE).collect() == []
 
 
+def test_role_and_content_cannot_be_mistaken(spark):
+    turns = [(0, 0, "a: b", "c"), (1, 0, "a", "b: c"), (2, 0, "a\\: b", "c"), (3, 0, None, ": a: b")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: r.formatted for r in chat.formatted_text(chat.format_chats(df, BYTE_BPE), BYTE_BPE).collect()}
+    assert len(set(out.values())) == 4
+    for conv, _, role, text in turns:
+        body = out[conv][len(chat.MARKS[0]):-len(chat.MARKS[2])]
+        found = re.match(r"(?s)((?:[^\\:]|\\.)*): (.*)", body)
+        assert (chat.unescape(found[1]), chat.unescape(found[2])) == (role or "", text)
+
+
 def test_escape_is_reversible():
     rnd = random.Random(1)
     for _ in range(2000):
