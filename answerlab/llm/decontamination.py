@@ -15,11 +15,12 @@ the window and the changes the rule allows (:func:`masks_for`), for the item
 lengths that the benchmark holds, so items of one word and more are searched for
 and documents are hashed only under masks that some item needs.
 
-Scale: hashes are computed and probed inside the scan of the documents while the
-benchmark's hashes are few enough to be sent to all tasks (``broadcast_rows``,
-counted from the items' lengths); beyond that they are joined by a shuffle of (hash, place)
-rows, salted against frequent word sequences, and only candidate documents meet
-their words again. Both ways give the same rows.
+Scale: the probes, (hash, item, place) rows, are sent to all tasks while their
+summed bytes are few enough (``broadcast_bytes``); beyond that they are joined by
+a shuffle of (hash, place) rows, salted against frequent word sequences, and only
+candidate documents meet their words again. Either way an item's words join the
+hits, not the probes: they are sent to all tasks by the same bound on their own
+bytes, else shuffled. All ways give the same rows.
 
 Defined results: null or empty texts and items without words match nothing;
 null item texts are no items; repeated rows get the same verdict each; empty
@@ -94,32 +95,37 @@ def _agreement(window: int, similarity: float) -> tuple[Column, Column]:
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = 13, similarity: float = 0.8,
-            broadcast_rows: int = 1_000_000) -> DataFrame:
+            broadcast_bytes: int = 64 << 20) -> DataFrame:
     """``_k, _id, item_id, matched_words``: one row per document and item with a
     verified overlap. ``docs`` has ``_id, _text``; ``items`` ``item_id, _text``."""
-    bench = items.where(F.col("_text").isNotNull()).select("item_id", _word_hashes(F.col("_text")).alias("_b"))
-    lengths = (bench.groupBy(F.least(F.size("_b"), F.lit(window)).alias("n")).agg(F.count(F.lit(1)).alias("items"), F.sum(F.size("_b")).alias("words"))
+    bench = (items.where(F.col("_text").isNotNull()).dropDuplicates(["item_id", "_text"])
+             .select("item_id", F.xxhash64("item_id", "_text").alias("_item"), _word_hashes(F.col("_text")).alias("_b")))
+    id_bytes = F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0)) + 24
+    lengths = (bench.groupBy(F.least(F.size("_b"), F.lit(window)).alias("n"))
+               .agg(F.sum(F.size("_b").cast("long")).alias("words"), F.sum(id_bytes.cast("long") + 8 * F.size("_b")).alias("bytes"))
                .where("n > 0").orderBy("n").collect())  # one row for each length up to the window
     masks: dict = {}
     for n in [r["n"] for r in lengths] or [window]:
         for mask in masks_for(n, similarity):
             masks.setdefault(mask, []).append(n)
-    n_probes = sum(r["words"] - r["items"] * mask[-1] for r in lengths for mask in masks_for(r["n"], similarity))
-    probes = (bench.select("item_id", "_b", F.posexplode(_seeds("_b", masks, window)).alias("_q", "_seed"))
-              .withColumn("_q", _place("_b", "_q", masks, window)))
+    # An upper bound: a mask begins at every word at most, a probe is its hash, its item's key and its place.
+    probe_bytes = sum(20 * r["words"] * len(masks_for(r["n"], similarity)) for r in lengths)
+    word_bytes = sum(r["bytes"] for r in lengths)
+    probes = (bench.select("_item", "_b", F.posexplode(_seeds("_b", masks, window)).alias("_q", "_seed"))
+              .select("_item", _place("_b", "_q", masks, window).alias("_q"), "_seed"))
     hashed = docs.select(F.xxhash64("_id", "_text").alias("_k"), "_id", _word_hashes(F.col("_text")).alias("_h"))
     seeds = hashed.select("_k", "_id", "_h", F.posexplode(_seeds("_h", masks)).alias("_p", "_seed"))
-    if n_probes <= broadcast_rows:
+    if probe_bytes <= broadcast_bytes:
         hits = seeds.join(F.broadcast(probes), "_seed").withColumn("_p", _place("_h", "_p", masks))
-        found = hits.withColumn("_shift", F.col("_p") - F.col("_q"))
+        found = hits.select("_k", "_id", "_h", "_item", (F.col("_p") - F.col("_q")).alias("_shift"))
     else:
         salts = 16
         spread = seeds.withColumn("_p", _place("_h", "_p", masks)).select("_k", "_id", "_p", "_seed", F.pmod("_k", F.lit(salts)).alias("_salt"))
-        copied = probes.select("item_id", "_q", "_seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
-        pairs = spread.join(copied, ["_seed", "_salt"]).select("_k", "_id", "item_id", (F.col("_p") - F.col("_q")).alias("_shift")).distinct()
+        copied = probes.select("_item", "_q", "_seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
+        pairs = spread.join(copied, ["_seed", "_salt"]).select("_k", "_id", "_item", (F.col("_p") - F.col("_q")).alias("_shift")).distinct()
         back = hashed.select(F.col("_k").alias("_hk"), F.col("_id").alias("_hid"), "_h").dropDuplicates(["_hk", "_hid"])
-        found = (pairs.join(back, (F.col("_k") == F.col("_hk")) & F.col("_id").eqNullSafe(F.col("_hid")))
-                 .join(bench.withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item"))))
+        found = pairs.join(back, (F.col("_k") == F.col("_hk")) & F.col("_id").eqNullSafe(F.col("_hid")))
+    found = found.join(F.broadcast(bench) if word_bytes <= broadcast_bytes else bench, "_item")
     same, verified = _agreement(window, similarity)
     return (found.withColumn("_same", same).where(verified)
             .groupBy("_k", "_id", "item_id").agg(F.max(F.aggregate("_same", F.lit(0), lambda a, x: a + x)).alias("matched_words")))

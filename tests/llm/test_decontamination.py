@@ -57,7 +57,7 @@ def test_equals_brute_force_for_all_item_lengths(spark):
     for part in (items, items[12:]):
         bench = spark.createDataFrame([(n, " ".join(w)) for n, w in part], "item_id long, text string")
         ids = {n for n, _ in part}
-        for limits in ({}, {"broadcast_rows": 0}):
+        for limits in ({}, {"broadcast_bytes": 0}, {"broadcast_bytes": 20_000}):
             got = {r.doc_id: r.n_items for r in D.decontaminate(docs, bench, **limits).collect()}
             assert got == {d: sum((d, n) in want for n in ids) for d, _ in texts}
     assert len(per) > 400

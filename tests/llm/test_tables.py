@@ -141,7 +141,7 @@ def test_decontamination_tolerates_substitutions(spark):
     rows = [(r.doc_id, r.text) for r in df.collect()]
     want = _contaminated([r for r in rows if r[0] != 5], items)
     per = collections.Counter(d for d, _ in want)
-    for limits in ({}, {"broadcast_rows": 0}):
+    for limits in ({}, {"broadcast_bytes": 0}, {"broadcast_bytes": 3000}):
         got = decontamination.decontaminate(df, bench, **limits)
         assert B.rows_of(got, "doc_id", "contaminated", "n_items") == sorted(((d, per[d] > 0, per[d]) for d, _ in rows), key=repr)
         kept = decontamination.drop_contaminated(df, bench, **limits)
