@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from answerlab.operators.many_means import many_means, usable_vectors
 from answerlab.operators.neighbours import centroids, dot, norm, sq_dist
-from answerlab.operators.ranking import cut_lineage, join_null_safe, rank_within, smallest_k
+from answerlab.operators.ranking import class_table, cut_lineage, join_null_safe, rank_within, smallest_k
 from answerlab.operators.similarity import sequence_ratio
 from answerlab.operators.stats import split_hash_int
 
@@ -67,6 +67,7 @@ def assign_clusters(df: DataFrame, targets: DataFrame, label: str, vec: str, k:
     null label is a class; a vector that cannot be used (null, of another length,
     with a null or NaN) counts as the zero vector. With a given ``k`` (never
     lowered) KMeans, one distributed fit per over-full class (classes are few)."""
+    targets = class_table(targets)
     if k is None:
         fitting = targets.where(F.col("n") <= F.col("target")).select(F.col("label").alias(label))
         return (join_null_safe(df, fitting, [label]).withColumn(out, F.lit(0))
@@ -95,7 +96,7 @@ def representatives(df: DataFrame, targets: DataFrame, label: str, cluster: str,
     the row of each cluster nearest to its centre, else each cluster gets a quota proportional to its size
     (largest remainder, smaller cluster id first on ties) and keeps its rows
     nearest to the cluster centre (distance rounded to 6 places, then id)."""
-    t = targets.select(F.col("label").alias(label), F.col("n").alias("_n"), F.col("target").alias("_t"))
+    t = class_table(targets.select(F.col("label").alias(label), F.col("n").alias("_n"), F.col("target").alias("_t")))
     tagged = join_null_safe(df, t, [label])
     keep_all = tagged.where(F.col("_n") <= F.col("_t")).drop("_n", "_t")
     over = tagged.where(F.col("_n") > F.col("_t"))
@@ -105,7 +106,8 @@ def representatives(df: DataFrame, targets: DataFrame, label: str, cluster: str,
     if one_each:
         ids = (dist.where(F.col(cluster) < F.col("_t")).groupBy(label, cluster).agg(F.min(F.struct("_dist", id_col)).alias("_first"))
                .select(F.col("_first")[id_col].alias(id_col)))
-        return keep_all.unionByName(over.join(ids, id_col, "left_semi").drop("_n", "_t"))
+        # one id a cluster, written once: the filter is put into both branches of the clustering
+        return keep_all.unionByName(over.join(cut_lineage(ids), id_col, "left_semi").drop("_n", "_t"))
     sizes = over.groupBy(label, cluster, "_n", "_t").agg(F.count(F.lit(1)).alias("_s"))
     prod = F.col("_t") * F.col("_s")
     sizes = (sizes.withColumn("_base", F.floor(prod / F.col("_n")).cast("long"))
@@ -128,7 +130,7 @@ def upsample_sources(df: DataFrame, targets: DataFrame, label: str, id_col: str,
     to make: needed = min(target, int(n * mult)) - n; every row is used
     needed div n times, plus once for the needed mod n rows with the smallest
     seeded hash. Output: source rows exploded to (.., copy_no)."""
-    t = cut_lineage(targets.select(F.col("label").alias(label), F.col("n").alias("_n"),
+    t = class_table(targets.select(F.col("label").alias(label), F.col("n").alias("_n"),
                                    (F.least(F.col("target"), F.floor(F.col("n") * F.lit(max_multiplier))) - F.col("n")).alias("_need")))
     under = join_null_safe(df, t.where(F.col("_need") > 0), [label]).withColumn("_h", split_hash_int(id_col, seed))
     rem = t.where(F.col("_need") > 0).select(label, (F.col("_need") % F.col("_n")).alias("k"))  # one row per class
@@ -299,9 +301,7 @@ def rebalance(df: DataFrame, label: str, id_col: str, vec: str, text: str, rewri
     target, up step where below; other splits untouched."""
     train = cut_lineage(df.where(F.col(split_col) == "train"))  # six steps read it
     rest = df.where(~F.col(split_col).eqNullSafe("train"))
-    targets = class_targets(class_counts(train, label), strategy, down_ratio)
-    # one row for each class, used by every step: counted once (the clustering below needs them now anyway)
-    targets = df.sparkSession.createDataFrame(targets.collect(), targets.schema)
+    targets = class_table(class_targets(class_counts(train, label), strategy, down_ratio))  # every step reads it
     clustered = assign_clusters(train, targets, label, vec, k, seed)
     down = representatives(clustered, targets, label, "cluster", vec, id_col, one_each=k is None).drop("cluster")
     sources = upsample_sources(train, targets, label, id_col, max_multiplier, seed)

@@ -237,7 +237,8 @@ def many_means(df: DataFrame, targets: DataFrame, label: str, vec: str, out: str
 
     leaf = (cur.where("_t > 1").select("_row", *node, "_v", "_t").groupBy(*node).applyInPandas(finish, f"_row long, `{out}` int")
             .unionByName(cur.where("_t = 1").select("_row", F.col("_lo").cast("int").alias(out))))
-    return base.drop("_n", "_t", "_v").join(leaf, "_row").drop("_row")
+    # two numbers a row, written once: every later step would fit the blocks again
+    return base.drop("_n", "_t", "_v").join(cut_lineage(leaf), "_row").drop("_row")
 
 
 def _routed(batches):

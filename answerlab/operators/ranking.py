@@ -33,6 +33,19 @@ def join_null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in cols])
 
 
+#: Bytes of a class table that may go to every task.
+CLASS_BYTES = 32 << 20
+
+
+def class_table(rows: DataFrame, limit: int = CLASS_BYTES) -> DataFrame:
+    """A table of one row per class, written once. It goes to every task of the
+    joins that read it, so that no class of rows meets in one task, if its size,
+    summed over all its rows, is within ``limit`` bytes; beyond it Spark chooses."""
+    rows = cut_lineage(rows)
+    size = rows.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(rows) if size <= limit else rows
+
+
 def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "rn") -> DataFrame:
     """The columns ``group`` and ``order`` with ``out`` = 1-based row number of
     each row inside its group when sorted by ``order`` (which must make the

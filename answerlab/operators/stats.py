@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from answerlab.functions.text import py_strip, word_count
 from answerlab.operators.quantiles import exact_quantiles
 from answerlab.operators.ranking import join_null_safe, smallest_k
+from answerlab.session import cut_lineage
 
 
 def split_hash(id_col: str | Column, seed: int = 42) -> Column:
@@ -171,7 +172,7 @@ def quantile_bins(df: DataFrame, col: str, q: int = 3, out: str = "qbin") -> tup
     edges collapse. Returns (rows with bin index, edge table)."""
     x = F.col(col).cast("double")
     probs = [i / q for i in range(q + 1)]
-    e = exact_quantiles(df.select(x.alias("_x")), "_x", probs).select("q").scalar()
+    e = cut_lineage(exact_quantiles(df.select(x.alias("_x")), "_x", probs)).select("q").scalar()  # one row, read for each edge
     # bin = number of distinct interior edges strictly below x
     n_below = sum((F.when((e[i] > e[i - 1]) & (e[i] < x), 1).otherwise(0) for i in range(1, q)), F.lit(0))
     rows = df.withColumn(out, F.when(x.isNotNull(), n_below.cast("int")))

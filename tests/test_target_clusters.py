@@ -130,3 +130,17 @@ def test_rebalance_on_the_given_table_row_by_row(spark):
     assert {r.doc_id for r in out.where("split = 'train' and not coalesce(is_augmented, false)").collect()} == want
     rest = views.balance_rows(spark, sf).where("split = 'validation'").count()
     assert out.where("split = 'validation'").count() == rest
+
+
+def test_class_table_is_sent_only_below_its_limit(spark):
+    """Same rows with the class table sent to all tasks and beyond its limit."""
+    from answerlab.operators.ranking import class_table, join_null_safe
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, "none")], "id long, label string")
+    classes = spark.createDataFrame([("a", 10), (None, 20), ("b", 30)], "label string, n int")
+    want = [(1, 10), (2, 20), (3, 30)]
+    for limit, joined in ((1 << 20, "BroadcastHashJoin"), (10, "SortMergeJoin")):
+        got = join_null_safe(rows, class_table(classes, limit), ["label"])
+        assert sorted((r.id, r.n) for r in got.collect()) == want
+        assert joined in got._jdf.queryExecution().sparkPlan().toString()
+    empty = class_table(classes.limit(0))
+    assert join_null_safe(rows, empty, ["label"]).count() == 0
