@@ -4,22 +4,26 @@ Exact inner-product top-k (X6), in blocks of bounded size:
 
 1. Pivots, as many as suit the size of the corpus, are corpus rows picked by a
    hash; every corpus row goes to the bucket of its best pivot, and each bucket
-   keeps its radius r_b = max ||x - p_b||.
+   keeps its radius r_b = max ||x - p_b||. Buckets of pivots near one another make
+   a tile of about ``max_block`` rows.
 2. For a query q, every row of bucket b scores at most
-   ub_b = q.p_b + ||q|| r_b (Cauchy-Schwarz).
-3. Pass 1 scores the ``probe`` buckets with the highest bound; the k-th best
+   ub_b = q.p_b + ||q|| r_b (Cauchy-Schwarz), every row of a tile at most the
+   highest bound of its buckets.
+3. Pass 1 scores the ``probe`` tiles with the highest bound; the k-th best
    score t_q found (none if fewer than k rows were seen) goes with the query to
-   pass 2, which scores only buckets with ub_b >= t_q and returns only scores
-   of at least t_q. So the top k are exact (ties by id on scores rounded to 6
-   places).
-
-Buckets are cut into chunks of at most about ``max_block`` rows and the queries
-that probe a bucket into blocks of ``max_queries``; each (bucket, chunk, query
-block) is one matrix product in one task, which returns at most k rows for each
-query. A hot bucket is many blocks. On clustered vectors most buckets are
+   pass 2, which scores only the other tiles whose bound reaches t_q and returns
+   only scores of at least t_q. So the top k are exact (ties by id on scores
+   rounded to 6 places).
+
+Tiles are cut into chunks of at most about ``max_block`` rows and the queries
+that probe a tile into blocks of ``max_queries``; each (tile, chunk, query
+block) is one task's group, which returns at most k rows for each query. A hot
+tile is many blocks. A Python task holds one batch of vectors and ``CELLS`` cells
+of a matrix, whatever the size of the tables: which tiles a query probes is one
+array for the query, and Spark makes the rows. On clustered vectors most tiles are
 skipped; vectors without structure let the bound prune nothing, and the cost is
-that of all products, |queries| x |corpus| x dimension, with every corpus row
-sent to |queries| / max_queries blocks.
+that of all products, |queries| x |corpus| x dimension, with every query sent to
+|corpus| / max_block tiles and every corpus row to |queries| / max_queries blocks.
 """
 
 from __future__ import annotations
@@ -69,79 +73,101 @@ def searchable(vec: str, length: int) -> Column:
     return F.coalesce((F.size(vec) == length) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))), F.lit(False))
 
 
-def _assign_buckets(pivots):
+#: Cells of a matrix (8 bytes each) that a task works on at a time.
+CELLS = 1 << 20
+
+
+def in_slices(pdf, width: int):
+    """Parts of a batch with at most about ``CELLS`` cells for rows of ``width`` cells."""
+    step = max(1, CELLS // max(1, width))
+    for i in range(0, len(pdf), step):
+        yield pdf.iloc[i:i + step]
+
+
+def plain_vector(df: DataFrame, vec: str) -> Column:
+    """The vector column as floats if it holds them (half the bytes to move), else as doubles."""
+    return F.col(vec) if df.schema[vec].dataType.simpleString() == "array<float>" else F.col(vec).cast("array<double>")
+
+
+def _assign_buckets(pivots, tile_of):
     """mapInPandas body: best pivot (highest inner product, lowest index on
-    ties) and distance to it, for each corpus vector of the batch."""
+    ties), its tile, and distance to it, for each corpus vector of the batch."""
     import numpy as np
 
     def run(batches):
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["_cv"].to_numpy()).astype(np.float64)
-            b = (x @ pivots.T).argmax(axis=1)
-            yield pdf.assign(bucket=b.astype("int32"), _d=np.sqrt(((x - pivots[b]) ** 2).sum(axis=1)))
+            for part in in_slices(pdf, len(pivots)):
+                x = np.stack(part["_cv"].to_numpy()).astype(np.float64)
+                b = (x @ pivots.T).argmax(axis=1)
+                yield part.assign(bucket=b.astype("int32"), tile=tile_of[b].astype("int32"), _d=np.sqrt(((x - pivots[b]) ** 2).sum(axis=1)))
     return run
 
 
-def _probe_buckets(pivots, radii, probe: int, second: bool):
-    """mapInPandas body: the buckets each query probes, best bounds first in
-    pass 1, in pass 2 (``second``) the others whose bound reaches ``_t``."""
+def _probe_tiles(pivots, radii, tile_of, probe: int, second: bool):
+    """mapInPandas body: the tiles each query probes, as one array for each query:
+    best bounds first in pass 1, in pass 2 (``second``) the others whose bound reaches ``_t``."""
     import numpy as np
 
-    buckets = np.array(sorted(radii), dtype=np.int64)
+    buckets = np.array(sorted(radii, key=lambda b: (tile_of[b], b)), dtype=np.int64)
     radius = np.array([radii[int(b)] for b in buckets])
+    tiles, begin = np.unique(tile_of[buckets], return_index=True)
 
     def run(batches):
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            q = np.stack(pdf["_qv"].to_numpy()).astype(np.float64)
-            ub = q @ pivots[buckets].T + np.linalg.norm(q, axis=1)[:, None] * radius[None, :]
-            rank = np.argsort(np.argsort(-ub, axis=1, kind="stable"), axis=1)
-            t = pdf["_t"].to_numpy(dtype=np.float64)
-            reach = np.isnan(t)[:, None] | (ub >= np.nan_to_num(t)[:, None] - 1e-6)
-            row, col = np.nonzero((rank >= probe) & reach if second else rank < probe)
-            yield pdf.iloc[row].assign(bucket=buckets[col].astype("int32"))
+            for part in in_slices(pdf, len(buckets)):
+                q = np.stack(part["_qv"].to_numpy()).astype(np.float64)
+                ub = q @ pivots[buckets].T + np.linalg.norm(q, axis=1)[:, None] * radius[None, :]
+                ub = np.maximum.reduceat(ub, begin, axis=1)
+                rank = np.argsort(np.argsort(-ub, axis=1, kind="stable"), axis=1)
+                t = part["_t"].to_numpy(dtype=np.float64)
+                reach = np.isnan(t)[:, None] | (ub >= np.nan_to_num(t)[:, None] - 1e-6)
+                chosen = (rank >= probe) & reach if second else rank < probe
+                yield part.assign(tiles=[tiles[row].astype("int32") for row in chosen])
     return run
 
 
 def _block_topk(k: int, c_cols: Sequence[str]):
-    """cogroup body: scores of one block by a matrix product; per query the top
-    k of at least ``_t``, by (score rounded to 6 places desc, corpus id)."""
+    """cogroup body: scores of one block by matrix products, some queries at a
+    time; per query the top k of at least ``_t``, by (score rounded to 6 places
+    desc, corpus id)."""
     import numpy as np
     import pandas as pd
 
     def run(qpdf, cpdf):
+        names = ("query_id", "corpus_id", "score", *c_cols)
         if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({c: [] for c in ("query_id", "corpus_id", "score", *c_cols)})
-        q = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
+            return pd.DataFrame({c: [] for c in names})
         x = np.stack(cpdf["_cv"].to_numpy()).astype(np.float64)
-        sc = np.round(q @ x.T, 6)
-        least = qpdf["_t"].to_numpy(dtype=np.float64)
-        least = np.where(np.isnan(least), -np.inf, least - 1e-6)
-        if sc.shape[1] > k:
-            least = np.maximum(least, np.partition(sc, sc.shape[1] - k, axis=1)[:, sc.shape[1] - k])
-        row, col = np.nonzero(sc >= least[:, None])  # the k best of a query and all ties of the last
         ids = cpdf["corpus_id"].rank(method="first").to_numpy()
-        order = np.lexsort((ids[col], -sc[row, col], row))
-        row, col = row[order], col[order]
-        begin = np.flatnonzero(np.diff(row, prepend=-1))
-        keep = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row)))) < k
-        row, col = row[keep], col[keep]
-        out = pd.DataFrame({"query_id": qpdf["query_id"].to_numpy()[row], "corpus_id": cpdf["corpus_id"].to_numpy()[col],
-                            "score": sc[row, col]})
-        return out.assign(**{c: cpdf[c].to_numpy()[col] for c in c_cols})
+        found = []
+        for part in in_slices(qpdf, len(x)):
+            sc = np.round(np.stack(part["_qv"].to_numpy()).astype(np.float64) @ x.T, 6)
+            least = part["_t"].to_numpy(dtype=np.float64)
+            least = np.where(np.isnan(least), -np.inf, least - 1e-6)
+            if sc.shape[1] > k:
+                least = np.maximum(least, np.partition(sc, sc.shape[1] - k, axis=1)[:, sc.shape[1] - k])
+            row, col = np.nonzero(sc >= least[:, None])  # the k best of a query and all ties of the last
+            order = np.lexsort((ids[col], -sc[row, col], row))
+            row, col = row[order], col[order]
+            begin = np.flatnonzero(np.diff(row, prepend=-1))
+            keep = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row)))) < k
+            row, col = row[keep], col[keep]
+            out = pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "corpus_id": cpdf["corpus_id"].to_numpy()[col],
+                                "score": sc[row, col]})
+            found.append(out.assign(**{c: cpdf[c].to_numpy()[col] for c in c_cols}))
+        return pd.concat(found, ignore_index=True)
     return run
 
 
 #: Memory that all pivots together may take in a task; it sets how fine the buckets are, nothing else.
 PIVOT_BYTES = 32 << 20
+#: (query, tile) rows that one task makes.
+_TASK_ROWS = 200_000
 
 
 def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int, q_id: str = "vec_id", c_id: str = "vec_id",
                        vec: str = "embedding", n_pivots: int | None = None, probe: int = 2,
-                       c_cols: Sequence[str] = (), max_block: int = 4096, max_queries: int = 1024) -> DataFrame:
+                       c_cols: Sequence[str] = (), max_block: int = 4096, max_queries: int = 4096) -> DataFrame:
     """Exact top-k corpus rows per query by inner product.
     Returns (query_id, corpus_id, score, rank, *c_cols); score is rounded to 6
     places, rank 1..k by (score desc, corpus_id). Ids may be of any type that
@@ -154,40 +180,51 @@ def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int, q_id: str
     import numpy as np
 
     spark = queries.sparkSession
-    q = queries.select(F.col(q_id).alias("query_id"), F.col(vec).cast("array<double>").alias("_qv")).dropDuplicates(["query_id"])
-    c = corpus.select(F.col(c_id).alias("corpus_id"), F.col(vec).cast("array<double>").alias("_cv"), *c_cols)
-    q_kind, kinds = q.schema["query_id"].dataType.simpleString(), {f.name: f.dataType.simpleString() for f in c.schema.fields}
+    q = queries.select(F.col(q_id).alias("query_id"), plain_vector(queries, vec).alias("_qv")).dropDuplicates(["query_id"])
+    c = corpus.select(F.col(c_id).alias("corpus_id"), plain_vector(corpus, vec).alias("_cv"), *c_cols)
+    q_kind, v_kind = (q.schema[x].dataType.simpleString() for x in ("query_id", "_qv"))
+    kinds = {f.name: f.dataType.simpleString() for f in c.schema.fields}
     out_schema = f"query_id {q_kind}, corpus_id {kinds['corpus_id']}, score double" + "".join(f", `{x}` {kinds[x]}" for x in c_cols)
     length = vector_length(c, "_cv")
     if length is None:
         return spark.createDataFrame([], out_schema + ", rank int")
     q, c = q.where(searchable("_qv", length)), c.where(searchable("_cv", length))
-    wanted = n_pivots or max(1, min(math.isqrt(c.count()) // 2, PIVOT_BYTES // (8 * length)))
+    size = c.count()
+    if not size:
+        return spark.createDataFrame([], out_schema + ", rank int")
+    wanted = n_pivots or max(1, min(math.isqrt(size) // 2, PIVOT_BYTES // (8 * length)))
     rows = c.select("corpus_id", "_cv").orderBy(F.xxhash64("corpus_id"), "corpus_id").limit(wanted).collect()  # the pivots
     pivots = np.array([r["_cv"] for r in rows], dtype=np.float64)
-    cb = c.mapInPandas(_assign_buckets(pivots), ", ".join(f"`{x}` {t}" for x, t in kinds.items()) + ", bucket int, _d double")
+    # pivots near one another share a tile, so that a tile holds about max_block rows
+    heads = pivots[:max(1, -(-size // max_block))]
+    tile_of = np.concatenate([((p ** 2).sum(axis=1)[:, None] - 2 * p @ heads.T + (heads ** 2).sum(axis=1)).argmin(axis=1)
+                              for p in np.array_split(pivots, -(-len(pivots) * len(heads) // CELLS))])
+    cb = c.mapInPandas(_assign_buckets(pivots, tile_of), ", ".join(f"`{x}` {t}" for x, t in kinds.items()) + ", bucket int, tile int, _d double")
     stats = cb.groupBy("bucket").agg(F.max("_d").alias("r"), F.count(F.lit(1)).alias("n")).collect()  # one row for each pivot at most
     radii = {r["bucket"]: r["r"] for r in stats}
-    chunks = spark.createDataFrame([(r["bucket"], -(-r["n"] // max_block)) for r in stats], "bucket int, _chunks int")
-    cchunk = cb.drop("_d").join(chunks, "bucket").withColumn("chunk", F.pmod(F.xxhash64("corpus_id"), "_chunks").cast("int")).drop("_chunks")
-    pair_schema = f"query_id {q_kind}, _qv array<double>, _t double, bucket int"
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        sides = pairs.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(max_queries)).cast("int").alias("_blocks"))
-        left = (pairs.join(sides, "bucket").join(chunks, "bucket")
-                .select("query_id", "_qv", "_t", "bucket", F.pmod(F.xxhash64("query_id"), "_blocks").cast("int").alias("qb"),
+    held = np.bincount(tile_of[[r["bucket"] for r in stats]], weights=[r["n"] for r in stats]).astype(int)
+    chunks = spark.createDataFrame([(i, -(-int(n) // max_block)) for i, n in enumerate(held) if n], "tile int, _chunks int")
+    cchunk = cb.drop("_d", "bucket").join(F.broadcast(chunks), "tile").withColumn("chunk", F.pmod(F.xxhash64("corpus_id"), "_chunks").cast("int")).drop("_chunks")
+    q = q.repartition(-(-max(1, q.count()) * len(held) // _TASK_ROWS), "query_id")  # the rows of a task are many more than its queries
+
+    def scored(known: DataFrame, second: bool) -> DataFrame:
+        pairs = (known.mapInPandas(_probe_tiles(pivots, radii, tile_of, probe, second), f"query_id {q_kind}, _qv {v_kind}, _t double, tiles array<int>")
+                 .select("query_id", "_qv", "_t", F.explode("tiles").alias("tile")))
+        sides = pairs.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(max_queries)).cast("int").alias("_blocks"))  # one row for each tile
+        left = (pairs.join(F.broadcast(sides), "tile").join(F.broadcast(chunks), "tile")
+                .select("query_id", "_qv", "_t", "tile", F.pmod(F.xxhash64("query_id"), "_blocks").cast("int").alias("qb"),
                         F.explode(F.expr("sequence(0, _chunks - 1)")).alias("chunk")))
-        right = cchunk.join(sides.withColumnRenamed("bucket", "_b"), F.col("bucket") == F.col("_b")).select(
-            *kinds, "bucket", "chunk", F.explode(F.expr("sequence(0, _blocks - 1)")).alias("qb"))
-        return (left.groupBy("bucket", "chunk", "qb").cogroup(right.groupBy("bucket", "chunk", "qb"))
+        right = cchunk.join(F.broadcast(sides), "tile").select(
+            *kinds, "tile", "chunk", F.explode(F.expr("sequence(0, _blocks - 1)")).alias("qb"))
+        return (left.groupBy("tile", "chunk", "qb").cogroup(right.groupBy("tile", "chunk", "qb"))
                 .applyInPandas(_block_topk(k, c_cols), out_schema))
 
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
-    start = q.withColumn("_t", F.lit(None).cast("double")).mapInPandas(_probe_buckets(pivots, radii, probe, False), pair_schema)
-    first = cut_lineage(scored(start).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank"))
+    first = scored(q.withColumn("_t", F.lit(None).cast("double")), False)
+    first = cut_lineage(first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank"))
     kth = first.groupBy("query_id").agg(F.min("score").alias("_s"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k)
     known = q.join(kth.select("query_id", F.col("_s").alias("_t")), "query_id", "left").select("query_id", "_qv", "_t")
-    rest = scored(known.mapInPandas(_probe_buckets(pivots, radii, probe, True), pair_schema))
+    rest = scored(known, True)
     return first.unionByName(rest).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
