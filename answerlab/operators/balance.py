@@ -19,7 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,30 +144,34 @@ def upsample_sources(df: DataFrame, targets: DataFrame, label: str, id_col: str,
 
 # ------------------------------------------------------------------- R4
 
+def character_overlap(a: str, b: str) -> int:
+    """Size of the multiset of characters that two texts share."""
+    if not a or not b:
+        return 0
+    one, two = (np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)) for t in (a, b))
+    n = min(len(one), len(two))
+    return int(np.minimum(one[:n], two[:n]).sum())
+
+
+@F.arrow_udf(T.LongType())
+def _character_overlap(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array((character_overlap(x.as_py(), y.as_py()) for x, y in zip(a, b)), pa.int64(), size=len(a))
+
+
 def with_surface_bound(df: DataFrame, a: str, b: str, out: str = "surface_bound") -> DataFrame:
     """Adds ``out``: upper bound of the difflib ratio of two lower-cased texts,
     2 * (character multiset overlap) / (len a + len b) (difflib's quick_ratio).
-    Per distinct character of ``a`` its count in each text is the length lost
-    by removing it (a native string scan); the lowered texts are staged as
-    columns so the lambda does not recompute them."""
-    staged = (df.withColumn("_la", F.lower(F.coalesce(F.col(a), F.lit(""))))
-              .withColumn("_lb", F.lower(F.coalesce(F.col(b), F.lit(""))))
-              .withColumn("_da", F.array_distinct(F.split("_la", ""))))
-    na, nb = F.char_length("_la"), F.char_length("_lb")
-
-    def count(col, n, ch):
-        return n - F.char_length(F.replace(F.col(col), ch, F.lit("")))
-
-    overlap = F.aggregate(F.filter("_da", lambda ch: ch != ""), F.lit(0).cast("long"),
-                          lambda acc, ch: acc + F.least(count("_la", na, ch), count("_lb", nb, ch)).cast("long"))
-    total = na + nb
-    return (staged.withColumn(out, F.when(total > 0, 2.0 * overlap / total).otherwise(F.lit(1.0)))
-            .drop("_la", "_lb", "_da"))
+    The overlap is counted in one pass over each text."""
+    la, lb = (F.lower(F.coalesce(F.col(c), F.lit(""))) for c in (a, b))
+    total = F.char_length(la) + F.char_length(lb)
+    return (df.withColumn("_o", _character_overlap(la, lb))
+            .withColumn(out, F.when(total > 0, 2.0 * F.col("_o") / total).otherwise(F.lit(1.0))).drop("_o"))
 
 
-@F.pandas_udf(T.DoubleType())
-def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else sequence_ratio(x.lower(), y.lower()) for x, y in zip(a, b)], dtype="float64")
+@F.arrow_udf(T.DoubleType())
+def _sequence_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
+    pairs = ((x.as_py(), y.as_py()) for x, y in zip(a, b))
+    return pa.array((None if x is None or y is None else sequence_ratio(x.lower(), y.lower()) for x, y in pairs), pa.float64(), size=len(a))
 
 
 def accept_pairs(df: DataFrame, original: str, rewrite: str, min_div: float = 0.15,
@@ -174,7 +179,7 @@ def accept_pairs(df: DataFrame, original: str, rewrite: str, min_div: float = 0.
     """Accept a rewrite if its character similarity to the original is at
     most 1 - min_div and, when both vectors are present, their cosine lies in
     [lo, hi]. The exact similarity (difflib's ratio, found by hashed windows: ``sequence_ratio``) is computed only for pairs
-    whose native upper bound exceeds the limit: the others reach the UDF as
+    whose upper bound exceeds the limit: the others reach the UDF as
     nulls, which it skips (a UDF under ``when`` alone would run on every row)."""
     limit = 1.0 - min_div
     out = with_surface_bound(df, original, rewrite)
