@@ -17,7 +17,7 @@ from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,8 +98,8 @@ def with_table_label(df: DataFrame, raw: str, table: DataFrame, kind: str = "lab
     same native expressions."""
     labels = labels_of(table, label, rank)
 
-    @F.pandas_udf("string")
-    def found(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")  # one row's texts at a time become Python's
+    def found(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         matcher = LabelMatcher(labels)
 
         def one(tag, last, whole):
@@ -113,8 +113,8 @@ def with_table_label(df: DataFrame, raw: str, table: DataFrame, kind: str = "lab
                     return got
             return matcher.contained(whole, PARSE_ERROR)
 
-        for tags, lasts, wholes in parts:
-            yield pd.Series([one(*x) for x in zip(tags, lasts, wholes)], dtype="object")
+        for part in parts:
+            yield pa.array((one(*(x.as_py() for x in row)) for row in zip(*part)), pa.string(), size=len(part[0]))
 
     r = F.col(raw)
     if kind == "tagged":
