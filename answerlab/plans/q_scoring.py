@@ -116,13 +116,20 @@ def q_t2(spark, sf):
     return SC.is_complete(views.done(spark, sf), table(spark, sf, "documents"))
 
 
+def _files(df, least):
+    """Files that a table arrives in: one for each task of its scan, ``least`` at least, so
+    that a file does not grow with the table."""
+    return max(least, df.rdd.getNumPartitions())
+
+
 @query("t3_score_stream", C1_SQL)
 def q_t3(spark, sf):
     src, sink, ckpt = (IO.scratch_path(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt"))
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    docs.repartition(4, "doc_id").write.parquet(src)  # the incoming files
+    files = _files(docs, 4)
+    docs.repartition(files, "doc_id").write.parquet(src)  # the incoming files, in two batches
     ST.score_stream(spark, src, docs.schema, rule_scorer, ["doc_id", "lang", "text"], REPLY_LABELS, sink, ckpt,
-                    max_files_per_trigger=2, answer="text")
+                    max_files_per_trigger=-(-files // 2), answer="text")
     return _scored_cols(spark.read.parquet(sink))
 
 
@@ -186,9 +193,10 @@ def q_t3_key(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
     keep = ["doc_id", "lang", "text"]
     SC.score_table(docs.where("doc_id % 2 = 0"), rule_scorer, keep, REPLY_LABELS, "text").write.parquet(old)
+    files = _files(docs, 2)
     for _ in range(2):
-        docs.repartition(2, "doc_id").write.mode("append").parquet(src)
+        docs.repartition(files, "doc_id").write.mode("append").parquet(src)
     done = spark.read.parquet(old)
-    ST.score_stream(spark, src, docs.schema, rule_scorer, keep, REPLY_LABELS, sink, ckpt, max_files_per_trigger=2, answer="text",
+    ST.score_stream(spark, src, docs.schema, rule_scorer, keep, REPLY_LABELS, sink, ckpt, max_files_per_trigger=files, answer="text",
                     keys=["doc_id"], done=done)
     return _scored_cols(done.unionByName(spark.read.parquet(sink)))
