@@ -163,6 +163,27 @@ def test_network_finds_what_rules_do_not(model):
     assert abs(alone[0] - p[3]) < 1e-5  # other candidates do not matter
 
 
+def test_every_finding_is_learned_from(spark, monkeypatch):
+    many = [f"user{i:03d}/data{j}" for i in range(30) for j in range(10)]
+    long = "a1_" * 3000
+    texts = [" and ".join(many[i * 10:i * 10 + 10]) for i in range(30)] + [f"see {long} there", f"token={'k9' * 2500}", None, "", "none"]
+    docs = spark.createDataFrame([(t,) for t in texts * 2], "text string").repartition(7)
+    monkeypatch.setattr(secret_scan, "_PART", 128)
+    rows, parts = secret_scan.labelled_findings(docs)
+    got = [(bytes(r.value).decode(), r.label) for r in rows.where("label >= 0").collect()]  # 4 of a text at most, and none over 4,096 bytes before
+    assert sorted(got) == sorted([(v, 0) for v in many] + [(long, 0), ("k9" * 2500, 1)])
+    assert parts == -(-(300 + -(-9000 // 32) + -(-5000 // 32)) // 128) and rows.where("label < 0").count() == parts
+    one = secret_scan.learn(docs, rounds=2, steps=20, generated=400)
+    other = secret_scan.learn(docs.repartition(3), rounds=2, steps=20, generated=400)
+    assert one.thresholds == other.thresholds and np.array_equal(one.net.flat(), other.net.flat())
+
+
+def test_thresholds_count_all_held_out_secrets():
+    held = np.array([[256 * s, 1, 0, n] for s, n in ((-2, 1), (4, 30), (5, 69))] + [[-1024, 0, 0, 900], [2560, 1, 1, 3]])
+    model = secret_scan._fitted(secret_scan.CharCnn(0), held, 0.98)
+    assert model.thresholds[0] == model.calibrated(np.array([4.0]))[0] and model.thresholds[1] == model.calibrated(np.array([10.0]))[0]
+
+
 def test_network_gradients():
     rnd = np.random.default_rng(0)
     net = secret_scan.CharCnn(3)
